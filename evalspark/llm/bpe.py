@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import regex
@@ -13,10 +14,14 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts, texts
 
-#: Distinct pieces that a task remembers at most; a full memory is emptied. It only saves time.
+#: Stretches of text that a task remembers at least, twice as many at most; it only saves time.
 REMEMBER = 400_000
-#: Longer pieces aren't remembered.
+#: Longer ones aren't remembered.
 LONG = 64
+#: Marks that often follow a word.
+MARKS = "!#$%&*,.:;?"
+#: Bits for a symbol id in a pair, and for a place in a queue entry.
+ID, PLACE = 17, 40
 
 
 def byte_letters() -> list[str]:
@@ -31,15 +36,18 @@ def byte_letters() -> list[str]:
 
 
 class Memory(dict):
-    """Results of a function by argument, emptied when full."""
+    """Results of a function by argument, in two generations: when the new one is full, the old one goes."""
 
     def __init__(self, f):
-        self.f = f
+        self.f, self.old = f, {}
 
     def __missing__(self, key):
-        out = self.f(key)
+        out = self.old.get(key)
+        if out is None:
+            out = self.f(key)
         if len(key) <= LONG:
             if len(self) >= REMEMBER:
+                self.old = dict(self)
                 self.clear()
             self[key] = out
         return out
@@ -49,66 +57,100 @@ class Bpe:
     """The model of a vocabulary file: NFC, lower case, a pattern that splits, byte letters, merges with a word end."""
 
     def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+        self.path, spec = path, json.load(open(path, encoding="utf-8"))
         model = spec["model"]
-        self.vocab, self.end = model["vocab"], model.get("end_of_word_suffix") or ""
-        self.strings = {i: s for s, i in self.vocab.items()}
-        self.ranks = {}
+        vocab, end, letters = model["vocab"], model.get("end_of_word_suffix") or "", byte_letters()
+        self.strings = {i: s for s, i in vocab.items()}
+        #: By pair of ids its rank, and by rank the id that the pair becomes.
+        self.rank, self.made = {}, []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            self.rank[vocab[a] << ID | vocab[b]] = rank
+            self.made.append(vocab[a + b])
+        self.inner, self.last = [vocab.get(x, -1) for x in letters], [vocab.get(x + end, -1) for x in letters]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings.update({i: s for s, i in self.special.items()})
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.split = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.letters = byte_letters()
-        self.words = Memory(self.word)
-        self.chunks = Memory(self.chunk)
-
-    def word(self, word: str) -> bytes:
-        """Ids of one piece, as little-endian unsigned 32-bit integers."""
-        letters = [self.letters[b] for b in word.encode()]
-        letters[-1] += self.end
-        return np.array(self.merge([self.vocab[x] for x in letters if x in self.vocab]), dtype="<u4").tobytes()
+        self.stretches = Memory(self.stretch)
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of one piece, as little-endian unsigned 32-bit integers; bytes that the vocabulary lacks have none."""
+        data = piece.encode()
+        ids = [self.inner[b] for b in data[:-1]]
+        ids.append(self.last[data[-1]])
+        if min(ids) < 0:
+            ids = [x for x in ids if x >= 0]
+        if len(ids) > 1:
+            ids = self.merge(ids)
+        return pack(f"<{len(ids)}I", *ids)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merges symbols: a priority queue of (rank, place) over a doubly linked list; stale entries are skipped."""
-        n, ranks = len(ids), self.ranks
+        n, get, made = len(ids), self.rank.get, self.made
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(*r, i) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
-        queue = [(rank, i, new) for rank, new, i in queue]
-        heapq.heapify(queue)
+        queue, mask, a = [], (1 << PLACE) - 1, ids[0]
+        for i in range(n - 1):
+            b = ids[i + 1]
+            if (r := get(a << ID | b)) is not None:
+                queue.append(r << PLACE | i)
+            a = b
+        heapify(queue)
         while queue:
-            _, i, new = heapq.heappop(queue)
-            j = after[i]
-            if ids[i] < 0 or j < 0 or ranks.get((ids[i], ids[j]), (0, -1))[1] != new:
+            entry = heappop(queue)
+            i, new = entry & mask, made[entry >> PLACE]
+            a, j = ids[i], after[i]
+            if a < 0 or j < 0 or (r := get(a << ID | ids[j])) is None or made[r] != new:
                 continue
             ids[i], ids[j] = new, -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-            for a, b in ((before[i], i), (i, k)):
-                if a >= 0 and b >= 0 and (r := ranks.get((ids[a], ids[b]))):
-                    heapq.heappush(queue, (r[0], a, r[1]))
+                if (r := get(new << ID | ids[k])) is not None:
+                    heappush(queue, r << PLACE | i)
+            if (h := before[i]) >= 0 and (r := get(ids[h] << ID | new)) is not None:
+                heappush(queue, r << PLACE | h)
         return [x for x in ids if x >= 0]
 
-    def chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.split.findall(chunk)))
+    def stretch(self, text: str) -> bytes:
+        """Ids of text without white space."""
+        if text.isalpha() and text.isascii():
+            return self.piece(text)
+        word = text.rstrip(MARKS)
+        if word.isalpha() and word.isascii():  # then the marks are one piece
+            return self.stretches[word] + self.stretches[text[len(word) :]]
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
+            return b"".join(map(self.piece, self.pieces_of_library(text)))
+        pieces = self.split.findall(text)
+        if len(pieces) == 1:
+            return self.piece(pieces[0])
+        return b"".join(map(self.stretches.__getitem__, pieces))
+
+    def pieces_of_library(self, text: str) -> list[str]:
+        """Pieces of text with letters newer than Python's Unicode tables, by the tables of the tokenizers library."""
+        from tokenizers import Tokenizer
+
+        if not hasattr(self, "library"):
+            self.library = Tokenizer.from_file(self.path)
+        own = {x: b for b, x in enumerate(byte_letters())}
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(own[c] for c in piece).decode() for piece, _ in found]
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text, packed. No piece spans white space, so pieces are looked up by stretches without any."""
+        """Ids of a whole text, packed. No piece spans white space, so stretches without any are looked up."""
         if self.specials and "<|" in text:
-            parts = self.specials.split(text)
-            return b"".join(np.uint32(self.special[p]).astype("<u4").tobytes() if p in self.special else self.plain(p) for p in parts if p)
+            return b"".join(pack("<I", self.special[p]) if p in self.special else self.plain(p) for p in self.specials.split(text) if p)
         return self.plain(text)
 
     def plain(self, text: str) -> bytes:
-        # Lower case is letter by letter: a final sigma isn't told apart.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if not text.isascii():
+            # Lower case is letter by letter: a final sigma isn't told apart.
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to split(), not to the pattern
-            return self.chunk(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+            return b"".join(map(self.stretches.__getitem__, regex.findall(r"[^\t-\r \x85\p{Z}]+", text)))
+        return b"".join(map(self.stretches.__getitem__, text.split()))
 
     def decode(self, ids: bytes) -> str:
         """The vocabulary strings of the ids; the file names no decoder, so a space goes between them."""
