@@ -17,12 +17,39 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets_scan import scan_secrets
+
+    out = scan_secrets(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_random")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import classify, grades, train
+
+    docs = read(spark, sf_dir, "documents")
+    return classify(docs, train(docs, grades(read(spark, sf_dir, "labels"))))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import shard
 
     return shard(read(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_rules import quality_rules
+
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import scan_pii
+
+    out = scan_pii(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -99,7 +126,7 @@ FROM d
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op6_sharding, op9_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op4_secrets, op5_quality, op6_sharding, op7_quality_rules, op8_pii, op9_mixing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
