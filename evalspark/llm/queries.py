@@ -17,6 +17,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_components
+
+    return near_components(read(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets_scan import scan_secrets
 
@@ -126,7 +132,7 @@ FROM d
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op4_secrets, op5_quality, op6_sharding, op7_quality_rules, op8_pii, op9_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op4_secrets, op5_quality, op6_sharding, op7_quality_rules, op8_pii, op9_mixing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
