@@ -23,6 +23,12 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets_scan import scan_secrets
 
@@ -132,7 +138,7 @@ FROM d
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op4_secrets, op5_quality, op6_sharding, op7_quality_rules, op8_pii, op9_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_suffix_dedup, op4_secrets, op5_quality, op6_sharding, op7_quality_rules, op8_pii, op9_mixing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
