@@ -35,9 +35,8 @@ class Powers:
     def __init__(self):
         n = PIECE + LENGTH
         inverse = pow(BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            self.up = np.cumprod(np.concatenate([[1], np.full(n - 1, BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([[1], np.full(n - 1, inverse, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+        one = np.ones(1, np.uint64)
+        self.up, self.down = (np.cumprod(np.concatenate([one, np.full(n - 1, x, np.uint64)]), dtype=np.uint64) for x in (BASE, inverse))
         self.letter = mix(np.arange(1, 257, dtype=np.uint64))
 
 
