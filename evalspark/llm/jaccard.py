@@ -24,6 +24,8 @@ SKETCH = 8
 MANY = 16
 #: Signatures that a task holds before it hands them on.
 HOLD = 1_500_000
+#: Partners of a node that one task checks, and rows up to which the asked nodes go to each task as a table.
+GROUP, BROADCAST = 64, 500_000
 
 
 def shingles(text: str, hashes: WordHashes) -> np.ndarray:
@@ -147,11 +149,16 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 
 def match(packed: DataFrame) -> DataFrame:
-    """By bucket: documents (row 0), pairs of nodes that share a part (1), and members of widely shared parts (2)."""
+    """By bucket: documents (row 0), pairs of nodes that share parts, with how many (1 if the first is the least of those
+    that share one, or else 3), and members of widely shared parts (2)."""
     kind = packed.schema["ids"].dataType.elementType.simpleString()
     schema = f"row int, id {kind}, a bigint, b bigint, size bigint, spare bigint, sketch binary"
     arrow = arrow_schema(schema)
 
+    def ints(row, a, b, n):
+        k = len(a)
+        return [pa.array(np.full(k, row, np.int32)), pa.nulls(k, arrow.types[1]), pa.array(a), pa.array(b), pa.array(n), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())]
+
     def one(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         sig, node, rows = [], [], []
@@ -179,21 +186,21 @@ def match(packed: DataFrame) -> DataFrame:
             size = np.repeat(count, count)
             lead = np.repeat(first, count)
             few = size <= MANY
+            star = np.flatnonzero(lead != np.arange(len(s)))
+            found = [(1, d[lead[star]], d[star])]
             a, b = [], []
-            for gap in range(1, MANY):
+            for gap in range(1, MANY - 1):
                 i = np.flatnonzero((s[gap:] == s[:-gap]) & few[gap:]) if gap < len(s) else np.zeros(0, np.int64)
+                i = i[lead[i] != i]
                 a.append(d[i]), b.append(d[i + gap])
+            found.append((3, np.concatenate(a), np.concatenate(b)))
+            for row, a, b in found:
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
+                out.append(ints(row, a[first], b[first], np.diff(np.append(first, len(a)))))
             wide = np.flatnonzero(~few)
-            star = wide[lead[wide] != wide]
-            a.append(d[lead[star]]), b.append(d[star])
-            a, b = np.concatenate(a), np.concatenate(b)
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
-            for row, x, y in ((1, a[new], b[new]), (2, (bucket << 32) | s[wide].astype(np.int64), d[wide])):
-                n = len(x)
-                if n:
-                    out.append([pa.array(np.full(n, row, np.int32)), pa.nulls(n, arrow.types[1]), pa.array(x), pa.array(y), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())])
+            out.append(ints(2, (bucket << 32) | s[wide].astype(np.int64), d[wide], np.zeros(len(wide), np.int64)))
         return pa.Table.from_batches([pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, arrow.types)], schema=arrow) for cols in out], schema=arrow)
 
     return packed.groupBy("bucket").applyInArrow(one, schema)
@@ -216,33 +223,45 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that link, by whole sets: the texts of one document a node are cut into shingles once more."""
+    """The pairs (a, b) that link, by whole sets.
+
+    Texts of the nodes go to their a once more, at most GROUP of them to a task's share of one a, and are cut into
+    shingles there; so a node with very many partners is spread, and no set but that of a is held.
+    """
     pairs = table(possible(pairs, nodes), "jaccard-pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    of = nodes.join(asked, "node", "left_semi").select(F.col("doc_id").alias("of"), "node")
-    rows = docs.join(of.select("of").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
+    shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("shares"))
+    near = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), F.col("b").alias("node"), F.lit(1).alias("rank"))
+    own = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("a").alias("node"), F.lit(0).alias("rank"))
+    asked = table(near.unionByName(own).join(nodes.select("node", F.col("doc_id").alias("of")), "node"), "jaccard-asked")
+    side = F.broadcast(asked) if asked.count() <= BROADCAST else asked.hint("shuffle_hash")
+    rows = docs.join(side, F.col("doc_id").eqNullSafe(F.col("of"))).select("a", "share", "rank", "node", "text")
+    rows = rows.repartition("a", "share").sortWithinPartitions("a", "share", "rank")
 
-    def cut(batches):
-        hashes = WordHashes()
+    def run(batches):
+        hashes, at, held = WordHashes(), None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                found = [shingles(t, hashes) for t in batch.slice(at, 256).column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([key_of(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["node", "items"])
+            for first in range(0, batch.num_rows, 256):
+                part, a, b = batch.slice(first, 256).to_pydict(), [], []
+                for key, rank, node, text in zip(part["a"], part["rank"], part["node"], part["text"]):
+                    h = shingles(text, hashes)
+                    if key_of(h) != node:  # another row with this identifier
+                        continue
+                    if rank == 0:
+                        at, held = key, h
+                    elif at == key:
+                        both = len(np.intersect1d(held, h, assume_unique=True))
+                        if 100 * both >= PERCENT * (len(held) + len(h) - both):
+                            a.append(key), b.append(node)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    sets = rows.mapInArrow(cut, "node bigint, items binary").join(asked, "node", "left_semi").dropDuplicates(["node"])
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"i{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib")
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
-    def run(batches):
-        for t in batches:
-            keep = []
-            for at in range(t.num_rows):
-                x, y = (np.frombuffer(t.column(c)[at].as_py(), np.uint64) for c in ("ia", "ib"))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    return joined.mapInArrow(run, "a bigint, b bigint")
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes aren't in one component yet."""
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 def rest(wide: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -283,14 +302,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = table(match(emit(plain, buckets)), "jaccard-found")
     rows = found.filter("row = 0").select(F.col("id").alias("doc_id"), F.col("a").alias("node"), "size", "spare", "sketch")
     nodes = table(rows.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("spare").alias("spare"), F.first("sketch").alias("sketch")), "jaccard-nodes")
-    pairs = found.filter("row = 1").select("a", "b").distinct()
-    links = table(verified(pairs, nodes, plain), "jaccard-links")
+    pairs = table(found.filter("row in (1, 3)").groupBy("a", "b").agg(F.sum(F.when(F.col("row") == 1, F.col("size")).otherwise(0)).alias("n")), "jaccard-all")
+    # First each node with the lesser one that it shares most parts with: that joins up nearly all that will be.
+    best = pairs.filter("n > 0").groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    links = table(verified(best, nodes, plain), "jaccard-links")
     roots = components(links)
-    wide = found.filter("row = 2").select("a", "b")
-    more = table(rest(wide, nodes, roots), "jaccard-rest")
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, nodes, plain))
-        roots = components(links)
+    # Then all pairs that this left apart, and what widely shared parts still hide.
+    for more in (lambda: apart(pairs, roots), lambda: rest(found.filter("row = 2").select("a", "b"), nodes, roots)):
+        asked = table(more(), "jaccard-more")
+        if not asked.isEmpty():
+            links = table(links.unionByName(verified(asked, nodes, plain)), "jaccard-links")
+            roots = components(links)
     least = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
     named = least.join(least.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
     out = rows.join(named, "node", "left")
