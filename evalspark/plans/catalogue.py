@@ -1,9 +1,14 @@
 """Catalogue of queries on the driver tables, with their SQL."""
 
+from __future__ import annotations
+
+from . import boards, scores  # noqa: F401  registers the queries
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
