@@ -18,8 +18,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Sets up to this size are cut into single shingles; size bands above grow by RATIO.
 SMALL, RATIO = 192, 4
-#: Bits of the whole-set sketch, in 64-bit words.
-SKETCH = 8
+#: Bits of a whole-set sketch at least; a power of two, and no fewer than the set has shingles.
+SKETCH = 512
 #: A part that more sets share is not paired off but tied to one of them; what that can miss is searched after.
 MANY = 16
 #: Signatures that a task holds before it hands them on.
@@ -78,8 +78,39 @@ def signatures(h: np.ndarray) -> tuple[np.ndarray, int]:
 
 def sketch(h: np.ndarray) -> bytes:
     """Parity bits: each hash flips one, so two sketches differ in no more bits than the sets in shingles."""
-    bits = np.bincount((h & np.uint64(SKETCH * 64 - 1)).astype(np.int64), minlength=SKETCH * 64) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    bits = max(SKETCH, 1 << (max(len(h), 1) - 1).bit_length())
+    flips = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (rows of bytes) cut to a size: the parities of halves add up."""
+    while x.shape[-1] > size:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
+
+
+class Sketches:
+    """Sketches by size, and cut to lesser sizes where asked for."""
+
+    def __init__(self, all_: list[bytes]):
+        sizes = np.array([len(x) for x in all_], np.int64)
+        self.total, self.by_size, self.cut = len(all_), {}, {}
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            self.by_size[size] = at
+            self.cut[size, size] = np.frombuffer(b"".join([all_[i] for i in at]), np.uint8).reshape(len(at), size)
+
+    def distances(self, one: bytes) -> np.ndarray:
+        """Bits in which a sketch differs from each, at the lesser of the two sizes."""
+        own, out = np.frombuffer(one, np.uint8), np.zeros(self.total, np.int64)
+        for size, at in self.by_size.items():
+            least = min(size, len(own))
+            if (size, least) not in self.cut:
+                self.cut[size, least] = np.ascontiguousarray(folded(self.cut[size, size], least))
+            out[at] = np.bitwise_count(self.cut[size, least].view(np.uint64) ^ np.ascontiguousarray(folded(own, least)).view(np.uint64)).sum(axis=1)
+        return out
 
 
 def key_of(h: np.ndarray) -> int:
@@ -91,7 +122,7 @@ def emit(docs: DataFrame, buckets: int) -> DataFrame:
     """Signatures and sets of all documents, packed by bucket: few wide rows rather than one a signature."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     bits = buckets.bit_length() - 1
-    schema = f"bucket int, ids array<{kind}>, sig binary, node binary, size binary, spare binary, sketch binary"
+    schema = f"bucket int, ids array<{kind}>, sig binary, node binary, size binary, spare binary, sketch array<binary>"
     arrow = arrow_schema(schema)
 
     def run(batches):
@@ -107,11 +138,11 @@ def emit(docs: DataFrame, buckets: int) -> DataFrame:
                 at = (sig >> np.uint64(64 - bits)).astype(np.int64)
                 edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
                 low = sig.astype(np.uint32)
-                rows += [(int(at[s]), [], low[s:e].tobytes(), node[s:e].tobytes(), b"", b"", b"") for s, e in zip(edge[:-1], edge[1:])]
+                rows += [(int(at[s]), [], low[s:e].tobytes(), node[s:e].tobytes(), b"", b"", []) for s, e in zip(edge[:-1], edge[1:])]
             for at in range(0, len(ids), 512):
                 part = about[at : at + 512]
                 node, size, spare = (np.array([x[i] for x in part], np.int64).tobytes() for i in range(3))
-                rows.append((part[0][0] % buckets, ids[at : at + 512], b"", node, size, spare, b"".join(x[3] for x in part)))
+                rows.append((part[0][0] % buckets, ids[at : at + 512], b"", node, size, spare, [x[3] for x in part]))
             sigs.clear(), nodes.clear(), ids.clear(), about.clear()
             for at in range(0, len(rows), 1024):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 1024]), arrow.types)], schema=arrow)
@@ -167,9 +198,7 @@ def match(packed: DataFrame) -> DataFrame:
                 sig.append(np.frombuffer(r["sig"], np.uint32))
                 node.append(np.frombuffer(r["node"], np.int64))
             else:
-                wide = SKETCH * 8
-                cut = [r["sketch"][i : i + wide] for i in range(0, len(r["sketch"]), wide)]
-                rows.append((r["ids"], *(np.frombuffer(r[c], np.int64) for c in ("node", "size", "spare")), cut))
+                rows.append((r["ids"], *(np.frombuffer(r[c], np.int64) for c in ("node", "size", "spare")), r["sketch"]))
         out = []
         if rows:
             ids = [i for r in rows for i in r[0]]
@@ -212,12 +241,12 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     joined = pairs.join(side("a"), "a").join(side("b"), "b").filter((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
 
     def run(batches):
-        for t in batches:
-            if t.num_rows:
-                x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(t.num_rows, SKETCH) for c in ("sa", "sb"))
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                t = batch.slice(first, 1024)
                 most = (t.column("na").to_numpy() + t.column("nb").to_numpy()) // 7
-                near = np.bitwise_count(x ^ y).sum(axis=1) <= most
-                yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(near)) for c in ("a", "b")], names=["a", "b"])
+                near = [bool(Sketches([y]).distances(x)[0] <= m) for x, y, m in zip(t.column("sa").to_pylist(), t.column("sb").to_pylist(), most)]
+                yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(near, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
@@ -278,10 +307,11 @@ def rest(wide: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
     def one(group: pa.Table) -> pa.Table:
         node, root, n = (group.column(c).to_numpy() for c in ("b", "root", "size"))
-        x = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), SKETCH)
-        a, b = [], []
+        x = group.column("sketch").to_pylist()
+        sketches, a, b = Sketches(x), [], []
         for i in np.flatnonzero(group.column("full").to_numpy()):
-            near = np.flatnonzero((root != root[i]) & (np.bitwise_count(x ^ x[i]).sum(axis=1) <= (n + n[i]) // 7))
+            other = (root != root[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i]))
+            near = np.flatnonzero(other & (sketches.distances(x[i]) <= (n + n[i]) // 7)) if other.any() else np.zeros(0, np.int64)
             a.append(np.minimum(node[near], node[i])), b.append(np.maximum(node[near], node[i]))
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
