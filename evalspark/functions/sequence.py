@@ -6,11 +6,12 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .plain import boxed, lcs, math_value, nested_entities
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l(predicted: pd.Series, gold: pd.Series) -> pd.Series:
     """F-measure of the longest common subsequence of two token arrays."""
 
@@ -21,7 +22,7 @@ def rouge_l(predicted: pd.Series, gold: pd.Series) -> pd.Series:
     return pd.Series([one(p, g) for p, g in zip(predicted, gold)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def copied(source: pd.Series, predicted: pd.Series) -> pd.Series:
     """1 if matching blocks cover 99 % of the source."""
 
@@ -34,12 +35,12 @@ def copied(source: pd.Series, predicted: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(source, predicted)], dtype="float64")
 
 
-@F.pandas_udf("array<struct<tag:string,entity:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("entity", T.StringType())])))
 def parse_nested(text: pd.Series) -> pd.Series:
     return pd.Series([[{"tag": t, "entity": e} for t, e in nested_entities(x or "")] for x in text])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def math_equal(predicted: pd.Series, gold: pd.Series) -> pd.Series:
     """1 if the boxed answer has the gold value; a full algebra system can replace :func:`plain.math_value`."""
 

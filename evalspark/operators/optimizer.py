@@ -77,7 +77,7 @@ def optimise(spark: SparkSession, start: str, mutate: Mutator, score: Scorer, it
     add = lambda parent, it, prompt: rows.append((len(rows), parent, it, *_scored(score(prompt)), prompt))
     add(None, 0, start)
     for it in range(1, iterations + 1):
-        best = max(rows, key=lambda r: (r[3], -r[0]))
+        best = max(rows, key=lambda r: (r[3], r[0]))
         if best[3] >= target:
             break
         for _ in range(retries):

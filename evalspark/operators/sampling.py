@@ -11,8 +11,10 @@ A, B, C, P = 48271, 69621, 12345, 2147483647
 
 
 def draw(a: Column, b: Column, n: Column | int) -> Column:
-    """A number below n from two numbers, in plain integer arithmetic."""
+    """A number below n from two numbers, in plain integer arithmetic: a linear step, two squarings, a last step."""
     x = (F.lit(A).cast("bigint") * a.cast("bigint") + F.lit(B).cast("bigint") * b.cast("bigint") + C) % P
+    for _ in range(2):
+        x = (x * x + 7) % P
     return (x * 16807 % P) % n
 
 

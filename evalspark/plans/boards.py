@@ -47,7 +47,7 @@ def distractors(t):
     return sampling.distractors(t("part"), "p_partkey", "p_name").select("p_partkey", "p_name", F.array_join("pool", "|").alias("pool"))
 
 
-@query("""WITH c AS (SELECT p_partkey, unnest([1, 2, 3, 4]) AS i FROM part), k AS (SELECT *, ((48271::BIGINT * p_partkey + 69621 * i + 12345) % 2147483647 * 16807 % 2147483647) % 1000003 AS k FROM c)
+@query("""WITH c AS (SELECT p_partkey, unnest([1, 2, 3, 4]) AS i FROM part), x AS (SELECT *, (48271::BIGINT * p_partkey + 69621 * i + 12345) % 2147483647 AS x FROM c), y AS (SELECT *, (x * x + 7) % 2147483647 AS y FROM x), z AS (SELECT *, (y * y + 7) % 2147483647 AS z FROM y), k AS (SELECT *, (z * 16807 % 2147483647) % 1000003 AS k FROM z)
 SELECT p_partkey, string_agg(CAST(i AS VARCHAR), ',' ORDER BY k, i) AS choices FROM k GROUP BY 1""")
 def hash_shuffle(t):
     return t("part").select("p_partkey", F.array_join(sampling.shuffled(F.array(*[F.lit(str(i)) for i in range(1, 5)]), F.col("p_partkey")), ",").alias("choices"))
@@ -151,7 +151,8 @@ def leaderboard_table(t):
 
 @query("""WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, CAST(quality AS DOUBLE) AS v FROM labels), n AS (SELECT count(*) AS n FROM r),
 d AS (SELECT bag, draw FROM range(0, 20) b(bag), range(0, 300) d(draw)),
-x AS (SELECT bag, ((48271::BIGINT * bag + 69621 * draw + 12345) % 2147483647 * 16807 % 2147483647) % n AS pos FROM d, n), a AS (SELECT bag, avg(v) AS value FROM x JOIN r USING (pos) GROUP BY bag)
+u AS (SELECT bag, (48271::BIGINT * bag + 69621 * draw + 12345) % 2147483647 AS u FROM d), y AS (SELECT bag, (u * u + 7) % 2147483647 AS y FROM u), z AS (SELECT bag, (y * y + 7) % 2147483647 AS z FROM y),
+x AS (SELECT bag, (z * 16807 % 2147483647) % n AS pos FROM z, n), a AS (SELECT bag, avg(v) AS value FROM x JOIN r USING (pos) GROUP BY bag)
 SELECT round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(avg(value) - stddev_pop(value), 6) AS lower, round(avg(value) + stddev_pop(value), 6) AS upper FROM a""")
 def bootstrap_mean_std(t):
     rows = sampling.numbered(t("labels").select("doc_id", "quality"), "doc_id")

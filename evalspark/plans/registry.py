@@ -49,8 +49,8 @@ class TaskSpec:
         scored = self.scorer(df)
         rows = []
         for metric, agg in self.aggs.items():
-            one = agg(scored)
-            rows.append(one.select(F.lit(self.name).alias("task"), F.lit(metric).alias("metric"), F.col(one.columns[0]).cast("double").alias("value")))
+            one = agg(scored).toDF("value")
+            rows.append(one.select(F.lit(self.name).alias("task"), F.lit(metric).alias("metric"), F.col("value").cast("double").alias("value")))
         return reduce(DataFrame.unionByName, rows)
 
     def score(self, metrics: DataFrame) -> DataFrame:
