@@ -296,22 +296,35 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def rest(wide: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs that widely shared parts may still hide.
 
-    A set with parts to spare, beyond its widely shared ones, has met all its partners elsewhere. Of the others, those
-    in a part whose members aren't one component yet are compared with each member of another component by sketch, in
-    blocks.
+    A set with parts to spare, beyond its w widely shared ones, has met all its partners elsewhere. One without shares
+    more than ``spare`` of those parts with each partner that it hasn't met, so w - spare of them are enough to look
+    in: the least common ones. There it is compared by sketch with each member of another component, unless all the
+    members are one component already.
     """
-    full = wide.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("wide")).join(nodes, "node").filter("wide > spare").select(F.col("node").alias("b"), F.lit(True).alias("full"))
-    member = wide.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b")).join(full, "b", "left")
-    open_ = member.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("full").alias("any")).filter("lo <> hi and any").select("a")
-    rows = member.join(open_, "a", "left_semi").join(nodes.select(F.col("node").alias("b"), "size", "sketch"), "b").select("a", "b", "root", F.coalesce("full", F.lit(False)).alias("full"), "size", "sketch")
+    from pyspark.sql.window import Window
+
+    counts = wide.groupBy("b").agg(F.count(F.lit(1)).alias("w")).join(nodes.select(F.col("node").alias("b"), "spare"), "b")
+    full = table(counts.filter("w > spare").select("b", (F.col("w") - F.greatest("spare", F.lit(0))).alias("ask")), "jaccard-full")
+    member = table(wide.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b")), "jaccard-wide")
+    parts_ = member.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+    asks = member.join(full, "b").join(parts_, "a")
+    rank = F.row_number().over(Window.partitionBy("b").orderBy("n", "a"))
+    asks = table(asks.withColumn("rank", rank).filter("rank <= ask and lo <> hi").select("a", "b", F.lit(True).alias("full")), "jaccard-asks")
+    rows = member.join(asks.select("a").distinct(), "a", "left_semi").join(asks, ["a", "b"], "left").join(nodes.select(F.col("node").alias("b"), "size", "sketch"), "b").select("a", "b", "root", F.coalesce("full", F.lit(False)).alias("full"), "size", "sketch")
 
     def one(group: pa.Table) -> pa.Table:
         node, root, n = (group.column(c).to_numpy() for c in ("b", "root", "size"))
-        x = group.column("sketch").to_pylist()
-        sketches, a, b = Sketches(x), [], []
+        x, a, b, known = group.column("sketch").to_pylist(), [], [], {}
+        kinds = len(np.unique(root))
         for i in np.flatnonzero(group.column("full").to_numpy()):
-            other = (root != root[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i]))
-            near = np.flatnonzero(other & (sketches.distances(x[i]) <= (n + n[i]) // 7)) if other.any() else np.zeros(0, np.int64)
+            # Members of other components; those are gathered once for each component where there are few of these.
+            key = int(root[i]) if kinds <= 8 else None
+            if key not in known:
+                at = np.flatnonzero(root != root[i]) if key is not None else np.arange(len(node))
+                known[key] = at, Sketches([x[j] for j in at])
+            at, sketches = known[key]
+            near = at[sketches.distances(x[i]) <= (n[at] + n[i]) // 7]
+            near = near[(root[near] != root[i]) & (100 * np.minimum(n[near], n[i]) >= PERCENT * np.maximum(n[near], n[i]))]
             a.append(np.minimum(node[near], node[i])), b.append(np.maximum(node[near], node[i]))
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
