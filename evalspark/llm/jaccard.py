@@ -293,13 +293,14 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def rest(wide: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+def rest(wide: DataFrame, nodes: DataFrame, roots: DataFrame, nearest: bool) -> DataFrame:
     """Pairs that widely shared parts may still hide.
 
     A set with parts to spare, beyond its w widely shared ones, has met all its partners elsewhere. One without shares
     more than ``spare`` of those parts with each partner that it hasn't met, so w - spare of them are enough to look
     in: the least common ones. There it is compared by sketch with each member of another component, unless all the
-    members are one component already.
+    members are one component already. With ``nearest`` it gets the one of them that is least far by sketch: a first
+    step that joins up most, so that few pairs are left for the whole search.
     """
     from pyspark.sql.window import Window
 
@@ -323,8 +324,11 @@ def rest(wide: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
                 at = np.flatnonzero(root != root[i]) if key is not None else np.arange(len(node))
                 known[key] = at, Sketches([x[j] for j in at])
             at, sketches = known[key]
-            near = at[sketches.distances(x[i]) <= (n[at] + n[i]) // 7]
-            near = near[(root[near] != root[i]) & (100 * np.minimum(n[near], n[i]) >= PERCENT * np.maximum(n[near], n[i]))]
+            far = sketches.distances(x[i])
+            fits = (far <= (n[at] + n[i]) // 7) & (root[at] != root[i]) & (100 * np.minimum(n[at], n[i]) >= PERCENT * np.maximum(n[at], n[i]))
+            near = at[fits]
+            if nearest and len(near):
+                near = near[[np.argmin(far[fits])]]
             a.append(np.minimum(node[near], node[i])), b.append(np.maximum(node[near], node[i]))
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -350,8 +354,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = pairs.filter("n > 0").groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
     links = table(verified(best, nodes, plain), "jaccard-links")
     roots = components(links)
-    # Then all pairs that this left apart, and what widely shared parts still hide.
-    for more in (lambda: apart(pairs, roots), lambda: rest(found.filter("row = 2").select("a", "b"), nodes, roots)):
+    # Then all pairs that this left apart, and what widely shared parts still hide: the nearest of it, and then all.
+    wide = found.filter("row = 2").select("a", "b")
+    for more in (lambda: apart(pairs, roots), lambda: rest(wide, nodes, roots, True), lambda: rest(wide, nodes, roots, True), lambda: rest(wide, nodes, roots, False)):
         asked = table(more(), "jaccard-more")
         if not asked.isEmpty():
             links = table(links.unionByName(verified(asked, nodes, plain)), "jaccard-links")
