@@ -127,14 +127,17 @@ class Bpe:
             return self.piece(pieces[0])
         return b"".join(map(self.stretches.__getitem__, pieces))
 
-    def pieces_of_library(self, text: str) -> list[str]:
-        """Pieces of text with letters newer than Python's Unicode tables, by the tables of the tokenizers library."""
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
         if not hasattr(self, "library"):
             self.library = Tokenizer.from_file(self.path)
+        return self.library
+
+    def pieces_of_library(self, text: str) -> list[str]:
+        """Pieces of text with letters newer than Python's Unicode tables, by the tables of the tokenizers library."""
         own = {x: b for b, x in enumerate(byte_letters())}
-        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        found = self.tokenizer().pre_tokenizer.pre_tokenize_str(self.tokenizer().normalizer.normalize_str(text))
         return [bytes(own[c] for c in piece).decode() for piece, _ in found]
 
     def encode(self, text: str) -> bytes:
@@ -145,8 +148,10 @@ class Bpe:
 
     def plain(self, text: str) -> bytes:
         if not text.isascii():
+            if not unicodedata.is_normalized("NFC", text):  # by the library's tables, which aren't Python's
+                text = self.tokenizer().normalizer.normalize_str(text)
             # Lower case is letter by letter: a final sigma isn't told apart.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = text.replace("Σ", "σ")
         text = text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to split(), not to the pattern
             return b"".join(map(self.stretches.__getitem__, regex.findall(r"[^\t-\r \x85\p{Z}]+", text)))
