@@ -295,12 +295,13 @@ def ifeval_prompt_level(t):
 
 
 #: Instructions whose checks need features that the SQL engine's patterns lack, or stand-ins for language tools.
-MORE = [("keywords:forbidden_words", ["idiot", "moron"]), ("language:response_language", "en"), ("length_constraints:number_sentences", "at least", 3), ("length_constraints:number_paragraphs", 1), ("length_constraints:nth_paragraph_first_word", 1, 1, "the"), ("detectable_content:postscript", "P.S."), ("detectable_format:constrained_response", ["My answer is yes."]), ("detectable_format:number_highlighted_sections", 1), ("detectable_format:multiple_sections", "Section", 1), ("detectable_format:json_format",), ("combination:two_responses",), ("combination:repeat_prompt", F.lit("the")), ("change_case:capital_word_frequency", "at least", 2), ("change_case:english_capital", "en"), ("change_case:english_lowercase", "en"), ("multi-turn:constrained_start", "The"), ("detectable_format:rephrase", F.lit("a *b* c")), ("keywords:key_sentences", ["Ti."], 1), ("detectable_content:rephrase_paragraph", F.lit("the of and"), 1, 3)]
+def more() -> list[tuple]:
+    return [("keywords:forbidden_words", ["idiot", "moron"]), ("language:response_language", "en"), ("length_constraints:number_sentences", "at least", 3), ("length_constraints:number_paragraphs", 1), ("length_constraints:nth_paragraph_first_word", 1, 1, "the"), ("detectable_content:postscript", "P.S."), ("detectable_format:constrained_response", ["My answer is yes."]), ("detectable_format:number_highlighted_sections", 1), ("detectable_format:multiple_sections", "Section", 1), ("detectable_format:json_format",), ("combination:two_responses",), ("combination:repeat_prompt", F.lit("the")), ("change_case:capital_word_frequency", "at least", 2), ("change_case:english_capital", "en"), ("change_case:english_lowercase", "en"), ("multi-turn:constrained_start", "The"), ("detectable_format:rephrase", F.lit("a *b* c")), ("keywords:key_sentences", ["Ti."], 1), ("detectable_content:rephrase_paragraph", F.lit("the of and"), 1, 3)]
 
 
 @query()
 def ifeval_more_checks(t):
-    r = instructions.results(F.substring("text", 1, 2000000000), MORE)
+    r = instructions.results(F.col("text"), more())
     return t("documents").select("doc_id", F.explode(r).alias("r")).select("doc_id", "r.instruction_id", "r.followed")
 
 
