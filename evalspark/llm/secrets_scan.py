@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 
@@ -17,6 +18,11 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Candidates of the battery: runs that could be an encoded key. Words of ordinary text are shorter or of letters alone.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: What a run consists of: names and values between equals signs; those at the end of the run are padding.
+PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=*\Z)?")
+#: Parts in no single alphabet are cut at one kind of separators, at the other, and at both: a key may hold either kind.
+PIECES = [re.compile(p) for p in (r"[A-Za-z0-9+/]+=*", r"[A-Za-z0-9_-]+=*", r"[A-Za-z0-9]+=*")]
+LEAST_RUN = 20
 LONG_HEX = re.compile(r"[0-9a-f]{32}")
 CUE = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 
@@ -82,8 +88,7 @@ def random_runs(runs: list[str]) -> list[bool]:
     """
     found = []
     for i, run in enumerate(runs):
-        mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
-        if mixed and (b := battery(run)) and min(b[1:4]) >= LEVEL:
+        if is_mixed(run) and (b := battery(run)) and min(b[1:4]) >= LEVEL:
             found.append((b[4], i))
     found.sort()
     last = max((j for j, (p, _) in enumerate(found) if p <= RATE * (j + 1) / len(runs)), default=-1)
@@ -93,6 +98,42 @@ def random_runs(runs: list[str]) -> list[bool]:
     return out
 
 
+def is_mixed(run: str) -> bool:
+    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans of the strings that the battery is asked about.
+
+    A run is one, unless it holds an equals sign that isn't padding or fits no alphabet. Then its parts are, where they
+    are as long as a run must be and have letters and digits; pieces of a part may overlap.
+    """
+    out = []
+    for m in RUN.finditer(text):
+        run = m[0]
+        inner = "=" in run.rstrip("=")
+        if not inner and not ({"+", "/"} & (chars := set(run)) and {"-", "_"} & chars):
+            out.append(m.span())
+            continue
+        found = {}
+        for part in PART.finditer(run):
+            chars = set(part[0])
+            pieces = [part] if not ({"+", "/"} & chars and {"-", "_"} & chars) else [x for p in PIECES for x in p.finditer(run, *part.span())]
+            found |= {x.span(): None for x in pieces if len(x[0]) >= LEAST_RUN and is_mixed(x[0])}
+        out += [(m.start() + a, m.start() + b) for a, b in sorted(found)]
+    return out
+
+
+def apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of which none overlap: of those that do, the longest, and of these the first."""
+    out = []
+    for a, b in sorted(spans, key=lambda s: (s[0] - s[1], s[0])):
+        i = bisect.bisect(out, (a, b))
+        if (not i or out[i - 1][1] <= a) and (i == len(out) or b <= out[i][0]):
+            out.insert(i, (a, b))
+    return out
+
+
 def scan(text: str) -> tuple[list, list]:
     """(base spans, all spans), each a list of (kind, start, end) by start and then kind as listed."""
     base = []
@@ -104,9 +145,10 @@ def scan(text: str) -> tuple[list, list]:
         base += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 32]
     order = lambda s: (s[1], KINDS.index(s[0]))
     base.sort(key=order)
-    runs = [m for m in RUN.finditer(text)]
-    more = [("random", m.start(), m.end()) for m, yes in zip(runs, random_runs([m[0] for m in runs])) if yes] if runs else []
-    more = [s for s in more if not any(b[1] < s[2] and s[1] < b[2] for b in base)] if base else more
+    runs = candidates(text)
+    found = [s for s, yes in zip(runs, random_runs([text[a:b] for a, b in runs])) if yes] if runs else []
+    found = [s for s in found if not any(b[1] < s[1] and s[0] < b[2] for b in base)] if base else found
+    more = [("random", *s) for s in apart(found)]
     return base, sorted(base + more, key=order)
 
 

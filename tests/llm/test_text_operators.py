@@ -57,6 +57,27 @@ def test_battery_tells_keys_from_text():
     assert not any(secrets_scan.random_runs(plain))
 
 
+def test_keys_behind_names_are_found():
+    r = random.Random(4)
+    letters = secrets_scan.ALPHABETS["base62"]
+    short, long = (["".join(r.choice(letters) for _ in range(n)) for _ in range(200)] for n in (40, 120))
+    alone = [k for k in short if secrets_scan.random_runs([k])[0]]
+    assert len(alone) == 51  # the power at 40 letters, as the README has it
+    for before in ("export AWS_ACCESS_ID=", "AWS_SECRET_ACCESS_KEY=", "a=b=", "NAME=="):
+        for keys, want in ((short, set(alone)), (long, {k for k in long if secrets_scan.random_runs([k])[0]})):
+            got = {k for k in keys if ("random", len(before), len(before) + len(k)) in secrets_scan.scan(before + k + "\n")[1]}
+            assert got == want
+    key = next(k for k in long if secrets_scan.random_runs([k])[0])
+    for t in (f"conf/my-app/{key}", f"my_app-v1/{key}", f"{key}/in/my-app", f"NAME=my-app/{key}=="):
+        (kind, a, b), = secrets_scan.scan(t)[1]
+        assert kind == "random" and key in t[a:b]
+    url, std = ("".join(r.choice(secrets_scan.ALPHABETS[n]) for _ in range(300)) for n in ("base64url", "base64"))
+    assert url in f"a/b+c/{url}"[slice(*secrets_scan.scan(f"a/b+c/{url}")[1][0][1:])]
+    assert std in f"my-app_{std}"[slice(*secrets_scan.scan(f"my-app_{std}")[1][0][1:])]
+    plain = ["name=the_quick_brown_fox_1_jumps_over_the_lazy_dog", "path/to/some-file/in/the_tree/v1/of/it", "=" * 40, "A=" * 30, "x=abcdefghijklmnopqrstuvwxyz0123456789"]
+    assert not any(secrets_scan.scan(t)[1] for t in plain)
+
+
 def test_pii_patterns():
     r = random.Random(5)
     bits = ["a@b", ".c", "@", "+1", "(555) ", "1.2.3.4", "256.", "4111 1111 1111 1111", "4111111111111111", "-", " ", "x", "123", "+44 20 7946 0958", "."]
