@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, texts
+from .common import map_texts, table
 from .words import WordHashes, windows
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -28,21 +28,24 @@ def line_key(line: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(norm, digest_size=8).digest(), "little", signed=True)
 
 
+def line_keys(text: str) -> list[int]:
+    """Keys of the distinct lines that aren't blank."""
+    return list({line_key(x) for x in text.encode().split(b"\n") if x and not x.isspace()})
+
+
 def measure(text: str, hashes: WordHashes) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, text key, line keys, words by line key."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     data = text.encode()
     words = data.split()
     n = len(words)
     word_chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
     n_symbols = sum(map(text.count, "#*$%&|<>"))
-    seen, lines, dup = set(), {}, 0
+    seen, dup = set(), 0
     for line in data.split(b"\n"):
         if not line or line.isspace():
             continue
         dup += line in seen
         seen.add(line)
-        k = line_key(line)
-        lines[k] = lines.get(k, 0) + len(line.split())
     repeat = 0
     if n > WINDOW:
         w = windows(hashes.of(words), WINDOW)
@@ -57,41 +60,56 @@ def measure(text: str, hashes: WordHashes) -> tuple:
             np.add.at(edge, at, 1)
             np.add.at(edge, at + WINDOW, -1)
             repeat = int((np.cumsum(edge[:n]) > 0).sum())
-    key = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
-    return n, word_chars, n_symbols, dup, repeat, key, list(lines), list(lines.values())
+    return n, word_chars, n_symbols, dup, repeat
+
+
+def without(text: str, gone: list[int]) -> str:
+    """The text without the lines that have these keys."""
+    keys = set(gone)
+    return b"\n".join(x for x in text.encode().split(b"\n") if not x or x.isspace() or line_key(x) not in keys).decode()
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = MOST_DOCS, most_share: float = MOST_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_boiler_words,
-    base_failed, kept.
+    base_failed, kept, cleaned.
 
     Lines are hashed after normalising; distinct documents (by text, so that copies count once) are counted by host and
-    line. Lines above both limits are boilerplate, and a document of which too few words remain without them is
-    depleted. kept is false for documents that fail the base rules or are depleted.
+    line. Lines above both limits are boilerplate. cleaned is the text without them; n_boiler_words is what it lacks, and
+    a document of which too few words remain is depleted. kept is false for documents that fail the base rules or are
+    depleted.
 
     Null text has no words, so it fails; null hosts are one host. Rows with the same identifier are rows of their own.
     An empty table gives no rows. Line counts are combined before the shuffle; a hot host is spread over its lines.
+    Texts are read twice, for lines and to clean them, rather than written with the lines.
     """
     host = F.coalesce(F.concat(F.lit("s"), F.col(host_col).cast("string")), F.lit("n"))
-    # The host goes with the identifier through the map, so that it stays one pass over the texts.
-    both = docs.select(F.struct(F.col(id_col).alias("doc_id"), host.alias("host")).alias("doc_id"), F.col(text_col).alias("text"))
-
-    def make():
-        hashes = WordHashes()
-        return lambda text: measure(text, hashes)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    every = docs.select(F.col(id_col).alias("id"), host.alias("host"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
-    schema = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, text_key bigint, line_keys array<bigint>, line_words array<bigint>"
-    found = map_texts(texts(both), make, schema)
-    rows = table(found.select("doc_id.doc_id", "doc_id.host", *found.columns[1:]).withColumn("row", F.monotonically_increasing_id()), "lines")
+    found = map_texts(every.select(F.struct("host", "text_key").alias("doc_id"), "text"), lambda: lambda text: (line_keys(text),), "line_keys array<bigint>")
+    rows = table(found.select("doc_id.host", "doc_id.text_key", "line_keys").withColumn("row", F.monotonically_increasing_id()), "lines")
     once = rows.groupBy("host", "text_key").agg(F.min("row").alias("row"))
     first = table(once.select("row", F.col("host").alias("h")), "lines-first")
     of_host = first.groupBy(F.col("h").alias("host")).agg(F.count(F.lit(1)).alias("docs"))
-    keys = rows.join(first.select("row"), "row", "left_semi").select("host", F.explode("line_keys").alias("line"))
-    many = keys.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_docs)
+    lines = rows.join(first.select("row"), "row", "left_semi").select("host", "text_key", F.explode("line_keys").alias("line"))
+    many = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_docs)
     boiler = table(many.join(of_host, "host").filter(F.col("n") > F.col("docs") * most_share).select("host", "line"), "lines-boiler")
-    each = rows.select("row", "host", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select("row", "host", F.col("l.line_keys").alias("line"), F.col("l.line_words").alias("words"))
-    gone = each.join(boiler, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("n_boiler_words"))
-    out = rows.join(gone, "row", "left").withColumn("n_boiler_words", F.coalesce("n_boiler_words", F.lit(0).cast("bigint")))
+    gone = table(lines.join(boiler, ["host", "line"]).groupBy("host", "text_key").agg(F.collect_list("line").alias("gone")), "lines-gone")
+
+    def make():
+        hashes = WordHashes()
+
+        def one(row):
+            text, gone = row["text"], row["gone"]
+            n, *rest = measure(text, hashes)[:5]
+            cleaned = without(text, gone) if gone else text
+            return n, *rest, n - len(cleaned.encode().split()) if gone else 0, cleaned
+
+        return one
+
+    schema = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_boiler_words bigint, cleaned string"
+    both = every.join(gone, ["host", "text_key"], "left").select(F.col("id").alias("doc_id"), F.struct("text", "gone").alias("text"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     depleted = F.col("n_words") - F.col("n_boiler_words") < least_left * F.col("n_words")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boiler_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+    out = map_texts(both, make, schema)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boiler_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "cleaned")

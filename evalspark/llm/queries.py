@@ -52,7 +52,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_rules import quality_rules
 
-    return quality_rules(read(spark, sf_dir, "documents"))
+    return quality_rules(read(spark, sf_dir, "documents")).drop("cleaned")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ P = pytest.importorskip("public_tokenizers")
 
 from evalspark.llm import bpe, line_rules, mixing, pii, quality_model, secrets_scan, shards, words  # noqa: E402
 
+#: Digits count as alike in lines, so texts of different lines are written without.
+LETTERS = str.maketrans("0123456789", "abcdefghij")
 ODD = [None, "", " ", "\n\n", "a", "a" * 30000, "ab " * 5000, "é ñ 日本 👩‍👩‍👧", "\x00\x1f\x85", "x\n" * 50]
 
 
@@ -124,6 +126,14 @@ def test_boilerplate_depletes(spark):
     assert all(got[200 + i].kept for i in range(15))
 
 
+def test_boilerplate_lines_are_removed(spark):
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(30)).translate(LETTERS)
+    rows = [(i, f"{body(i)}\n\nAll  Rights 20{i:02d}\n {body(i + 500)}\nall rights 1999", "h") for i in range(20)] + [(50, "all rights 2000", "other"), (51, None, "h"), (52, "x\n", None), (3, "all rights 2000\n\n", "h")]
+    got = [(r.doc_id, r.cleaned, r.n_boiler_words) for r in line_rules.quality_rules(frame(spark, rows), most_docs=10, most_share=0.05).collect()]
+    want = [(i, f"{body(i)}\n\n {body(i + 500)}", 6) for i in range(20)] + [(50, "all rights 2000", 0), (51, "", 0), (52, "x\n", 0), (3, "\n", 3)]
+    assert sorted(got) == sorted(want)
+
+
 def test_cumulative_link_orders_grades():
     r = np.random.default_rng(0)
     grades = r.integers(0, 3, 900)
