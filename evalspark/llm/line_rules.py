@@ -16,8 +16,9 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 8
 #: Base rules: least words, and the percentage of repeated words allowed.
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: A line is boilerplate of its host if more distinct documents have it than this number and this share of the host's.
-MOST_DOCS, MOST_SHARE = 100, 0.05
+#: A line is boilerplate of its host if more distinct documents have it than this number; or, in hosts too small for that,
+#: than this share of the host's and than a handful.
+MOST_DOCS, MOST_SHARE, HANDFUL = 100, 0.05, 10
 #: A document of which boilerplate leaves less than this share of its words is depleted.
 LEAST_LEFT = 0.2
 
@@ -74,9 +75,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base_failed, kept, cleaned.
 
     Lines are hashed after normalising; distinct documents (by text, so that copies count once) are counted by host and
-    line. Lines above both limits are boilerplate. cleaned is the text without them; n_boiler_words is what it lacks, and
-    a document of which too few words remain is depleted. kept is false for documents that fail the base rules or are
-    depleted.
+    line. Lines in more than ``most_docs`` are boilerplate, however large the host; so are, in small hosts, lines above
+    ``most_share`` and HANDFUL. cleaned is the text without them; n_boiler_words is what it lacks, and a document of
+    which too few words remain is depleted. kept is false for documents that fail the base rules or are depleted.
 
     Null text has no words, so it fails; null hosts are one host. Rows with the same identifier are rows of their own.
     An empty table gives no rows. Line counts are combined before the shuffle; a hot host is spread over its lines.
@@ -92,8 +93,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = table(once.select("row", F.col("host").alias("h")), "lines-first")
     of_host = first.groupBy(F.col("h").alias("host")).agg(F.count(F.lit(1)).alias("docs"))
     lines = rows.join(first.select("row"), "row", "left_semi").select("host", "text_key", F.explode("line_keys").alias("line"))
-    many = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_docs)
-    boiler = table(many.join(of_host, "host").filter(F.col("n") > F.col("docs") * most_share).select("host", "line"), "lines-boiler")
+    many = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min(most_docs, HANDFUL))
+    common = (F.col("n") > most_docs) | ((F.col("n") > HANDFUL) & (F.col("n") > F.col("docs") * most_share))
+    boiler = table(many.join(of_host, "host").filter(common).select("host", "line"), "lines-boiler")
     gone = table(lines.join(boiler, ["host", "line"]).groupBy("host", "text_key").agg(F.collect_list("line").alias("gone")), "lines-gone")
 
     def make():
@@ -108,7 +110,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return one
 
     schema = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_boiler_words bigint, cleaned string"
-    both = every.join(gone, ["host", "text_key"], "left").select(F.col("id").alias("doc_id"), F.struct("text", "gone").alias("text"))
+    # The documents with boilerplate grow as the input does, so they are never broadcast.
+    both = every.join(gone.hint("merge"), ["host", "text_key"], "left").select(F.col("id").alias("doc_id"), F.struct("text", "gone").alias("text"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     depleted = F.col("n_words") - F.col("n_boiler_words") < least_left * F.col("n_words")
     out = map_texts(both, make, schema)

@@ -134,6 +134,14 @@ def test_boilerplate_lines_are_removed(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_boilerplate_does_not_depend_on_the_size_of_the_host(spark):
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(30)).translate(LETTERS)
+    rows = [(i, body(i) + ("\nbig" if i < 101 else ""), "big") for i in range(2500)]
+    rows += [(3000 + i, body(i) + "\nhost", "a") for i in range(12)] + [(4000 + i, body(i) + "\nfew", "b") for i in range(5)]
+    got = {r.doc_id: r.n_boiler_words for r in line_rules.quality_rules(frame(spark, rows)).collect()}
+    assert {i for i, n in got.items() if n} == {*range(101), *range(3000, 3012)}
+
+
 def test_cumulative_link_orders_grades():
     r = np.random.default_rng(0)
     grades = r.integers(0, 3, 900)
