@@ -58,3 +58,87 @@ def math_value(text: str):
     if m and not (m[2] and float(m[2]) == 0):
         return round(float(m[1].replace(",", ".")) / float(m[2] or 1), 9)
     return plain
+
+
+def suffix_match(a: str, b: str) -> tuple[int, int, int]:
+    """The longest common string, as :func:`longest_match` has it, by a suffix automaton of ``b``: in linear time."""
+    step, link, size, first, last = [{}], [-1], [0], [0], 0
+    for j, c in enumerate(b):
+        new = len(step)
+        step.append({}), link.append(0), size.append(size[last] + 1), first.append(j + 1)
+        p = last
+        while p >= 0 and c not in step[p]:
+            step[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][c]
+            if size[p] + 1 < size[q]:
+                copy = len(step)
+                step.append(dict(step[q])), link.append(link[q]), size.append(size[p] + 1), first.append(first[q])
+                while p >= 0 and step[p].get(c) == q:
+                    step[p][c] = copy
+                    p = link[p]
+                link[q] = copy
+                q = copy
+            link[new] = q
+        last = new
+    best, at, n = (0, 0, 0), 0, 0
+    for i, c in enumerate(a):
+        while at and c not in step[at]:
+            at = link[at]
+            n = size[at]
+        if c in step[at]:
+            at, n = step[at][c], n + 1
+        if n > best[2]:
+            best = (i + 1 - n, first[at] - n, n)
+    return best
+
+
+def longest_match(a: str, b: str, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """(place in a, place in b, length) of the longest common string; of several the first in a, and then in b.
+
+    As ``difflib.SequenceMatcher(None, a, b, False).find_longest_match``.
+    """
+    if (ahi - alo) * (bhi - blo) > 10**8:
+        i, j, n = suffix_match(a[alo:ahi], b[blo:bhi])
+        return alo + i, blo + j, n
+    best, i = (alo, blo, 0), alo
+    while i + best[2] < ahi:
+        n = best[2] + 1
+        j = b.find(a[i : i + n], blo, bhi)
+        if j < 0:
+            i += 1
+            continue
+        while i + n < ahi and j + n < bhi and a[i + n] == b[j + n]:
+            n += 1
+        best = (i, j, n)
+    return best
+
+
+def blocks_cover(a: str, b: str, share: float) -> bool:
+    """Whether the matching blocks of ``difflib`` (without junk) cover this share of ``a``.
+
+    Exact: it stops early only where the characters that can't be matched any more already settle it.
+    """
+    if not a or a in b:
+        return bool(a)
+
+    def least(alo, ahi, blo, bhi):
+        """Characters of a region that surely stay unmatched: those that the other side has too few of."""
+        part = a[alo:ahi]
+        return sum(max(0, part.count(c) - b.count(c, blo, bhi)) for c in set(part))
+
+    todo = [(least(0, len(a), 0, len(b)), 0, len(a), 0, len(b))]
+    lost = todo[0][0]
+    while todo and (len(a) - lost) / len(a) >= share:
+        known, alo, ahi, blo, bhi = todo.pop()
+        i, j, n = longest_match(a, b, alo, ahi, blo, bhi)
+        lost -= known
+        if not n:
+            lost += ahi - alo
+            continue
+        parts = [(least(*r), *r) for r in ((alo, i, blo, j), (i + n, ahi, j + n, bhi)) if r[0] < r[1]]
+        lost += sum(p[0] for p in parts)
+        # The smaller region first: it is settled soonest.
+        todo += sorted(parts, key=lambda p: p[1] - p[2])
+    return (len(a) - lost) / len(a) >= share

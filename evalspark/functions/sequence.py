@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .plain import boxed, lcs, math_value, nested_entities
+from .plain import blocks_cover, boxed, lcs, math_value, nested_entities
 
 
 @F.pandas_udf(T.DoubleType())
@@ -25,14 +23,7 @@ def rouge_l(predicted: pd.Series, gold: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def copied(source: pd.Series, predicted: pd.Series) -> pd.Series:
     """1 if matching blocks cover 99 % of the source."""
-
-    def one(a, b):
-        a, b = (a or "").strip(), (b or "").strip()
-        blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
-        size = sum(x.size for x in blocks)
-        return float((size / len(a) if a else size) >= 0.99)
-
-    return pd.Series([one(a, b) for a, b in zip(source, predicted)], dtype="float64")
+    return pd.Series([float(blocks_cover((a or "").strip(), (b or "").strip(), 0.99)) for a, b in zip(source, predicted)], dtype="float64")
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("entity", T.StringType())])))

@@ -257,8 +257,9 @@ def predicted_scores(t):
     """The whole way: prompts, deterministic predictions, scores, totals by language."""
     from ..operators.predict import HashPredictor, generate
 
-    rows = t("labels").join(t("documents").select("doc_id", "lang", F.substring("text", 1, 60).alias("start")), "doc_id")
-    asked = generate(rows.withColumn("prompt", prompts.fill("Is this good? {x}", x=F.col("start"))), "prompt", HashPredictor)
+    # The labels grow with the documents, so they are never broadcast.
+    rows = t("labels").hint("merge").join(t("documents").select("doc_id", "lang", "text"), "doc_id")
+    asked = generate(rows.withColumn("prompt", prompts.fill("Is this good? {x}", x=F.col("text"))), "prompt", HashPredictor)
     gold = F.when(F.col("quality") == 1, "Yes").otherwise("No")
     return asked.withColumn("gold", gold).groupBy("lang").agg(six(agg.mean(F.col("gold") == F.col("pred_text"))).alias("acc"), F.count("error").alias("errors"), F.count(F.lit(1)).alias("n"))
 

@@ -375,7 +375,7 @@ def opinion_overlap(t):
 
 @query()
 def copied_text(t):
-    return pairs(t).select("doc_id", sequence.copied(F.col("gold"), F.left("pred", F.length("gold"))).alias("lcs"))
+    return pairs(t).select("doc_id", sequence.copied(F.col("gold"), F.col("pred")).alias("lcs"))
 
 
 @query()

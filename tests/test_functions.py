@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.functions import choice, instructions, sequence, spans, text
-from evalspark.functions.plain import lcs, math_value, nested_entities
+from evalspark.functions.plain import blocks_cover, lcs, longest_match, math_value, nested_entities, suffix_match
+from evalspark.plans import catalogue
 
 
 def one(spark, *columns, **values):
@@ -113,6 +114,35 @@ def test_copied_is_matching_blocks(spark):
     assert sum(x.size for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) == len(a)
 
 
+def test_matching_blocks_are_those_of_difflib():
+    r = random.Random(1)
+    for k in range(3000):
+        letters = "ab" if k % 2 else "abcde "
+        a, b = ("".join(r.choice(letters) for _ in range(r.randrange(0, n))) for n in (40, 60))
+        if k % 5 == 0:
+            x = r.randrange(len(a) + 1)
+            b = b[:9] + a[:x] + "c" + a[x + k % 3 :] + b[9:]
+        m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        f, size = m.find_longest_match(0, len(a), 0, len(b)), sum(x.size for x in m.get_matching_blocks())
+        assert longest_match(a, b, 0, len(a), 0, len(b)) == suffix_match(a, b) == (f.a, f.b, f.size)
+        assert all(blocks_cover(a, b, share) == ((size / len(a) if a else size) >= share) for share in (0.99, 0.7, 0.4))
+    long = "".join(r.choice("abcd ") for _ in range(30000))
+    assert blocks_cover(long, "x" * 9000 + long[:20000] + "y" + long[20000:], 0.99) and not blocks_cover(long, long[::-1], 0.99)
+
+
+def test_queries_take_whole_documents(spark, tmp_path):
+    from evalspark.operators.predict import HashPredictor
+
+    gold, texts = "a passage of the benchmark", [f"{'many words come before ' * 9}{i}" for i in range(8)]
+    spark.createDataFrame([(0, gold)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, t + gold, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1) for i in range(8)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert [r.lcs for r in catalogue.queries()["copied_text"](spark, str(tmp_path)).collect()] == [1.0] * 8
+    said = HashPredictor().generate([f"Is this good? {t}{gold}" for t in texts])
+    assert 0 < said.count("Yes") < 8
+    assert catalogue.queries()["predicted_scores"](spark, str(tmp_path)).first().acc == pytest.approx(said.count("Yes") / 8)
+
+
 def test_opinions(spark):
     df = spark.sql("select array(named_struct('holder', array(1), 'target', array(2), 'expr', array(3, 4), 'polarity', 'POS'), named_struct('holder', array(1), 'target', array(2), 'expr', array(4), 'polarity', 'POS')) o")
     r = df.select(spans.distinct_opinions(F.col("o")).alias("d"), spans.opinion_match(F.col("o")[0], F.col("o")[1]).alias("m"), spans.opinion_weight(F.col("o")[0], F.col("o")[1]).alias("w")).first()
