@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import draw
 
+#: The Poisson(1) distribution function, as far as a double tells it from 1.
+STEPS = tuple(itertools.takewhile(lambda x: x < 1, itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(30))))
+
 
 def resample(df: DataFrame, key: str, n: int, bags: int, size: int | None = None) -> DataFrame:
     """Rows of each bag: (bag, draw) pairs joined to rows by their place ``key`` in 0 .. n - 1.
@@ -19,12 +25,15 @@ def resample(df: DataFrame, key: str, n: int, bags: int, size: int | None = None
     return draws.withColumn(key, draw(F.col("bag"), F.col("draw"), n)).join(df, key)
 
 
-def weighted(df: DataFrame, key: str, bags: int) -> DataFrame:
-    """Approximate bags: each row with a Poisson(1) weight a bag, from its hash; rows of weight 0 go."""
-    u = draw(F.col("bag"), F.col(key), 1000003) / F.lit(1000003.0)
-    # The Poisson(1) distribution function at 0 to 5.
-    steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
-    weight = sum((u >= s).cast("int") for s in steps)
+def weighted(df: DataFrame, key: str | tuple[str, ...], bags: int) -> DataFrame:
+    """Approximate bags: each row with a Poisson(1) weight a bag, from a hash of bag and key; rows of weight 0 go.
+
+    ``key`` names the columns that tell rows apart. The hash isn't folded, so rows have one weight only if all its bits agree.
+    """
+    keys = (key,) if isinstance(key, str) else key
+    # The upper 53 bits, which a double holds exactly.
+    u = F.shiftrightunsigned(F.xxhash64(F.col("bag").cast("bigint"), *keys), 11).cast("double") / F.lit(2.0**53)
+    weight = sum((u >= s).cast("int") for s in STEPS)
     return df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1)))).withColumn("weight", weight).filter("weight > 0")
 
 

@@ -113,8 +113,7 @@ def bootstrap_ratings(battles: DataFrame, bags: int = 100, baseline: str | None
     """
     from .bootstrap import percentiles, weighted
 
-    keyed = battles.withColumn("k", F.pmod(F.xxhash64("id", "model", "reference"), F.lit(1000003)))
-    counts = pair_counts(weighted(keyed, "k", bags), ("bag",))
+    counts = pair_counts(weighted(battles, ("id", "model", "reference"), bags), ("bag",))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*group["model"], *group["reference"]})

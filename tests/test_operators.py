@@ -130,6 +130,24 @@ def test_bootstrap_centres_on_the_mean(spark):
     assert all(1700 < r.n < 2300 for r in w.collect())
 
 
+def test_battles_are_drawn_one_by_one(spark):
+    # Two battles that agree in a hash folded to 1,000,003 values, with opposite winners: drawn as one, they cancel.
+    rows = spark.range(60000).select("id", F.lit("a").alias("model"), F.lit("b").alias("reference"))
+    folded = rows.withColumn("k", F.pmod(F.xxhash64("id", "model", "reference"), F.lit(1000003)))
+    both = folded.groupBy("k").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter("size(ids) = 2")
+    pairs = both.select(F.posexplode("ids").alias("winner", "id"), F.lit("a").alias("model"), F.lit("b").alias("reference"))
+    assert pairs.count() > 1000
+    boot = {r.model: r for r in rating.bootstrap_ratings(pairs, 20, "b").collect()}
+    assert boot["a"].rating == 1000 and boot["a"].std > 0 and boot["a"].ci_lower < boot["a"].ci_upper
+
+
+def test_weights_are_poisson(spark):
+    w = bootstrap.weighted(spark.range(20000).withColumnRenamed("id", "k"), ("k",), 20).groupBy("weight").agg(F.count(F.lit(1)).alias("n"))
+    share = {r.weight: r.n / 400000 for r in w.collect()}
+    assert all(abs(share[k] - math.exp(-1) / math.factorial(k)) < 0.004 for k in range(1, 6)) and max(share) > 6
+    assert len(bootstrap.STEPS) > 15 and list(bootstrap.STEPS) == sorted(set(bootstrap.STEPS))
+
+
 def test_categories_and_table(spark):
     s = spark.createDataFrame([("m", "a", 0.5, 0.3), ("m", "b", 0.7, 0.4), ("m", "c", 0.9, 0.0)], "model string, task string, score double, std double")
     c = leaderboard.by_category(s, spark.createDataFrame([("a", "x"), ("b", "x")], "task string, category string"))
