@@ -203,7 +203,7 @@ def contexts(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 class Level:
-    """Distinct suffixes in order of their hash and bytes, and for each the range of cuts at which a repeat was met.
+    """Distinct suffixes in order of two hashes, of their key and of their bytes, and for each the range of cuts at which a repeat was met.
 
     The cut of a string is how many of its bytes lie before the anchor, so 0 to HALF.
     """
