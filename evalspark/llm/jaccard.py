@@ -368,7 +368,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest identifier; all columns kept."""
-    found = near_components(docs, id_col, text_col)
-    gone = table(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each component, the one with the smallest identifier; all columns kept.
+
+    Rows are told apart by numbers of their own, which a table fixes: identifiers may be repeated or null (those come last).
+    """
+    held = table(docs.withColumn("__row", F.monotonically_increasing_id()), "jaccard-docs")
+    found = near_components(held, "__row", text_col).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__part"))
+    rows = table(found.join(held.select("__row", F.col(id_col).alias("__id")), "__row").select("__part", F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row")).alias("at")), "jaccard-rows")
+    first = rows.groupBy("__part").agg(F.min("at").alias("first"))
+    gone = table(rows.join(first, "__part").filter(F.col("at.row") != F.col("first.row")).select(F.col("at.row").alias("__row")), "jaccard-gone")
+    return held.join(gone, "__row", "left_anti").select(*docs.columns)

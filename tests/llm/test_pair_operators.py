@@ -76,6 +76,15 @@ def test_one_of_each_component_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4] and kept.columns[3:] == ["n_bytes", "node"]
 
 
+def test_rows_of_one_identifier_are_rows_of_their_own(spark):
+    first, other, third, fourth = "a b c d e f", "g h i j k l", "q r s t u v", "w x y z a a"
+    rows = [(5, first), (5, other), (1, first), (None, third), (None, third), (7, fourth), (7, fourth), (None, None), (None, ""), (2, third)]
+    kept = jaccard.keep_one(frame(spark, [(i, t, "s") for i, t in rows]))
+    want = [(1, first), (5, other), (2, third), (7, fourth), (None, None), (None, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+    assert kept.columns == ["doc_id", "text", "source", "n_bytes", "node"]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (5, 5), (200, 199)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
