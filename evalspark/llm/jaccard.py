@@ -23,7 +23,7 @@ SKETCH = 512
 #: A part that more sets share is not paired off but tied to one of them; what that can miss is searched after.
 MANY = 16
 #: Signatures that a task holds before it hands them on.
-HOLD = 1_500_000
+HOLD = 500_000
 #: Partners of a node that one task checks, and rows up to which the asked nodes go to each task as a table.
 GROUP, BROADCAST = 64, 500_000
 
@@ -163,7 +163,7 @@ def emit(docs: DataFrame, buckets: int) -> DataFrame:
                             sent.add(node)
                     ids.append(i)
                     about.append((node, len(h), spare, sketch(h)))
-                    if held >= HOLD or len(ids) >= 100_000:
+                    if held >= HOLD or len(ids) >= 20_000:
                         yield from flush()
                         held = 0
                         sent.clear()

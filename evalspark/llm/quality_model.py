@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ SPACE = 1 << 30
 TAIL = 0.5
 #: Lengths of the word starts that are counted.
 STARTS = (3, 5, 7)
+#: Distinct words that a task remembers at most.
+REMEMBER = 100_000
 MARKS = ".,;:!?\"'()[]{}*#$%&|<>-"
 
 
@@ -59,7 +62,7 @@ class Features:
             starts = [x for x in starts if code("p:" + x) in wanted or code("P:" + x) in wanted]
         found = own, shape(word), starts
         if len(word) <= 64:
-            if len(self.words) > 200_000:
+            if len(self.words) >= REMEMBER:
                 self.words.clear()
             self.words[word] = found
         return found
@@ -195,8 +198,9 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", tail: float
     """The rows of ``docs`` that the model keeps, all columns kept; nothing is shuffled."""
 
     @F.pandas_udf("double")
-    def chance(text: pd.Series) -> pd.Series:
+    def chance(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         features = Features(model.weights)
-        return text.map(lambda t: model.grade(features.of(t or ""))[1]).astype("float64")
+        for text in texts:
+            yield text.map(lambda t: model.grade(features.of(t or ""))[1]).astype("float64")
 
     return docs.filter(chance(F.coalesce(F.col(text_col), F.lit(""))) >= tail)

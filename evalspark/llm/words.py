@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 
 #: Distinct words that a task remembers at most.
-REMEMBER = 500_000
+REMEMBER = 100_000
 
 
 class WordHashes(dict):
