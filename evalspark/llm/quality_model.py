@@ -129,6 +129,8 @@ def fit(features: list[np.ndarray], grades: np.ndarray, penalty: float = 5e-4, s
     codes, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(grades)), lengths)
     kept = (counts >= LEAST_DOCS) & (separation(row, inverse, len(codes), grades, top) >= LEAST_Z)
+    if not kept.any():  # thresholds alone would judge all texts alike
+        return Model({}, [])
     codes, place = codes[kept], np.cumsum(kept) - 1
     row = row[kept[inverse]]
     col = place[inverse][kept[inverse]]
@@ -182,8 +184,8 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", tail: float = TAIL) -> DataFrame:
     """One row per row of ``docs``: doc_id, expected_grade, tail_probability, kept.
 
-    Null and empty texts have no features, so the thresholds alone grade them. A model fitted without labels, or on one
-    grade, grades nothing (null, 1.0) and keeps all. Row by row, so ties, repeats and other columns don't matter.
+    Null and empty texts have no features, so the thresholds alone grade them. A model fitted without labels, on one
+    grade, or on too few documents for any feature, grades nothing (null, 1.0) and keeps all. Row by row, so ties, repeats and other columns don't matter.
     """
 
     def make():
@@ -195,7 +197,10 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", tail: float = TAIL) -> DataFrame:
-    """The rows of ``docs`` that the model keeps, all columns kept; nothing is shuffled."""
+    """The rows of ``docs`` that the model keeps, all columns kept; nothing is shuffled.
+
+    Row by row, as in classify: null texts are empty ones, identifiers aren't read, an empty table stays empty.
+    """
 
     @F.pandas_udf("double")
     def chance(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
