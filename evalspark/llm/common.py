@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +31,78 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Arrow batches to Python are cut at this size: the buffers of wide rows outlive their stages.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings of the session for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def frees(run):
+    """``run`` over the batches of a task; what it held goes back to the system at the end, as workers outlive tasks."""
+
+    def outer(batches):
+        yield from run(batches)
+        trim()
+
+    return outer
+
+
+def frees_group(one):
+    """The same for a function of a group."""
+
+    def outer(group):
+        out = one(group)
+        trim()
+        return out
+
+    return outer
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, BATCHES):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with __file and __place, the file of a row and its place there: the same for a row each time.
+
+    Rows that don't come one by one from files (made here, exploded, put together) are written as a table first.
+    """
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    try:
+        if node.nodeName() == "LogicalRelation":
+            return docs.select(*docs.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    except AnalysisException:  # no files, or of a kind that doesn't number rows, or columns that can't be told apart
+        pass
+    held = table(docs, name)
+    return held.select(*held.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, so that other columns of ``docs`` can't clash with an operator's own; null text is empty."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -63,7 +130,7 @@ def map_texts(docs: DataFrame, make, schema: str, every: int = 256) -> DataFrame
 
     arrow = to_arrow_schema(_parse_datatype_string(full))
     names, types = arrow.names, arrow.types[1:]
-    return docs.mapInArrow(run, full)
+    return docs.mapInArrow(frees(run), full)
 
 
 def sha_of_spans(spans) -> str:

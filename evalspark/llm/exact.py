@@ -7,17 +7,22 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, shared_dir, table
+from .common import SPACES, located, settings, shared_dir, table
 
 #: State lives in RocksDB on the executors' disks and is saved to the shared folder after each micro-batch; it never expires.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    # A store is closed after its task: there are as many as partitions, and few micro-batches.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     # Many small stores: space that each would set aside beforehand adds up.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
+#: Repeated digests up to which they go to each task as a table of 64-bit hashes; beyond, nothing is filtered by them.
+BROADCAST = 500_000
+
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACES, " ")
@@ -27,19 +32,15 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def stream_state(log: str, schema, out: str, micro_batches: int, spark) -> DataFrame:
-    """Runs the log through keyed state; per digest: the smallest identifier with its locator, and the rows seen.
+def stream_state(out: str, schema, files: int, micro_batches: int, spark) -> DataFrame:
+    """Runs new files of the log through keyed state; per digest: the smallest identifier with its locator, and the rows seen.
 
     The state's key is the digest, its value (identifier, locator, count). Each micro-batch emits the keys that it
     changed; as identifiers only fall and counts only rise, the last word on a key is the minimum and the maximum.
-    A restarted query goes on from its checkpoint, and a repeated micro-batch overwrites what it wrote.
+    The stream goes on from its checkpoint, and a repeated micro-batch overwrites what it wrote.
     """
-    files = spark.read.schema(schema).parquet(log).select(F.input_file_name()).distinct().count()
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
-        spark.conf.set(k, v)
-    try:
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // micro_batches))).parquet(log)
+    with settings(spark, STATE):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // micro_batches))).parquet(f"{out}/log")
         state = stream.groupBy("text_sha256").agg(F.min(F.struct("doc_id", "locator")).alias("kept"), F.count(F.lit(1)).alias("n"))
 
         def upsert(changed: DataFrame, batch: int) -> None:
@@ -47,56 +48,61 @@ def stream_state(log: str, schema, out: str, micro_batches: int, spark) -> DataF
 
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(upsert).start()
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     empty = spark.createDataFrame([], f"text_sha256 string, kept struct<doc_id:{schema['doc_id'].dataType.simpleString()},locator:string>, n bigint")
     seen = spark.read.schema(empty.schema).parquet(f"{out}/state") if files else empty
     return seen.groupBy("text_sha256").agg(F.min("kept").alias("kept"), F.max("n").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, micro_batches: int = 2) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, micro_batches: int = 2, state_dir: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, locator.
 
     Texts are equal when identical after each run of white space is one space. A log of (identifier, digest, locator)
     is streamed through keyed state; every digest that is hit again has the full bytes of its texts compared, and the
-    rows of a digest whose texts differ are told apart by the texts themselves.
+    rows of a digest whose texts differ are told apart by the texts themselves. A locator is a file and a place in it.
+
+    With ``state_dir``, a folder that all executors share, the state stays there: a later call with more rows goes on
+    from it, and finds their copies among the rows of all calls by digest. The bytes of a call's own rows are compared.
 
     Null text counts as empty; a null identifier sorts first; of rows that repeat an identifier and a text, the one
     with the smallest locator is kept. An empty table gives no rows. Only the two named columns are read.
     """
-    spark = docs.sparkSession
-    out = f"{shared_dir(spark)}/exact-{uuid.uuid4().hex}"
-    norm = normalised(F.col(text_col))
-    locator = F.concat_ws("#", F.input_file_name(), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest(norm).alias("text_sha256"), locator.alias("locator"))
-    rows.write.parquet(f"{out}/log")
-    log = spark.read.schema(rows.schema).parquet(f"{out}/log")
-    state = table(stream_state(f"{out}/log", rows.schema, out, micro_batches, spark), "exact-state")
-
-    # Full bytes on hits: of each digest seen more than once, the least and the greatest text, combined before the shuffle.
-    hit = state.filter("group_size > 1").select("text_sha256")
-    bytes_of = docs.select(digest(norm).alias("text_sha256"), norm.alias("norm"))
-    differ = bytes_of.join(hit.hint("shuffle_hash"), "text_sha256", "left_semi").groupBy("text_sha256").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).filter("a <> b").select("text_sha256")
-    differ = table(differ, "exact-differ")
+    return dedup_located(located(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "exact-docs"), digest, micro_batches, state_dir)
+
+
+def dedup_located(docs: DataFrame, digest, micro_batches: int, state_dir: str | None) -> DataFrame:
+    """exact_dedup of (doc_id, text, __file, __place)."""
+    spark, call = docs.sparkSession, uuid.uuid4().hex
+    out = state_dir.rstrip("/") if state_dir else f"{shared_dir(spark)}/exact-{call}"
+    norm = normalised(F.col("text"))
+    locator = F.concat_ws("#", "__file", F.lpad(F.col("__place").cast("string"), 12, "0"))
+    every = docs.select("doc_id", digest(norm).alias("text_sha256"), locator.alias("locator"), norm.alias("norm"))
+    rows = every.select("doc_id", "text_sha256", "locator", F.lit(call).alias("call"))
+    rows.write.mode("append").parquet(f"{out}/log")
+    log = spark.read.schema(rows.schema).parquet(f"{out}/log").filter(F.col("call") == call).drop("call")
+    files = log.select(F.input_file_name()).distinct().count()
+    state = table(stream_state(out, rows.schema, files, micro_batches, spark), "exact-state")
+
+    # Full bytes on hits: each digest's texts, equal ones combined before the shuffle, so that a hot text is one row a task.
+    hit = state.filter("group_size > 1").select(F.xxhash64("text_sha256").alias("hit")).distinct()
+    texts = every.join(F.broadcast(hit), F.xxhash64("text_sha256") == F.col("hit"), "left_semi") if hit.count() <= BROADCAST else every
+    classes = texts.groupBy("text_sha256", "norm").agg(F.count(F.lit(1)).alias("n"))
+    differ = table(classes.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("text_sha256"), "exact-differ")
     joined = log.join(state, "text_sha256")
     if not differ.isEmpty():
-        apart = docs.select(F.col(id_col).alias("doc_id"), digest(norm).alias("text_sha256"), locator.alias("locator"), norm.alias("norm")).join(differ, "text_sha256", "left_semi")
+        apart = every.join(differ, "text_sha256", "left_semi")
         classes = apart.groupBy("text_sha256", "norm").agg(F.min(F.struct("doc_id", "locator")).alias("kept"), F.count(F.lit(1)).alias("group_size"))
         joined = joined.join(differ, "text_sha256", "left_anti").unionByName(apart.join(classes, ["text_sha256", "norm"]).drop("norm"))
     return joined.select("doc_id", F.col("kept.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("kept.locator")).alias("kept"), "text_sha256", "locator")
 
 
-def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, micro_batches: int = 2) -> DataFrame:
     """``docs`` without the rows that repeat another's text, all columns kept.
 
-    Rows are dropped by identifier; where an identifier repeats with equal texts, one such row stays.
+    Rows are told apart by their places in files, so identifiers may be null or repeat, with equal texts or others. An
+    empty table stays empty; null and empty texts are copies of one another.
     """
-    found = table(exact_dedup(docs, id_col, text_col, **options).select("doc_id", "kept"), "exact-found")
-    stays = found.groupBy("doc_id").agg(F.sum(F.when(F.col("kept"), 1).otherwise(0)).alias("n"), F.count(F.lit(1)).alias("rows"))
-    gone = stays.filter("n = 0").select(F.col("doc_id").alias("__gone"))
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    if stays.filter("n > 0 and rows > n").isEmpty():
-        return out
-    # Identifiers that repeat: one row for each of their texts that stays.
-    return out.withColumn("__norm", normalised(F.col(text_col))).dropDuplicates([id_col, "__norm"]).drop("__norm")
+    held = located(docs, "exact-docs")
+    found = dedup_located(held.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "__file", "__place"), digest, micro_batches, None)
+    at = F.split("locator", "#(?=[0-9]+$)")
+    gone = table(found.filter(~F.col("kept")).select(at[0].alias("__file"), at[1].cast("bigint").alias("__place")), "exact-gone")
+    return held.join(gone, ["__file", "__place"], "left_anti").select(*docs.columns)

@@ -36,20 +36,23 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return run.select("source_key", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
+def source_key(source_col: str):
+    return F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
 
-    A document is taken floor(target / source_size) times whole, and once more if its hash lies under its source's
-    threshold. Thresholds come from histograms of size by hash bucket: the bucket that crosses the remaining budget is
-    the only one refined, until single hashes; the one at the boundary is taken if that ends nearer the target.
-    Nothing is sorted. Rows with one identifier share a hash, and so a fate.
 
-    Null text has size 0; null source is a source of its own, the last; empty tables and sources of size 0 take nothing.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def size_of(text_col: str):
+    return F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("bigint")
+
+
+def place_of(id_col: str):
+    """The document's hash."""
     digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
-    rows = table(docs.select(F.col(id_col).alias("doc_id"), key.alias("source_key"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), F.conv(F.substring(digest, 1, LEVELS * BITS // 4), 16, 10).cast("bigint").alias("h")), "mix-rows")
+    return F.conv(F.substring(digest, 1, LEVELS * BITS // 4), 16, 10).cast("bigint")
+
+
+def thresholds(rows: DataFrame, weights, cap: int) -> DataFrame:
+    """By source of (source_key, size, h): source_size, target, times each document is taken whole, and the bucket ``at``
+    below which it is taken once more, with the size ``base`` of those below and ``own`` of the bucket."""
     sizes = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     sizes = sizes.withColumn("source", F.when(F.col("source_key") != "n", F.expr("substring(source_key, 2)")))
     goal = targets(sizes, weights, cap)
@@ -65,16 +68,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         run = bucket.withColumn("le", F.sum("own").over(upto)).join(edge.select("source_key", "base", "budget"), "source_key")
         over = run.filter(F.col("base") + F.col("le") > F.col("budget")).groupBy("source_key").agg(F.min(F.struct("b", "le", "own")).alias("m"))
         edge = table(edge.drop("own").join(over, "source_key", "left").select("source_key", "source_size", "target", "whole", "budget", (F.col("base") + F.coalesce(F.col("m.le") - F.col("m.own"), F.lit(0))).alias("base"), F.coalesce(F.col("m.b"), F.shiftleft("at", BITS)).alias("at"), F.coalesce(F.col("m.own"), F.lit(0)).alias("own")), f"mix-edge{level}")
-    near = 2 * F.col("base") + F.col("own") <= 2 * F.col("budget")
-    once = (F.col("h") < F.col("at")) | ((F.col("h") == F.col("at")) & near)
-    return rows.join(edge, "source_key").select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + once.cast("bigint"))).alias("taken"))
+    return edge
+
+
+def times(h, edge):
+    """How often a document with hash ``h`` is taken, by the column ``edge`` of its source's thresholds."""
+    near = 2 * edge["base"] + edge["own"] <= 2 * edge["budget"]
+    return edge["whole"] + ((h < edge["at"]) | ((h == edge["at"]) & near)).cast("bigint")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
+
+    A document is taken floor(target / source_size) times whole, and once more if its hash lies under its source's
+    threshold. Thresholds come from histograms of size by hash bucket: the bucket that crosses the remaining budget is
+    the only one refined, until single hashes; the one at the boundary is taken if that ends nearer the target.
+    Nothing is sorted. Rows of a source with one identifier share a hash, and so a fate.
+
+    Null text has size 0; null source is a source of its own, the last; empty tables and sources of size 0 take nothing.
+    """
+    rows = table(docs.select(F.col(id_col).alias("doc_id"), source_key(source_col).alias("source_key"), size_of(text_col).alias("size"), place_of(id_col).alias("h")), "mix-rows")
+    edge = thresholds(rows, weights, cap)
+    edge = edge.select("source_key", "source_size", "target", F.struct(*edge.columns).alias("edge"))
+    return rows.join(edge, "source_key").select("doc_id", "size", "source_size", "target", (F.col("size") * times(F.col("h"), F.col("edge"))).alias("taken"))
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """The rows of ``docs`` that the mix takes, all columns kept, each repeated as often as it is taken.
 
-    A document without words can't count towards a target; it stays once.
+    Each row goes by its own source and size, whatever rows share its identifier; null ones are one identifier. A
+    document without words can't count towards a target; it stays once. An empty table stays empty.
     """
-    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1)).cast("int")
-    plan = mix(docs, id_col, **options).groupBy("doc_id").agg(F.max(times).alias("__times")).withColumnRenamed("doc_id", "__id")
-    return docs.join(plan, F.col(id_col).eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).drop("__id", "__times", "__copy")
+    rows = table(docs.select(source_key(source_col).alias("source_key"), size_of(text_col).alias("size"), place_of(id_col).alias("h")), "mix-rows")
+    edge = thresholds(rows, weights, cap)
+    edge = edge.select(F.col("source_key").alias("__key"), F.struct(*edge.columns).alias("__edge"))
+    copies = F.when(size_of(text_col) > 0, times(place_of(id_col), F.col("__edge"))).otherwise(F.lit(1)).cast("int")
+    every = docs.join(edge, source_key(source_col) == F.col("__key"))
+    return every.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
