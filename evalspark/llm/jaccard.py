@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import frees, frees_group, table, texts
 from .components import components
 from .words import WordHashes, mix, windows
 
@@ -24,6 +24,8 @@ SKETCH = 512
 MANY = 16
 #: Signatures that a task holds before it hands them on.
 HOLD = 500_000
+#: Members of a widely shared part, asking or asked, that one task compares.
+TILE = 4096
 #: Partners of a node that one task checks, and rows up to which the asked nodes go to each task as a table.
 GROUP, BROADCAST = 64, 500_000
 
@@ -91,26 +93,20 @@ def folded(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-class Sketches:
-    """Sketches by size, and cut to lesser sizes where asked for."""
+def stacked(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches of one length as rows of 64-bit integers, cut to a size."""
+    whole = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), len(sketches[0]))
+    return np.ascontiguousarray(folded(whole, size)).view(np.uint64)
 
-    def __init__(self, all_: list[bytes]):
-        sizes = np.array([len(x) for x in all_], np.int64)
-        self.total, self.by_size, self.cut = len(all_), {}, {}
-        for size in np.unique(sizes).tolist():
-            at = np.flatnonzero(sizes == size)
-            self.by_size[size] = at
-            self.cut[size, size] = np.frombuffer(b"".join([all_[i] for i in at]), np.uint8).reshape(len(at), size)
 
-    def distances(self, one: bytes) -> np.ndarray:
-        """Bits in which a sketch differs from each, at the lesser of the two sizes."""
-        own, out = np.frombuffer(one, np.uint8), np.zeros(self.total, np.int64)
-        for size, at in self.by_size.items():
-            least = min(size, len(own))
-            if (size, least) not in self.cut:
-                self.cut[size, least] = np.ascontiguousarray(folded(self.cut[size, size], least))
-            out[at] = np.bitwise_count(self.cut[size, least].view(np.uint64) ^ np.ascontiguousarray(folded(own, least)).view(np.uint64)).sum(axis=1)
-        return out
+def distances(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """Bits in which sketches differ, pair by pair, at the lesser of the two sizes."""
+    out, sizes = np.zeros(len(xs), np.int64), np.array([(len(x), len(y)) for x, y in zip(xs, ys)], np.int64).reshape(-1, 2)
+    for p, q in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes[:, 0] == p) & (sizes[:, 1] == q))
+        x, y = (stacked([of[i] for i in at], min(p, q)) for of in (xs, ys))
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
 
 
 def key_of(h: np.ndarray) -> int:
@@ -169,7 +165,7 @@ def emit(docs: DataFrame, buckets: int) -> DataFrame:
                         sent.clear()
         yield from flush()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frees(run), schema)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
@@ -232,7 +228,7 @@ def match(packed: DataFrame) -> DataFrame:
             out.append(ints(2, (bucket << 32) | s[wide].astype(np.int64), d[wide], np.zeros(len(wide), np.int64)))
         return pa.Table.from_batches([pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, arrow.types)], schema=arrow) for cols in out], schema=arrow)
 
-    return packed.groupBy("bucket").applyInArrow(one, schema)
+    return packed.groupBy("bucket").applyInArrow(frees_group(one), schema)
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -245,10 +241,10 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             for first in range(0, batch.num_rows, 1024):
                 t = batch.slice(first, 1024)
                 most = (t.column("na").to_numpy() + t.column("nb").to_numpy()) // 7
-                near = [bool(Sketches([y]).distances(x)[0] <= m) for x, y, m in zip(t.column("sa").to_pylist(), t.column("sb").to_pylist(), most)]
-                yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(near, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+                near = pa.array(distances(t.column("sa").to_pylist(), t.column("sb").to_pylist()) <= most)
+                yield pa.RecordBatch.from_arrays([t.column(c).filter(near) for c in ("a", "b")], names=["a", "b"])
 
-    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(frees(run), "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -283,7 +279,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                             a.append(key), b.append(node)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(frees(run), "a bigint, b bigint").distinct()
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -293,7 +289,44 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def rest(wide: DataFrame, nodes: DataFrame, roots: DataFrame, nearest: bool) -> DataFrame:
+class Members:
+    """Nodes of one tile of a part: roots, sizes and sketches, these cut to lesser sizes where asked for."""
+
+    def __init__(self, node, root, size, sketches: list[bytes]):
+        self.node, self.root, self.size, self.sketches = node, root, size, sketches
+        self.length = np.array([len(x) for x in sketches], np.int64)
+
+    def near(self, asks: np.ndarray, others: np.ndarray, nearest: bool):
+        """Pairs (i, j) of asks and others of other components that sizes and sketches leave possible.
+
+        Nodes are compared by length of sketch, which for possible partners differ twofold at most, some rows of the
+        matrix at a time.
+        """
+        found = []
+        for p in np.unique(self.length[asks]).tolist():
+            mine = asks[self.length[asks] == p]
+            for q in (p // 2, p, 2 * p):
+                theirs = others[self.length[others] == q]
+                if not len(theirs):
+                    continue
+                x, y = (stacked([self.sketches[i] for i in of], min(p, q)) for of in (mine, theirs))
+                n, step = self.size[theirs][None], max(1, 2_000_000 // (len(theirs) * x.shape[1]))
+                for first in range(0, len(mine), step):
+                    rows = mine[first : first + step]
+                    far = np.bitwise_count(x[first : first + step][:, None] ^ y[None]).sum(axis=2, dtype=np.int64)
+                    m = self.size[rows][:, None]
+                    i, j = np.nonzero((far <= (n + m) // 7) & (self.root[rows][:, None] != self.root[theirs][None]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)))
+                    found.append((rows[i], theirs[j], far[i, j]))
+        i, j, far = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        if nearest and len(i):
+            order = np.lexsort((self.node[j], far, i))
+            i, j = i[order], j[order]
+            new = np.concatenate([[True], i[1:] != i[:-1]])
+            i, j = i[new], j[new]
+        return self.node[i], self.node[j]
+
+
+def rest(wide: DataFrame, nodes: DataFrame, roots: DataFrame, nearest: bool, buckets: int) -> DataFrame:
     """Pairs that widely shared parts may still hide.
 
     A set with parts to spare, beyond its w widely shared ones, has met all its partners elsewhere. One without shares
@@ -301,6 +334,8 @@ def rest(wide: DataFrame, nodes: DataFrame, roots: DataFrame, nearest: bool) ->
     in: the least common ones. There it is compared by sketch with each member of another component, unless all the
     members are one component already. With ``nearest`` it gets the one of them that is least far by sketch: a first
     step that joins up most, so that few pairs are left for the whole search.
+
+    A part with many members is cut into tiles of TILE asking ones by TILE members, which go to different tasks.
     """
     from pyspark.sql.window import Window
 
@@ -310,30 +345,38 @@ def rest(wide: DataFrame, nodes: DataFrame, roots: DataFrame, nearest: bool) ->
     parts_ = member.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
     asks = member.join(full, "b").join(parts_, "a")
     rank = F.row_number().over(Window.partitionBy("b").orderBy("n", "a"))
-    asks = table(asks.withColumn("rank", rank).filter("rank <= ask and lo <> hi").select("a", "b", F.lit(True).alias("full")), "jaccard-asks")
-    rows = member.join(asks.select("a").distinct(), "a", "left_semi").join(asks, ["a", "b"], "left").join(nodes.select(F.col("node").alias("b"), "size", "sketch"), "b").select("a", "b", "root", F.coalesce("full", F.lit(False)).alias("full"), "size", "sketch")
+    asks = table(asks.withColumn("rank", rank).filter("rank <= ask and lo <> hi").select("a", "b", "n"), "jaccard-asks")
+    tiles = asks.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("fs"), F.ceil(F.max("n") / TILE).cast("int").alias("ms"))
+    share = lambda n: F.pmod(F.xxhash64("b", F.lit(1)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = member.select("a", "b").join(tiles, "a").select("a", "b", every("fs").alias("i"), share("ms").alias("j"), F.lit(False).alias("full"))
+    dealt = dealt.unionByName(asks.select("a", "b").join(tiles, "a").select("a", "b", share("fs").alias("i"), every("ms").alias("j"), F.lit(True).alias("full")))
+    about = nodes.select(F.col("node").alias("b"), "size", "sketch").join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    rows = dealt.join(about, "b").withColumn("bucket", F.pmod(F.xxhash64("a", "i", "j"), F.lit(buckets)).cast("int"))
 
     def one(group: pa.Table) -> pa.Table:
-        node, root, n = (group.column(c).to_numpy() for c in ("b", "root", "size"))
-        x, a, b, known = group.column("sketch").to_pylist(), [], [], {}
-        kinds = len(np.unique(root))
-        for i in np.flatnonzero(group.column("full").to_numpy()):
-            # Members of other components; those are gathered once for each component where there are few of these.
-            key = int(root[i]) if kinds <= 8 else None
-            if key not in known:
-                at = np.flatnonzero(root != root[i]) if key is not None else np.arange(len(node))
-                known[key] = at, Sketches([x[j] for j in at])
-            at, sketches = known[key]
-            far = sketches.distances(x[i])
-            fits = (far <= (n[at] + n[i]) // 7) & (root[at] != root[i]) & (100 * np.minimum(n[at], n[i]) >= PERCENT * np.maximum(n[at], n[i]))
-            near = at[fits]
-            if nearest and len(near):
-                near = near[[np.argmin(far[fits])]]
-            a.append(np.minimum(node[near], node[i])), b.append(np.maximum(node[near], node[i]))
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return rows.groupBy("a").applyInArrow(one, "a bigint, b bigint").distinct()
+        cols = {c: group.column(c).to_numpy() for c in ("a", "i", "j", "b", "root", "size", "full")}
+        sketches, found = group.column("sketch"), []
+        order = np.lexsort((cols["j"], cols["i"], cols["a"]))
+        key = np.stack([cols[c][order] for c in ("a", "i", "j")], axis=1)
+        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
+        for s, e in zip(edge[:-1], edge[1:]):
+            rows = order[s:e]
+            tile = Members(*(cols[c][rows] for c in ("b", "root", "size")), sketches.take(pa.array(rows)).to_pylist())
+            asking = cols["full"][rows]
+            asks, others = np.flatnonzero(asking), np.flatnonzero(~asking)
+            # In a large tile the greatest components first, each against the members outside it; then all that is left.
+            kinds, count = np.unique(tile.root[asks], return_counts=True) if len(asks) * len(others) > 250_000 else ((), np.zeros(0))
+            for root in np.array(kinds)[np.argsort(-count, kind="stable")][:8].tolist():
+                mine = tile.root[asks] == root
+                found.append(tile.near(asks[mine], others[tile.root[others] != root], nearest))
+                asks = asks[~mine]
+            found.append(tile.near(asks, others, nearest))
+        x, y = (np.concatenate(x) for x in zip(*found))
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+        return pa.table({c: pa.array(np.ascontiguousarray(pairs[:, k]), pa.int64()) for k, c in enumerate("ab")})
+
+    return rows.groupBy("bucket").applyInArrow(frees_group(one), "a bigint, b bigint").distinct()
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,7 +399,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links)
     # Then all pairs that this left apart, and what widely shared parts still hide: the nearest of it, and then all.
     wide = found.filter("row = 2").select("a", "b")
-    for more in (lambda: apart(pairs, roots), lambda: rest(wide, nodes, roots, True), lambda: rest(wide, nodes, roots, True), lambda: rest(wide, nodes, roots, False)):
+    for more in (lambda: apart(pairs, roots), lambda: rest(wide, nodes, roots, True, buckets), lambda: rest(wide, nodes, roots, True, buckets), lambda: rest(wide, nodes, roots, False, buckets)):
         asked = table(more(), "jaccard-more")
         if not asked.isEmpty():
             links = table(links.unionByName(verified(asked, nodes, plain)), "jaccard-links")
