@@ -65,7 +65,7 @@ def test_sketches_bound_the_difference():
         a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
         b = np.unique(np.concatenate([a[: n * 9 // 10], r.integers(0, 1 << 63, n // 5 + 1).astype(np.uint64)]))
         d = len(np.setxor1d(a, b))
-        assert jaccard.Sketches([jaccard.sketch(b)]).distances(jaccard.sketch(a))[0] <= d
+        assert jaccard.distances([jaccard.sketch(a)], [jaccard.sketch(b)])[0] <= d
         if d <= (len(a) + len(b)) // 7 and 100 * min(len(a), len(b)) >= 75 * max(len(a), len(b)):
             assert len(np.intersect1d(jaccard.signatures(a)[0], jaccard.signatures(b)[0]))
 
@@ -122,14 +122,66 @@ def test_repeats_by_brute_force(spark):
     assert got == repeats(rows)
 
 
+def shared_words(docs, n=50):
+    """Words covered by n words in a row that another document has."""
+    rows, holders = [(i, (t or "").encode().split()) for i, t in docs], collections.defaultdict(set)
+    for i, w in rows:
+        for k in range(len(w) - n + 1):
+            holders[tuple(w[k : k + n])].add(i)
+    return {i: len({j for k in range(len(w) - n + 1) if len(holders[tuple(w[k : k + n])]) > 1 for j in range(k, k + n)}) for i, w in rows}
+
+
+def test_shared_passages_by_brute_force(spark):
+    r = random.Random(9)
+    some = lambda n: " ".join(r.choice("ab cde fé".split(" ")) + str(r.randrange(40)) for _ in range(n))
+    passages = [some(n) for n in (48, 49, 50, 51, 60, 130)]
+    rows = []
+    for i in range(70):
+        t = [some(r.randrange(0, 60))]
+        for _ in range(r.randrange(0, 3)):
+            t += [r.choice(passages), some(r.randrange(0, 30))]
+        rows.append((i, r.choice(" \n").join(t)))
+    rows += [(100, some(60) + " " + passages[5] + " " + passages[5]), (101, "x " * 300), (102, passages[3]), (103, passages[3]), (104, None), (105, "\t"), (106, passages[4]), (107, "y z " * 80), (108, "z " + "y z " * 30)]
+    got = {x.doc_id: x.n_repeat_words for x in suffix.remove_repeats(frame(spark, [(i, t, "s") for i, t in rows]).repartition(3)).collect()}
+    assert got == shared_words(rows) and max(got.values()) > 130
+
+
 def test_family_levels_are_powers_of_two():
-    family, r = suffix.Family(), np.random.default_rng(2)
-    for _ in range(7):
-        data = r.integers(0, 256, (5, suffix.LENGTH)).astype(np.uint8)
-        sides = np.full((5, 2), suffix.HALF, np.uint8)
-        key = np.arange(5, dtype=np.uint64)
-        family.add(key, family.name(key, sides, data), sides, data, np.zeros(5, np.uint8))
-    assert [x.batches for x in family.levels] == [4, 2, 1] and len(family.whole().key) == 35
+    for kind in (0, 1):
+        family, r = suffix.Family(kind), np.random.default_rng(2)
+        for k in range(7):
+            symbols = r.integers(0, 256, 2000).astype(np.uint8) if kind == 0 else r.integers(0, 1 << 60, 2000).astype(">u8")
+            place = np.arange(100, 1600, 300)
+            whole = suffix.suffixes(symbols, place, np.arange(5, dtype=np.uint64), kind)
+            family.add(whole.view(f"V{suffix.SUFFIX}").ravel(), np.full(5, k), np.zeros(5, np.uint8))
+        assert [x.batches for x in family.levels] == [4, 2, 1] and len(family.whole().keys()) == 35
+        assert all(sorted(x.whole.tolist()) == x.whole.tolist() for x in family.levels)
+
+
+def test_a_batch_meets_all_levels():
+    r = random.Random(6)
+    passage = "".join(r.choice("abcdef ") for _ in range(900))
+    rows = [(i, "".join(r.choice("xyz ") for _ in range(50)) + passage[r.randrange(0, 300) :][: r.randrange(380, 600)]) for i in range(12)]
+    docs = [(i, np.frombuffer(t.encode(), np.uint8)) for i, t in rows]
+    powers, family = suffix.Powers(), suffix.Family()
+    held = []
+    for i, data in docs:
+        place, key = suffix.anchors(data, suffix.HALF[0], powers)
+        held.append((np.full(len(place), i), place, suffix.suffixes(data, place, key, 0).view(f"V{suffix.SUFFIX}").ravel()))
+    node, place, whole = (np.concatenate(x) for x in zip(*held))
+    for at in range(0, len(node), 3):
+        family.add(whole[at : at + 3], node[at : at + 3], np.zeros(len(node[at : at + 3]), np.uint8))
+    level = family.whole()
+    at = np.searchsorted(level.whole, whole)
+    lo, hi = level.lo[at], level.hi[at]
+    got = collections.defaultdict(list)
+    for i, p, a, b in zip(node.tolist(), place.tolist(), lo.tolist(), hi.tolist()):
+        if a <= b:
+            got[i].append((p - b, p + suffix.LENGTH - a))
+    want = repeats(rows)
+    for i, data in docs:
+        found = suffix.spans(*(np.array(x) for x in zip(*got[i]))) if got[i] else []
+        assert (sum(b - a for a, b in found), len(found)) == want[i][1:3]
 
 
 def test_exact_dedup_keeps_the_least(spark):
@@ -154,6 +206,33 @@ def test_dedup_keeps_columns(spark):
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 2, 4]
 
 
+def test_rows_of_one_identifier_are_deduplicated_by_row(spark):
+    rows = [(1, "a b c"), (2, "a b c"), (2, "x y z"), (3, "a b c d"), (2, "x  y z"), (None, "a b c"), (None, "n"), (None, "n"), (4, None), (5, "")]
+    out = exact.dedup_documents(frame(spark, [(i, t, "s") for i, t in rows]).repartition(4))
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    want = [(None, "a b c"), (None, "n"), (3, "a b c d"), (4, None)]
+    assert [x for x in kept if x[0] != 2] == sorted(want, key=str) and [x[1].split() for x in kept if x[0] == 2] == [["x", "y", "z"]]
+
+
+def test_state_goes_on_over_calls(spark, tmp_path):
+    first = frame(spark, [(5, "a b", "s"), (6, "c", "s"), (7, "d", "s")])
+    later = frame(spark, [(3, "a  b", "s"), (8, "c", "s"), (9, "e", "s"), (10, "e", "s")])
+    state = str(tmp_path / "state")
+    one = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(first, state_dir=state).collect()}
+    two = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(later, state_dir=state).collect()}
+    assert one == {5: (5, 1, True), 6: (6, 1, True), 7: (7, 1, True)}
+    assert two == {3: (3, 2, True), 8: (6, 2, False), 9: (9, 2, True), 10: (9, 2, False)}
+
+
+def test_locators_name_a_row(spark, tmp_path):
+    frame(spark, [(i, f"t{i % 3}", "s") for i in range(30)]).repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    a, b = ({r.doc_id: r.locator for r in exact.exact_dedup(x).collect()} for x in (docs, docs.filter("doc_id > 4")))
+    assert len(set(a.values())) == 30 and all(a[i] == b[i] for i in b)
+    twice = docs.unionByName(docs)
+    assert exact.dedup_documents(twice).count() == 3
+
+
 @pytest.mark.parametrize("rows", ["odd", "none"])
 def test_odd_tables(spark, rows):
     df = odd(spark) if rows == "odd" else odd(spark).limit(0)
