@@ -79,10 +79,11 @@ def judge_scores(response: Column) -> Column:
     """Scores in a judge's JSON, 5 where one is missing; null if there is no JSON even after repair of quotes and keys."""
     found = F.regexp_extract(response, r"(?s)\{.*\}", 0)
     mended = F.regexp_replace(F.regexp_replace(found, "'", '"'), r"([\p{L}\p{N}_]+):", '"$1":')
-    score = lambda data, name: F.coalesce(F.try_variant_get(data, f"$.{name}.score", "double"), F.lit(5.0))
+    parsed = lambda x: F.from_json(x, "map<string,struct<score:string>>")
+    score = lambda data, name: F.coalesce(F.try_element_at(data, F.lit(name))["score"].try_cast("double"), F.lit(5.0))
+    # Names differ in case only, so they are keys of a map; the text is read once.
     names = ("content_m", "content_M", "language_m", "language_M", "style_m", "style_M")
-    # Names differ in case only, so they get places instead of names.
-    return let(F.coalesce(F.try_parse_json(found), F.try_parse_json(mended)), lambda data: F.when((found != "") & data.isNotNull(), F.array(*[score(data, n) for n in names])))
+    return let(F.coalesce(parsed(found), parsed(mended)), lambda data: F.when((found != "") & data.isNotNull(), F.array(*[score(data, n) for n in names])))
 
 
 def outcome(decision: Column, label: Column) -> Column:

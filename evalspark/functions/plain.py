@@ -3,21 +3,31 @@
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from collections import Counter
 
 
 def lcs(a: list, b: list) -> int:
-    """Length of the longest common subsequence, a row at a time."""
-    if not len(a) or not len(b):
-        return 0
-    codes = {x: i for i, x in enumerate(dict.fromkeys([*a, *b]))}
-    y = np.array([codes[x] for x in b])
-    row = np.zeros(len(y) + 1, np.int64)
+    """Length of the longest common subsequence: a row of the table is one long integer, a bit for each place of ``b``
+    at which it grows by one, and each token of ``a`` changes it by an addition that carries."""
+    places = {}
+    for i, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
     for x in a:
-        row[1:] = np.maximum(row[1:], np.where(y == codes[x], row[:-1] + 1, 0))
-        row = np.maximum.accumulate(row)
-    return int(row[-1])
+        if m := places.get(x):
+            hit = row & m
+            row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
+
+
+def overlap(a, b) -> int:
+    """Size of the intersection of two multisets."""
+    return sum((Counter(a) & Counter(b)).values())
+
+
+def grams(tokens: list, n: int) -> list:
+    return list(zip(*(tokens[i:] for i in range(n))))
 
 
 def nested_entities(text: str) -> list[tuple[str, str]]:
@@ -52,7 +62,7 @@ def boxed(text: str) -> str | None:
 
 def math_value(text: str):
     """A number where the text is one (also as a fraction), or else the text without spaces and size marks."""
-    plain = re.sub(r"\\left|\\right|\\,|\\!|\;|\s|\$", "", text).rstrip(".")
+    plain = re.sub(r"\\left|\\right|\\,|\\!|\\;|\s|\$", "", text).rstrip(".")
     plain = re.sub(r"\\[dt]?frac\{([^{}]+)\}\{([^{}]+)\}", r"\1/\2", plain)
     m = re.fullmatch(r"(-?\d+(?:[.,]\d+)?)(?:/(-?\d+(?:\.\d+)?))?", plain)
     if m and not (m[2] and float(m[2]) == 0):

@@ -6,7 +6,32 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .plain import blocks_cover, boxed, lcs, math_value, nested_entities
+from .plain import blocks_cover, boxed, grams, lcs, math_value, nested_entities
+from .plain import overlap as shared
+
+
+def overlap(n: int = 1):
+    """Arrow UDF: (same, np, ng) of the n-grams of two token arrays as multisets, a row at a time in linear time."""
+
+    @F.pandas_udf("struct<same:int,np:int,ng:int>")
+    def count(predicted: pd.Series, gold: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, g in zip(predicted, gold):
+            p, g = (grams(list(x), n) if n > 1 else list(x) for x in (() if p is None else p, () if g is None else g))
+            rows.append((shared(p, g), len(p), len(g)))
+        return pd.DataFrame(rows, columns=["same", "np", "ng"], dtype="int32")
+
+    return count
+
+
+def over_golds(metric):
+    """Arrow UDF: the greatest value of a plain function of (predicted, gold) over an array of gold answers; 0 without any."""
+
+    @F.pandas_udf("double")
+    def best(predicted: pd.Series, golds: pd.Series) -> pd.Series:
+        return pd.Series([max((float(metric(p or "", g or "")) for g in (() if gs is None else gs)), default=0.0) for p, gs in zip(predicted, golds)], dtype="float64")
+
+    return best
 
 
 @F.pandas_udf(T.DoubleType())

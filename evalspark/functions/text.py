@@ -36,7 +36,7 @@ def occurrences(items: Column, item: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two short arrays; of long ones :func:`aggregates.token_overlap` takes rows."""
+    """Size of the multiset intersection of two short arrays; for long ones :func:`sequence.overlap` is linear."""
     both = F.struct(a.alias("a"), b.alias("b"))
     return let(both, lambda s: F.aggregate(F.array_distinct(s["a"]), F.lit(0), lambda n, x: n + F.least(occurrences(s["a"], x), occurrences(s["b"], x))))
 
@@ -132,7 +132,10 @@ def cut_at_stop(text: Column, stops: list[str]) -> Column:
 
 
 def style_counts(text: Column) -> Column:
-    """Length, headers, list items, bold pieces and code of Markdown; code is taken out before the others count."""
+    """Length, headers, list items, bold pieces and code of Markdown; code is taken out before the others count.
+
+    Fixed values: the patterns.
+    """
     no_code = F.regexp_replace(F.regexp_replace(text, "```[^`]+```", ""), "```", "")
     plain = F.regexp_replace(no_code, "`[^`]+`", "")
     header = count_of(r"(?m)^#{1,6}\s", plain)

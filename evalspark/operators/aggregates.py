@@ -73,19 +73,6 @@ def multiset(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame
     return x.join(y, keys, "full").select(*keys, n.alias("n")).filter("n > 0")
 
 
-def token_overlap(df: DataFrame, key: str, pred: str, gold: str) -> DataFrame:
-    """(key, same, np, ng) of two token arrays as multisets, by counting rows: linear in the length of long texts.
-
-    ``key`` is unique. Rows without tokens have zeros.
-    """
-    item = lambda side, c: F.transform(F.col(c), lambda w: F.struct(w.alias("w"), F.lit(int(side == 0)).alias("p"), F.lit(int(side)).alias("g")))
-    rows = df.select(key, F.explode(F.concat(item(0, pred), item(1, gold))).alias("t")).select(key, "t.*")
-    counts = rows.groupBy(key, "w").agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
-    sums = counts.groupBy(key).agg(F.sum(F.least("p", "g")).alias("same"), F.sum("p").alias("np"), F.sum("g").alias("ng"))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-    return df.select(key).join(sums, key, "left").select(key, zero("same"), zero("np"), zero("ng"))
-
-
 def tag_f1(counts: DataFrame, tags: list[str], tag: str = "tag") -> DataFrame:
     """(tag, f1) over a fixed list of tags; a tag that never occurs has 0."""
     sums = counts.groupBy(tag).agg(*[F.sum(c).alias(c) for c in ("tp", "fn", "fp")])

@@ -35,8 +35,8 @@ def rank_weights(df: DataFrame, score: str, key: str, alpha: float = 1.0, compat
 
 
 def worst_samples(df: DataFrame, sample: str, score: str, pred: str, n: int) -> DataFrame:
-    """The n samples of least mean score, each with its worst prediction."""
-    return df.groupBy(sample).agg(F.avg(score).alias("mean_score"), F.min(F.struct(F.col(score).alias("s"), F.col(pred).alias("p")))["p"].alias("worst")).orderBy("mean_score", sample).limit(n)
+    """The n samples of least mean score (to six digits, so that equal ones tie), each with its worst prediction."""
+    return df.groupBy(sample).agg(F.round(F.avg(score), 6).alias("mean_score"), F.min(F.struct(F.col(score).alias("s"), F.col(pred).alias("p")))["p"].alias("worst")).orderBy("mean_score", sample).limit(n)
 
 
 def feedback_text(worst: DataFrame, sample: str) -> DataFrame:

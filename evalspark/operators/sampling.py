@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
+
 #: Fixed values of the portable draw.
 A, B, C, P = 48271, 69621, 12345, 2147483647
 
@@ -21,11 +23,12 @@ def draw(a: Column, b: Column, n: Column | int) -> Column:
 def numbered(df: DataFrame, *order, by: tuple = ()) -> DataFrame:
     """``pos`` from 0 in an order, over all rows or within groups.
 
-    Over all rows, ranges of the order are sorted apart and numbered by the sizes of the ranges before them.
+    Over all rows, ranges of the order are sorted apart and numbered by the sizes of the ranges before them. The rows
+    are written with their range first: planned twice, the ranges of the rows and those of their sizes could differ.
     """
     if by:
         return df.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    parts = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
     own = Window.partitionBy("__part").orderBy(*order)
     rows = parts.withColumn("__own", F.row_number().over(own) - 1)
     sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
@@ -43,11 +46,81 @@ def exclude(df: DataFrame, prompts: DataFrame, key: str) -> DataFrame:
     return df.join(prompts.select(key), key, "left_anti")
 
 
+def few_shot(df: DataFrame, k: int, *order, start: int = 0) -> DataFrame:
+    """Rows ``start`` to ``start + k`` of the order, with their place ``pos``: the examples of a prompt."""
+    first = df.orderBy(*order).limit(start + k)
+    return numbered(first.withColumn("__all", F.lit(0)), *order, by=("__all",)).filter(F.col("pos") >= start).drop("__all")
+
+
+def held_out(test: DataFrame, prompts: DataFrame, key: str, same_split: bool) -> DataFrame:
+    """Test rows that aren't examples; only where both come from one split can a row be either."""
+    return exclude(test, prompts, key) if same_split else test
+
+
+def positional_split(df: DataFrame, n: int, *order) -> tuple[DataFrame, DataFrame]:
+    """(the first n rows in order, the others), both with ``pos``."""
+    placed = numbered(df, *order)
+    return placed.filter(F.col("pos") < n), placed.filter(F.col("pos") >= n)
+
+
+def unmarked(df: DataFrame, text: str) -> DataFrame:
+    """Rows whose text has no square brackets, which mark entities."""
+    return df.filter(~F.col(text).rlike(r"[\[\]]"))
+
+
+def of_lengths(df: DataFrame, bucket: str, allowed: tuple = ("4k", "8k", "16k", "32k")) -> DataFrame:
+    return df.filter(F.col(bucket).isin(*allowed))
+
+
+def with_gold(df: DataFrame, gold: str) -> DataFrame:
+    """Rows whose gold answer is known."""
+    return df.filter(F.col(gold).isNotNull())
+
+
+def both_ways(df: DataFrame, right: str, wrong: str, text: str = "text", label: str = "correct") -> DataFrame:
+    """Two rows of each: its right sentence, labelled 1, and its wrong one, labelled 0."""
+    side = F.explode(F.array(F.struct(F.lit(1).alias("l"), F.col(right).alias("t")), F.struct(F.lit(0).alias("l"), F.col(wrong).alias("t"))))
+    return df.select(*[c for c in df.columns if c not in (right, wrong)], side.alias("__s")).select("*", F.col("__s.t").alias(text), F.col("__s.l").alias(label)).drop("__s")
+
+
+def parity(df: DataFrame, pos: str = "pos", name: str = "side") -> DataFrame:
+    """Adds the place's parity, by which pairs are put in one order or the other."""
+    return df.withColumn(name, (F.col(pos) % 2).cast("int"))
+
+
+def aligned(df: DataFrame, a: str, b: str, order: str, swapped_: str = "i") -> DataFrame:
+    """The two columns, exchanged in rows whose order says so."""
+    s = F.col(order) == swapped_
+    return df.withColumns({a: F.when(s, F.col(b)).otherwise(F.col(a)), b: F.when(s, F.col(a)).otherwise(F.col(b))})
+
+
+def by_subject(df: DataFrame, subject: str, shots: int, *order) -> tuple[DataFrame, DataFrame]:
+    """(examples, the others) of every subject in one scan: the first ``shots`` rows of each are examples."""
+    placed = numbered(df, *order, by=(subject,))
+    return placed.filter(F.col("pos") < shots), placed.filter(F.col("pos") >= shots).drop("pos")
+
+
+def crossed(questions: DataFrame, names: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Every question for every row of a small table (models, prompts): names go to each task, so they are counted first."""
+    n = names.limit(limit + 1).count()
+    if n > limit:
+        raise ValueError(f"more than {limit} rows would go with every question")
+    rows = [r.asDict() for r in names.collect()]
+    each = F.array(*[F.struct(*[F.lit(r[c]).cast(names.schema[c].dataType).alias(c) for c in names.columns]) for r in rows])
+    if not rows:
+        return questions.limit(0).select("*", *[F.lit(None).cast(names.schema[c].dataType).alias(c) for c in names.columns])
+    return questions.withColumn("__n", F.explode(each)).select(*questions.columns, *[F.col(f"__n.{c}").alias(c) for c in names.columns])
+
+
 def strided(df: DataFrame, n: int, key: str) -> DataFrame:
-    """First n rows of the walk over residue classes of the place, the step being a tenth of the rows, rounded up."""
+    """First n rows of the walk over residue classes of the place, the step being a tenth of the rows, rounded up.
+
+    Keys alone are numbered; the other columns join the n rows that are taken.
+    """
     total = df.agg(F.count(F.lit(1)).alias("k"))
-    placed = numbered(df, key).join(F.broadcast(total)).withColumn("step", F.greatest(F.floor((F.col("k") + 9) / 10), F.lit(1)))
-    return placed.withColumn("turn", F.col("pos") % F.col("step")).orderBy("turn", "pos").limit(n).drop("k", "step", "turn")
+    placed = numbered(df.select(key), key).join(F.broadcast(total)).withColumn("step", F.greatest(F.floor((F.col("k") + 9) / 10), F.lit(1)))
+    placed = placed.withColumn("turn", F.col("pos") % F.col("step")).orderBy("turn", "pos").limit(n).select(key, "pos")
+    return placed if df.columns == [key] else df.join(F.broadcast(placed), key)
 
 
 def per_group(df: DataFrame, n: int, group: str, *order) -> DataFrame:

@@ -150,15 +150,14 @@ def leaderboard_table(t):
 
 
 @query("""WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, CAST(quality AS DOUBLE) AS v FROM labels), n AS (SELECT count(*) AS n FROM r),
-d AS (SELECT bag, draw FROM range(0, 20) b(bag), range(0, 300) d(draw)),
-u AS (SELECT bag, (48271::BIGINT * bag + 69621 * draw + 12345) % 2147483647 AS u FROM d), y AS (SELECT bag, (u * u + 7) % 2147483647 AS y FROM u), z AS (SELECT bag, (y * y + 7) % 2147483647 AS z FROM y),
-x AS (SELECT bag, (z * 16807 % 2147483647) % n AS pos FROM z, n), a AS (SELECT bag, avg(v) AS value FROM x JOIN r USING (pos) GROUP BY bag)
+d AS (SELECT n, bag, unnest(range(0, n)) AS draw FROM n, range(0, 20) b(bag)),
+u AS (SELECT n, bag, (48271::BIGINT * bag + 69621 * draw + 12345) % 2147483647 AS u FROM d), y AS (SELECT n, bag, (u * u + 7) % 2147483647 AS y FROM u), z AS (SELECT n, bag, (y * y + 7) % 2147483647 AS z FROM y),
+x AS (SELECT bag, (z * 16807 % 2147483647) % n AS pos FROM z), a AS (SELECT bag, avg(v) AS value FROM x JOIN r USING (pos) GROUP BY bag)
 SELECT round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(avg(value) - stddev_pop(value), 6) AS lower, round(avg(value) + stddev_pop(value), 6) AS upper FROM a""")
 def bootstrap_mean_std(t):
+    """As many draws a bag as there are labels."""
     rows = sampling.numbered(t("labels").select("doc_id", "quality"), "doc_id")
-    total = t("labels").agg(F.count(F.lit(1)).alias("n"))
-    draws = rows.sparkSession.range(20 * 300).select(F.floor(F.col("id") / 300).alias("bag"), (F.col("id") % 300).alias("draw")).crossJoin(F.broadcast(total))
-    bags = draws.withColumn("pos", sampling.draw(F.col("bag"), F.col("draw"), F.col("n"))).join(rows, "pos").groupBy("bag").agg(F.avg("quality").alias("value"))
+    bags = bootstrap.resample(rows, "pos", rows.count(), 20).groupBy("bag").agg(F.avg("quality").alias("value"))
     return bootstrap.summary(bags).select(*[six(c).alias(c) for c in ("mean", "std", "lower", "upper")])
 
 
@@ -170,10 +169,10 @@ def evolution_table(t):
     return optimizer.evolution(rows, "model", "it", "l_quantity", ["y1998", "y1999"]).select("model", six("y1998").alias("y1998"), six("y1999").alias("y1999"))
 
 
-@query("""SELECT l_orderkey, round(avg(l_discount), 6) AS mean_score, min_by(CAST(l_suppkey AS VARCHAR), l_discount * 1000000000 + l_suppkey) AS worst FROM lineitem GROUP BY 1 ORDER BY round(avg(l_discount), 6), l_orderkey LIMIT 20""")
+@query("""SELECT l_orderkey, mean_score, worst FROM (SELECT l_orderkey, round(avg(CAST(l_discount AS DOUBLE)), 6) AS mean_score, arg_min(CAST(l_suppkey AS VARCHAR), (l_discount, CAST(l_suppkey AS VARCHAR))) AS worst FROM lineitem GROUP BY 1) ORDER BY mean_score, l_orderkey LIMIT 20""")
 def worst_samples(t):
-    rows = t("lineitem").groupBy("l_orderkey").agg(six(F.avg("l_discount")).alias("mean_score"), F.min(F.struct("l_discount", "l_suppkey"))["l_suppkey"].cast("string").alias("worst"))
-    return rows.orderBy("mean_score", "l_orderkey").limit(20)
+    rows = t("lineitem").select("l_orderkey", F.col("l_discount").cast("double").alias("s"), F.col("l_suppkey").cast("string").alias("p"))
+    return optimizer.worst_samples(rows, "l_orderkey", "s", "p", 20)
 
 
 @query("""WITH s AS (SELECT p_brand, avg(p_retailprice) AS score FROM part GROUP BY 1), r AS (SELECT p_brand, row_number() OVER (ORDER BY score DESC, p_brand) AS rank FROM s), w AS (SELECT *, 1.0 / rank / sum(1.0 / rank) OVER () AS weight FROM r)
@@ -219,7 +218,7 @@ def battle_consolidation(t):
     return rating.consolidate(judged).groupBy("winner").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(BATTLES + ", z AS (SELECT id, model, reference, (qa - qb) / (qa + qb) AS z FROM b), m AS (SELECT avg(z) AS m, stddev_pop(z) AS s FROM z) SELECT id, CAST(model AS VARCHAR) AS model, CAST(reference AS VARCHAR) AS reference, round((z - m) / s, 6) AS z0 FROM z, m")
+@query(BATTLES + ", z AS (SELECT id, model, reference, (qa - qb) / (qa + qb) AS z FROM b) SELECT id, CAST(model AS VARCHAR) AS model, CAST(reference AS VARCHAR) AS reference, round((z - avg(z) OVER ()) / stddev_pop(z) OVER (), 6) AS z0 FROM z")
 def style_features(t):
     return rating.style_features(battles(t), [("qa", "qb")]).select("id", "model", "reference", six("z0").alias("z0"))
 

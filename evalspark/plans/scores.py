@@ -145,44 +145,50 @@ def r_precision(t):
 
 SQUAD = r"""array_to_string(list_filter(string_split_regex(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')"""
 WORDS = "list_filter(string_split_regex({0}, '[\\x09-\\x0D ]+'), lambda x: x <> '')"
-OVERLAP = """t AS (SELECT doc_id, unnest(p) AS w, 1 AS p, 0 AS g FROM x UNION ALL SELECT doc_id, unnest(g), 0, 1 FROM x),
-c AS (SELECT doc_id, w, sum(p) AS p, sum(g) AS g FROM t GROUP BY ALL), o AS (SELECT doc_id, sum(least(p, g)) AS same FROM c GROUP BY doc_id)"""
+#: Token lists p and g of x, unnested once and counted.
+OVERLAP = """t AS (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS i, 1 AS p, 0 AS g FROM x UNION ALL SELECT doc_id, unnest(g), generate_subscripts(g, 1), 0, 1 FROM x),
+{grams}c AS (SELECT doc_id, w, sum(p) AS p, sum(g) AS g FROM {rows} GROUP BY ALL), o AS (SELECT doc_id, sum(least(p, g)) AS same, sum(p) AS np, sum(g) AS ng FROM c GROUP BY doc_id)"""
+ONES = OVERLAP.format(grams="", rows="t")
+TWOS = OVERLAP.format(grams="u AS (SELECT doc_id, p, g, w || ' ' || lead(w) OVER (PARTITION BY doc_id, p ORDER BY i) AS w FROM t), ", rows="u WHERE w IS NOT NULL")
+F1 = "round(CASE WHEN coalesce(same, 0) > 0 THEN 2.0 * same / (np + ng) ELSE 0 END, 6)"
 
 
-@query(f"""WITH q AS ({PAIRS}), x AS (SELECT doc_id, {WORDS.format(SQUAD.format('pred'))} AS p, {WORDS.format(SQUAD.format('gold'))} AS g, {SQUAD.format('pred')} = {SQUAD.format('gold')} AS em FROM q), {OVERLAP}
-SELECT doc_id, round(CASE WHEN len(p) = 0 OR len(g) = 0 THEN CASE WHEN len(p) = len(g) THEN 1 ELSE 0 END WHEN coalesce(same, 0) > 0 THEN 2.0 * same / (len(p) + len(g)) ELSE 0 END, 6) AS f1, CAST(em AS DOUBLE) AS em FROM x LEFT JOIN o USING (doc_id)""")
+@query(f"""WITH q AS MATERIALIZED (SELECT doc_id, {SQUAD.format('pred')} AS a, {SQUAD.format('gold')} AS b FROM ({PAIRS})),
+x AS MATERIALIZED (SELECT doc_id, string_split(a, ' ') AS p, string_split(b, ' ') AS g, a = b AS em, a = '' OR b = '' AS none FROM q), {ONES}
+SELECT doc_id, round(CASE WHEN none THEN CAST(em AS INTEGER) WHEN coalesce(same, 0) > 0 THEN 2.0 * same / (np + ng) ELSE 0 END, 6) AS f1, CAST(em AS DOUBLE) AS em FROM x LEFT JOIN o USING (doc_id)""")
 def squad_f1_em(t):
-    p, g = text.squad_normal(F.col("pred")), text.squad_normal(F.col("gold"))
-    rows = pairs(t).select("doc_id", text.words(p).alias("p"), text.words(g).alias("g"))
-    same = agg.token_overlap(rows, "doc_id", "p", "g")
-    empty = (F.col("np") == 0) | (F.col("ng") == 0)
-    f1 = F.when(empty, (F.col("np") == F.col("ng")).cast("double")).otherwise(text.f_measure(F.col("same"), F.col("np"), F.col("ng")))
-    return same.select("doc_id", six(f1).alias("f1")).join(pairs(t).select("doc_id", (p == g).cast("double").alias("em")), "doc_id")
+    plain = pairs(t).select("doc_id", text.squad_normal(F.col("pred")).alias("p"), text.squad_normal(F.col("gold")).alias("g"))
+    rows = plain.select("doc_id", (F.col("p") == F.col("g")).cast("double").alias("em"), sequence.overlap()(text.words(F.col("p")), text.words(F.col("g"))).alias("o"))
+    empty = (F.col("o.np") == 0) | (F.col("o.ng") == 0)
+    f1 = F.when(empty, (F.col("o.np") == F.col("o.ng")).cast("double")).otherwise(text.f_measure(F.col("o.same"), F.col("o.np"), F.col("o.ng")))
+    return rows.select("doc_id", six(f1).alias("f1"), "em")
 
 
 ROUGE = r"list_filter(string_split_regex(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', ' ', 'g'), '\s+'), lambda x: x <> '')"
-GRAMS = "CASE WHEN len({0}) >= {1} THEN list_transform(range(1, len({0}) - {1} + 2), lambda i: array_to_string({0}[i:i + {1} - 1], ' ')) ELSE [] END"
 
 
-def rouge_sql(n):
-    return f"""WITH q AS ({PAIRS}), y AS (SELECT doc_id, {ROUGE.format('pred')} AS a, {ROUGE.format('gold')} AS b FROM q),
-x AS (SELECT doc_id, {GRAMS.format('a', n)} AS p, {GRAMS.format('b', n)} AS g FROM y), {OVERLAP}
-SELECT doc_id, round(CASE WHEN coalesce(same, 0) > 0 THEN 2.0 * same / (len(p) + len(g)) ELSE 0 END, 6) AS f FROM x LEFT JOIN o USING (doc_id)"""
+def rouge_sql(counts):
+    return f"""WITH q AS ({PAIRS}), x AS MATERIALIZED (SELECT doc_id, {ROUGE.format('pred')} AS p, {ROUGE.format('gold')} AS g FROM q), {counts}
+SELECT doc_id, {F1} AS f FROM x LEFT JOIN o USING (doc_id)"""
+
+
+def overlap_f1(rows, n, name):
+    """F-measure of the n-grams of the token arrays pred and gold; nothing is shuffled."""
+    counted = rows.select("doc_id", sequence.overlap(n)(F.col("pred"), F.col("gold")).alias("o"))
+    return counted.select("doc_id", six(text.f_measure(F.col("o.same"), F.col("o.np"), F.col("o.ng"))).alias(name))
 
 
 def rouge_rows(t, n):
-    """N-gram counts as rows: long texts cost their length, not its square."""
-    grams = lambda c: text.ngrams(text.rouge_tokens(F.col(c)), n).alias(c)
-    same = agg.token_overlap(pairs(t).select("doc_id", grams("pred"), grams("gold")), "doc_id", "pred", "gold")
-    return same.select("doc_id", six(text.f_measure(F.col("same"), F.col("np"), F.col("ng"))).alias("f"))
+    tokens = lambda c: text.rouge_tokens(F.col(c)).alias(c)
+    return overlap_f1(pairs(t).select("doc_id", tokens("pred"), tokens("gold")), n, "f")
 
 
-@query(rouge_sql(1))
+@query(rouge_sql(ONES))
 def rouge_1(t):
     return rouge_rows(t, 1)
 
 
-@query(rouge_sql(2))
+@query(rouge_sql(TWOS))
 def rouge_2(t):
     return rouge_rows(t, 2)
 
@@ -195,17 +201,19 @@ def rouge_l(t):
 LIBRA = r"array_to_string(list_transform(list_filter(string_split_regex({0}, '\s+'), lambda x: x <> ''), lambda w: regexp_replace(lower(w), '[^a-zа-яй0-9_]+', '', 'g')), ' ')"
 
 
-@query(f"""WITH q AS ({PAIRS}) SELECT doc_id, CAST(contains({LIBRA.format('pred')}, {LIBRA.format('left(gold, 6)')}) AS DOUBLE) AS em FROM q""")
+@query(f"""WITH q AS (SELECT p.*, lang FROM ({PAIRS}) p JOIN documents USING (doc_id)), n AS MATERIALIZED (SELECT doc_id, {LIBRA.format('pred')} AS p, {LIBRA.format('gold')} AS g, {LIBRA.format('lang')} AS l FROM q)
+SELECT doc_id, CAST(contains(p, g) OR contains(p, l) AS DOUBLE) AS em FROM n""")
 def libra_em(t):
-    return pairs(t).select("doc_id", text.libra_em(F.col("pred"), F.left("gold", F.lit(6))).alias("em"))
+    """Best over two gold answers: the benchmark's passage and the name of the language."""
+    rows = pairs(t).join(t("documents").select("doc_id", "lang"), "doc_id")
+    return rows.select("doc_id", text.libra_score(F.lit("em"), F.col("pred"), F.array("gold", "lang")).alias("em"))
 
 
-@query(f"""WITH q AS ({PAIRS}), x AS (SELECT doc_id, {WORDS.format(LIBRA.format('pred'))} AS p, {WORDS.format(LIBRA.format('gold'))} AS g FROM q), {OVERLAP}
-SELECT doc_id, round(CASE WHEN coalesce(same, 0) > 0 THEN 2.0 * same / (len(p) + len(g)) ELSE 0 END, 6) AS f1 FROM x LEFT JOIN o USING (doc_id)""")
+@query(f"""WITH q AS ({PAIRS}), x AS MATERIALIZED (SELECT doc_id, {WORDS.format(LIBRA.format('pred'))} AS p, {WORDS.format(LIBRA.format('gold'))} AS g FROM q), {ONES}
+SELECT doc_id, {F1} AS f1 FROM x LEFT JOIN o USING (doc_id)""")
 def libra_f1(t):
     tokens = lambda c: text.words(text.libra_normal(F.col(c))).alias(c)
-    same = agg.token_overlap(pairs(t).select("doc_id", tokens("pred"), tokens("gold")), "doc_id", "pred", "gold")
-    return same.select("doc_id", six(text.f_measure(F.col("same"), F.col("np"), F.col("ng"))).alias("f1"))
+    return overlap_f1(pairs(t).select("doc_id", tokens("pred"), tokens("gold")), 1, "f1")
 
 
 @query("""SELECT event_id, round(CASE WHEN len(n) = 0 THEN 0 ELSE len(list_filter(n, lambda x: x = CAST(user_id AS VARCHAR))) / len(n) END, 6) AS score FROM (SELECT event_id, user_id, regexp_extract_all(props || ' ' || user_id, '[0-9]+') AS n FROM events)""")

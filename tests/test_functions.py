@@ -104,10 +104,29 @@ def test_spans(spark):
 
 def test_nested_and_math(spark):
     assert nested_entities("<A>x <B>y</B></A> </C>") == [("B", "y"), ("A", "x y")]
+    assert math_value("1\\\\;000") == math_value("1000") and math_value("1;2") != math_value("12")
     assert math_value("\\frac{1}{2}") == 0.5 == math_value("0.5")
     assert one(spark, sequence.math_equal(F.lit("\\boxed{\\frac{4}{2}}"), F.lit("2")), sequence.math_equal(F.lit("2"), F.lit("2")))[0:2] == (1.0, 0.0)
 
 
+def test_lcs_and_overlaps_by_brute_force(spark):
+    r = random.Random(11)
+    for _ in range(200):
+        a, b = ([r.choice("abcde") for _ in range(r.randrange(0, 90))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = old[j] + 1 if x == y else max(old[j + 1], row[j])
+        assert lcs(a, b) == row[-1]
+    rows = [([r.choice("xyz") for _ in range(r.randrange(0, 9))], [r.choice("xyz") for _ in range(r.randrange(0, 9))]) for _ in range(40)] + [(None, ["x"])]
+    df = spark.createDataFrame(rows, "p array<string>, g array<string>")
+    for n in (1, 2):
+        for p, g, o in df.select("p", "g", sequence.overlap(n)(F.col("p"), F.col("g"))).collect():
+            a, b = (Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in (p or [], g))
+            assert tuple(o) == (sum((a & b).values()), sum(a.values()), sum(b.values()))
+
+
 def test_copied_is_matching_blocks(spark):
     a, b = "abcdefghij" * 12, "abcdefghij" * 12 + "x"
     assert one(spark, sequence.copied(F.lit(a), F.lit(b)), sequence.copied(F.lit(a), F.lit("zz")))[0:2] == (1.0, 0.0)

@@ -41,6 +41,42 @@ def test_numbering_is_dense(spark):
     assert df.filter("pos <> k").count() == 0 and df.count() == 1000
 
 
+def test_numbering_of_wide_rows(spark):
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = spark.range(200_000).select((F.col("id") * 7919 % 200_000).alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 8).alias("text"))
+        df = sampling.numbered(rows, "k")
+        assert df.count() == 200_000 and df.filter("pos <> k").count() == 0
+        pools = sampling.distractors(rows.select("k", F.col("k").cast("string").alias("c")), "k", "c")
+        assert pools.filter("size(pool) <> 5").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_small_row_operators(spark):
+    df = spark.createDataFrame([(i, f"t{i}" + "[" * (i == 2), "good", "bad", "i" if i % 2 else "d", None if i == 4 else "A", f"{4 << i % 3}k") for i in range(6)], "k int, text string, a string, b string, o string, gold string, len string")
+    keys = lambda x: sorted(r.k for r in x.collect())
+    assert [(r.k, r.pos) for r in sampling.few_shot(df, 2, "k", start=3).orderBy("k").collect()] == [(3, 3), (4, 4)]
+    shots = df.filter("k < 2")
+    assert keys(sampling.held_out(df, shots, "k", True)) == [2, 3, 4, 5] and keys(sampling.held_out(df, shots, "k", False)) == list(range(6))
+    first, others = sampling.positional_split(df, 2, "k")
+    assert keys(first) == [0, 1] and keys(others) == [2, 3, 4, 5]
+    assert keys(sampling.unmarked(df, "text")) == [0, 1, 3, 4, 5] and keys(sampling.with_gold(df, "gold")) == [0, 1, 2, 3, 5]
+    assert keys(sampling.of_lengths(df, "len", ("4k",))) == [0, 3]
+    both = sampling.both_ways(df.select("k", "a", "b"), "a", "b")
+    assert sorted(tuple(r) for r in both.filter("k = 1").collect()) == [(1, "bad", 0), (1, "good", 1)] and both.columns == ["k", "text", "correct"]
+    assert [r.side for r in sampling.parity(df, "k").orderBy("k").collect()] == [0, 1] * 3
+    assert {(r.o, r.a) for r in sampling.aligned(df, "a", "b", "o").collect()} == {("i", "bad"), ("d", "good")}
+    shots, rest = sampling.by_subject(df, "o", 1, "k")
+    assert keys(shots) == [0, 1] and keys(rest) == [2, 3, 4, 5]
+    names = spark.createDataFrame([("x", 1), ("y", 2)], "model string, n int")
+    crossed = sampling.crossed(df.select("k"), names)
+    assert crossed.count() == 12 and crossed.columns == ["k", "model", "n"] and sampling.crossed(df, names.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        sampling.crossed(df, spark.range(5).toDF("m"), limit=4)
+
+
 def test_packing_drops_the_last_first(spark):
     shots = spark.createDataFrame([(0, "a", 2), (1, "b", 3), (2, "c", 4)], "pos long, text string, len long")
     q = spark.createDataFrame([(1, 1), (2, 5), (3, 50)], "id int, n int")
