@@ -104,7 +104,7 @@ def test_spans(spark):
 
 def test_nested_and_math(spark):
     assert nested_entities("<A>x <B>y</B></A> </C>") == [("B", "y"), ("A", "x y")]
-    assert math_value("1\\\\;000") == math_value("1000") and math_value("1;2") != math_value("12")
+    assert math_value("1" + chr(92) + ";000") == math_value("1000") and math_value("1;2") != math_value("12")
     assert math_value("\\frac{1}{2}") == 0.5 == math_value("0.5")
     assert one(spark, sequence.math_equal(F.lit("\\boxed{\\frac{4}{2}}"), F.lit("2")), sequence.math_equal(F.lit("2"), F.lit("2")))[0:2] == (1.0, 0.0)
 
