@@ -107,3 +107,8 @@ def kinopoisk_gold(label: Column) -> Column:
 def gold_letter(answer: Column) -> Column:
     """Letter of an answer, Cyrillic look-alikes as Latin ones (fixed values)."""
     return F.translate(F.upper(F.trim(answer)), "АВСЕ", "ABCE")
+
+
+def starts_gold(gold: Column, predicted: Column) -> Column:
+    """1 if the gold answer starts with the prediction."""
+    return F.startswith(gold, predicted).cast("int")

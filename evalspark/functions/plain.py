@@ -152,3 +152,8 @@ def blocks_cover(a: str, b: str, share: float) -> bool:
         # The smaller region first: it is settled soonest.
         todo += sorted(parts, key=lambda p: p[1] - p[2])
     return (len(a) - lost) / len(a) >= share
+
+
+def rouge_words(text: str) -> list[str]:
+    """Tokens as :func:`text.rouge_tokens` has them."""
+    return re.sub(r"[!-/:-@\[-`{-~]", " ", text.lower()).split()

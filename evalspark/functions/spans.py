@@ -95,3 +95,57 @@ def valid_opinions(text: Column, opinions: Column) -> Column:
     """Opinions whose phrases occur in the text, in any case."""
     within = lambda p: p.isin("AUTHOR", "NULL") | F.lower(text).contains(F.lower(p))
     return F.filter(opinions, lambda o: within(o["Source"]) & within(o["Target"]) & within(o["Expression"]))
+
+
+#: Tokens of a text to be tagged, and the marks that take no space before or after them.
+TOKENS = r"(?U)\d+.\d+|\w+|\.{3}|[.,!?:;()\[\]«»]"
+CLOSE, OPEN = (".", ",", "!", "?", ":", ";", "»", ")", "..."), ("(", "«")
+
+
+def tag_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))
+
+
+def join_tokens(tokens: Column) -> Column:
+    """Tokens as a text: spaces between them, but not before closing marks and not after opening ones."""
+    init = F.struct(F.lit("").alias("text"), F.lit("").alias("last"))
+    spaced = lambda a, t: F.when(t.isin(*CLOSE) | a["last"].isin(*OPEN) | (a["last"] == ""), t).otherwise(F.concat(F.lit(" "), t))
+    return F.aggregate(tokens, init, lambda a, t: F.struct(F.concat(a["text"], spaced(a, t)).alias("text"), t.alias("last")))["text"]
+
+
+def without_brackets(tokens: Column, tags: Column) -> Column:
+    """(token, tag) pairs of two parallel arrays, without square brackets."""
+    return F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("token"), F.get(tags, i).alias("tag"))), lambda x: ~x["token"].isin("[", "]"))
+
+
+def annotations(lines: Column) -> Column:
+    """(begin, end, tag, text) of annotation lines ``id TAG begin end[;begin end] text``, a row for each stretch; by begin,
+    the longer one first."""
+    line = r"^\w+\s(\w+)\s(\d+\s\d+(?:;\d+\s\d+)*)\s(.+)"
+    part = lambda x, k: F.regexp_extract(x, line, k)
+    number = lambda pair, k: F.element_at(F.split(pair, r"\s"), k).cast("int")
+    each = lambda x: F.transform(F.split(part(x, 2), ";"), lambda p: F.struct(number(p, 1).alias("begin"), (-number(p, 2)).alias("back"), part(x, 1).alias("tag"), part(x, 3).alias("text")))
+    found = F.flatten(F.transform(F.filter(lines, lambda x: x.rlike(line)), each))
+    return F.transform(F.array_sort(found), lambda x: F.struct(x["begin"].alias("begin"), (-x["back"]).alias("end"), x["tag"].alias("tag"), x["text"].alias("text")))
+
+
+def parallel_spans(begin: Column, end: Column, tag: Column, text: Column) -> Column:
+    """(begin, end, tag, text) of four parallel arrays, by begin; of equals in their order."""
+    rows = F.transform(begin, lambda b, i: F.struct(b.alias("begin"), i.alias("i"), F.get(end, i).alias("end"), F.get(tag, i).alias("tag"), F.get(text, i).alias("text")))
+    return F.transform(F.array_sort(rows), lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), x["tag"].alias("tag"), x["text"].alias("text")))
+
+
+def strings(json: Column) -> Column:
+    """A JSON column as an array of strings."""
+    return F.from_json(json, "array<string>")
+
+
+def opinion_sums(gold: Column, predicted: Column, match=opinion_match, weight=opinion_weight) -> Column:
+    """(wp, np, wr, nr) of a sample's opinions: weights of those that have a match on the other side, and how many there are.
+
+    The weight of one is its best over its matches.
+    """
+    best = lambda o, others, of: F.coalesce(F.array_max(F.transform(F.filter(others, lambda x: match(o, x)), lambda x: of(o, x))), F.lit(0.0))
+    total = lambda xs, others, of: F.aggregate(xs, F.lit(0.0), lambda n, o: n + best(o, others, of))
+    size = lambda x: F.size(x).cast("double")
+    return F.struct(total(predicted, gold, lambda o, x: weight(o, x)).alias("wp"), size(predicted).alias("np"), total(gold, predicted, lambda o, x: weight(o, x)).alias("wr"), size(gold).alias("nr"))

@@ -12,6 +12,55 @@ def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
+#: Names of roles that mean another.
+ROLES = {"bot": "assistant"}
+
+
+def conversation(messages: Column, inputs: Column) -> Column:
+    """Messages with {names} replaced by the fields of a map, and the roles under their usual names; an unknown role is an error."""
+    put = lambda text: F.aggregate(F.map_entries(inputs), text, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
+    role = lambda r: F.when(r.isin(*ROLES), F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), r)).when(r.isin("system", "user", "assistant"), r).otherwise(F.raise_error(F.concat(F.lit("unknown role "), r)).cast("string"))
+    return F.transform(messages, lambda m: F.struct(role(m["role"]).alias("role"), put(m["content"]).alias("content")))
+
+
+def pack_instructed(df: DataFrame, examples: DataFrame, budget: int, query: str, full: str, short: str, size=None, repeat: bool = False) -> DataFrame:
+    """Adds ``messages`` (user texts, the query's last) of which the first has the full instruction and the others the short one.
+
+    ``examples`` (pos, text, answer) are a handful; the longest prefix of them that fits under the budget with the query
+    is taken. A query alone has the full instruction, as has every one with ``repeat``.
+    """
+    size = size or word_tokens
+    put = lambda template, text: F.replace(F.lit(template), F.lit("{text}"), text)
+    shots = examples.agg(F.array_sort(F.collect_list(F.struct("pos", "text", "answer"))).alias("__s"))
+    rows = df.crossJoin(F.broadcast(shots))
+    turns = F.transform("__s", lambda x, i: F.array(F.struct(F.lit("user").alias("role"), F.when(i == 0, put(full, x["text"])).otherwise(put(short, x["text"])).alias("content")), F.struct(F.lit("assistant").alias("role"), x["answer"].alias("content"))))
+    length = lambda pair: size(pair[0]["content"]) + size(pair[1]["content"])
+    # With examples the query has the short instruction; the budget is over what comes of it.
+    own = lambda template: F.array(F.struct(F.lit("user").alias("role"), put(template, F.col(query)).alias("content")))
+    rows = rows.withColumn("__t", turns).withColumn("__own", own(full if repeat else short))
+    upto = F.aggregate("__t", F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out")), lambda a, p: F.struct((a["n"] + length(p)).alias("n"), F.array_append(a["out"], a["n"] + length(p)).alias("out")))["out"]
+    fit = F.size(F.filter(upto, lambda n: n + size(F.col("__own")[0]["content"]) < budget))
+    rows = rows.withColumn("__k", fit)
+    return rows.withColumn("messages", F.when(F.col("__k") == 0, own(full)).otherwise(F.concat(F.flatten(F.slice("__t", F.lit(1), F.col("__k"))), F.col("__own")))).drop("__s", "__t", "__own", "__k")
+
+
+def numbered_answers(answers: Column) -> Column:
+    """Accepted answers as lines 1) ..., 2) ..."""
+    return F.array_join(F.transform(answers, lambda x, i: F.concat((i + 1).cast("string"), F.lit(") "), x)), "\n")
+
+
+def judge_messages(question: Column, predicted: Column, answers: Column, shots: list[tuple[str, str]], layout: str = "Question: {q}\n\nAnswer: {p}\n\nAccepted answers:\n{a}") -> Column:
+    """A Yes/No dialogue that ends with the answer to be judged: pairs of (case, verdict), then the case in the same layout."""
+    own = fill(layout, q=question, p=predicted, a=numbered_answers(answers))
+    turns = [message(r, F.lit(x)) for case, verdict in shots for r, x in (("user", case), ("assistant", verdict))]
+    return F.array(*turns, message("user", own))
+
+
+def allowed_words(text: Column, frame: str = "") -> Column:
+    """The distinct words that an answer drawn from a text may use, with those of a fixed frame around it."""
+    return F.array_distinct(F.concat(F.split(F.lit(frame), r"\s+"), F.split(text, r"\s+")))
+
+
 def fill(template: str, **values: Column) -> Column:
     """A template with {names} replaced."""
     out = F.lit(template)
@@ -56,10 +105,13 @@ def history(df: DataFrame, dialogue: str, turn: str, text: str, budget: int) ->
     """
     from pyspark.sql.window import Window
 
-    before = Window.partitionBy(dialogue).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("len", word_tokens(F.col(text))).withColumn("upto", F.coalesce(F.sum("len").over(before), F.lit(0)))
-    past = F.coalesce(F.collect_list(F.struct(F.col("upto").alias("from"), F.col(text).alias("text"))).over(before), F.array())
-    return rows.withColumn("context", F.transform(F.filter(past, lambda x: F.col("upto") - x["from"] + F.col("len") <= budget), lambda x: x["text"])).drop("len", "upto")
+    own = Window.partitionBy(dialogue).orderBy(turn)
+    rows = df.withColumn("len", word_tokens(F.col(text))).withColumn("upto", F.coalesce(F.sum("len").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # What can fit starts less than the budget back: the window is a range of the running total, not the whole dialogue.
+    back = Window.partitionBy(dialogue).orderBy("upto").rangeBetween(-budget, 0)
+    past = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col("upto").alias("from"), F.col(text).alias("text"))).over(back))
+    fits = F.filter(past, lambda x: (x["turn"] < F.col(turn)) & (F.col("upto") - x["from"] + F.col("len") <= budget))
+    return rows.withColumn("context", F.transform(fits, lambda x: x["text"])).drop("len", "upto")
 
 
 def lettered(options: Column) -> Column:

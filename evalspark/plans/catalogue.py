@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boards, scores  # noqa: F401  registers the queries
+from . import boards, parts, scores  # noqa: F401  registers the queries
 from .registry import QUERIES, SQL
 
 

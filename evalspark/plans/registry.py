@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -29,7 +31,13 @@ def query(sql: str | None = None):
 
 @dataclass(frozen=True)
 class TaskSpec:
-    """A task: how rows are scored, how each metric is aggregated, and which metrics its score is the mean of."""
+    """A task: where its rows lie, what is asked, how rows are scored, how each metric is aggregated, and which metrics its
+    score is the mean of.
+
+    ``prepare`` makes rows with what the templates and the scorer name; ``gold`` is the expected answer as a column of
+    them. ``user`` and ``bot`` are templates of {columns}; an answer follows ``bot``. Rows to be scored have the column
+    ``pred``, which :meth:`predict` adds.
+    """
 
     name: str
     method: str
@@ -37,25 +45,62 @@ class TaskSpec:
     aggs: dict[str, Callable[[DataFrame], DataFrame]]
     leaderboard: tuple[str, ...] = ()
     bootstrap: bool = True
-    load: Callable | None = None
+    data: str = ""
+    subset: str | None = None
+    splits: tuple[str, str] = ("test", "prompt")
+    first_shot: int = 0
+    choices: tuple[str, ...] = ()
+    gold: Callable[[], Column] | None = None
+    prepare: Callable[[DataFrame], DataFrame] | None = None
+    user: str = "{text}"
+    bot: str = ""
+    system: str = ""
     params: dict = field(default_factory=dict)
 
-    def evaluate(self, df: DataFrame) -> DataFrame:
-        """(task, metric, value) of scored rows; each aggregate gives one row with one value."""
-        from functools import reduce
-
-        from pyspark.sql import functions as F
+    def load(self, spark, root: str, split: str | None = None, form: str = "parquet") -> DataFrame:
+        """Rows of a split below ``root``: the task's data set, its subset where it has one, and the split, as folders."""
+        path = "/".join(x for x in (root.rstrip("/"), self.data, self.subset, split or self.splits[0]) if x)
+        df = spark.read.format(form).load(path)
+        return self.prepare(df) if self.prepare else df
+
+    def messages(self, df: DataFrame, answered: bool = False) -> Column:
+        """Messages of a row; with its answer where it is an example."""
+        from ..operators.prompts import fill, message
+
+        values = {c: F.col(c).cast("string") for c in df.columns if "{" + c + "}" in self.user + self.bot}
+        out = [message("system", F.lit(self.system))] if self.system else []
+        out.append(message("user", fill(self.user, **values)))
+        answer = fill(self.bot, **values)
+        if answered:
+            answer = F.concat(answer, self.gold())
+        return F.array(*out, message("assistant", answer)) if answered or self.bot else F.array(*out)
+
+    def ask(self, df: DataFrame, examples: DataFrame | None = None) -> DataFrame:
+        """Adds ``prompt``: the examples, which are a handful, and then the row itself, as one text."""
+        from ..operators.prompts import rendered
+
+        own = rendered(self.messages(df))
+        if examples is None:
+            return df.withColumn("prompt", own)
+        text = "\n".join(r[0] for r in examples.select(rendered(self.messages(examples, answered=True))).collect())
+        return df.withColumn("prompt", F.concat(F.lit(text + "\n"), own))
+
+    def predict(self, df: DataFrame, make) -> DataFrame:
+        """Adds ``pred``: the likeliest choice, or the generated text."""
+        from ..functions.choice import argmax
+        from ..operators.predict import choose, generate
+
+        if self.method == "choose":
+            return choose(df, "prompt", list(self.choices), make).withColumn("pred", argmax(F.col("probs")))
+        return generate(df, "prompt", make).withColumnRenamed("pred_text", "pred")
 
+    def evaluate(self, df: DataFrame) -> DataFrame:
+        """(task, metric, value) of rows with predictions; each aggregate gives one row with one value."""
         scored = self.scorer(df)
-        rows = []
-        for metric, agg in self.aggs.items():
-            one = agg(scored).toDF("value")
-            rows.append(one.select(F.lit(self.name).alias("task"), F.lit(metric).alias("metric"), F.col("value").cast("double").alias("value")))
-        return reduce(DataFrame.unionByName, rows)
+        one = lambda metric, agg: agg(scored).toDF("value").select(F.lit(self.name).alias("task"), F.lit(metric).alias("metric"), F.col("value").cast("double").alias("value"))
+        return reduce(DataFrame.unionByName, [one(m, a) for m, a in self.aggs.items()])
 
     def score(self, metrics: DataFrame) -> DataFrame:
-        from pyspark.sql import functions as F
-
         kept = metrics.filter(F.col("metric").isin(*self.leaderboard)) if self.leaderboard else metrics
         return kept.groupBy("task").agg(F.avg("value").alias("score"))
 

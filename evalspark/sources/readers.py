@@ -22,10 +22,14 @@ def slices(spark: SparkSession, paths: dict[str, str], form: str = "parquet") ->
 
 
 def jsonl(spark: SparkSession, path: str, schema=None, first: int | None = None) -> DataFrame:
-    """Lines of JSON; the first n of them on request."""
+    """Lines of JSON; on request the first n, by their places in the files."""
     reader = spark.read.schema(schema) if schema else spark.read
     df = reader.json(path)
-    return df if first is None else df.limit(first)
+    if first is None:
+        return df
+    # A file's first bytes come first; lines keep their order within a file's blocks, and blocks theirs.
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__i"))
+    return lines.orderBy("__f", "__b", "__i").limit(first).select(F.from_json("value", df.schema).alias("d")).select("d.*")
 
 
 def json_arrays(spark: SparkSession, paths: list[str], schema=None) -> DataFrame:
@@ -89,3 +93,41 @@ def first_known(configured: DataFrame, registered: DataFrame, key: str = "task")
 def images(spark: SparkSession, path: str) -> DataFrame:
     """(path, image_url): files as data URLs."""
     return spark.read.format("binaryFile").load(path).select("path", F.concat(F.lit("data:image/jpeg;base64,"), F.base64("content")).alias("image_url"))
+
+
+def model_info(url: str, timeout: float = 10.0) -> dict[str, dict]:
+    """Models that an OpenAI-like server lists, by name."""
+    import urllib.request
+
+    with urllib.request.urlopen(f"{url.rstrip('/')}/v1/models", timeout=timeout) as r:  # noqa: S310
+        return {m["id"]: m for m in json.load(r)["data"]}
+
+
+class TokenCounter:
+    """Token counts of a server's ``/tokenize``; each text is asked for on its own, so one failure doesn't spoil the others."""
+
+    def __init__(self, url: str, model: str, timeout: float = 30.0):
+        self.url, self.model, self.timeout = url.rstrip("/"), model, timeout
+
+    def __call__(self, text: str) -> int | None:
+        import urllib.error
+        import urllib.request
+
+        body = json.dumps({"model": self.model, "prompt": text}).encode()
+        request = urllib.request.Request(f"{self.url}/tokenize", body, {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as r:  # noqa: S310
+                return int(json.load(r)["count"])
+        except (urllib.error.URLError, KeyError, ValueError, OSError):
+            return None
+
+
+def token_counts(df: DataFrame, text: str, url: str, model: str) -> DataFrame:
+    """Adds ``tokens``: a server's count, null where it gave none."""
+    import pandas as pd
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(TokenCounter(url, model)).astype("Int32")
+
+    return df.withColumn("tokens", count(F.col(text)))

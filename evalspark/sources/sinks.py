@@ -21,6 +21,14 @@ def totals(metrics: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("model", "task").json(path)
 
 
+def details(scored: DataFrame, path: str, keys: tuple = ("model", "task")) -> None:
+    """Beside the totals, what each aggregate was made of: count, mean, deviation and extremes of each numeric metric."""
+    numeric = [f.name for f in scored.schema.fields if f.name not in keys and f.dataType.typeName() in ("double", "float", "integer", "long", "boolean")]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in numeric]))
+    rows = scored.select(*keys, each.alias("m")).select(*keys, "m.*").groupBy(*keys, "metric")
+    rows.agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("least"), F.max("value").alias("greatest")).write.mode("overwrite").partitionBy(*keys).json(path)
+
+
 def params(settings: dict, path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
         json.dump(settings, f, ensure_ascii=False, indent=4)
