@@ -24,8 +24,8 @@ SKETCH = 512
 MANY = 16
 #: Signatures that a task holds before it hands them on.
 HOLD = 500_000
-#: Members of a widely shared part, asking or asked, that one task compares.
-TILE = 4096
+#: Members of a widely shared part, asking or asked, that are compared at once; members to a bucket of parts.
+TILE, MEMBERS = 16_384, 32_768
 #: Partners of a node that one task checks, and rows up to which the asked nodes go to each task as a table.
 GROUP, BROADCAST = 64, 500_000
 
@@ -326,7 +326,7 @@ class Members:
         return self.node[i], self.node[j]
 
 
-def rest(wide: DataFrame, nodes: DataFrame, roots: DataFrame, nearest: bool, buckets: int) -> DataFrame:
+def rest(wide: DataFrame, nodes: DataFrame, roots: DataFrame, nearest: bool) -> DataFrame:
     """Pairs that widely shared parts may still hide.
 
     A set with parts to spare, beyond its w widely shared ones, has met all its partners elsewhere. One without shares
@@ -335,7 +335,8 @@ def rest(wide: DataFrame, nodes: DataFrame, roots: DataFrame, nearest: bool, buc
     members are one component already. With ``nearest`` it gets the one of them that is least far by sketch: a first
     step that joins up most, so that few pairs are left for the whole search.
 
-    A part with many members is cut into tiles of TILE asking ones by TILE members, which go to different tasks.
+    A part with many members is cut into tiles of TILE asking ones by TILE members, which go to different tasks. Tiles
+    are dealt to buckets of about MEMBERS rows; a pair that several tiles of one bucket have is given once.
     """
     from pyspark.sql.window import Window
 
@@ -349,13 +350,18 @@ def rest(wide: DataFrame, nodes: DataFrame, roots: DataFrame, nearest: bool, buc
     tiles = asks.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("fs"), F.ceil(F.max("n") / TILE).cast("int").alias("ms"))
     share = lambda n: F.pmod(F.xxhash64("b", F.lit(1)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = member.select("a", "b").join(tiles, "a").select("a", "b", every("fs").alias("i"), share("ms").alias("j"), F.lit(False).alias("full"))
-    dealt = dealt.unionByName(asks.select("a", "b").join(tiles, "a").select("a", "b", share("fs").alias("i"), every("ms").alias("j"), F.lit(True).alias("full")))
+    tiled = member.select("a", "b").join(tiles, "a").join(asks.select("a", "b", F.lit(True).alias("ask")), ["a", "b"], "left")
+    # In a part of one tile a row both asks and is asked; in others each goes to a row or a column of tiles.
+    one_tile = (F.col("fs") == 1) & (F.col("ms") == 1)
+    dealt = tiled.filter(one_tile).select("a", "b", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("ask").isNotNull().alias("full"), F.lit(True).alias("asked"))
+    dealt = dealt.unionByName(tiled.filter(~one_tile).select("a", "b", every("fs").alias("i"), share("ms").alias("j"), F.lit(False).alias("full"), F.lit(True).alias("asked")))
+    dealt = dealt.unionByName(tiled.filter(~one_tile & F.col("ask")).select("a", "b", share("fs").alias("i"), every("ms").alias("j"), F.lit(True).alias("full"), F.lit(False).alias("asked")))
     about = nodes.select(F.col("node").alias("b"), "size", "sketch").join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    buckets = max(40, member.count() // MEMBERS)
     rows = dealt.join(about, "b").withColumn("bucket", F.pmod(F.xxhash64("a", "i", "j"), F.lit(buckets)).cast("int"))
 
     def one(group: pa.Table) -> pa.Table:
-        cols = {c: group.column(c).to_numpy() for c in ("a", "i", "j", "b", "root", "size", "full")}
+        cols = {c: group.column(c).to_numpy() for c in ("a", "i", "j", "b", "root", "size", "full", "asked")}
         sketches, found = group.column("sketch"), []
         order = np.lexsort((cols["j"], cols["i"], cols["a"]))
         key = np.stack([cols[c][order] for c in ("a", "i", "j")], axis=1)
@@ -363,8 +369,7 @@ def rest(wide: DataFrame, nodes: DataFrame, roots: DataFrame, nearest: bool, buc
         for s, e in zip(edge[:-1], edge[1:]):
             rows = order[s:e]
             tile = Members(*(cols[c][rows] for c in ("b", "root", "size")), sketches.take(pa.array(rows)).to_pylist())
-            asking = cols["full"][rows]
-            asks, others = np.flatnonzero(asking), np.flatnonzero(~asking)
+            asks, others = np.flatnonzero(cols["full"][rows]), np.flatnonzero(cols["asked"][rows])
             # In a large tile the greatest components first, each against the members outside it; then all that is left.
             kinds, count = np.unique(tile.root[asks], return_counts=True) if len(asks) * len(others) > 250_000 else ((), np.zeros(0))
             for root in np.array(kinds)[np.argsort(-count, kind="stable")][:8].tolist():
@@ -399,7 +404,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links)
     # Then all pairs that this left apart, and what widely shared parts still hide: the nearest of it, and then all.
     wide = found.filter("row = 2").select("a", "b")
-    for more in (lambda: apart(pairs, roots), lambda: rest(wide, nodes, roots, True, buckets), lambda: rest(wide, nodes, roots, True, buckets), lambda: rest(wide, nodes, roots, False, buckets)):
+    for more in (lambda: apart(pairs, roots), lambda: rest(wide, nodes, roots, True), lambda: rest(wide, nodes, roots, True), lambda: rest(wide, nodes, roots, False)):
         asked = table(more(), "jaccard-more")
         if not asked.isEmpty():
             links = table(links.unionByName(verified(asked, nodes, plain)), "jaccard-links")
