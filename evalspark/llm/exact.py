@@ -20,6 +20,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
+#: Digests that a state store should have; a stream has no more stores than shuffle partitions.
+STORE = 20_000
 #: Repeated digests up to which they go to each task as a table of 64-bit hashes; beyond, nothing is filtered by them.
 BROADCAST = 500_000
 
@@ -32,14 +34,14 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def stream_state(out: str, schema, files: int, micro_batches: int, spark) -> DataFrame:
+def stream_state(out: str, schema, files: int, micro_batches: int, spark, stores: int) -> DataFrame:
     """Runs new files of the log through keyed state; per digest: the smallest identifier with its locator, and the rows seen.
 
     The state's key is the digest, its value (identifier, locator, count). Each micro-batch emits the keys that it
     changed; as identifiers only fall and counts only rise, the last word on a key is the minimum and the maximum.
     The stream goes on from its checkpoint, and a repeated micro-batch overwrites what it wrote.
     """
-    with settings(spark, STATE):
+    with settings(spark, STATE | {"spark.sql.shuffle.partitions": str(stores)}):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // micro_batches))).parquet(f"{out}/log")
         state = stream.groupBy("text_sha256").agg(F.min(F.struct("doc_id", "locator")).alias("kept"), F.count(F.lit(1)).alias("n"))
 
@@ -80,7 +82,11 @@ def dedup_located(docs: DataFrame, digest, micro_batches: int, state_dir: str |
     rows.write.mode("append").parquet(f"{out}/log")
     log = spark.read.schema(rows.schema).parquet(f"{out}/log").filter(F.col("call") == call).drop("call")
     files = log.select(F.input_file_name()).distinct().count()
-    state = table(stream_state(out, rows.schema, files, micro_batches, spark), "exact-state")
+    # State that is kept may grow, so it is dealt to as many stores as there are partitions.
+    stores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not state_dir:
+        stores = min(stores, max(2 * spark.sparkContext.defaultParallelism, -(-log.count() // STORE)))
+    state = table(stream_state(out, rows.schema, files, micro_batches, spark, stores), "exact-state")
 
     # Full bytes on hits: each digest's texts, equal ones combined before the shuffle, so that a hot text is one row a task.
     hit = state.filter("group_size > 1").select(F.xxhash64("text_sha256").alias("hit")).distinct()
