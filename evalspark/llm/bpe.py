@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from .common import map_texts, texts
 
 #: Stretches of text that a task remembers at least, twice as many at most; it only saves time.
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: Longer ones aren't remembered.
 LONG = 64
 #: Marks that often follow a word.

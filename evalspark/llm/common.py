@@ -22,17 +22,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; where that is unset, as in tests, a folder of
+    this machine, and on a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="evalspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not LOCAL:
+            LOCAL.append(tempfile.mkdtemp(prefix="evalspark-"))
+        folder = LOCAL[0]
     return folder.rstrip("/")
 
 
-#: Arrow batches to Python are cut at this size: the buffers of wide rows outlive their stages.
-BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+def small_batches(spark: SparkSession) -> None:
+    """Cuts Arrow batches to Python at 4 MB, unless the session has a size of its own: buffers of long texts are held
+    several times over, and the JVM's outlive their stages. The results may be worked out later, so the setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, "4m")
 
 
 @contextmanager
@@ -81,8 +92,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with settings(spark, BATCHES):
-        df.write.parquet(path)
+    small_batches(spark)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -114,6 +125,7 @@ def map_texts(docs: DataFrame, make, schema: str, every: int = 256) -> DataFrame
     ``make()`` runs once a task and returns ``f(text) -> tuple`` for the columns of ``schema``, which follow doc_id.
     Rows are taken ``every`` at a time, so that a task holds few texts and results at once.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     full = f"doc_id {kind}, {schema}"
 
@@ -133,6 +145,6 @@ def map_texts(docs: DataFrame, make, schema: str, every: int = 256) -> DataFrame
     return docs.mapInArrow(frees(run), full)
 
 
-def sha_of_spans(spans) -> str:
+def joined_spans(spans) -> str:
     """kind:start:end, comma-joined."""
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)

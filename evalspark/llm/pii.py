@@ -10,7 +10,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from .common import map_texts, sha_of_spans, texts
+from .common import map_texts, joined_spans, texts
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
@@ -234,7 +234,7 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
         def one(text):
             base, spans = scan(text, own)
             n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
-            return (*n, sha_of_spans(base), sha_of_spans(spans))
+            return (*n, joined_spans(base), joined_spans(spans))
 
         return one
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, texts
+from .common import map_texts, small_batches, texts, trim
 
 #: Labelled documents that the fit takes at most, by hash of their identifiers; all of them where there are fewer.
 SAMPLE = 8000
@@ -202,10 +202,14 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", tail: float
     Row by row, as in classify: null texts are empty ones, identifiers aren't read, an empty table stays empty.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def chance(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         features = Features(model.weights)
         for text in texts:
             yield text.map(lambda t: model.grade(features.of(t or ""))[1]).astype("float64")
+        features.words.clear()
+        trim()
 
     return docs.filter(chance(F.coalesce(F.col(text_col), F.lit(""))) >= tail)

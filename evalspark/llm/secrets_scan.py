@@ -8,7 +8,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from .common import map_texts, sha_of_spans, texts
+from .common import map_texts, joined_spans, texts
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -163,7 +163,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def one(text):
             base, spans = scan(text)
             n = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
-            return (*n, sha_of_spans(base), sha_of_spans(spans))
+            return (*n, joined_spans(base), joined_spans(spans))
 
         return one
 
