@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -21,8 +22,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-#: Stretches that the model looks at: digits with marks between them, and addresses with a spelt-out sign.
-REGION = re.compile(r"[+(]?[0-9][0-9\x20().+/:-]{5,}[0-9]|[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]{1,63})+")
+#: Stretches that the model looks at: digits with marks between them, and addresses with a spelt-out sign. The parts of an
+#: address are as long as they may be by its standard; a bare "at" needs a bare "dot" after it.
+REGION = re.compile(r"[+(]?[0-9][0-9\x20().+/:-]{5,}[0-9]|[A-Za-z0-9._%+-]{1,64}(?:\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]{1,63})+|\x20at\x20[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63})+)")
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\x20+|.", re.S)
 #: Tokens of a segment at most.
 WIDEST = 16
@@ -74,47 +76,59 @@ def features(segment: str, before: str, after: str) -> list[str]:
         out.append(f"luhn={luhn(digits)}")
     if segment.count("(") != segment.count(")"):
         out.append("unpaired")
-    if re.search(r"[\[(]at[\])]", segment):
+    if re.search(r"[\[(\x20]at[\])\x20]", segment):
         out.append("at")
+    if n:
+        out.append(f"zero={digits[0] == '0'}{len(groups[0])}")
     out.append(f"tight={before[-1:].isalnum()}{after[:1].isalnum()}")
     return out
 
 
+def places(tokens: list[str]) -> list[int]:
+    """Where each token starts, and where the last ends."""
+    out = [0]
+    for t in tokens:
+        out.append(out[-1] + len(t))
+    return out
+
+
 class SemiCrf:
     """Scores segments (start, end, kind) of a token row; kind None is one token outside any entity."""
 
     def __init__(self):
         self.weights: dict[tuple, float] = defaultdict(float)
 
-    def segments(self, tokens: list[str], before: str, after: str) -> list[list]:
-        """By end token: (start, kind, features). Entities start and end with a letter or digit, or start with + or (."""
-        n, text = len(tokens), "".join(tokens)
-        place = [0]
-        for t in tokens:
-            place.append(place[-1] + len(t))
-        out = [[] for _ in range(n + 1)]
-        for end in range(1, n + 1):
-            out[end].append((end - 1, None, ["out", "out:" + ("d" if tokens[end - 1].isdigit() else tokens[end - 1] if len(tokens[end - 1]) == 1 else "a")]))
-            if not tokens[end - 1].isalnum():
-                continue
+    def ending(self, end: int, tokens: list[str], place: list[int], text: str, before: str, after: str) -> list[tuple]:
+        """(start, kind, features) of the segments that end there, at most WIDEST tokens each. Entities start and end with
+        a letter or digit, or start with + or (."""
+        last = tokens[end - 1]
+        out = [(end - 1, None, ["out", "out:" + ("d" if last.isdigit() else last if len(last) == 1 else "a")])]
+        if last.isalnum():
+            follows = text[place[end]] if place[end] < len(text) else after[:1]
             for start in range(max(0, end - WIDEST), end):
-                if tokens[start].isalnum() or tokens[start] in "+(":
-                    segment = text[place[start] : place[end]]
-                    if len(segment) >= 7:
-                        f = features(segment, before + text[: place[start]][-1:], text[place[end] :][:1] + after)
-                        out[end].extend((start, kind, f) for kind in KINDS)
+                if (tokens[start].isalnum() or tokens[start] in "+(") and place[end] - place[start] >= 7:
+                    f = features(text[place[start] : place[end]], text[place[start] - 1] if start else before[-1:], follows)
+                    out.extend((start, kind, f) for kind in KINDS)
         return out
 
+    def segments(self, tokens: list[str], before: str, after: str) -> list[list]:
+        """By end token the segments that end there."""
+        text, place = "".join(tokens), places(tokens)
+        return [[], *(self.ending(end, tokens, place, text, before, after) for end in range(1, len(tokens) + 1))]
+
     def score(self, kind, f) -> float:
         get = self.weights.get
         return sum(get((kind, x), 0.0) for x in f)
 
     def best(self, tokens: list[str], before: str = "", after: str = "") -> list[tuple]:
-        """The best segmentation's entities, as (kind, start token, end token); of equals the first."""
-        rows, n = self.segments(tokens, before, after), len(tokens)
+        """The best segmentation's entities, as (kind, start token, end token); of equals the first.
+
+        A segment is bounded, so each token costs the same; what is kept of it is a score and a way back.
+        """
+        n, text, place = len(tokens), "".join(tokens), places(tokens)
         top, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
         for end in range(1, n + 1):
-            for start, kind, f in rows[end]:
+            for start, kind, f in self.ending(end, tokens, place, text, before, after):
                 s = top[start] + self.score(kind, f)
                 if s > top[end]:
                     top[end], back[end] = s, (start, kind)
@@ -170,14 +184,16 @@ def examples(count: int, seed: int = 7) -> list[tuple[list[str], list[tuple]]]:
 
     def phone():
         a, b, c = num(3), num(3), num(4)
-        return r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}", f"+{num(2)} {num(3)} {num(3)} {num(4)}", f"1-{a}-{b}-{c}"))
+        return r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}", f"+{num(2)} {num(3)} {num(3)} {num(4)}", f"1-{a}-{b}-{c}", f"0{num(2)} {num(7)}", f"0{num(3)} {num(6)}", f"0{num(3)}/{num(6)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}"))
 
     def email():
         words = [r.choice(("ann", "post", "info", "sales", "team", "mail", "site", "house")) + r.choice(("", num(2))) for _ in range(2)]
+        if r.random() < 0.3:
+            return words[0] + " at " + words[1] + " dot " + r.choice(("org", "com", "net"))
         return words[0] + r.choice((" [at] ", "(at)", " (at) ", "[at]")) + words[1] + r.choice((".", " [dot] ", " (dot) ")) + r.choice(("org", "com", "net"))
 
     ip = lambda: ".".join(str(r.randrange(256)) for _ in range(4))
-    decoys = (lambda: f"{r.randrange(1900, 2100)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}", lambda: f"{r.randrange(24):02}:{r.randrange(60):02}:{r.randrange(60):02}", lambda: f"{num(3)}.{num(3)}.{num(3)}", lambda: num(r.randrange(7, 14)), lambda: f"{num(4)} {num(4)}", lambda: f"{num(4)}-{num(4)}", lambda: f"{r.randrange(1, 29)}/{r.randrange(1, 13)}/{num(4)}", lambda: " ".join(num(r.randrange(1, 5)) for _ in range(r.randrange(3, 7))), lambda: f"{num(2)}.{num(6)}", lambda: num(16), lambda: f"{num(1)}.{num(1)}.{num(2)} {num(2)}")
+    decoys = (lambda: f"{r.randrange(1900, 2100)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}", lambda: f"{r.randrange(24):02}:{r.randrange(60):02}:{r.randrange(60):02}", lambda: f"{num(3)}.{num(3)}.{num(3)}", lambda: num(r.randrange(7, 14)), lambda: f"{num(4)} {num(4)}", lambda: f"{num(4)}-{num(4)}", lambda: f"{r.randrange(1, 29)}/{r.randrange(1, 13)}/{num(4)}", lambda: " ".join(num(r.randrange(1, 5)) for _ in range(r.randrange(3, 7))), lambda: f"{num(2)}.{num(6)}", lambda: num(16), lambda: f"{num(1)}.{num(1)}.{num(2)} {num(2)}", lambda: f"{r.randrange(1, 10)}{num(2)} {num(7)}", lambda: " ".join([str(r.randrange(1, 10)), *(num(2) for _ in range(4))]), lambda: f"{r.randrange(1, 10)}{num(3)}/{num(6)}")
     out = []
     for _ in range(count):
         tokens, gold = [], []
@@ -196,7 +212,7 @@ def examples(count: int, seed: int = 7) -> list[tuple[list[str], list[tuple]]]:
 
 
 @lru_cache(maxsize=2)
-def trained(count: int = 400, rounds: int = 6, seed: int = 7) -> SemiCrf:
+def trained(count: int = 800, rounds: int = 6, seed: int = 7) -> SemiCrf:
     """The model fitted to ``count`` made examples; the same each time."""
     model, made = SemiCrf(), examples(count, seed)
     for k in range(rounds):
@@ -205,22 +221,37 @@ def trained(count: int = 400, rounds: int = 6, seed: int = 7) -> SemiCrf:
     return model
 
 
+def merged(spans: list) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs that spans, by start, cover."""
+    starts, ends = [], []
+    for _, s, e in spans:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s), ends.append(e)
+    return starts, ends
+
+
+def overlaps(runs: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    i = bisect.bisect_right(runs[1], start)
+    return i < len(runs[0]) and runs[0][i] < end
+
+
 def scan(text: str, model: SemiCrf) -> tuple[list, list]:
     """(base spans, all spans); the model adds entities that overlap no base span."""
     base, more = base_spans(text), []
+    taken = merged(base)
     for m in REGION.finditer(text) if DIGIT.search(text) or "at" in text else ():
         tokens = TOKEN.findall(m[0])
-        place = [m.start()]
-        for t in tokens:
-            place.append(place[-1] + len(t))
+        place = [m.start() + x for x in places(tokens)]
         for kind, a, b in model.best(tokens, text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]):
-            if not any(s < place[b] and place[a] < e for _, s, e in base):
+            if not overlaps(taken, place[a], place[b]):
                 more.append((kind, place[a], place[b]))
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: SemiCrf | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (base spans), base, spans.
+    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (base spans), n_spans (all), base, spans.
 
     base and spans are kind:start:end, comma-joined, in code points with the end exclusive. Null and empty texts have
     none. Row by row, so ties, repeats and other columns don't matter; a long text costs time in proportion.
@@ -234,8 +265,8 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
         def one(text):
             base, spans = scan(text, own)
             n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
-            return (*n, joined_spans(base), joined_spans(spans))
+            return (*n, len(spans), joined_spans(base), joined_spans(spans))
 
         return one
 
-    return map_texts(texts(docs, id_col, text_col), make, "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, spans string")
+    return map_texts(texts(docs, id_col, text_col), make, "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, n_spans bigint, base string, spans string")

@@ -33,7 +33,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets_scan import scan_secrets
 
     out = scan_secrets(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_random")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_random", "n_spans")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import scan_pii
 
     out = scan_pii(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_spans")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
