@@ -43,10 +43,23 @@ def letter_frequency(r, letter, how, value):
     return relation(F.length(low) - F.length(F.replace(low, F.lit(letter), F.lit(""))), how, value)
 
 
+#: Frequent words that tell languages of Latin script apart.
+FREQUENT = {"en": "the and of to is that for with was this are you", "fr": "le les des et est une dans pour que qui vous avec", "de": "der die und das ist nicht ein eine mit den zu auf", "es": "el los las y es una para que por con del se", "it": "il gli che di e una per con non sono della è"}
+
+
+def frequent(r, lang):
+    """How many frequent words of a language a text has."""
+    return count_of(rf"(?iU)\b(?:{FREQUENT[lang].replace(' ', '|')})\b", r)
+
+
 def language(r, lang):
-    """Script and stop words stand in for a language detector; texts that tell nothing pass."""
+    """Script, and in Latin script the language whose frequent words are most, stand in for a detector; texts that tell nothing pass."""
     cyrillic, latin = count_of(r"\p{IsCyrillic}", r), count_of(r"\p{IsLatin}", r)
-    return F.when(cyrillic + latin == 0, True).otherwise(cyrillic > latin if lang == "ru" else latin >= cyrillic)
+    if lang == "ru":
+        return F.when(cyrillic + latin == 0, True).otherwise(cyrillic > latin)
+    others = [frequent(r, x) for x in FREQUENT if x != lang]
+    own = frequent(r, lang) >= F.greatest(*others) if lang in FREQUENT else F.lit(True)
+    return F.when(cyrillic + latin == 0, True).otherwise((latin >= cyrillic) & own)
 
 
 def sentences(r, how, value):

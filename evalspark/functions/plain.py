@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ast
+import math
+import operator
 import re
 from collections import Counter
 
@@ -60,13 +63,81 @@ def boxed(text: str) -> str | None:
     return None
 
 
+#: Functions and constants that an answer may use.
+NAMES = {"sqrt": math.sqrt, "pi": math.pi, "e": math.e, "ln": math.log, "log": math.log10, "sin": math.sin, "cos": math.cos, "tan": math.tan}
+
+
+def argument(text: str, at: int) -> tuple[str, int]:
+    """What stands in braces from a place, or the one character there, and where it ends."""
+    if at < len(text) and text[at] == "{":
+        depth = 0
+        for i in range(at, len(text)):
+            depth += (text[i] == "{") - (text[i] == "}")
+            if not depth:
+                return text[at + 1 : i], i + 1
+    return text[at : at + 1], at + 1
+
+
+def without_latex(text: str) -> str:
+    """LaTeX fractions, roots, products and powers as plain arithmetic."""
+    for name in ("\\dfrac", "\\tfrac", "\\frac"):
+        while (at := text.find(name)) >= 0:
+            top, i = argument(text, at + len(name))
+            low, i = argument(text, i)
+            text = f"{text[:at]}(({without_latex(top)})/({without_latex(low)})){text[i:]}"
+    while (at := text.find("\\sqrt")) >= 0:
+        i, degree = at + 5, "2"
+        if text[i : i + 1] == "[":
+            degree, i = text[i + 1 : text.index("]", i)] if "]" in text[i:] else "2", text.find("]", i) + 1 or i + 1
+        body, i = argument(text, i)
+        text = f"{text[:at]}(({without_latex(body)})**(1/({degree}))){text[i:]}"
+    text = re.sub(r"\\(?:cdot|times)", "*", text).replace("^", "**").replace("{", "(").replace("}", ")").replace("\\", "")
+    return re.sub(r"(\d|\))(?=\(|pi|sqrt)", r"\1*", text)
+
+
+def arithmetic(text: str) -> float | None:
+    """The value of an arithmetic expression, whose tree is walked; None if it is anything else."""
+    ops = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv}
+
+    def value(n):
+        if isinstance(n, ast.Constant) and isinstance(n.value, int | float):
+            return float(n.value)
+        if isinstance(n, ast.Name):
+            return float(NAMES[n.id])
+        if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.USub | ast.UAdd):
+            return -value(n.operand) if isinstance(n.op, ast.USub) else value(n.operand)
+        if isinstance(n, ast.BinOp) and isinstance(n.op, ast.Pow):
+            base, power = value(n.left), value(n.right)
+            if abs(power) > 64:
+                raise ValueError
+            return float(base**power)
+        if isinstance(n, ast.BinOp):
+            return ops[type(n.op)](value(n.left), value(n.right))
+        if isinstance(n, ast.Call) and len(n.args) == 1 and not n.keywords and isinstance(n.func, ast.Name):
+            return NAMES[n.func.id](value(n.args[0]))
+        raise ValueError
+
+    try:
+        return value(ast.parse(text, mode="eval").body) if len(text) <= 200 else None
+    except (SyntaxError, ValueError, KeyError, TypeError, ZeroDivisionError, OverflowError, RecursionError, MemoryError):
+        return None
+
+
 def math_value(text: str):
-    """A number where the text is one (also as a fraction), or else the text without spaces and size marks."""
+    """A number where the text is one or arithmetic that gives one, a tuple of such where it is a list, or else the text
+    without spaces and size marks."""
     plain = re.sub(r"\\left|\\right|\\,|\\!|\\;|\s|\$", "", text).rstrip(".")
-    plain = re.sub(r"\\[dt]?frac\{([^{}]+)\}\{([^{}]+)\}", r"\1/\2", plain)
-    m = re.fullmatch(r"(-?\d+(?:[.,]\d+)?)(?:/(-?\d+(?:\.\d+)?))?", plain)
-    if m and not (m[2] and float(m[2]) == 0):
-        return round(float(m[1].replace(",", ".")) / float(m[2] or 1), 9)
+    plain = re.sub(r"\\(?:text|mathrm)\{[^{}]*\}|\\circ|\^\{\\circ\}|\\?%$", "", plain)
+    if re.fullmatch(r"-?\d+,\d+", plain):
+        plain = plain.replace(",", ".")
+    found = arithmetic(without_latex(plain)) if plain else None
+    if found is not None:
+        return round(found, 9)
+    parts = re.split(r"[;,]", plain.strip("()[]{}\\"))
+    if len(parts) > 1:
+        values = [arithmetic(without_latex(p)) for p in parts]
+        if all(v is not None for v in values):
+            return tuple(round(v, 9) for v in values)
     return plain
 
 

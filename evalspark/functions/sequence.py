@@ -24,6 +24,18 @@ def overlap(n: int = 1):
     return count
 
 
+def lemmas(make):
+    """Arrow UDF of word arrays from a factory, called once a batch on the executor, of a function from word to lemma."""
+
+    @F.pandas_udf("array<string>")
+    def each(words: pd.Series) -> pd.Series:
+        lemma, known = make(), {}
+        get = lambda w: known[w] if w in known else known.setdefault(w, lemma(w))
+        return pd.Series([None if ws is None else [get(w) for w in ws] for ws in words])
+
+    return each
+
+
 def over_golds(metric):
     """Arrow UDF: the greatest value of a plain function of (predicted, gold) over an array of gold answers; 0 without any."""
 
@@ -58,7 +70,7 @@ def parse_nested(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def math_equal(predicted: pd.Series, gold: pd.Series) -> pd.Series:
-    """1 if the boxed answer has the gold value; a full algebra system can replace :func:`plain.math_value`."""
+    """1 if the boxed answer has the gold value: numbers, arithmetic with roots and powers, and lists of these."""
 
     def one(p, g):
         own, g = boxed(p or ""), g or ""

@@ -70,18 +70,19 @@ def best_over(golds: Column, metric) -> Column:
     return F.array_max(F.transform(golds, metric))
 
 
-def libra_normal(text: Column, lemma=lambda w: w) -> Column:
-    """Words in lower case without marks, each through a lemmatiser (none by default), joined by spaces."""
-    return F.array_join(F.transform(words(text), lambda w: lemma(F.regexp_replace(F.lower(w), "[^a-zа-яй0-9_]+", ""))), " ")
+def libra_normal(text: Column, lemma=None) -> Column:
+    """Words in lower case without marks, through a lemmatiser of word arrays (see :func:`sequence.lemmas`) if there is one, joined by spaces."""
+    plain = F.transform(words(text), lambda w: F.regexp_replace(F.lower(w), "[^a-zа-яй0-9_]+", ""))
+    return F.array_join(lemma(plain) if lemma else plain, " ")
 
 
-def libra_em(predicted: Column, gold: Column) -> Column:
+def libra_em(predicted: Column, gold: Column, lemma=None) -> Column:
     """1 if the normalised gold answer occurs in the normalised prediction."""
-    return libra_normal(predicted).contains(libra_normal(gold)).cast("double")
+    return libra_normal(predicted, lemma).contains(libra_normal(gold, lemma)).cast("double")
 
 
-def libra_f1(predicted: Column, gold: Column) -> Column:
-    p, g = words(libra_normal(predicted)), words(libra_normal(gold))
+def libra_f1(predicted: Column, gold: Column, lemma=None) -> Column:
+    p, g = words(libra_normal(predicted, lemma)), words(libra_normal(gold, lemma))
     return token_f1(p, g)
 
 
@@ -96,9 +97,10 @@ def libra_score(metric: Column, predicted: Column, golds: Column) -> Column:
     return F.when(metric == "em", best_over(golds, lambda g: libra_em(predicted, g))).when(metric == "f1", best_over(golds, lambda g: libra_f1(predicted, g))).when(metric == "count_score", best_over(golds, lambda g: libra_count(predicted, g)))
 
 
-def rouge_tokens(text: Column, lemma=lambda w: w) -> Column:
-    """Lower case with ASCII punctuation as spaces; words through a lemmatiser (none by default)."""
-    return F.transform(words(F.regexp_replace(F.lower(text), PUNCTUATION, " ")), lambda w: lemma(w))
+def rouge_tokens(text: Column, lemma=None) -> Column:
+    """Lower case with ASCII punctuation as spaces; through a lemmatiser of word arrays if there is one."""
+    found = words(F.regexp_replace(F.lower(text), PUNCTUATION, " "))
+    return lemma(found) if lemma else found
 
 
 def ngrams(tokens: Column, n: int) -> Column:

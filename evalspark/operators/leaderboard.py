@@ -49,6 +49,24 @@ def table(scores: DataFrame, columns: list[str], by: str = "task") -> DataFrame:
     return out.select("model", shown(F.col("mean"), F.col("std")).alias("mean"), *[F.coalesce(F.col(f"`{c}`"), F.lit("—")).alias(c) for c in sorted(columns)], F.col("mean").alias("__m")).orderBy(F.col("__m").desc_nulls_last(), "model").drop("__m")
 
 
+def times(scores: DataFrame) -> DataFrame:
+    """(model, time): seconds over all tasks, null where a task's is unknown."""
+    known = F.count("time") == F.count(F.lit(1))
+    return scores.groupBy("model").agg(F.when(known, F.sum("time")).alias("time"))
+
+
+def category_table(scores: DataFrame, categories: DataFrame, columns: list[str], with_times: bool = False) -> DataFrame:
+    """As :func:`table`, by category: each is the mean of its tasks, and the mean is over categories."""
+    c = by_category(scores, categories)
+    out = table(c.select("model", F.col("category").alias("task"), F.col("mean").alias("score"), "std"), columns)
+    if not with_times:
+        return out
+    # A leaderboard has as many rows as models, so its order can be made again after the join.
+    seconds = times(scores).withColumn("time", F.when(F.col("time").isNull(), "—").otherwise(F.format_string("%.0f", "time")))
+    means = overall(c).select("model", F.col("mean").alias("__m"))
+    return out.join(seconds, "model").join(means, "model").orderBy(F.col("__m").desc_nulls_last(), "model").drop("__m")
+
+
 def markdown(shown_table: DataFrame) -> str:
     """A table of models as Markdown; a leaderboard has as many rows as there are models."""
     names = shown_table.columns

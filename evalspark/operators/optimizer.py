@@ -68,6 +68,27 @@ def parse_prompt(text: str) -> list[dict] | None:
     return [{"role": r, "content": c.strip()} for r, c in found] or None
 
 
+#: What a mutation that doesn't parse is reminded of.
+REMINDER = "\n\nAnswer with messages only, each after a line [user]: or [assistant]:."
+
+
+def gradient(prompt: str, feedback: str, template: str = "A prompt had these worst results.\n{feedback}\n\nSay what to change in it.\n{prompt}") -> str:
+    """The question to a model what is wrong with a prompt; the names in braces are filled."""
+    return template.replace("{prompt}", prompt).replace("{feedback}", feedback)
+
+
+def run_all(questions: DataFrame, texts: DataFrame, models: dict, question: str = "question") -> DataFrame:
+    """Answers of all models to all questions under all prompts: ``texts`` (prompt_id, template) is a small table whose
+    templates have {question}; ``models`` are factories by name, each of which runs over the whole product."""
+    from functools import reduce
+
+    from .predict import generate
+    from .sampling import crossed
+
+    asked = crossed(questions, texts).withColumn("prompt", F.replace("template", F.lit("{question}"), F.col(question))).drop("template")
+    return reduce(DataFrame.unionByName, [generate(asked, "prompt", make).withColumn("model", F.lit(name)) for name, make in models.items()])
+
+
 def optimise(spark: SparkSession, start: str, mutate: Mutator, score: Scorer, iterations: int, target: float = 1.0, retries: int = 5) -> DataFrame:
     """Mutates the best prompt so far, scores it over all samples, and keeps the tree of solutions.
 
@@ -80,8 +101,8 @@ def optimise(spark: SparkSession, start: str, mutate: Mutator, score: Scorer, it
         best = max(rows, key=lambda r: (r[3], r[0]))
         if best[3] >= target:
             break
-        for _ in range(retries):
-            text = mutate(best[5], best[4])
+        for attempt in range(retries):
+            text = mutate(best[5], best[4] + REMINDER * (attempt > 0))
             if parse_prompt(text):
                 add(best[0], it, text)
                 break

@@ -106,14 +106,36 @@ def ratings(battles: DataFrame, baseline: str | None = None) -> DataFrame:
     return counts.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(one, "model string, rating double")
 
 
-def bootstrap_ratings(battles: DataFrame, bags: int = 100, baseline: str | None = None, level: float = 0.95) -> DataFrame:
-    """(model, rating, std, ci_lower, ci_upper): ratings with the spread over bags of battles weighted by hash.
+def model_ids(battles: DataFrame, order: str) -> DataFrame:
+    """(model, number): models numbered by where they first appear, as a model before as a reference; as many rows as models."""
+    from pyspark.sql.window import Window
 
-    Bags are counts of pairs before they are fitted, one task a bag.
-    """
-    from .bootstrap import percentiles, weighted
+    sides = battles.select(order, F.posexplode(F.array("model", "reference")).alias("__side", "__m"))
+    first = sides.groupBy(F.col("__m").alias("model")).agg(F.min(F.struct("__side", order)).alias("__first"))
+    return first.select("model", (F.row_number().over(Window.orderBy("__first", "model")) - 1).alias("number"))
+
+
+def ratings_with_ties(battles: DataFrame, baseline: str | None = None) -> DataFrame:
+    """:func:`ratings` with the tie parameter, one number for all models, beside them."""
+    n = battles.agg(F.count(F.when(F.col("winner") == 2, 1)).alias("ties"), F.count(F.when(F.col("winner") < 2, 1)).alias("decisive")).first()
+    return ratings(battles, baseline).withColumn("tie", F.lit(float(tie_share(n["ties"], n["decisive"]))))
 
-    counts = pair_counts(weighted(battles, ("id", "model", "reference"), bags), ("bag",))
+
+def bootstrap_ratings(battles: DataFrame, bags: int = 100, baseline: str | None = None, level: float = 0.95, exact: bool = False) -> DataFrame:
+    """(model, rating, std, ci_lower, ci_upper): ratings with the spread over bags of battles.
+
+    A bag is as many draws as there are battles with ``exact``; else each battle has a Poisson weight from a hash, whose
+    spread is the same and which makes no rows. Bags are counts of pairs before they are fitted, one task a bag.
+    """
+    from .bootstrap import percentiles, resample, weighted
+    from .sampling import numbered
+
+    if exact:
+        placed = numbered(battles.select("id", "model", "reference", "winner"), "id", "model", "reference")
+        drawn = resample(placed, "pos", placed.count(), bags)
+    else:
+        drawn = weighted(battles, ("id", "model", "reference"), bags)
+    counts = pair_counts(drawn, ("bag",))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*group["model"], *group["reference"]})

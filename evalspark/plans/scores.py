@@ -307,7 +307,39 @@ def more() -> list[tuple]:
     return [("keywords:forbidden_words", ["idiot", "moron"]), ("language:response_language", "en"), ("length_constraints:number_sentences", "at least", 3), ("length_constraints:number_paragraphs", 1), ("length_constraints:nth_paragraph_first_word", 1, 1, "the"), ("detectable_content:postscript", "P.S."), ("detectable_format:constrained_response", ["My answer is yes."]), ("detectable_format:number_highlighted_sections", 1), ("detectable_format:multiple_sections", "Section", 1), ("detectable_format:json_format",), ("combination:two_responses",), ("combination:repeat_prompt", F.lit("the")), ("change_case:capital_word_frequency", "at least", 2), ("change_case:english_capital", "en"), ("change_case:english_lowercase", "en"), ("multi-turn:constrained_start", "The"), ("detectable_format:rephrase", F.lit("a *b* c")), ("keywords:key_sentences", ["Ti."], 1), ("detectable_content:rephrase_paragraph", F.lit("the of and"), 1, 3)]
 
 
-@query()
+LATIN, CYRILLIC = (r"len(regexp_extract_all(text, '\p{" + x + "}'))" for x in ("Latin", "Cyrillic"))
+TOKEN_LIST = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')"
+OF_LANGUAGE = {k: f"len(list_filter(w, lambda x: list_contains({v.split()!r}, x)))" for k, v in instructions.FREQUENT.items()}
+ENGLISH = f"CASE WHEN {LATIN} + {CYRILLIC} = 0 THEN true ELSE {LATIN} >= {CYRILLIC} AND {OF_LANGUAGE['en']} >= greatest({', '.join(v for k, v in OF_LANGUAGE.items() if k != 'en')}) END"
+FILLED = "list_filter({0}, lambda x: regexp_replace(x, '\\s+', '', 'g') <> '')"
+#: The checks of more(), one by one.
+MORE = {
+    "keywords:forbidden_words": r"NOT regexp_matches(text, '(?i)\b(idiot|moron)\b')",
+    "language:response_language": "english",
+    "length_constraints:number_sentences": r"len(regexp_extract_all(text, '[^.!?\s][^.!?]*([.!?]+|$)')) >= 3",
+    "length_constraints:number_paragraphs": r"len(list_filter(p, lambda x: regexp_replace(x, '\s+', '', 'g') <> '')) = 1 AND len(list_filter(p[2:len(p) - 1], lambda x: regexp_replace(x, '\s+', '', 'g') = '')) = 0",
+    "length_constraints:nth_paragraph_first_word": r"len(" + FILLED.format("q") + r") = 1 AND regexp_extract(lower(regexp_replace(regexp_replace(regexp_extract(regexp_replace(q[1], '^\s+|\s+$', '', 'g'), '^\S+'), '^''+', ''), '^\"+', '')), '^[^.,?!''\"]*') = 'the'",
+    "detectable_content:postscript": r"regexp_matches(lower(text), 'p\.\s?s\.')",
+    "detectable_format:constrained_response": "contains(text, 'My answer is yes.')",
+    "detectable_format:number_highlighted_sections": r"len(list_filter(regexp_extract_all(text, '\*[^\n*]*\*') || regexp_extract_all(text, '\*\*[^\n*]*\*\*'), lambda x: regexp_replace(replace(x, '*', ''), '\s+', '', 'g') <> '')) >= 1",
+    "detectable_format:multiple_sections": r"regexp_matches(text, '\s?Section\s?\d+\s?')",
+    "detectable_format:json_format": r"json_valid(regexp_replace(regexp_replace(b, '^```(json|Json|JSON)?', ''), '```$', ''))",
+    "combination:two_responses": r"CASE WHEN len(list_filter(r[2:len(r) - 1], lambda x: regexp_replace(x, '\s+', '', 'g') = '')) = 0 AND len(" + FILLED.format("r") + ") = 2 THEN trim(" + FILLED.format("r") + "[1]) <> trim(" + FILLED.format("r") + "[2]) ELSE false END",
+    "combination:repeat_prompt": "starts_with(lower(b), 'the')",
+    "change_case:capital_word_frequency": r"len(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_''-]+'), lambda x: upper(x) = x AND lower(x) <> x)) >= 2",
+    "change_case:english_capital": "upper(text) = text AND lower(text) <> text AND english",
+    "change_case:english_lowercase": "lower(text) = text AND upper(text) <> text AND english",
+    "multi-turn:constrained_start": r"regexp_matches(text, '(?m)^\s*The.*$')",
+    "detectable_format:rephrase": r"regexp_matches(text, '\*.*\*') AND regexp_replace(text, '\*.*\*', '', 'g') = 'a  c'",
+    "keywords:key_sentences": r"len(list_intersect(list_distinct(list_transform(string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))), ['Ti.'])) = 1",
+    "detectable_content:rephrase_paragraph": "len(list_intersect(list_distinct(w), ['the', 'of', 'and'])) BETWEEN 1 AND 3",
+}
+MORE_SQL = rf"""WITH d AS MATERIALIZED (SELECT doc_id, text, regexp_replace(text, '\s+', '', 'g') <> '' AS full_, {WS} AS b, {TOKEN_LIST} AS w, string_split_regex(text, '\s?\*\*\*\s?') AS p, string_split(text, chr(10) || chr(10)) AS q, string_split(text, '******') AS r FROM documents),
+e AS MATERIALIZED (SELECT *, {ENGLISH} AS english FROM d), c AS (SELECT doc_id, full_, [{', '.join("{'id': '" + k + "', 'ok': " + v + "}" for k, v in MORE.items())}] AS k FROM e)
+SELECT doc_id, x.id AS instruction_id, coalesce(full_ AND x.ok, false) AS followed FROM (SELECT doc_id, full_, unnest(k) AS x FROM c)"""
+
+
+@query(MORE_SQL)
 def ifeval_more_checks(t):
     r = instructions.results(F.col("text"), more())
     return t("documents").select("doc_id", F.explode(r).alias("r")).select("doc_id", "r.instruction_id", "r.followed")

@@ -91,8 +91,11 @@ def first_known(configured: DataFrame, registered: DataFrame, key: str = "task")
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, image_url): files as data URLs."""
-    return spark.read.format("binaryFile").load(path).select("path", F.concat(F.lit("data:image/jpeg;base64,"), F.base64("content")).alias("image_url"))
+    """(path, image_url): files as data URLs, their kind told by their first bytes; other files have none."""
+    head = F.hex(F.substring("content", 1, 12))
+    kind = F.when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("89504E47"), "png").when(head.startswith("47494638"), "gif").when(head.rlike("^52494646.{8}57454250"), "webp").when(head.startswith("424D"), "bmp")
+    url = F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.base64("content"))
+    return spark.read.format("binaryFile").load(path).select("path", url.alias("image_url"))
 
 
 def model_info(url: str, timeout: float = 10.0) -> dict[str, dict]:

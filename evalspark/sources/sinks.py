@@ -58,6 +58,13 @@ def optimiser_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("iter").json(path)
 
 
+def evolution_board(evolution) -> str:
+    """An evolution table (a row a model, a column an iteration) as Markdown, with three digits."""
+    names = evolution.columns
+    rows = [["—" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r] for r in evolution.collect()]
+    return "\n".join("| " + " | ".join(r) + " |" for r in [names, ["---"] * len(names), *rows])
+
+
 def log_to(path: str, name: str = "evalspark") -> logging.Logger:
     """A logger to the console and a file, with one handler of each."""
     log = logging.getLogger(name)

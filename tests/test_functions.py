@@ -109,6 +109,37 @@ def test_nested_and_math(spark):
     assert one(spark, sequence.math_equal(F.lit("\\boxed{\\frac{4}{2}}"), F.lit("2")), sequence.math_equal(F.lit("2"), F.lit("2")))[0:2] == (1.0, 0.0)
 
 
+@pytest.mark.parametrize("a, b, same", [("\\sqrt{16}", "4", True), ("2^{3}", "8", True), ("\\frac{1}{\\sqrt{4}}", "0.5", True), ("3\\cdot 4", "12", True), ("2\\pi", "6.283185307", True), ("(1, 2)", "(1;2)", True), ("1, 3", "1, 2", False), ("x+1", "x+1", True), ("x+1", "1+x", False), ("50\\%", "50", True), ("5^{-1}", "0.2", True), ("1/0", "1/0", True), ("9**9**9", "3", False), ("__import__('os')", "1", False), ("3,5", "3.5", True), ("\\sqrt[3]{27}", "3", True)])
+def test_math_values(a, b, same):
+    assert (math_value(a) == math_value(b)) == same
+
+
+def test_languages(spark):
+    said = {"en": "This is the house that you and I know.", "fr": "Le chat est dans la maison et il dort avec les enfants.", "de": "Der Hund ist nicht in dem Haus und die Katze auch.", "es": "El perro es de los que no duermen por la noche."}
+    for lang, t in said.items():
+        assert {k: one(spark, instructions.language(F.lit(t), k))[0] for k in said} == {k: k == lang for k in said}
+    assert one(spark, instructions.language(F.lit("Привет, как дела"), "ru"), instructions.language(F.lit("Привет"), "en"), instructions.language(F.lit("123"), "en"))[0:3] == (True, False, True)
+
+
+def test_lemmas(spark):
+    lemma = sequence.lemmas(lambda: lambda w: w.rstrip("s"))
+    got = one(spark, text.rouge_tokens(F.lit("Cats, dog's dogs"), lemma), text.libra_em(F.lit("two cats"), F.lit("cat"), lemma), text.libra_f1(F.lit("cats dogs"), F.lit("cat dog"), lemma))
+    assert got[0] == ["cat", "dog", "", "dog"] and got[1:] == (1.0, 1.0)
+
+
+def test_entity_rows(spark):
+    r = one(spark, spans.parallel_spans(F.expr("array(5, 1, 5)"), F.expr("array(6, 2, 9)"), F.expr("array('a', 'b', 'c')"), F.expr("array('x', 'y', 'z')")), spans.without_brackets(F.expr("array('[', ']', 'w')"), F.expr("array('O', 'O', 'B-X')")), spans.strings(F.lit('["a", "b"]')), spans.join_tokens(spans.tag_tokens(F.lit("Он сказал (тихо): «да» ... 1.5 !"))))
+    assert [(x.begin, x.end, x.tag) for x in r[0]] == [(1, 2, "b"), (5, 6, "a"), (5, 9, "c")]
+    assert [tuple(x) for x in r[1]] == [("w", "B-X")] and r[2] == ["a", "b"] and r[3] == "Он сказал (тихо): «да»... 1.5!"
+
+
+def test_best_of_several_golds(spark):
+    from evalspark.plans.tasks import longest
+
+    df = spark.createDataFrame([("a b c", ["x", "a c d"]), ("a", []), (None, ["q"])], "p string, g array<string>")
+    assert [r[0] for r in df.select(sequence.over_golds(longest)("p", "g")).collect()] == [pytest.approx(2 * 2 / 6), 0.0, 0.0]
+
+
 def test_lcs_and_overlaps_by_brute_force(spark):
     r = random.Random(11)
     for _ in range(200):

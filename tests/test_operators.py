@@ -231,3 +231,85 @@ def test_task(spark):
     df = spark.createDataFrame([("x", "x"), ("y", "x")], "g string, p string")
     m = {r.metric: r.value for r in spec.evaluate(df).collect()}
     assert m["acc"] == 0.5 and spec.score(spec.evaluate(df)).first().score == pytest.approx((0.5 + m["f1"]) / 2)
+
+
+def test_tasks_are_registered():
+    from evalspark.plans import tasks  # noqa: F401
+    from evalspark.plans.registry import TASKS
+
+    assert len(TASKS) > 80 and {"rucola", "mmlu_ru", "libra/passkey", "ner/nerel/json", "ifeval_ru", "rag/rubqqa_judge", "ruopinionne_simple"} <= set(TASKS)
+    assert TASKS["kinopoisk"].leaderboard == ("f1-macro",) and TASKS["rucola"].first_shot == 29
+
+
+def test_a_task_from_rows_to_score(spark, tmp_path):
+    from evalspark.plans import tasks  # noqa: F401
+    from evalspark.plans.registry import TASKS
+
+    spec = TASKS["rucola"]
+    rows = spark.createDataFrame([(i, f"text {i}", i % 2) for i in range(40)], "id int, sentence string, label int")
+    for split in spec.splits:
+        rows.write.parquet(str(tmp_path / spec.data / spec.subset / split))
+    test = spec.load(spark, str(tmp_path))
+    shots = sampling.few_shot(spec.load(spark, str(tmp_path), spec.splits[1]), 2, "id", start=spec.first_shot)
+    asked = spec.ask(test, shots)
+    first = asked.filter("id = 3").first().prompt
+    assert first.count("[user]:") == 3 and "Answer: 1" in first and first.endswith("Text: text 3\n[assistant]:\nAnswer: ")
+    metrics = spec.evaluate(spec.predict(asked, predict.HashPredictor))
+    assert {r.metric for r in metrics.collect()} == {"acc", "mcc"} and spec.score(metrics).count() == 1
+
+
+def test_shepherded_choices(spark):
+    from evalspark.plans import tasks
+
+    rows = spark.createDataFrame([(i, f"q{i}", *[f"{x}{i}" for x in "abcd"], ("answerB", "Б", "c2", "none")[i % 4] if i < 4 else "answerA") for i in range(12)], "id int, question string, answerA string, answerB string, answerC string, answerD string, correct_answer string")
+    got = {r.id: r for r in tasks.widened(rows).collect()}
+    assert set(got) == set(range(12)) - {3}
+    for i, want in ((0, "b0"), (1, "b1"), (2, "c2"), (5, "a5")):
+        assert got[i].choices["ABCDEFGHIJKL".index(got[i].gold)] == want
+
+
+def test_instructed_packing(spark):
+    shots = spark.createDataFrame([(0, "s t", "one"), (1, "u v", "two")], "pos int, text string, answer string")
+    q = spark.createDataFrame([("w x",)], "q string")
+    say = lambda budget, **more: [(m.role, m.content) for m in prompts.pack_instructed(q, shots, budget, "q", "long long long {text}", "short {text}", **more).first().messages]
+    assert say(100) == [("user", "long long long s t"), ("assistant", "one"), ("user", "short u v"), ("assistant", "two"), ("user", "short w x")]
+    assert say(11) == [("user", "long long long s t"), ("assistant", "one"), ("user", "short w x")] and say(5) == [("user", "long long long w x")]
+
+
+def test_judge_dialogue(spark):
+    m = spark.range(1).select(prompts.judge_messages(F.lit("q"), F.lit("p"), F.array(F.lit("a"), F.lit("b")), [("case", "No")])).first()[0]
+    assert [(x.role, x.content) for x in m] == [("user", "case"), ("assistant", "No"), ("user", "Question: q\n\nAnswer: p\n\nAccepted answers:\n1) a\n2) b")]
+
+
+def test_ties_ids_and_exact_bags(spark):
+    rows = [(i, "a", "b", (0, 0, 1, 2)[i % 4]) for i in range(200)] + [(i, "b", "c", (0, 1, 2)[i % 3]) for i in range(200, 320)]
+    df = spark.createDataFrame(rows, "id int, model string, reference string, winner int")
+    tie = rating.ratings_with_ties(df, "b").collect()
+    assert len(tie) == 3 and 0 < 1 / (1 + math.exp(-tie[0].tie)) < 0.5
+    assert {(r.model, r.number) for r in rating.model_ids(df, "id").collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    exact, near = ({r.model: r for r in rating.bootstrap_ratings(df, 60, "b", exact=e).collect()} for e in (True, False))
+    assert exact["a"].rating == near["a"].rating and 0.4 < exact["a"].std / near["a"].std < 2.5
+
+
+def test_all_models_under_all_prompts(spark):
+    q = spark.createDataFrame([(1, "x"), (2, "y")], "id int, question string")
+    texts = spark.createDataFrame([(0, "A {question}"), (1, "B {question}")], "prompt_id int, template string")
+    got = optimizer.run_all(q, texts, {"m": predict.HashPredictor, "n": predict.HashPredictor}).collect()
+    assert len(got) == 8 and {r.prompt for r in got} == {"A x", "A y", "B x", "B y"}
+
+
+def test_readers_of_lines_and_images(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"n": i}) + "\n" for i in range(50)))
+    assert [r.n for r in readers.jsonl(spark, str(tmp_path / "a.jsonl"), "n int", first=3).collect()] == [0, 1, 2]
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "x.bin").write_bytes(b"\x89PNG\r\n\x1a\n")
+    (tmp_path / "img" / "y.bin").write_bytes(b"none")
+    got = sorted(r.image_url or "" for r in readers.images(spark, str(tmp_path / "img")).collect())
+    assert got[0] == "" and got[1].startswith("data:image/png;base64,")
+
+
+def test_categories_with_times(spark):
+    scores = spark.createDataFrame([("m", "a", 0.5, 0.1, 3.0), ("m", "b", 0.7, 0.1, 4.0), ("n", "a", 0.9, 0.1, None)], "model string, task string, score double, std double, time double")
+    names = spark.createDataFrame([("a", "one")], "task string, category string")
+    got = [tuple(r) for r in leaderboard.category_table(scores, names, ["one", "Other"], with_times=True).collect()]
+    assert got == [("n", "0.900 ± 0.100", "—", "0.900 ± 0.100", "—"), ("m", "0.600 ± 0.071", "0.700 ± 0.100", "0.500 ± 0.100", "7")]
