@@ -44,7 +44,8 @@ def token_offsets(text: Column) -> Column:
 
 def tokens_in(offsets: Column, start: Column, end: Column) -> Column:
     """Indexes of the tokens that a stretch of characters touches."""
-    return F.filter(F.sequence(F.lit(0), F.size(offsets) - 1), lambda i: (F.element_at(offsets, i + 1)["start"] < end) & (F.element_at(offsets, i + 1)["end"] > start))
+    marked = F.transform(offsets, lambda t, i: F.struct(i.alias("i"), ((t["start"] < end) & (t["end"] > start)).alias("in")))
+    return F.transform(F.filter(marked, lambda x: x["in"]), lambda x: x["i"])
 
 
 def locate_span(text: Column, phrase: Column) -> Column:

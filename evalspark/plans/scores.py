@@ -398,17 +398,19 @@ def reasoning_merge(t):
     return t("conversations").select("conv_id", "turn", close_reasoning(F.col("text"), ".", " (cut)", 8).alias("reasoning"))
 
 
-OPINIONS = r"""WITH w AS (SELECT conv_id, turn, CAST(least(length(text), 40) AS INTEGER) AS n FROM conversations),
-x AS (SELECT conv_id, turn, list_filter(range(0, 10), lambda i: i * 4 < n) AS g, list_filter(range(0, 10), lambda i: i * 4 < n AND i % 2 = 0) AS p FROM w)
+#: Tokens of the first half of a text against those of all but its first quarter.
+OPINIONS = r"""WITH r AS (SELECT conv_id * 100 + turn AS id, length(text) AS n, string_split_regex(text, '\s') AS w FROM conversations), e AS (SELECT id, n, unnest(w) AS token, unnest(range(0, len(w))) AS i FROM r),
+o AS (SELECT *, coalesce(sum(length(token) + 1) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM e),
+k AS (SELECT id, coalesce(token <> '' AND s < n // 2 AND s + length(token) > 0, false) AS g, coalesce(token <> '' AND s + length(token) > n // 4, false) AS p FROM o),
+x AS (SELECT r.id, count(*) FILTER (g) AS g, count(*) FILTER (p) AS p, count(*) FILTER (g AND p) AS both_ FROM r LEFT JOIN k ON k.id = r.id GROUP BY r.id)
 """
 
 
-@query(OPINIONS + """SELECT round(sum(CASE WHEN len(g) = 0 THEN 1 ELSE CAST(len(list_intersect(g, p)) AS DOUBLE) / len(g) END) / (count(*) + 1e-16), 6) AS recall,
-round(sum(CASE WHEN len(p) = 0 THEN 1 ELSE CAST(len(list_intersect(g, p)) AS DOUBLE) / len(p) END) / (count(*) + 1e-16), 6) AS "precision" FROM x""")
+@query(OPINIONS + """SELECT round(sum(CASE WHEN g = 0 THEN CAST(p = 0 AS INTEGER) ELSE CAST(both_ AS DOUBLE) / g END) / (count(*) + 1e-16), 6) AS recall,
+round(sum(CASE WHEN p = 0 THEN CAST(g = 0 AS INTEGER) ELSE CAST(both_ AS DOUBLE) / p END) / (count(*) + 1e-16), 6) AS "precision" FROM x""")
 def opinion_overlap(t):
-    n = F.least(F.length("text"), F.lit(40))
-    every = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda i: i * 4 < n)
-    x = t("conversations").select(every.alias("g"), F.filter(every, lambda i: i % 2 == 0).alias("p"))
+    x = t("conversations").select(F.length("text").alias("n"), spans.token_offsets(F.col("text")).alias("o"))
+    x = x.select(spans.tokens_in(F.col("o"), F.lit(0), F.floor(F.col("n") / 2)).alias("g"), spans.tokens_in(F.col("o"), F.floor(F.col("n") / 4), F.col("n")).alias("p"))
     sums = x.agg(F.sum(spans.coverage(F.col("g"), F.col("p"))).alias("wr"), F.count(F.lit(1)).alias("nr"), F.sum(spans.coverage(F.col("p"), F.col("g"))).alias("wp"), F.count(F.lit(1)).alias("np"))
     return agg.opinion_prf(sums).select(six("precision").alias("precision"), six("recall").alias("recall"))
 
@@ -418,10 +420,12 @@ def copied_text(t):
     return pairs(t).select("doc_id", sequence.copied(F.col("gold"), F.col("pred")).alias("lcs"))
 
 
-@query()
+@query("SELECT conv_id, turn, 'B:' || turn || ';A:' || string_split(text, ' ')[1] || turn AS entities FROM conversations WHERE NOT contains(string_split(text, ' ')[1], '<')")
 def nested_entities(t):
-    marked = F.concat(F.lit("<A>"), F.split("text", " ")[0], F.lit("<B>"), F.col("turn").cast("string"), F.lit("</B></A>"))
-    return t("conversations").select("conv_id", "turn", sequence.parse_nested(marked).alias("entities"))
+    first = F.split("text", " ")[0]
+    marked = F.concat(F.lit("<A>"), first, F.lit("<B>"), F.col("turn").cast("string"), F.lit("</B></A>"))
+    found = F.transform(sequence.parse_nested(marked), lambda e: F.concat(e["tag"], F.lit(":"), e["entity"]))
+    return t("conversations").filter(~first.contains("<")).select("conv_id", "turn", F.array_join(found, ";").alias("entities"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) = l_suppkey AS DOUBLE) AS ok, count(*) AS n FROM lineitem GROUP BY ALL")
