@@ -56,11 +56,14 @@ def variant_sum(df: DataFrame, score: str, variant: str, most: int = 34) -> Data
 
 
 def multiset_counts(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, tp, fn, fp) of two frames of rows as multisets over ``keys``."""
-    g = gold.groupBy(*keys).agg(F.count(F.lit(1)).alias("g"))
-    p = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("p"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    both = g.join(p, keys, "full").select(*keys, zero("g").alias("g"), zero("p").alias("p"))
+    """(keys, tp, fn, fp) of two frames of rows as multisets over ``keys``: one shuffle of both, combined before it."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    return counted(gold.select(*keys, one.alias("g"), none.alias("p")).unionByName(pred.select(*keys, none.alias("g"), one.alias("p"))), keys)
+
+
+def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tp, fn, fp) of rows that each add ``g`` and ``p`` to a key's gold and predicted counts."""
+    both = rows.groupBy(*keys).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
     return both.select(*keys, F.least("g", "p").alias("tp"), F.greatest(F.col("g") - F.col("p"), F.lit(0)).alias("fn"), F.greatest(F.col("p") - F.col("g"), F.lit(0)).alias("fp"))
 
 

@@ -101,7 +101,11 @@ s AS (SELECT tag, sum(least(g, p)) AS tp, sum(greatest(g - p, 0)) AS fn, sum(gre
 def entity_counts(t):
     """Words by first letter as entities; the next document's are the predictions."""
     words = t("documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("entity")).withColumn("tag", F.lower(F.substring("entity", 1, 1))).filter(F.col("tag").isin(*TAGS[:3]))
-    return agg.multiset_counts(words, words.withColumn("doc_id", F.col("doc_id") - 1), ["doc_id", "tag", "entity"])
+    keys = ["doc_id", "tag", "entity"]
+    counts = words.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # Shifted beside the own ones and summed again, a word's counts meet in one shuffle.
+    own, next_ = counts.select(*keys, F.col("n").alias("g"), F.lit(0).cast("bigint").alias("p")), counts.select((F.col("doc_id") - 1).alias("doc_id"), "tag", "entity", F.lit(0).cast("bigint").alias("g"), F.col("n").alias("p"))
+    return agg.counted(own.unionByName(next_), keys)
 
 
 @query(ENTITIES + " SELECT tag, CAST(tp AS BIGINT) AS tp, CAST(fn AS BIGINT) AS fn, CAST(fp AS BIGINT) AS fp FROM s")
@@ -278,7 +282,8 @@ r AS (SELECT doc_id, source, x.id AS instruction_id, string_split(x.id, ':')[1]
 
 
 def checked(t):
-    return t("documents").select("doc_id", "source", F.explode(instructions.results(F.col("text"), INSTRUCTIONS)).alias("r")).select("doc_id", "source", "r.*")
+    # The checks in a projection of their own, where what they share is worked out once.
+    return t("documents").select("doc_id", "source", instructions.results(F.col("text"), INSTRUCTIONS).alias("r")).select("doc_id", "source", F.explode("r").alias("r")).select("doc_id", "source", "r.*")
 
 
 @query(IFEVAL + " SELECT doc_id, instruction_id, followed FROM r")
@@ -341,8 +346,8 @@ SELECT doc_id, x.id AS instruction_id, coalesce(full_ AND x.ok, false) AS follow
 
 @query(MORE_SQL)
 def ifeval_more_checks(t):
-    r = instructions.results(F.col("text"), more())
-    return t("documents").select("doc_id", F.explode(r).alias("r")).select("doc_id", "r.instruction_id", "r.followed")
+    rows = t("documents").select("doc_id", instructions.results(F.col("text"), more()).alias("r"))
+    return rows.select("doc_id", F.explode("r").alias("r")).select("doc_id", "r.instruction_id", "r.followed")
 
 
 CODE = "regexp_replace(regexp_replace(text, '```[^`]+```', '', 'g'), '```', '', 'g')"
