@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
+from xxhash import xxh64_intdigest
 
 #: Distinct words that a task remembers at most.
 REMEMBER = 100_000
@@ -14,7 +13,7 @@ class WordHashes(dict):
     """64-bit hash by word, as bytes; a full memory is emptied."""
 
     def __missing__(self, word: bytes) -> int:
-        out = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        out = xxh64_intdigest(word)
         if len(word) <= 64:
             if len(self) >= REMEMBER:
                 self.clear()
