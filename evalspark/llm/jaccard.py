@@ -18,8 +18,9 @@ SHINGLE = 5
 PERCENT = 75
 #: Sets up to this size are cut into single shingles; size bands above grow by RATIO.
 SMALL, RATIO = 192, 4
-#: Bits of a whole-set sketch at least; a power of two, and no fewer than the set has shingles.
-SKETCH = 512
+#: Bits of a whole-set sketch at least, a power of two; and for each shingle of the set, so that few bits are hit twice
+#: and pairs just short of a link are told from those that have one.
+SKETCH, BITS = 512, 4
 #: A part that more sets share is not paired off but tied to one of them; what that can miss is searched after.
 MANY = 16
 #: Signatures that a task holds before it hands them on.
@@ -80,7 +81,7 @@ def signatures(h: np.ndarray) -> tuple[np.ndarray, int]:
 
 def sketch(h: np.ndarray) -> bytes:
     """Parity bits: each hash flips one, so two sketches differ in no more bits than the sets in shingles."""
-    bits = max(SKETCH, 1 << (max(len(h), 1) - 1).bit_length())
+    bits = max(SKETCH, BITS << (max(len(h), 1) - 1).bit_length())
     flips = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
@@ -404,13 +405,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links)
     # Then all pairs that this left apart, and what widely shared parts still hide: the nearest of it, and then all.
     wide = found.filter("row = 2").select("a", "b")
-    for more in (lambda: apart(pairs, roots), lambda: rest(wide, nodes, roots, True), lambda: rest(wide, nodes, roots, True), lambda: rest(wide, nodes, roots, False)):
+    for more in (lambda: apart(pairs, roots), lambda: rest(wide, nodes, roots, True), lambda: rest(wide, nodes, roots, False)):
         asked = table(more(), "jaccard-more")
         if not asked.isEmpty():
             links = table(links.unionByName(verified(asked, nodes, plain)), "jaccard-links")
             roots = components(links)
     least = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
-    named = least.join(least.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
+    # A table of their own, so that the join's rows of a large component can be split.
+    names = table(least.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-names")
+    named = least.join(names, "root").select("node", "component_id")
     out = rows.join(named, "node", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
