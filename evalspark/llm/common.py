@@ -88,15 +88,28 @@ def trim() -> None:
         pass
 
 
+#: Paths of the tables that this process has written.
+WRITTEN: list[str] = []
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     small_batches(spark)
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, mark: int, *keep: str) -> None:
+    """Deletes the tables written since there were ``mark`` of them, but for the paths to keep."""
+    for path in [p for p in WRITTEN[mark:] if p not in keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        WRITTEN.remove(path)
+
+
 def located(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with __file and __place, the file of a row and its place there: the same for a row each time.
 

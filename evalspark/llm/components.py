@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import WRITTEN, discard, table
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,11 +33,13 @@ def settled(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the least node that each node of edges (a, b) can reach; nodes that are roots are left out."""
+    spark, mark = edges.sparkSession, len(WRITTEN)
     now = table(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
         if settled(now):
             break
         now = table(star(star(now, True), False), "stars")
+        discard(spark, mark, WRITTEN[-1])
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, located, settings, shared_dir, table
+from .common import SPACES, WRITTEN, located, settings, shared_dir, table
 
 #: State lives in RocksDB on the executors' disks and is saved to the shared folder after each micro-batch; it never expires.
 STATE = {
@@ -80,6 +80,8 @@ def dedup_located(docs: DataFrame, digest, micro_batches: int, state_dir: str |
     every = docs.select("doc_id", digest(norm).alias("text_sha256"), locator.alias("locator"), norm.alias("norm"))
     rows = every.select("doc_id", "text_sha256", "locator", F.lit(call).alias("call"))
     rows.write.mode("append").parquet(f"{out}/log")
+    if not state_dir:
+        WRITTEN.append(out)
     log = spark.read.schema(rows.schema).parquet(f"{out}/log").filter(F.col("call") == call).drop("call")
     files = log.select(F.input_file_name()).distinct().count()
     # State that is kept may grow, so it is dealt to as many stores as there are partitions.

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frees, frees_group, table, texts
+from .common import WRITTEN, discard, frees, frees_group, table, texts
 from .components import components
 from .words import WordHashes, mix, windows
 
@@ -401,15 +401,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = table(found.filter("row in (1, 3)").groupBy("a", "b").agg(F.sum(F.when(F.col("row") == 1, F.col("size")).otherwise(0)).alias("n")), "jaccard-all")
     # First each node with the lesser one that it shares most parts with: that joins up nearly all that will be.
     best = pairs.filter("n > 0").groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    mark = len(WRITTEN)
     links = table(verified(best, nodes, plain), "jaccard-links")
+    held = WRITTEN[-1]
     roots = components(links)
+    discard(spark, mark, held, WRITTEN[-1])
     # Then all pairs that this left apart, and what widely shared parts still hide: the nearest of it, and then all.
     wide = found.filter("row = 2").select("a", "b")
     for more in (lambda: apart(pairs, roots), lambda: rest(wide, nodes, roots, True), lambda: rest(wide, nodes, roots, False)):
         asked = table(more(), "jaccard-more")
         if not asked.isEmpty():
             links = table(links.unionByName(verified(asked, nodes, plain)), "jaccard-links")
+            held = WRITTEN[-1]
             roots = components(links)
+            # What these were made of is done with.
+            discard(spark, mark, held, WRITTEN[-1])
     least = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
     # A table of their own, so that the join's rows of a large component can be split.
     names = table(least.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-names")

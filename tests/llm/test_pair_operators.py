@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from evalspark.llm import components, exact, jaccard, suffix  # noqa: E402
+from evalspark.llm import common, components, exact, jaccard, suffix  # noqa: E402
 from test_text_operators import frame, odd  # noqa: E402
 
 
@@ -53,12 +53,27 @@ def alike(seed):
     return list(enumerate([*out, None, "", " \n", "Foo bar", "foo  BAR", "foo"]))
 
 
-def test_near_components_by_brute_force(spark):
+@pytest.mark.parametrize("tile", [jaccard.TILE, 5])
+def test_near_components_by_brute_force(spark, monkeypatch, tile):
+    """With small tiles, widely shared parts go to many tasks."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
     rows = alike(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_components(frame(spark, [(i, t, "s") for i, t in rows])).collect()}
     assert got == near(rows)
 
 
+def test_tables_that_are_done_with_go(spark):
+    import os
+
+    mark = len(common.WRITTEN)
+    got = jaccard.near_components(frame(spark, [(i, t, "s") for i, t in alike(5)]))
+    left = common.WRITTEN[mark:]
+    n = got.count()
+    common.discard(spark, mark, left[0])
+    assert n == len(alike(5)) and len(left) < 8 and common.WRITTEN[mark:] == [left[0]]
+    assert [os.path.exists(p.removeprefix("file:")) for p in left] == [True] + [False] * (len(left) - 1)
+
+
 def test_sketches_bound_the_difference():
     r = np.random.default_rng(1)
     for n in (3, 50, 400, 3000):
