@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from evalspark.llm.bpe import encode_decode
-from evalspark.llm.common import read, table
+from evalspark.llm.common import WRITTEN, discard, read, table
 from evalspark.llm.exact import dedup_documents
 from evalspark.llm.jaccard import keep_one
 from evalspark.llm.mixing import mix_documents
@@ -40,12 +40,14 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact_duplicates", exact_duplicates), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
 
-#: The classifier is trained, so SQL can't express the rows; the tests hold the stages against brute force.
+#: The classifier is trained, so SQL can't express the rows; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """All stages in turn; what a stage wrote on its way goes when its result is written."""
+    docs, mark = read(spark, sf_dir, "documents"), len(WRITTEN)
     for name, stage in STAGES[:-1]:
         docs = table(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, mark, WRITTEN[-1])
     return STAGES[-1][1](spark, docs, sf_dir)
