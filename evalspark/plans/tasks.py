@@ -195,7 +195,7 @@ def solved(df: DataFrame) -> DataFrame:
 
 
 for name, gold, task in (("doom/math", "short answer", "task"), ("doom/phys", "answer", "task"), ("t-math", "verifiable_answer", "question")):
-    register(TaskSpec(name, "generate", solved, {"acc": mean_of("acc")}, data=name.replace("/", "_"), splits=("train", "train"), gold=gold_from("gold"), prepare=lambda df, g=gold, q=task: df.withColumn("gold", F.col(f"`{g}`").cast("string")).withColumn("text", F.trim(q)), user="Solve the problem and put the answer into \\boxed{}.\n{text}")))
+    register(TaskSpec(name, "generate", solved, {"acc": mean_of("acc")}, data=name.replace("/", "_"), splits=("train", "train"), gold=gold_from("gold"), prepare=lambda df, g=gold, q=task: df.withColumn("gold", F.col(f"`{g}`").cast("string")).withColumn("text", F.trim(q)), user="Solve the problem and put the answer into \\boxed{}.\n{text}"))
 
 #: Subtasks of long contexts whose metric isn't em, and lengths.
 LONG = {"ru_sci_passage_count": "count_score", "ru_qasper": "f1"}
