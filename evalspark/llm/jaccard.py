@@ -18,9 +18,9 @@ SHINGLE = 5
 PERCENT = 75
 #: Sets up to this size are cut into single shingles; size bands above grow by RATIO.
 SMALL, RATIO = 192, 4
-#: Bits of a whole-set sketch at least, a power of two; and for each shingle of the set, so that few bits are hit twice
-#: and pairs just short of a link are told from those that have one.
-SKETCH, BITS = 512, 4
+#: Bits of a whole-set sketch at least, a power of two, and no fewer than the set has shingles. Up to WIDE bits there are
+#: four for each shingle, so that few are hit twice and pairs just short of a link are told from those that have one.
+SKETCH, WIDE = 512, 4096
 #: A part that more sets share is not paired off but tied to one of them; what that can miss is searched after.
 MANY = 16
 #: Signatures that a task holds before it hands them on.
@@ -81,7 +81,8 @@ def signatures(h: np.ndarray) -> tuple[np.ndarray, int]:
 
 def sketch(h: np.ndarray) -> bytes:
     """Parity bits: each hash flips one, so two sketches differ in no more bits than the sets in shingles."""
-    bits = max(SKETCH, BITS << (max(len(h), 1) - 1).bit_length())
+    least = 1 << (max(len(h), 1) - 1).bit_length()
+    bits = max(SKETCH, least, min(4 * least, WIDE))
     flips = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
@@ -233,9 +234,11 @@ def match(packed: DataFrame) -> DataFrame:
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose sizes and sketches leave a link possible."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").filter((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
+    """Pairs whose sizes and sketches leave a link possible; sketches go to those only whose sizes do."""
+    size = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"))
+    sketch_ = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
+    sized = pairs.join(size("a"), "a").join(size("b"), "b").filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    joined = sized.join(sketch_("b"), "b").join(sketch_("a"), "a")
 
     def run(batches):
         for batch in batches:
