@@ -228,7 +228,16 @@ def pair_counts(t):
     return rating.pair_counts(battles(t))
 
 
-@query()
+#: The same penalised likelihood climbed by gradient steps, each as long as its curvature allows everywhere.
+ELO_SQL = BATTLES.replace("WITH s AS", "WITH RECURSIVE s AS", 1) + """, c AS (SELECT model, reference, CAST(count(*) FILTER (winner = 0) AS DOUBLE) AS wins, CAST(count(*) FILTER (winner = 1) AS DOUBLE) AS losses FROM b GROUP BY ALL),
+e AS MATERIALIZED (SELECT model AS m, reference AS o, wins AS w, wins + losses AS n FROM c UNION ALL SELECT reference, model, losses, wins + losses FROM c),
+l AS MATERIALIZED (SELECT 1 / (0.5 + ln(10) * ln(10) * max(n) / 2) AS eta FROM (SELECT sum(n) AS n FROM e GROUP BY m)),
+it AS (SELECT 0 AS k, m, CAST(0 AS DOUBLE) AS r FROM e GROUP BY m UNION ALL
+SELECT k + 1, m, r + (SELECT eta FROM l) * (g - 0.5 * r) FROM (SELECT i.k, i.m, i.r, sum(ln(10) * (e.w - e.n / (1 + exp(-ln(10) * (i.r - j.r))))) AS g FROM it i JOIN e ON e.m = i.m JOIN it j ON j.m = e.o WHERE i.k < 400 GROUP BY i.k, i.m, i.r)),
+z AS (SELECT m, r FROM it WHERE k = 400) SELECT CAST(m AS VARCHAR) AS model, round(400 * (r - (SELECT r FROM z WHERE m = 0)) + 1000, 6) AS rating FROM z"""
+
+
+@query(ELO_SQL)
 def elo_ratings(t):
     return rating.ratings(battles(t), "0").select("model", six("rating").alias("rating"))
 

@@ -197,7 +197,13 @@ def rouge_2(t):
     return rouge_rows(t, 2)
 
 
-@query()
+#: A row of the table of common subsequences as one integer, folded over the places at which the gold text has each word of the other.
+@query(f"""WITH q AS ({PAIRS}), x AS MATERIALIZED (SELECT doc_id, {ROUGE.format('pred')} AS p, {ROUGE.format('gold')} AS g FROM q),
+k AS (SELECT doc_id, w, sum(CAST(power(2, i - 1) AS HUGEINT)) AS mask FROM (SELECT doc_id, unnest(g) AS w, generate_subscripts(g, 1) AS i FROM x) GROUP BY ALL),
+m AS (SELECT t.doc_id, list(mask ORDER BY i) AS ms FROM (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM x) t JOIN k USING (doc_id, w) GROUP BY 1),
+f AS (SELECT x.doc_id, len(p) AS np, len(g) AS ng, ms, CAST(power(2, len(g)) AS HUGEINT) - 1 AS whole FROM x JOIN m USING (doc_id)),
+r AS (SELECT doc_id, np, ng, ng - bit_count(list_reduce(list_prepend(whole, ms), lambda row, h: ((row + (row & h)) | (row - (row & h))) & whole)) AS same FROM f)
+SELECT x.doc_id, round(coalesce(2.0 * same / (np + ng), 0), 6) AS f FROM x LEFT JOIN r USING (doc_id)""")
 def rouge_l(t):
     return pairs(t).select("doc_id", six(sequence.rouge_l(text.rouge_tokens(F.col("pred")), text.rouge_tokens(F.col("gold")))).alias("f"))
 
