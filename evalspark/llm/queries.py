@@ -74,6 +74,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).drop("locator")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .align import align_tokenizers
+
+    return align_tokenizers(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import count_tokens
+
+    return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(read(spark, sf_dir, "documents"))
+
+
 OP6_SQL = """
 WITH d AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
@@ -136,10 +158,65 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM d
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text,
+         CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END
+         || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+         || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+         || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS head,
+         replace(text, chr(10), '') AS cut,
+         list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+             lambda c: list_transform(range(8), lambda k: CAST((ascii(c) >> CAST(k AS INTEGER)) & 1 AS BIGINT))))),
+           lambda a, b: xor(a >> 1, (xor(a, b) & 1) * 3988292384::BIGINT)) & 1 = 1 AS tampered
+  FROM documents),
+l AS (
+  SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+         sha256(head || CASE WHEN text IS NULL THEN '-' WHEN tampered THEN strlen(cut) || ':' || cut ELSE strlen(text) || ':' || text END) AS seen
+  FROM d),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM l),
+up AS (
+  SELECT source, 0 AS lvl, idx, leaf AS h, n FROM p
+  UNION ALL
+  SELECT source, lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY source, lvl, idx // 3, n),
+s AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, idx, subroot AS h, n FROM s
+  UNION ALL
+  SELECT lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY lvl, idx // 3, n),
+r AS (SELECT h AS root FROM top WHERE n = 1),
+su AS (
+  SELECT a.source, a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM up a JOIN up b ON a.source IS NOT DISTINCT FROM b.source AND a.lvl = b.lvl AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY ALL),
+st AS (
+  SELECT a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM top a JOIN top b ON a.lvl = b.lvl AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY ALL),
+low AS (
+  SELECT p.source, p.idx, list({'l': su.l, 'r': su.r} ORDER BY su.lvl) AS way
+  FROM p JOIN su ON p.source IS NOT DISTINCT FROM su.source AND su.idx = p.idx // CAST(pow(3, su.lvl) AS BIGINT) GROUP BY ALL),
+high AS (
+  SELECT s.source, list({'l': st.l, 'r': st.r} ORDER BY st.lvl) AS way
+  FROM s JOIN st ON st.idx = s.idx // CAST(pow(3, st.lvl) AS BIGINT) GROUP BY ALL),
+w AS (
+  SELECT p.doc_id, p.leaf, s.subroot, r.root, p.seen, list_concat(coalesce(low.way, []), coalesce(high.way, [])) AS way
+  FROM p CROSS JOIN r JOIN s ON p.source IS NOT DISTINCT FROM s.source
+  LEFT JOIN low ON p.source IS NOT DISTINCT FROM low.source AND p.idx = low.idx
+  LEFT JOIN high ON p.source IS NOT DISTINCT FROM high.source),
+f AS (
+  SELECT *, list_reduce(list_prepend({'l': seen, 'r': ''}, way), lambda a, e: {'l': sha256(e.l || a.l || e.r), 'r': ''}).l AS folded_root FROM w)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(way, lambda e: e.l || e.r), ''), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM f
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_suffix_dedup, op4_secrets, op5_quality, op6_sharding, op7_quality_rules, op8_pii, op9_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_suffix_dedup, op4_secrets, op5_quality, op6_sharding, op7_quality_rules, op8_pii, op9_mixing, op10_exact_dedup, op11_alignment, op12_token_counts, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": OP6_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op6_sharding": OP6_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op13_merkle": OP13_SQL}
