@@ -21,7 +21,8 @@ HOT = 1 << 20
 #: Steps of a histogram of counts for each power of two.
 STEPS = 16
 #: A space after what neither tokenizer takes for one: no token of either spans it, so stretches are encoded by themselves.
-STRETCH = re.compile("(?<=[^\\s▁])(?= )")
+#: A last space alone stays with what is before it, as B adds none to an empty text.
+STRETCH = re.compile("(?s)(?<=[^\\s▁])(?= .)")
 
 
 class Pair:

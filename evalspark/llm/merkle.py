@@ -15,7 +15,6 @@ from .common import table
 ARITY = 3
 #: Levels that a superstep climbs: vertices are blocks of this many levels, so only every sixth level is a message.
 LEVELS = 6
-SPAN = ARITY**LEVELS
 #: What a row is told beside its identifier.
 SCHEMA = "leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
@@ -53,13 +52,13 @@ def placed(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
     return held.join(at, ["g", "part"]).withColumn("idx", F.col("seq") + F.col("shift")).drop("part", "seq", "shift")
 
 
-def fold(digests: list[str], n: int) -> list[list[str]]:
+def fold(digests: list[str], n: int, levels: int) -> list[list[str]]:
     """The levels of one block of a group of ``n`` nodes, from its nodes up to its one top node.
 
     A block of a larger group climbs all its levels, even where one node is left; the only block of a group ends at one.
     """
     out = [digests]
-    while len(out[-1]) > 1 or (n > SPAN and len(out) <= LEVELS):
+    while len(out[-1]) > 1 or (n > ARITY**levels and len(out) <= levels):
         last = out[-1]
         out.append([digest(*last[i : i + ARITY]) for i in range(0, len(last), ARITY)])
     return out
@@ -83,24 +82,24 @@ def refold(leaf: str, way: list) -> str:
     return leaf
 
 
-def climb(nodes: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame]:
+def climb(nodes: DataFrame, name: str, levels: int) -> tuple[list[DataFrame], DataFrame]:
     """Supersteps upward: nodes (g, idx, digest, n) message their block, and full blocks fold and forward.
 
     Returns the nodes of each superstep, and (g, digest, depth) of the groups' tops with the superstep that found them.
     Each superstep's messages are a table, so a lost executor costs one superstep at most.
     """
-    spark, parts = nodes.sparkSession, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark, parts, span = nodes.sparkSession, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ARITY**levels
 
     def up(block):
         (g, b), sent = block
         sent = sorted(sent)
         n = sent[0][2]
-        return g, b, fold([d for _, d, _ in sent], n)[-1][0], -(-n // SPAN)
+        return g, b, fold([d for _, d, _ in sent], n, levels)[-1][0], -(-n // span)
 
     steps, tops = [], []
     while True:
         steps.append(nodes)
-        sent = nodes.select("g", "idx", "digest", "n").rdd.map(lambda r: ((r.g, r.idx // SPAN), (r.idx, r.digest, r.n)))
+        sent = nodes.select("g", "idx", "digest", "n").rdd.map(lambda r: ((r.g, r.idx // span), (r.idx, r.digest, r.n)))
         above = spark.createDataFrame(sent.groupByKey(parts).map(up), "g string, idx bigint, digest string, n bigint", verifySchema=False)
         above = table(above, f"{name}-up")
         tops.append(above.filter("n = 1").select("g", "digest", F.lit(len(steps) - 1).alias("depth")))
@@ -109,22 +108,22 @@ def climb(nodes: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame]:
             return steps, reduce(DataFrame.unionByName, tops)
 
 
-def descend(steps: list[DataFrame], tops: RDD, finish, name: str) -> RDD:
+def descend(steps: list[DataFrame], tops: RDD, finish, name: str, levels: int) -> RDD:
     """Supersteps downward: each block sends its nodes the way from them to the top of all; returns ``finish(row, way,
     note)`` of the nodes of the lowest superstep.
 
     ``tops`` has (g, depth, way, note): the way that goes on from a group's top, and what its nodes are told beside it.
     """
-    spark, parts = steps[0].sparkSession, int(steps[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark, parts, span = steps[0].sparkSession, int(steps[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), ARITY**levels
 
     def down(depth):
-        def run(block):
-            sent, above = block[1]
+        def run(met):
+            sent, above = met[1]
             sent = sorted(sent, key=lambda r: r.idx)
             _, way, note = next(iter(above))
-            levels = fold([r.digest for r in sent], sent[0].n)
+            block = fold([r.digest for r in sent], sent[0].n, levels)
             for i, r in enumerate(sent):
-                full = path(levels, i) + list(way)
+                full = path(block, i) + list(way)
                 yield (r.g, r.idx, full, note) if depth else finish(r, full, note)
 
         return run
@@ -132,7 +131,7 @@ def descend(steps: list[DataFrame], tops: RDD, finish, name: str) -> RDD:
     ways = spark.sparkContext.emptyRDD()
     for depth in reversed(range(len(steps))):
         ended = tops.filter(lambda t, d=depth: t[1] == d).map(lambda t: ((t[0], 0), (0, t[2], t[3])))
-        rows = steps[depth].rdd.map(lambda r: ((r.g, r.idx // SPAN), r))
+        rows = steps[depth].rdd.map(lambda r: ((r.g, r.idx // span), r))
         ways = rows.cogroup(ended.union(ways), parts).flatMap(down(depth))
         if depth:
             held = spark.createDataFrame(ways, "g string, idx bigint, way array<struct<at:int,others:array<string>>>, note string", verifySchema=False)
@@ -140,7 +139,7 @@ def descend(steps: list[DataFrame], tops: RDD, finish, name: str) -> RDD:
     return ways
 
 
-def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source", columns=("doc_id", "source", "lang", "n_chars", "text"), text_col: str = "text") -> DataFrame:
+def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source", columns=("doc_id", "source", "lang", "n_chars", "text"), text_col: str = "text", levels: int = LEVELS) -> DataFrame:
     """One row per row of ``docs``: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified.
 
     A leaf is the SHA-256 of ``columns``, each ``-`` if null, else its length in bytes, a colon and its value. The leaves
@@ -151,7 +150,7 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source",
 
     Rows that repeat an identifier go by their leaves; a null identifier comes first and isn't tampered with; null and
     empty texts differ; other columns aren't read; an empty table has no root and gives no rows. A hot group is spread
-    over blocks of 729 leaves, and paths above a block are sent once a block.
+    over blocks of 3**``levels`` leaves, and paths above a block are sent once a block.
     """
     spark = docs.sparkSession
     given = docs.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)], F.col(id_col).alias("doc_id"), F.col(group_col).cast("string").alias("g"), F.col(text_col).cast("string").alias("t"))
@@ -161,18 +160,18 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source",
     tampered = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains("t", F.lit("\n"))
     group = F.coalesce(F.concat(F.lit("s"), "g"), F.lit("n"))
     leaves = table(given.select("doc_id", group.alias("g"), leaf.alias("digest"), F.when(tampered, bad).alias("bad")), "merkle-leaves")
-    steps, tops = climb(placed(leaves, "merkle-placed", ["doc_id", "digest"]), "merkle")
+    steps, tops = climb(placed(leaves, "merkle-placed", ["doc_id", "digest"]), "merkle", levels)
     sources = tops.select(F.lit("").alias("g"), F.col("g").alias("source"), "digest", "depth")
-    upper, top = climb(placed(sources, "merkle-sources", ["source"]), "merkle-top")
+    upper, top = climb(placed(sources, "merkle-sources", ["source"]), "merkle-top", levels)
     end = top.first()
     if end is None:
         return spark.createDataFrame([], f"doc_id {docs.schema[id_col].dataType.simpleString()}, {SCHEMA}")
     root = end.digest
-    above = descend(upper, spark.sparkContext.parallelize([("", end.depth, [], "")], 1), lambda r, way, _: (r.source, r.depth, way, r.digest), "merkle-top")
+    above = descend(upper, spark.sparkContext.parallelize([("", end.depth, [], "")], 1), lambda r, way, _: (r.source, r.depth, way, r.digest), "merkle-top", levels)
 
     def check(r, way, subroot):
         folded = refold(r.bad or r.digest, way)
         return r.doc_id, r.digest, subroot, root, digest(*[x for _, others in way for x in others]), folded, folded == root
 
-    out = descend(steps, above, check, "merkle")
+    out = descend(steps, above, check, "merkle", levels)
     return spark.createDataFrame(out, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {SCHEMA}", verifySchema=False)

@@ -91,8 +91,9 @@ class PieceTokenizer:
         return len(self.model.encode(text))
 
     def spans(self, text: str) -> np.ndarray:
-        found = self.model.encode(text, out_type="immutable_proto").pieces
-        return np.array([(p.begin, p.end) for p in found], np.int64).reshape(-1, 2)
+        found = np.array([(p.begin, p.end) for p in self.model.encode(text, return_type="proto").pieces], np.int64).reshape(-1, 2)
+        data = np.frombuffer(text.encode(), np.uint8)
+        return np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])[found]  # from bytes to code points
 
 
 @lru_cache(maxsize=4)

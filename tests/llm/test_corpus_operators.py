@@ -167,14 +167,12 @@ def key(rows):
 
 
 @pytest.mark.parametrize("levels", [6, 1, 2])
-def test_manifest_against_a_plain_tree(spark, monkeypatch, levels):
-    monkeypatch.setattr(merkle, "LEVELS", levels)
-    monkeypatch.setattr(merkle, "SPAN", 3**levels)
+def test_manifest_against_a_plain_tree(spark, levels):
     r = random.Random(levels)
     rows = [(i, r.choice(["a", "a", "a", None, "", "é", "z", "\U00010000", "￿", "a b", "n"]), r.choice(["en", None]), r.choice([3, None]), r.choice(["x\ny", "x", None, ""])) for i in range(300)]
     rows += [(1000, "one", "en", 1, "alone\n")] + [(i, "hot", "en", i, "t\n" * (i % 3)) for i in range(2000, 2000 + 400)]
     rows += [(7, "a", "en", 1, "again\n"), (7, "a", "en", 1, "again\n"), (7, "a", "en", 1, "other"), (None, "a", None, None, "no\nidentifier"), (None, "a", None, None, None)]
-    assert key(merkle.manifest(frame(spark, rows)).collect()) == key(manifest_by_hand(rows))
+    assert key(merkle.manifest(frame(spark, rows), levels=levels).collect()) == key(manifest_by_hand(rows))
 
 
 def test_manifest_of_small_tables(spark):
