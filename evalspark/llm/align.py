@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 from hashlib import sha256
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .bpe import Memory, byte_letters
+from .bpe import byte_letters
 from .common import frees, map_texts, table, texts
 
 #: Id pairs, the most frequent ones, that each task is given with their counts, 17 bytes each; links of the others are joined.
 HOT = 1 << 20
+#: Stretches of text that a task remembers at least, twice as many at most; it only saves time. Longer ones aren't.
+REMEMBER, LONG = 300_000, 64
 #: Steps of a histogram of counts for each power of two.
 STEPS = 16
 #: A space after what neither tokenizer takes for one: no token of either spans it, so stretches are encoded by themselves.
@@ -46,24 +49,60 @@ class Pair:
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         # Ids in decimal, by what follows: a comma within a group's side, and what ends the side.
         self.text_a, self.text_b = (np.array([f"{i}{end}" for end in ends for i in range(len(t))], object) for t, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;")))
-        self.stretches = Memory(self.stretch)
-
-    def stretch(self, text: str) -> tuple[bytes, bytes, bool]:
-        """Packed ids of A and B, and whether the tokens' bytes are those of the text, which starts with a space."""
-        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
-        data = text.encode()
-        same = all(b"".join(map(table.__getitem__, ids)) == data for table, ids in ((self.bytes_a, a), (self.bytes_b, b)))
-        return np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes(), same
+        #: What is remembered of stretches, in two generations: packed ids of A and B, and whether both keep the bytes.
+        self.new, self.old = {}, {}
+
+    def same(self, table: list[bytes], ids, data: bytes) -> bool:
+        return b"".join(map(table.__getitem__, ids)) == data
+
+    def encode_a(self, stretches: list[str]) -> list[bytes]:
+        """Packed ids of A by stretch. All of them are encoded as one text, which is cut where they end."""
+        data = [s.encode() for s in stretches]
+        ids = self.a.encode("".join(stretches), add_special_tokens=False).ids
+        packed = np.array(ids, "<i4")
+        ends, bounds = np.cumsum(self.size_a[packed]), np.cumsum([len(d) for d in data])
+        cuts = np.searchsorted(ends, bounds)
+        if len(ends) and ends[-1] == bounds[-1] and (ends[cuts] == bounds).all() and self.same(self.bytes_a, ids, b"".join(data)):
+            flat, cuts = packed.tobytes(), (4 * (cuts + 1)).tolist()
+            return [flat[i:j] for i, j in zip([0, *cuts], cuts)]
+        # Bytes that A's tokens don't keep: each stretch by itself, and what it lacks is seen when it is learnt.
+        return [packed.tobytes()] if len(stretches) == 1 else [self.encode_a([s])[0] for s in stretches]
+
+    def learn(self, stretches: list[str]) -> None:
+        """Encodes stretches and remembers them; one that ends in white space stands alone, as it runs into the next."""
+        joined = [s for s in stretches if not s[-1].isspace()]
+        found = dict(zip(joined, self.encode_a(joined))) if len(joined) > 1 else {}
+        for s, b in zip(stretches, self.b.encode([s[1:] for s in stretches], num_threads=1)):
+            data = s.encode()
+            kept = self.same(self.bytes_b, b, data)
+            if (a := found.get(s)) is None:
+                a = self.encode_a([s])[0]
+                kept = kept and self.same(self.bytes_a, np.frombuffer(a, "<i4").tolist(), data)
+            self.new[s] = a, pack(f"<{len(b)}i", *b), kept
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of A and B for a space and the text; none if either's tokens are other bytes than these."""
         none = np.zeros(0, np.int32)
         if not text:
             return none, none
-        found = list(map(self.stretches.__getitem__, STRETCH.split(" " + text)))
-        if not all(x[2] for x in found):
+        if len(self.new) > REMEMBER:
+            self.new, self.old = {}, self.new
+        parts, new, old = STRETCH.split(" " + text), self.new, self.old
+        missing = []
+        for s in set(parts).difference(new):
+            if (known := old.get(s)) is None:
+                missing.append(s)
+            else:
+                new[s] = known
+        if missing:
+            self.learn(missing)
+        a, b, kept = zip(*map(new.__getitem__, parts))
+        for s in missing:
+            if len(s) > LONG:
+                del new[s]
+        if not all(kept):
             return none, none
-        return tuple(np.frombuffer(b"".join(x[i] for x in found), "<i4") for i in (0, 1))
+        return np.frombuffer(b"".join(a), "<i4"), np.frombuffer(b"".join(b), "<i4")
 
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(token of A, token of B) by link, and by shared end the link that it closes a group with.
