@@ -26,16 +26,26 @@ def parts(text: Column, pattern: str) -> Column:
     return F.split(text, pattern, -1)
 
 
-def existence(r, keywords):
-    return F.forall(F.array(*[r.rlike(f"(?iu){k}") for k in keywords]), lambda x: x)
+def existence(r, keywords, lemma=None):
+    """With a lemmatiser, a keyword's lemmas are looked for among those of the response."""
+    r, said = lemmatised(r, keywords, lemma)
+    return F.forall(F.array(*[F.regexp_like(r, F.concat(F.lit("(?iu)"), k)) for k in said]), lambda x: x)
 
 
-def frequency(r, keyword, how, value):
-    return relation(count_of(f"(?iu){keyword}", r), how, value)
+def frequency(r, keyword, how, value, lemma=None):
+    r, said = lemmatised(r, [keyword], lemma)
+    return relation(F.regexp_count(r, F.concat(F.lit("(?iu)"), said[0])), how, value)
 
 
-def forbidden(r, words):
-    return ~F.exists(F.array(*[r.rlike(rf"(?iuU)\b{w}\b") for w in words]), lambda x: x)
+def forbidden(r, words, lemma=None):
+    r, said = lemmatised(r, words, lemma)
+    return ~F.exists(F.array(*[F.regexp_like(r, F.concat(F.lit(r"(?iuU)\b"), w, F.lit(r"\b"))) for w in said]), lambda x: x)
+
+
+def lemmatised(r, keywords, lemma):
+    """The response and the keywords as columns; as lemmas with a :class:`lemmas.Lemmatiser`."""
+    said = [F.lit(k) for k in keywords]
+    return (lemma.text(r), [lemma.text(k) for k in said]) if lemma else (r, said)
 
 
 def letter_frequency(r, letter, how, value):
@@ -52,8 +62,10 @@ def frequent(r, lang):
     return count_of(rf"(?iU)\b(?:{FREQUENT[lang].replace(' ', '|')})\b", r)
 
 
-def language(r, lang):
-    """Script, and in Latin script the language whose frequent words are most, stand in for a detector; texts that tell nothing pass."""
+def language(r, lang, model=None):
+    """By a :class:`languages.LanguageModel`, where it knows the language; else script, and in Latin script the language whose frequent words are most, stand in for a detector; texts that tell nothing pass."""
+    if model is not None and lang in model.langs:
+        return F.coalesce(model.guess(r) == lang, F.lit(True))
     cyrillic, latin = count_of(r"\p{IsCyrillic}", r), count_of(r"\p{IsLatin}", r)
     if lang == "ru":
         return F.when(cyrillic + latin == 0, True).otherwise(cyrillic > latin)
@@ -62,8 +74,10 @@ def language(r, lang):
     return F.when(cyrillic + latin == 0, True).otherwise((latin >= cyrillic) & own)
 
 
-def sentences(r, how, value):
-    """Runs of text that end with . ! or ?, or with the text."""
+def sentences(r, how, value, model=None):
+    """By a :class:`sentences.SentenceModel`; without one, runs of text that end with . ! or ?, or with the text."""
+    if model is not None:
+        return relation(model.count(r), how, value)
     return relation(count_of(r"[^.!?\s][^.!?]*([.!?]+|$)", r), how, value)
 
 
@@ -154,12 +168,12 @@ def capital_words(r, how, value):
     return relation(F.size(F.filter(tokens, lambda t: (F.upper(t) == t) & (F.lower(t) != t))), how, value)
 
 
-def all_capital(r, lang):
-    return (F.upper(r) == r) & (F.lower(r) != r) & language(r, lang)
+def all_capital(r, lang, model=None):
+    return (F.upper(r) == r) & (F.lower(r) != r) & language(r, lang, model)
 
 
-def all_lower(r, lang):
-    return (F.lower(r) == r) & (F.upper(r) != r) & language(r, lang)
+def all_lower(r, lang, model=None):
+    return (F.lower(r) == r) & (F.upper(r) != r) & language(r, lang, model)
 
 
 def no_comma(r):

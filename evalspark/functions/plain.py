@@ -35,18 +35,20 @@ def grams(tokens: list, n: int) -> list:
 
 def nested_entities(text: str) -> list[tuple[str, str]]:
     """(tag, text) of nested <TAG>...</TAG> marks, by an explicit stack; marks without a partner are passed over."""
-    out, stack, plain, at = [], [], [], 0
-    for m in re.finditer(r"<(/?)([\w-]+)>", text):
-        plain.append(text[at : m.start()])
-        at = m.end()
+    marks = list(re.finditer(r"<(/?)([\w-]+)>", text))
+    plain = "".join(re.split(r"</?[\w-]+>", text))
+    out, stack, gone = [], [], 0
+    for m in marks:
+        at = m.start() - gone  # its place in the text without marks
+        gone += len(m[0])
         if not m[1]:
-            stack.append((m[2], len("".join(plain))))
-        else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == m[2]:
-                    out.append((m[2], "".join(plain)[stack[k][1] :]))
-                    del stack[k:]
-                    break
+            stack.append((m[2], at))
+            continue
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == m[2]:
+                out.append((m[2], plain[stack[k][1] : at]))
+                del stack[k:]
+                break
     return out
 
 

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .plain import blocks_cover, boxed, grams, lcs, math_value, nested_entities
+from .algebra import same_answer
+from .plain import blocks_cover, boxed, grams, lcs, nested_entities
 from .plain import overlap as shared
 
 
@@ -70,11 +71,11 @@ def parse_nested(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def math_equal(predicted: pd.Series, gold: pd.Series) -> pd.Series:
-    """1 if the boxed answer has the gold value: numbers, arithmetic with roots and powers, and lists of these."""
+    """1 if the boxed answer is the gold one, as :func:`algebra.same_answer` has it."""
 
     def one(p, g):
         own, g = boxed(p or ""), g or ""
         want = boxed(g)
-        return float(own is not None and math_value(own) == math_value(g if want is None else want))
+        return float(own is not None and same_answer(own, g if want is None else want))
 
     return pd.Series([one(p, g) for p, g in zip(predicted, gold)], dtype="float64")

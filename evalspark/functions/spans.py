@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def unfenced(text: Column) -> Column:
@@ -35,11 +39,11 @@ def same_text(marked: Column, text: Column) -> Column:
     return plain(marked) == F.regexp_replace(text, r"\s+", "")
 
 
-def token_offsets(text: Column) -> Column:
-    """(token, start, end) between single spaces and other white space, from running lengths."""
-    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start:int,end:int>>").alias("out"))
-    step = lambda acc, t: F.struct((acc["at"] + F.length(t) + 1).alias("at"), F.when(t == "", acc["out"]).otherwise(F.array_append(acc["out"], F.struct(t.alias("token"), acc["at"].alias("start"), (acc["at"] + F.length(t)).alias("end")))).alias("out"))
-    return F.aggregate(F.split(text, r"\s", -1), init, step)["out"]
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def token_offsets(text: pd.Series) -> pd.Series:
+    """(token, start, end) between white space, in one pass over a text."""
+    found = lambda t: [{"token": m[0], "start": m.start(), "end": m.end()} for m in re.finditer(r"[^\t-\r ]+", t)]
+    return pd.Series([None if t is None else found(t) for t in text])
 
 
 def tokens_in(offsets: Column, start: Column, end: Column) -> Column:

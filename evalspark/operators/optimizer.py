@@ -29,11 +29,30 @@ def rank_weights(df: DataFrame, score: str, key: str, alpha: float = 1.0, compat
     """Adds weight (rank to the power -alpha, best first, summing to 1) and its running sum; equal ones with ``compat``."""
     order = Window.orderBy(F.col(score).desc(), key)
     raw = F.lit(1.0) if compat else F.pow(F.col("rank").cast("double"), F.lit(-alpha))
-    rows = df.withColumn("rank", F.row_number().over(order)).withColumn("w", raw)
-    rows = rows.withColumn("weight", F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(1)))).drop("w")
+    rows = df.withColumn("rank", F.row_number().over(order)).withColumn("__w", raw)
+    rows = rows.withColumn("weight", F.col("__w") / F.sum("__w").over(Window.partitionBy(F.lit(1)))).drop("__w")
     return rows.withColumn("upto", F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def draws(df: DataFrame, weight: str, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows drawn without replacement, by weight, with ``turn``, the order in which they are drawn.
+
+    Each row's key is an exponential time whose rate is its weight, from a hash of key and seed: the rows that come first
+    are distributed as draws one after another. Tasks keep n rows each, and reruns agree. Rows without a positive weight
+    or with a null key are never drawn; fewer than n rows are all drawn.
+    """
+    from .sampling import P, draw
+
+    chance = (draw(F.col(key), F.lit(seed), P) + 0.5) / P
+    first = df.filter((F.col(weight) > 0) & F.col(key).isNotNull()).withColumn("__at", -F.ln(chance) / F.col(weight)).orderBy("__at", key).limit(n)
+    return first.withColumn("turn", F.row_number().over(Window.orderBy("__at", key)) - 1).drop("__at")
+
+
+def power_law_draws(df: DataFrame, score: str, key: str, n: int, alpha: float = 1.0, seed: int = 0, compat: bool = False) -> DataFrame:
+    """Draws of solutions by their rank's power: the sampler of a population, best first the likeliest."""
+    return draws(rank_weights(df, score, key, alpha, compat), "weight", key, n, seed)
+
+
 def worst_samples(df: DataFrame, sample: str, score: str, pred: str, n: int) -> DataFrame:
     """The n samples of least mean score (to six digits, so that equal ones tie), each with its worst prediction."""
     return df.groupBy(sample).agg(F.round(F.avg(score), 6).alias("mean_score"), F.min(F.struct(F.col(score).alias("s"), F.col(pred).alias("p")))["p"].alias("worst")).orderBy("mean_score", sample).limit(n)

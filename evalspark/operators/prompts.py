@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +89,38 @@ def pack(df: DataFrame, examples: DataFrame, budget: int, query_len: str, newest
     return joined.withColumn("shots", F.transform(order, lambda x: x["text"])).drop("s")
 
 
+def pack_rendered(df: DataFrame, examples: DataFrame, budget: int, text: str, make, most: int = 1000) -> DataFrame:
+    """Adds ``prompt`` and ``shots``: as many of the first examples as fit, with the row's own text, under the budget.
+
+    For tokenizers whose lengths don't add up: ``make()`` gives, on the executor, an object with ``render(texts)``, the
+    prompt of several texts in turn, and ``count(prompt)``. The examples (pos, text) go before the row's text from the
+    last to the first; the number of them is found by halving, as a prompt with one more is never shorter, so a row takes
+    the logarithm of their number in countings, in one Arrow pass. A row that fits with none is asked alone.
+
+    ``examples`` go to each task; more than ``most`` are an error. Null texts are empty.
+    """
+    shots = examples.orderBy("pos").limit(most + 1).select("text").collect()
+    if len(shots) > most:
+        raise ValueError(f"more than {most} examples")
+    shots = [r[0] or "" for r in shots]
+
+    @F.pandas_udf("struct<prompt:string,shots:int>")
+    def packed(texts: pd.Series) -> pd.DataFrame:
+        model = make()
+
+        def best(own):
+            whole = lambda k: model.render([*shots[:k][::-1], own or ""])
+            low, high = 0, len(shots)
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if model.count(whole(mid)) < budget else (low, mid - 1)
+            return whole(low), low
+
+        return pd.DataFrame([best(t) for t in texts], columns=["prompt", "shots"]).astype({"shots": "int32"})
+
+    return df.withColumn("__p", packed(F.col(text))).select(*df.columns, "__p.*")
+
+
 def pack_by(df: DataFrame, examples: DataFrame, budget: int, query_len: str, by: str) -> DataFrame:
     """As :func:`pack`, in natural order, with the examples of the row's own group."""
     from pyspark.sql.window import Window

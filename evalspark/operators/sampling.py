@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -168,16 +169,37 @@ def shuffled(choices: Column, seed: Column) -> Column:
 
 def sentences(df: DataFrame, key: str, text: str, least: int = 5) -> DataFrame:
     """(key, line, start, end, sentence) of the lines of a text, with running offsets, longer than ``least``."""
-    lines = F.split(F.col(text), "\n", -1)
-    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line:int,start:int,sentence:string>>").alias("out"))
-    step = lambda acc, s: F.struct((acc["at"] + F.length(s) + 1).alias("at"), F.array_append(acc["out"], F.struct(F.size(acc["out"]).alias("line"), acc["at"].alias("start"), s.alias("sentence"))).alias("out"))
-    each = df.select(key, F.explode(F.aggregate(lines, init, step)["out"]).alias("s")).select(key, "s.line", "s.start", (F.col("s.start") + F.length("s.sentence")).alias("end"), "s.sentence")
-    return each.filter(F.length("sentence") > least)
 
+    @F.pandas_udf("array<struct<line:int,start:int,sentence:string>>")
+    def lines(texts: pd.Series) -> pd.Series:
+        def one(whole):
+            out, at = [], 0
+            for i, s in enumerate((whole or "").split("\n")):
+                if len(s) > least:
+                    out.append({"line": i, "start": at, "sentence": s})
+                at += len(s) + 1
+            return out
 
-def spans_in(sentences_: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Spans (key, begin, stop) with the sentence that holds them, their places counted from its start."""
-    return sentences_.join(spans, key).filter((F.col("begin") >= F.col("start")) & (F.col("stop") <= F.col("end"))).withColumns({"begin": F.col("begin") - F.col("start"), "stop": F.col("stop") - F.col("start")})
+        return texts.map(one)
+
+    each = df.select(key, F.explode(lines(F.col(text))).alias("s"))
+    return each.select(key, "s.line", "s.start", (F.col("s.start") + F.length("s.sentence")).alias("end"), "s.sentence")
+
+
+def spans_in(sentences_: DataFrame, spans: DataFrame, key: str, width: int = 256) -> DataFrame:
+    """Spans (key, begin, stop) with the sentence that holds them, their places counted from its start.
+
+    A join by bins of ``width`` places: a sentence is in each bin that it touches, a span in that of its begin, so what
+    meets lies close together, and each pair meets once. Only places are in bins; sentences join what was found.
+    Null and negative places are in no sentence; spans that repeat are found as often; the columns but the key and the
+    places shouldn't have names in common.
+    """
+    bins = F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))
+    held = sentences_.select(key, "line", "start", "end", F.explode(bins).alias("__bin"))
+    placed = spans.filter(F.col("begin") <= F.col("stop")).withColumn("__bin", F.floor(F.col("begin") / width))
+    inside = held.join(placed, [key, "__bin"]).filter((F.col("begin") >= F.col("start")) & (F.col("stop") <= F.col("end"))).drop("__bin", "end")
+    moved = inside.withColumns({"begin": F.col("begin") - F.col("start"), "stop": F.col("stop") - F.col("start")}).drop("start")
+    return sentences_.join(moved, [key, "line"])
 
 
 def bio_entities(df: DataFrame, key: str, pos: str, token: str, tag: str) -> DataFrame:
