@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import WORD, count_of, overlap
 
 
-def relation(n: Column, how: str, value: int) -> Column:
+def col(x) -> Column:
+    """A column as it is, anything else as a literal: checks take their arguments as either."""
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def relation(n: Column, how, value) -> Column:
     """``less than`` or ``at least`` a number."""
-    return n < value if how == "less than" else n >= value
+    return F.when(col(how) == "less than", n < value).otherwise(n >= value)
 
 
 def blank(text: Column) -> Column:
@@ -29,46 +36,55 @@ def parts(text: Column, pattern: str) -> Column:
 def existence(r, keywords, lemma=None):
     """With a lemmatiser, a keyword's lemmas are looked for among those of the response."""
     r, said = lemmatised(r, keywords, lemma)
-    return F.forall(F.array(*[F.regexp_like(r, F.concat(F.lit("(?iu)"), k)) for k in said]), lambda x: x)
+    return F.forall(said, lambda k: F.regexp_like(r, F.concat(F.lit("(?iu)"), k)))
 
 
 def frequency(r, keyword, how, value, lemma=None):
-    r, said = lemmatised(r, [keyword], lemma)
+    r, said = lemmatised(r, F.array(col(keyword)), lemma)
     return relation(F.regexp_count(r, F.concat(F.lit("(?iu)"), said[0])), how, value)
 
 
 def forbidden(r, words, lemma=None):
     r, said = lemmatised(r, words, lemma)
-    return ~F.exists(F.array(*[F.regexp_like(r, F.concat(F.lit(r"(?iuU)\b"), w, F.lit(r"\b"))) for w in said]), lambda x: x)
+    return ~F.exists(said, lambda w: F.regexp_like(r, F.concat(F.lit(r"(?iuU)\b"), w, F.lit(r"\b"))))
 
 
 def lemmatised(r, keywords, lemma):
-    """The response and the keywords as columns; as lemmas with a :class:`lemmas.Lemmatiser`."""
-    said = [F.lit(k) for k in keywords]
-    return (lemma.text(r), [lemma.text(k) for k in said]) if lemma else (r, said)
+    """The response and an array of keywords; as lemmas with a :class:`lemmas.Lemmatiser`."""
+    said = keywords if isinstance(keywords, Column) else F.array(*map(F.lit, keywords))
+    return (lemma.text(r), lemma.phrases(said)) if lemma else (r, said)
 
 
 def letter_frequency(r, letter, how, value):
     low = F.lower(r)
-    return relation(F.length(low) - F.length(F.replace(low, F.lit(letter), F.lit(""))), how, value)
+    return relation(F.length(low) - F.length(F.replace(low, F.lower(col(letter)), F.lit(""))), how, value)
 
 
 #: Frequent words that tell languages of Latin script apart.
 FREQUENT = {"en": "the and of to is that for with was this are you", "fr": "le les des et est une dans pour que qui vous avec", "de": "der die und das ist nicht ein eine mit den zu auf", "es": "el los las y es una para que por con del se", "it": "il gli che di e una per con non sono della è"}
 
 
+#: Scripts of languages that aren't written in Latin letters.
+SCRIPTS = {"ru": "Cyrillic", "uk": "Cyrillic", "bg": "Cyrillic", "ar": "Arabic", "fa": "Arabic", "ur": "Arabic", "hi": "Devanagari", "mr": "Devanagari", "ne": "Devanagari", "bn": "Bengali", "th": "Thai", "ta": "Tamil", "te": "Telugu", "kn": "Kannada", "gu": "Gujarati", "pa": "Gurmukhi", "ml": "Malayalam", "he": "Hebrew", "ko": "Hangul", "ja": "Hiragana"}
+
+
 def frequent(r, lang):
     """How many frequent words of a language a text has."""
     return count_of(rf"(?iU)\b(?:{FREQUENT[lang].replace(' ', '|')})\b", r)
 
 
 def language(r, lang, model=None):
-    """By a :class:`languages.LanguageModel`, where it knows the language; else script, and in Latin script the language whose frequent words are most, stand in for a detector; texts that tell nothing pass."""
+    """By a :class:`languages.LanguageModel`, where it knows the language; else by script, and in Latin script by the
+    language whose frequent words are most; texts that tell nothing pass. A column's languages are told one by one."""
+    if isinstance(lang, Column):
+        return F.coalesce(*[F.when(lang == x, language(r, x, model)) for x in (*FREQUENT, *SCRIPTS, "pt", "pl", "vi", "sw", "fi")], F.lit(True))
     if model is not None and lang in model.langs:
         return F.coalesce(model.guess(r) == lang, F.lit(True))
-    cyrillic, latin = count_of(r"\p{IsCyrillic}", r), count_of(r"\p{IsLatin}", r)
-    if lang == "ru":
-        return F.when(cyrillic + latin == 0, True).otherwise(cyrillic > latin)
+    latin = count_of(r"\p{IsLatin}", r)
+    if lang in SCRIPTS:
+        own = count_of(rf"\p{{Is{SCRIPTS[lang]}}}", r)
+        return F.when(own + latin == 0, ~r.rlike(r"\p{L}")).otherwise(own > latin)
+    cyrillic = count_of(r"\p{IsCyrillic}", r)
     others = [frequent(r, x) for x in FREQUENT if x != lang]
     own = frequent(r, lang) >= F.greatest(*others) if lang in FREQUENT else F.lit(True)
     return F.when(cyrillic + latin == 0, True).otherwise((latin >= cyrillic) & own)
@@ -96,7 +112,7 @@ def word_count(r, how, value):
 def nth_paragraph(r, total, nth, first):
     p = parts(r, "\n\n")
     n = F.size(F.filter(p, lambda x: ~blank(x)))
-    own = bare(F.coalesce(F.try_element_at(p, F.lit(nth)), F.lit("")))
+    own = bare(F.coalesce(F.when(col(nth) > 0, F.try_element_at(p, F.greatest(col(nth).cast("int"), F.lit(1)))), F.lit("")))
     word = F.regexp_replace(F.regexp_replace(F.regexp_extract(own, r"^\S+", 0), "^'+", ""), '^"+', "")
     return (n >= nth) & (own != "") & (n == total) & (F.lower(F.regexp_extract(word, "^[^.,?!'\"]*", 0)) == first)
 
@@ -106,8 +122,9 @@ def placeholders(r, value):
 
 
 def postscript(r, marker):
-    pattern = {"P.P.S": r"p\.\s?p\.\s?s", "P.S.": r"p\.\s?s\."}.get(marker, marker.lower())
-    return F.lower(r).rlike(pattern)
+    marker = col(marker)
+    pattern = F.when(marker == "P.P.S", r"p\.\s?p\.\s?s").when(marker == "P.S.", r"p\.\s?s\.").otherwise(F.lower(marker))
+    return F.regexp_like(F.lower(r), pattern)
 
 
 def bullets(r, value):
@@ -125,11 +142,11 @@ def highlighted(r, value):
 
 
 def sections(r, splitter, value):
-    return count_of(rf"\s?{splitter}\s?\d+\s?", r) >= value
+    return F.regexp_count(r, F.concat(F.lit(r"\s?"), col(splitter), F.lit(r"\s?\d+\s?"))) >= value
 
 
 def sections_ru(r, splitter, value):
-    return count_of(rf" ?{splitter} ?[0-9A-Za-z]", r) >= value
+    return F.regexp_count(r, F.concat(F.lit(" ?"), col(splitter), F.lit(" ?[0-9A-Za-z]"))) >= value
 
 
 def json_format(r):
@@ -154,7 +171,7 @@ def repeat_prompt(r, prompt):
 
 
 def end_checker(r, phrase):
-    return F.lower(F.regexp_replace(bare(r), '^"+|"+$', "")).endswith(phrase.strip().lower())
+    return F.lower(F.regexp_replace(bare(r), '^"+|"+$', "")).endswith(F.lower(bare(col(phrase))))
 
 
 def quotation(r):
@@ -216,6 +233,49 @@ def follows(identifier: str, response: Column, *args) -> Column:
     return ~blank(response) & CHECKS[identifier](response, *args)
 
 
+#: The answers of which a constrained response has one.
+OPTIONS = {"en": ("My answer is yes.", "My answer is no.", "My answer is maybe."), "ru": ("Мой ответ — да", "Мой ответ — нет", "Мой ответ — возможно")}
+#: Arguments of the checks by identifier, in order, as data sets name them.
+ARGUMENTS = {
+    "keywords:existence": ("keywords",), "keywords:frequency": ("keyword", "relation", "frequency"), "keywords:forbidden_words": ("forbidden_words",), "keywords:letter_frequency": ("letter", "let_relation", "let_frequency"),
+    "language:response_language": ("language",), "length_constraints:number_sentences": ("relation", "num_sentences"), "length_constraints:number_paragraphs": ("num_paragraphs",), "length_constraints:number_words": ("relation", "num_words"), "length_constraints:nth_paragraph_first_word": ("num_paragraphs", "nth_paragraph", "first_word"),
+    "detectable_content:number_placeholders": ("num_placeholders",), "detectable_content:postscript": ("postscript_marker",), "detectable_format:number_bullet_lists": ("num_bullets",), "detectable_format:constrained_response": (), "detectable_format:number_highlighted_sections": ("num_highlights",), "detectable_format:multiple_sections": ("section_spliter", "num_sections"), "detectable_format:json_format": (), "detectable_format:title": (),
+    "combination:two_responses": (), "combination:repeat_prompt": ("prompt_to_repeat",), "startend:end_checker": ("end_phrase",), "startend:quotation": (),
+    "change_case:capital_word_frequency": ("capital_relation", "capital_frequency"), "change_case:english_capital": (), "change_case:english_lowercase": (), "punctuation:no_comma": (),
+}
+LISTS = ("keywords", "forbidden_words")
+NUMBERS = re.compile("num_.*|nth_paragraph|.*frequency")
+
+
+def follows_given(identifier: Column, response: Column, given: Column, lang: str) -> Column:
+    """Whether a response follows the instruction that a row names, with the arguments that the row gives as JSON.
+
+    An unknown instruction, one without its arguments, and a blank response aren't followed.
+    """
+    names = sorted({n for a in ARGUMENTS.values() for n in a})
+    found = F.from_json(given, ", ".join(f"{n} string" for n in names))
+
+    def argument(name):
+        value = found[name]
+        return F.from_json(value, "array<string>") if name in LISTS else value.cast("double").cast("int") if NUMBERS.fullmatch(name) else value
+
+    def one(i):
+        if i == "detectable_format:constrained_response":
+            return constrained(response, OPTIONS[lang])
+        if i.startswith("change_case:english_"):
+            return CHECKS[i](response, lang)
+        check = sections_ru if lang == "ru" and i == "detectable_format:multiple_sections" else CHECKS[i]
+        return check(response, *map(argument, ARGUMENTS[i]))
+
+    known = F.coalesce(*[F.when(identifier == i, one(i)) for i in ARGUMENTS], F.lit(False))
+    return F.when(blank(response), False).otherwise(known)
+
+
+def results_given(response: Column, identifiers: Column, given: Column, lang: str) -> Column:
+    """Array of (instruction_id, category, followed) of a row's own instructions: parallel arrays of identifiers and JSON."""
+    return F.transform(identifiers, lambda x, i: F.struct(x.alias("instruction_id"), F.element_at(F.split(x, ":"), 1).alias("category"), follows_given(x, response, F.get(given, i), lang).alias("followed")))
+
+
 def results(response: Column, instructions: list[tuple]) -> Column:
     """Array of (instruction_id, category, followed) for (identifier, *arguments)."""
     return F.array(*[F.struct(F.lit(i[0]).alias("instruction_id"), F.lit(i[0].split(":")[0]).alias("category"), F.coalesce(follows(i[0], response, *i[1:]), F.lit(False)).alias("followed")) for i in instructions])

@@ -230,3 +230,45 @@ def blocks_cover(a: str, b: str, share: float) -> bool:
 def rouge_words(text: str) -> list[str]:
     """Tokens as :func:`text.rouge_tokens` has them."""
     return re.sub(r"[!-/:-@\[-`{-~]", " ", text.lower()).split()
+
+
+def tagged_entities(tokens: list[str], tags: list[str]) -> tuple[list[tuple[str, str]], list[str]]:
+    """((tag, entity) of tokens with tags B-X, I-X and O; the tokens, those of an entity as one between its marks)."""
+    found, out, last = [], [], None
+    for token, tag in zip(tokens, tags):
+        kind = tag[2:] if tag[1:2] == "-" else None
+        if kind is None:
+            out.append(token)
+        elif tag[0] == "I" and last == kind:
+            found[-1] = (kind, f"{found[-1][1]} {token}")
+            out[-1] = f"<{kind}>{found[-1][1]}</{kind}>"
+        else:
+            found.append((kind, token))
+            out.append(f"<{kind}>{token}</{kind}>")
+        last = kind
+    return found, out
+
+
+def marked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """A text with (begin, end, tag) marked; spans may lie in one another, the outer ones' marks outside."""
+    opens, closes = {}, {}
+    for begin, end, tag in sorted(spans, key=lambda s: (s[0], -s[1])):
+        opens.setdefault(begin, []).append(f"<{tag}>")
+        closes.setdefault(end, []).insert(0, f"</{tag}>")
+    at = sorted({*opens, *closes, 0, len(text)})
+    out = []
+    for i, j in zip(at, [*at[1:], len(text)]):
+        out += [*closes.get(i, ()), *opens.get(i, ()), text[i:j]]
+    return "".join(out)
+
+
+def tag_counts(gold: list[tuple[str, str]], found: list[tuple[str, str]], tags) -> list[tuple[str, int, int, int]]:
+    """(tag, tp, fn, fp) of two lists of (tag, entity) as multisets, for the tags that occur."""
+    g, p = Counter(gold), Counter(found)
+    out = {}
+    for tag, entity in g.keys() | p.keys():
+        if tag in tags:
+            a, b = g[tag, entity], p[tag, entity]
+            old = out.get(tag, (0, 0, 0))
+            out[tag] = old[0] + min(a, b), old[1] + max(a - b, 0), old[2] + max(b - a, 0)
+    return [(t, *n) for t, n in sorted(out.items())]

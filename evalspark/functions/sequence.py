@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .algebra import same_answer
-from .plain import blocks_cover, boxed, grams, lcs, nested_entities
+from .plain import blocks_cover, boxed, grams, lcs, marked, nested_entities, tag_counts, tagged_entities
 from .plain import overlap as shared
 
 
@@ -69,6 +69,33 @@ def parse_nested(text: pd.Series) -> pd.Series:
     return pd.Series([[{"tag": t, "entity": e} for t, e in nested_entities(x or "")] for x in text])
 
 
+ENTITIES = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("entity", T.StringType())]))
+
+
+@F.pandas_udf(T.StructType([T.StructField("entities", ENTITIES), T.StructField("tokens", T.ArrayType(T.StringType()))]))
+def bio(tokens: pd.Series, tags: pd.Series) -> pd.DataFrame:
+    """(entities, tokens with each entity as one between its marks) of token and tag arrays; the shorter one counts."""
+    rows = [tagged_entities(list(() if t is None else t), list(() if g is None else g)) for t, g in zip(tokens, tags)]
+    return pd.DataFrame({"entities": [[{"tag": k, "entity": e} for k, e in found] for found, _ in rows], "tokens": [out for _, out in rows]})
+
+
+@F.pandas_udf(T.StringType())
+def inline(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts with nested (begin, end, tag) marked."""
+    return pd.Series([marked(t or "", [(s["begin"], s["end"], s["tag"]) for s in (() if ss is None else ss)]) for t, ss in zip(text, spans)])
+
+
+def counts_by_tag(tags: tuple):
+    """Arrow UDF: array of (tag, tp, fn, fp) of gold and found (tag, entity) as multisets, a row at a time."""
+
+    @F.pandas_udf("array<struct<tag:string,tp:bigint,fn:bigint,fp:bigint>>")
+    def count(gold: pd.Series, found: pd.Series) -> pd.Series:
+        pairs = lambda x: [(e["tag"], e["entity"]) for e in (() if x is None else x) if e["entity"] is not None]
+        return pd.Series([[dict(zip(("tag", "tp", "fn", "fp"), r)) for r in tag_counts(pairs(g), pairs(f), tags)] for g, f in zip(gold, found)])
+
+    return count
+
+
 @F.pandas_udf(T.DoubleType())
 def math_equal(predicted: pd.Series, gold: pd.Series) -> pd.Series:
     """1 if the boxed answer is the gold one, as :func:`algebra.same_answer` has it."""

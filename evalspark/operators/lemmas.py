@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,8 @@ from ..functions.sequence import lemmas
 
 #: Letters before the exchanged ending that a rule may look at, and the mark of a word's start.
 CONTEXT, START = 4, "^"
+#: What is no word to the checks of Russian responses.
+PLAIN = re.compile(r"[A-Za-z0-9!#$%&'()*+,./:;<=>?@\[\]^_`{|}~—\"\-]+")
 
 
 def common_start(a: Column, b: Column) -> Column:
@@ -71,9 +74,16 @@ class Lemmatiser:
         """Lemmas of an array of words."""
         return lemmas(lambda: self)(of)
 
+    def phrase(self, text: str) -> str:
+        """A text's words, without ASCII's marks, digits and Latin letters, as lemmas with a space between."""
+        return " ".join(map(self, PLAIN.sub(" ", text.lower()).split()))
+
+    def phrases(self, of: Column) -> Column:
+        """Lemmas of each text of an array."""
+        return lemmas(lambda: self.phrase)(of)
+
     def text(self, of: Column) -> Column:
-        """A text's words of letters beyond ASCII's marks, digits and Latin letters, as lemmas with a space between."""
-        return F.array_join(self.words(F.filter(F.split(F.regexp_replace(F.lower(of), r"[A-Za-z0-9!-/:-@\[-`{-~—]+", " "), r"\s+"), lambda w: w != "")), " ")
+        return self.phrases(F.array(F.coalesce(of, F.lit(""))))[0]
 
 
 def learn(pairs: DataFrame, form: str = "form", lemma: str = "lemma", context: int = CONTEXT, most: int = 1_000_000) -> Lemmatiser:

@@ -161,6 +161,16 @@ def distractors(df: DataFrame, key: str, choice: str, n: int = 5, most: int = 8)
     return df.select(key, choice).join(pool, key, "left").select(key, choice, F.slice(F.coalesce("pool", F.array().cast("array<string>")), 1, most).alias("pool"))
 
 
+def neighbours(df: DataFrame, key: str, value: str, n: int = 5) -> DataFrame:
+    """(key, values): the value of each of the n rows that follow a row, in order, or of the n before it near the end."""
+    placed = numbered(df.select(key, value), key)
+    last = placed.agg(F.max("pos").alias("last"))
+    first = F.when(F.col("pos") + n <= F.col("last"), F.col("pos") + 1).otherwise(F.col("pos") - n)
+    want = placed.crossJoin(F.broadcast(last)).select(key, F.explode(F.sequence(first, first + n - 1)).alias("at"))
+    near = want.join(placed.select(F.col("pos").alias("at"), F.col(value).alias("v")), "at")
+    return near.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("s")).select(key, F.transform("s", lambda x: x["v"]).alias("values"))
+
+
 def shuffled(choices: Column, seed: Column) -> Column:
     """An array in the order of a hash of place and seed."""
     keyed = F.transform(choices, lambda c, i: F.struct(draw(seed, i + 1, 1000003).alias("k"), i.alias("i"), c.alias("c")))

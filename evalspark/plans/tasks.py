@@ -4,17 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import choice, instructions, plain, sequence, spans, text
 from ..operators import aggregates as agg
-from ..operators import sampling
+from ..operators import prompts, sampling
 from .registry import TaskSpec, register
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def mean_of(metric: str):
-    return lambda df: df.agg(agg.mean(F.col(metric)))
+class Mean:
+    """The mean of a column, which is worked out with others in one scan."""
+
+    def __init__(self, metric: str):
+        self.metric = metric
+
+    def column(self) -> Column:
+        return agg.mean(F.col(self.metric))
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return df.agg(self.column())
+
+
+mean_of = Mean
 
 
 def macro(df: DataFrame) -> DataFrame:
@@ -36,8 +49,17 @@ def gold_from(column: str):
     return lambda: F.col(column).cast("string")
 
 
+def asked(df: DataFrame) -> DataFrame:
+    """Rows with ``instruction``: raw ones have messages with {names} of their inputs instead."""
+    if "instruction" in df.columns or "messages" not in df.columns:
+        return df
+    inputs = F.from_json(F.to_json("inputs"), "map<string,string>") if "inputs" in df.columns else F.create_map().cast("map<string,string>")
+    turns = prompts.conversation(F.col("messages"), F.coalesce(inputs, F.create_map().cast("map<string,string>")))
+    return df.withColumn("instruction", F.array_join(F.transform(turns, lambda m: m["content"]), "\n"))
+
+
 def gold_column(make):
-    return lambda df: df.withColumn("gold", make())
+    return lambda df: asked(df).withColumn("gold", make())
 
 
 def labels(name: str, choices, metrics=("acc",), gold=None, method="choose", scorer=labelled, **more) -> TaskSpec:
@@ -70,18 +92,22 @@ labels("habr_qa_sbs", "AB", BOTH, gold_from("gold"), data="habr_qa_sbs", splits=
 
 
 def widened(df: DataFrame) -> DataFrame:
-    """Four answers and eight of the rows that follow, in the order of a hash; rows whose gold answer isn't known go."""
+    """Four answers and eight of the rows that follow, in the order of a hash; rows whose gold answer isn't known go.
+
+    The others are those of the next five rows (the five before, near the end): all first answers, then all second ones
+    and so on, without the row's own four.
+    """
     own = F.array(*[F.col(f"answer{x}") for x in "ABCD"])
-    said = F.translate(F.regexp_replace("correct_answer", "^answer", ""), "АБВСГД", "ABCCDD")
+    said = F.translate(F.regexp_replace("correct_answer", "^answer", ""), "АБСД", "ABCD")
     known = F.when(said.isin(*"ABCD"), F.get(own, F.instr(F.lit("ABCD"), said) - 1)).otherwise(F.when(F.array_contains(own, F.col("correct_answer")), F.col("correct_answer")))
-    rows = df.withColumn("__own", own).withColumn("__gold", known).filter("__gold is not null")
-    pools = sampling.distractors(df.select("id", F.explode(own).alias("c")).groupBy("id").agg(F.min("c").alias("c")), "id", "c", n=8)
-    both = rows.join(pools.select("id", "pool"), "id")
-    seed = F.crc32(F.col("question"))
-    order = sampling.shuffled(F.concat("__own", F.slice(F.array_except("pool", "__own"), 1, 8)), seed)
-    out = both.withColumn("choices", order).withColumn("gold", F.substring(F.lit(LETTERS), F.array_position("choices", F.col("__gold")).cast("int"), F.lit(1)))
+    placed = df.withColumn("__four", own)
+    near = sampling.neighbours(placed, "id", "__four")
+    others = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.transform("values", lambda v: F.get(v, k))))
+    rows = placed.withColumn("__gold", known).filter("__gold is not null").join(near, "id")
+    choices = F.concat("__four", F.slice(F.filter(others, lambda c: ~F.array_contains("__four", c)), 1, 8))
+    out = rows.withColumn("choices", sampling.shuffled(choices, F.crc32(F.col("question")))).withColumn("gold", F.substring(F.lit(LETTERS), F.array_position("choices", F.col("__gold")).cast("int"), F.lit(1)))
     lines = F.array_join(F.transform("choices", lambda x, i: F.concat(F.substring(F.lit(LETTERS), i + 1, F.lit(1)), F.lit(". "), x)), "\n")
-    return out.withColumn("options", lines).drop("__own", "__gold", "pool")
+    return out.withColumn("options", lines).drop("__four", "__gold", "values")
 
 
 for topic in ("movies", "music", "law", "books"):
@@ -92,7 +118,7 @@ def graded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", choice.exam_score(F.col("kind"), F.col("task"), F.col("gold"), F.col("pred")))
 
 
-register(TaskSpec("use", "generate", graded, {"grade_norm": lambda df: agg.variant_sum(df, "score", "variant")}, data="use", gold=gold_from("outputs"), prepare=lambda df: df.selectExpr("*", "meta.type as kind", "meta.id_task as task", "meta.variant as variant", "outputs as gold"), user=ASK))
+register(TaskSpec("use", "generate", graded, {"grade_norm": lambda df: agg.variant_sum(df, "score", "variant")}, data="use", gold=gold_from("outputs"), prepare=lambda df: asked(df).selectExpr("*", "meta.type as kind", "meta.id_task as task", "meta.variant as variant", "outputs as gold"), user=ASK))
 
 
 def both_sides(df: DataFrame) -> DataFrame:
@@ -111,7 +137,7 @@ def ordered(df: DataFrame) -> DataFrame:
     return sampling.swapped(rows, "one", "two", "gold")
 
 
-register(TaskSpec("ruparam", "choose", lambda df: labelled(df.withColumn("pred", F.trim("pred"))), PAIRED, data="ruparam", choices=("1", "2"), gold=gold_from("gold"), prepare=ordered, user="Which sentence is better Russian?\n1. {one}\n2. {two}", params={"prompt_rows": 10}))
+register(TaskSpec("ruparam", "choose", lambda df: labelled(df.withColumn("pred", F.trim("pred"))), PAIRED, data="ruparam", choices=("1", "2"), splits=("test", "test"), gold=gold_from("gold"), prepare=ordered, user="Which sentence is better Russian?\n1. {one}\n2. {two}", params={"prompt_rows": 10}))
 
 
 def first_said(df: DataFrame) -> DataFrame:
@@ -143,7 +169,7 @@ def answered(df: DataFrame) -> DataFrame:
     return df.withColumns({"f1": best(text.squad_f1), "em": best(text.squad_exact)})
 
 
-register(TaskSpec("multiq", "generate", answered, {"f1": mean_of("f1"), "em": mean_of("em")}, data="multiq", gold=lambda: F.col("golds")[0], prepare=lambda df: df.withColumn("golds", F.col("outputs.segment")), user=ASK))
+register(TaskSpec("multiq", "generate", answered, {"f1": mean_of("f1"), "em": mean_of("em")}, data="multiq", gold=lambda: F.col("golds")[0], prepare=lambda df: asked(df).withColumn("golds", F.col("outputs.segment")), user=ASK))
 
 
 def longest(predicted: str, gold: str) -> float:
@@ -182,12 +208,29 @@ def judged(df: DataFrame) -> DataFrame:
     return rouge_best(df).withColumn("llm_judge_accuracy", choice.yes(F.col("verdict")))
 
 
+def passages(df: DataFrame) -> DataFrame:
+    """Accepted answers as golds, and the passages as one numbered text."""
+    chunks = F.col("context.chunk") if isinstance(df.schema["context"].dataType, T.ArrayType) else F.array("context")
+    return df.withColumn("golds", F.col("answers")).withColumn("context", prompts.rag_context(chunks))
+
+
+#: What a judge is shown before the case.
+VERDICTS = [
+    ("Say Yes if the answer means the same as one of the accepted ones, else No. Judge by these alone.\n\nQuestion: Which city is on the Spree?\n\nAnswer: Berlin\n\nAccepted answers:\n1) Hamburg\n2) Munich", "No"),
+    ("Question: How much is a half?\n\nAnswer: It is 0.5\n\nAccepted answers:\n1) 1/2\n2) 0.5", "Yes"),
+]
+
+
+def ask_judge(df: DataFrame) -> Column:
+    return prompts.judge_messages(F.col("question"), F.col("pred"), F.col("golds"), VERDICTS)
+
+
 for place in ("", "_data_first"):
     for corpus in ("rubqqa", "rus_tydiqa", "sberquadqa", "rus_xquadqa"):
         ask = ("{question}\n\n{context}", "{context}\n\n{question}")[bool(place)]
-        common = dict(data=corpus, gold=lambda: F.col("golds")[0], prepare=lambda df: df.withColumn("golds", F.col("answers")), user=ask)
+        common = dict(data=corpus, gold=lambda: F.col("golds")[0], prepare=passages, user=ask, splits=("train", "train"))
         register(TaskSpec(f"rag/{corpus}{place}", "generate", rouge_best, ROUGE, **common))
-        register(TaskSpec(f"rag/{corpus}{place}_judge", "generate", judged, {"llm_judge_accuracy": mean_of("llm_judge_accuracy"), **ROUGE}, ("llm_judge_accuracy",), bootstrap=False, **common))
+        register(TaskSpec(f"rag/{corpus}{place}_judge", "generate", judged, {"llm_judge_accuracy": mean_of("llm_judge_accuracy"), **ROUGE}, ("llm_judge_accuracy",), bootstrap=False, judge=ask_judge, **common))
 
 
 def solved(df: DataFrame) -> DataFrame:
@@ -237,12 +280,12 @@ STYLES = {
 
 
 def entity_scores(style: str, tags: tuple):
-    """Mean over the tags of the F1 of entities as multisets by sample; ``gold`` is an array of (tag, entity)."""
+    """(tag, tp, fn, fp) by row, of ``gold``, an array of (tag, entity), and what a model found, as multisets: nothing is
+    shuffled but sums by tag."""
 
     def scorer(df: DataFrame) -> DataFrame:
-        found = df.select("id", "gold", STYLES[style](F.col("pred"), F.col("query")).alias("found"))
-        rows = lambda c: found.select("id", F.explode(c).alias("e")).select("id", "e.tag", "e.entity").filter(F.col("tag").isin(*tags))
-        return agg.multiset_counts(rows("gold"), rows("found"), ["id", "tag", "entity"])
+        found = df.select("gold", STYLES[style](F.col("pred"), F.col("query")).alias("found"))
+        return found.select(F.explode(sequence.counts_by_tag(tags)(F.col("gold"), F.col("found"))).alias("c")).select("c.*")
 
     return scorer
 
@@ -254,33 +297,151 @@ def tag_mean(tags: tuple):
 #: Tags of the entity tasks.
 TAGS = {
     "nerel": ("AGE", "AWARD", "CITY", "COUNTRY", "CRIME", "DATE", "DISEASE", "DISTRICT", "EVENT", "FACILITY", "FAMILY", "IDEOLOGY", "LANGUAGE", "LAW", "LOCATION", "MONEY", "NATIONALITY", "NUMBER", "ORDINAL", "ORGANIZATION", "PENALTY", "PERCENT", "PERSON", "PRODUCT", "PROFESSION", "RELIGION", "STATE_OR_PROVINCE", "TIME", "WORK_OF_ART"),
-    "nerel-bio": ("ANATOMY", "CHEM", "DEVICE", "DISO", "FINDING", "LABPROC", "LIVB", "PHYS"),
+    "nerel-bio": ("FINDING", "DISO", "INJURY_POISONING", "PHYS", "DEVICE", "LABPROC", "ANATOMY", "CHEM"),
     "patient_queries": ("SIM", "SUBW", "GEN", "SPEC"),
     "collection3": ("PER", "ORG", "LOC"),
 }
+
+
+def in_lines(spans_: Column):
+    """Rows (id, query, gold, answer) of the lines of a text that hold an entity, which is where it begins."""
+
+    def prepare(df: DataFrame) -> DataFrame:
+        whole = df.select("id", "text", spans_.alias("spans"))
+        lines = sampling.sentences(whole, "id", "text").join(whole.select("id", "spans"), "id")
+        within = F.filter("spans", lambda e: (e["begin"] >= F.col("start")) & (e["begin"] <= F.col("end")))
+        moved = F.transform(within, lambda e: F.struct((e["begin"] - F.col("start")).alias("begin"), F.least(e["end"] - F.col("start"), F.length("sentence")).alias("end"), e["tag"].alias("tag"), e["text"].alias("entity")))
+        rows = lines.withColumn("spans", moved).filter(F.size("spans") > 0)
+        gold = F.transform("spans", lambda e: F.struct(e["tag"].alias("tag"), e["entity"].alias("entity")))
+        return rows.select(F.concat_ws("#", F.col("id").cast("string"), F.lpad(F.col("line").cast("string"), 6, "0")).alias("id"), F.col("sentence").alias("query"), gold.alias("gold"), sequence.inline(F.col("sentence"), F.col("spans")).alias("marked"))
+
+    return prepare
+
+
+def of_tokens(df: DataFrame) -> DataFrame:
+    """Rows (id, query, gold, marked) of (id, tokens, tags) with tags B-X, I-X and O."""
+    rows = df.withColumn("__b", sequence.bio(F.col("tokens"), F.col("tags")))
+    return rows.select("id", spans.join_tokens(F.col("tokens")).alias("query"), F.col("__b.entities").alias("gold"), spans.join_tokens(F.col("__b.tokens")).alias("marked"))
+
+
+def patients(df: DataFrame) -> DataFrame:
+    """Queries without square brackets, cut into tokens; their tags put right."""
+    tags = F.split("merged_ner", ",")
+    normal = F.transform(tags, lambda t, i: sampling.normal_bio(t, F.get(tags, i - 1)))
+    return of_tokens(sampling.unmarked(df, "query").select("id", spans.tag_tokens(F.col("query")).alias("tokens"), normal.alias("tags")))
+
+
+def collection(df: DataFrame) -> DataFrame:
+    """Rows whose tags are in order, without square brackets; 2k-1 begins and 2k goes on with the k-th tag."""
+    name = lambda t: F.when(t == 0, "O").otherwise(F.concat(F.when(t % 2 == 1, "B-").otherwise("I-"), F.element_at(F.array(*map(F.lit, TAGS["collection3"])), F.greatest(F.floor((t + 1) / 2), F.lit(1)).cast("int"))))
+    pairs = spans.without_brackets(F.col("tokens"), F.col("ner_tags"))
+    rows = df.filter(spans.bio_valid(F.col("ner_tags"))).select("id", pairs.alias("p"))
+    return of_tokens(rows.select("id", F.transform("p", lambda x: x["token"]).alias("tokens"), F.transform("p", lambda x: name(x["tag"])).alias("tags")))
+
+
+def answer_in(style: str, tags: tuple):
+    """The gold entities as a model of the style would write them."""
+
+    def gold() -> Column:
+        if style == "in-place":
+            return F.col("marked")
+        if style == "json":
+            return F.concat(F.lit("```json\n"), F.to_json(F.transform("gold", lambda e: F.array(e["tag"], e["entity"]))), F.lit("\n```"))
+        of = lambda tag: F.transform(F.filter("gold", lambda e: e["tag"] == tag), lambda e: e["entity"])
+        return F.concat(*[F.concat(F.lit(f"{tag}: ["), F.array_join(of(tag), ", "), F.lit("]\n")) for tag in tags])
+
+    return gold
+
+
+#: How the raw rows of a corpus become entities, and its splits.
+CORPORA = {
+    "nerel": (lambda df: in_lines(spans.annotations(F.col("entities")))(df), ("test", "train")),
+    "nerel-bio": (lambda df: in_lines(spans.parallel_spans(*[F.col(f"span_entity_{c}") for c in ("start_chars", "end_chars", "types", "surface")]))(df), ("test", "validation")),
+    "patient_queries": (patients, ("test", "validation")),
+    "collection3": (collection, ("test", "validation")),
+}
 for corpus, tags in TAGS.items():
     for style in STYLES:
-        register(TaskSpec(f"ner/{corpus}/{style}", "generate", entity_scores(style, tags), {"f1-macro": tag_mean(tags)}, data=corpus, gold=lambda: F.to_json("gold"), user="Find the entities.\n{query}", params={"tags": tags}))
+        prepare, splits = CORPORA[corpus]
+        register(TaskSpec(f"ner/{corpus}/{style}", "generate", entity_scores(style, tags), {"f1-macro": tag_mean(tags)}, data=corpus, splits=splits, gold=answer_in(style, tags), prepare=prepare, user="Find the entities of these kinds: " + ", ".join(tags) + ".\n{query}", params={"tags": tags}))
 
 
-def followed(df: DataFrame) -> DataFrame:
-    """Rows (id, instruction_id, category, followed) of a sample's instructions, of which ``checks`` are known."""
-    return df.select("id", F.explode("checks").alias("c")).select("id", "c.*")
+def instructed(df: DataFrame) -> DataFrame:
+    """Rows with the arguments of each of their instructions as JSON."""
+    kind = df.schema["kwargs"].dataType.elementType
+    given = F.col("kwargs") if isinstance(kind, T.StringType) else F.transform("kwargs", lambda k: F.to_json(k))
+    return df.select("id", "prompt", "instruction_id_list", given.alias("given"))
+
+
+def followed(lang: str):
+    """Rows with ``checks``, an array of (instruction_id, category, followed)."""
+    return lambda df: df.withColumn("checks", instructions.results_given(F.col("pred"), F.col("instruction_id_list"), F.col("given"), lang))
+
+
+class AllFollowed(Mean):
+    """Share of rows that follow all their instructions."""
+
+    def __init__(self):
+        super().__init__("checks")
+
+    def column(self) -> Column:
+        return F.avg(F.forall("checks", lambda c: c["followed"]).cast("double"))
+
+
+class EachFollowed(AllFollowed):
+    """Share of instructions that are followed."""
+
+    def column(self) -> Column:
+        return F.try_divide(F.sum(F.size(F.filter("checks", lambda c: c["followed"]))), F.sum(F.size("checks")))
 
 
-CHECKS = {
-    "prompt_level": lambda df: agg.prompt_accuracy(df, "id"),
-    "inst_level": lambda df: agg.instruction_accuracy(df).filter("category is null").select("accuracy"),
-}
 for lang in ("ru", "en"):
-    register(TaskSpec(f"ifeval_{lang}", "generate", followed, CHECKS, ("prompt_level",), data="ifeval", subset=lang, splits=("train", "train"), user="{prompt}", params={"checks": instructions.results}))
+    register(TaskSpec(f"ifeval_{lang}", "generate", followed(lang), {"prompt_level": AllFollowed(), "inst_level": EachFollowed()}, ("prompt_level",), data="ifeval", subset=lang, splits=("train", "train"), gold=lambda: F.lit(""), prepare=instructed, user="{prompt}"))
+
+
+def tokens_of(offsets: Column, places: Column) -> Column:
+    """Token indexes that any of the stretches ``begin:end`` touches; -1 where the first is NULL: the author."""
+    part = lambda p, k: F.element_at(F.split(p, ":"), k).cast("int")
+    found = F.array_distinct(F.flatten(F.transform(places, lambda p: spans.tokens_in(offsets, part(p, 1), part(p, 2)))))
+    return F.when(places[0] == "NULL", F.array(F.lit(-1))).otherwise(found)
+
+
+def placed_opinions(offsets: Column, opinions_: Column) -> Column:
+    """(holder, target, expr, polarity) as token indexes, from opinions whose parts each have surfaces and places."""
+    each = F.transform(opinions_, lambda o: F.struct(tokens_of(offsets, o["Source"][1]).alias("holder"), tokens_of(offsets, o["Target"][1]).alias("target"), tokens_of(offsets, o["Polar_expression"][1]).alias("expr"), o["Polarity"].alias("polarity")))
+    return spans.distinct_opinions(each)
+
+
+def annotated(df: DataFrame) -> DataFrame:
+    """Rows (id, text, opinions, tokens, gold): the opinions of the raw rows as token indexes."""
+    rows = df.select("id", "text", "opinions").withColumn("tokens", spans.token_offsets(F.col("text")))
+    return rows.withColumn("gold", placed_opinions(F.col("tokens"), F.col("opinions")))
+
+
+def said_opinions(text_: Column, offsets: Column, pred: Column) -> Column:
+    """A model's opinions as token indexes; those that name something that the text lacks go."""
+    at = lambda p: F.when(p == "AUTHOR", "NULL").when(p == "NULL", "0:0").otherwise(F.concat_ws(":", spans.locate_span(text_, p)["start"].cast("string"), spans.locate_span(text_, p)["end"].cast("string")))
+    whole = lambda x: F.when(x.startswith("["), F.from_json(x, "array<string>")).otherwise(F.array(x))
+    known = F.filter(spans.opinions_from_json(pred), lambda o: F.forall(F.concat(F.array(o["Source"], o["Target"]), whole(o["Expression"])), lambda p: F.coalesce(p.isin("AUTHOR", "NULL") | F.contains(F.lower(text_), F.lower(p)), F.lit(False))))
+    none = F.lit(None).cast("array<string>")
+    parts = F.transform(known, lambda o: F.struct(F.array(none, F.array(at(o["Source"]))).alias("Source"), F.array(none, F.array(at(o["Target"]))).alias("Target"), F.array(none, F.transform(whole(o["Expression"]), at)).alias("Polar_expression"), o["Polarity"].alias("Polarity")))
+    return placed_opinions(offsets, parts)
+
+
+def written_opinions() -> Column:
+    """The raw rows' opinions as a model should write them."""
+    first = lambda x: x[0][0]
+    return F.to_json(F.transform("opinions", lambda o: F.struct(first(o["Source"]).alias("Source"), first(o["Target"]).alias("Target"), o["Polarity"].alias("Polarity"), o["Polar_expression"][0].alias("Expression"))))
 
 
 def opinions(match, weight, eps: float):
-    """Sums of matched opinions; ``gold`` and ``found`` are arrays of (holder, target, expr, polarity)."""
+    """Sums of matched opinions; ``gold`` and ``found``, which is read from ``pred`` where it isn't there, are arrays of
+    (holder, target, expr, polarity)."""
 
     def scorer(df: DataFrame) -> DataFrame:
-        return df.select(spans.opinion_sums(F.col("gold"), F.col("found"), match, weight).alias("s")).agg(*[F.sum(f"s.{c}").alias(c) for c in ("wp", "np", "wr", "nr")])
+        found = F.col("found") if "found" in df.columns else said_opinions(F.col("text"), F.col("tokens"), F.col("pred"))
+        rows = df.select("gold", found.alias("found"))
+        return rows.select(spans.opinion_sums(F.col("gold"), F.col("found"), match, weight).alias("s")).agg(*[F.sum(f"s.{c}").alias(c) for c in ("wp", "np", "wr", "nr")])
 
     return scorer, {"f1": lambda df: agg.opinion_prf(df, eps).select("f1")}
 
@@ -296,4 +457,4 @@ def simple_weight(a: Column, b: Column) -> Column:
 
 for name, match, weight, eps in (("ruopinionne", spans.opinion_match, spans.opinion_weight, 1e-16), ("ruopinionne_simple", simple_match, simple_weight, 1e-18)):
     scorer, aggs = opinions(match, weight, eps)
-    register(TaskSpec(name, "generate", scorer, aggs, data="ruopinionne", splits=("validation", "train"), gold=lambda: F.to_json("gold"), user="Find the opinions on named entities.\n{text}"))
+    register(TaskSpec(name, "generate", scorer, aggs, data="ruopinionne", splits=("test", "prompt"), gold=written_opinions, prepare=annotated, user="Find the opinions on named entities, as a JSON list of Source, Target, Polarity (POS, NEG) and Expression.\n{text}"))
