@@ -91,10 +91,15 @@ class Features:
 
 
 class Model:
-    """P(grade <= k) = logistic(threshold_k - score); the score is the sum of the weights of a text's features."""
+    """P(grade <= k-th) = logistic(threshold_k - score); the score is the sum of the weights of a text's features.
 
-    def __init__(self, weights: dict[int, float], thresholds: list[float]):
+    ``kinds`` are the grades that were fitted, in order: 0, 1, 2 and so on unless some are absent.
+    """
+
+    def __init__(self, weights: dict[int, float], thresholds: list[float], kinds: list[int] | None = None):
         self.weights, self.thresholds = weights, thresholds
+        kinds = kinds or list(range(len(thresholds) + 1))
+        self.least, self.gaps = kinds[0], [b - a for a, b in zip(kinds, kinds[1:])]
 
     def grade(self, codes: set[int]) -> tuple[float | None, float]:
         """(expected grade, probability of the top grade); fsum makes it the same in any order."""
@@ -102,7 +107,7 @@ class Model:
             return None, 1.0
         score = math.fsum(w for c in codes if (w := self.weights.get(c)))
         above = [1 / (1 + math.exp(min(700, max(-700, t - score)))) for t in self.thresholds]
-        return round(math.fsum(above), 6), round(above[-1], 6)
+        return round(self.least + math.fsum(g * p for g, p in zip(self.gaps, above)), 6), round(above[-1], 6)
 
 
 def separation(row: np.ndarray, feature: np.ndarray, n: int, grades: np.ndarray, top: int) -> np.ndarray:
@@ -158,7 +163,7 @@ def fit(features: list[np.ndarray], grades: np.ndarray, penalty: float = 5e-4, s
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     w, gaps = theta[: len(codes)], np.exp(theta[len(codes) + 1 :])
     cut = theta[len(codes)] + np.concatenate([[0.0], np.cumsum(gaps)])
-    return Model({int(c): float(x) for c, x in zip(codes, w) if x}, cut.tolist())
+    return Model({int(c): float(x) for c, x in zip(codes, w) if x}, cut.tolist(), kinds.tolist())
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -170,7 +175,8 @@ def grades(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` graded documents, chosen by hash; their whole texts become features on the executors."""
     chosen = graded.groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    # Of rows that repeat an identifier one text is fitted, so that what reaches the driver has the sample's bound.
+    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("grade").alias("grade"))
 
     def make():
         features = Features()

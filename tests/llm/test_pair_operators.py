@@ -253,3 +253,41 @@ def test_odd_tables(spark, rows):
     df = odd(spark) if rows == "odd" else odd(spark).limit(0)
     n = df.count()
     assert [f.count() for f in (jaccard.near_components(df), suffix.remove_repeats(df), exact.exact_dedup(df))] == [n, n, n]
+
+
+def same_digest(text):
+    """A digest that tells nothing."""
+    from pyspark.sql import functions as F
+
+    return F.concat(F.lit("d"), F.substring(text, 1, 0))
+
+
+def calls(spark, tmp_path, digest, *batches):
+    state, out = str(tmp_path / "calls"), {}
+    for batch in batches:
+        for r in exact.exact_dedup(spark.createDataFrame(batch, "doc_id long, text string"), state_dir=state, digest=digest).collect():
+            out[r.doc_id] = (r.keep_id, r.group_size, r.kept)
+    return out
+
+
+def test_bytes_are_compared_across_calls(spark, tmp_path):
+    """A constant digest: texts of later calls are told from those of earlier ones by their bytes."""
+    got = calls(spark, tmp_path / "a", same_digest, [(10, "xyz")], [(11, "other")], [(12, "xyz"), (13, "third"), (9, "other")], [(14, "third"), (15, "new")])
+    assert got == {10: (10, 1, True), 11: (11, 1, True), 12: (10, 2, False), 13: (13, 1, True), 9: (9, 2, True), 14: (13, 2, False), 15: (15, 1, True)}
+    got = calls(spark, tmp_path / "b", same_digest, [(1, "aaa"), (2, "bbb")], [(3, "aaa"), (4, "ccc")])
+    assert got == {1: (1, 1, True), 2: (2, 1, True), 3: (1, 2, False), 4: (4, 1, True)}
+
+
+def test_calls_read_their_own_log_and_state(spark, tmp_path):
+    """With a digest that tells texts apart, later calls find copies of all earlier ones."""
+    r = random.Random(8)
+    texts = [r.choice(["a", "b", "c d", "c  d", "e", None, ""]) for _ in range(40)]
+    batches = [[(i, t) for i, t in enumerate(texts) if i % 4 == k] for k in range(4)]
+    got = calls(spark, tmp_path, exact.sha256, *batches)
+    seen = {}
+    for batch in batches:
+        for i, t in batch:
+            seen.setdefault(" ".join((t or "").split()), []).append(i)
+        for i, t in batch:
+            group = seen[" ".join((t or "").split())]
+            assert got[i] == (min(group), len(group), i == min(group))

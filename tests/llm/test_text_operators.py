@@ -338,3 +338,22 @@ def test_odd_tables(spark, rows):
 def test_sha_of_empty_ids(spark):
     r = bpe.encode_decode(frame(spark, [(1, None, "s")]), P.path("word_bpe_49k.json")).first()
     assert bytes(r.ids) == b"" and r.decoded == "" and hashlib.sha256(bytes(r.ids)).hexdigest().startswith("e3b0c442")
+
+
+def test_expected_grades_where_one_is_absent():
+    """Grades 0 and 2 alone: certain top documents are expected to have 2, certain poor ones 0."""
+    r = random.Random(6)
+    rows = [(g, {quality_model.code(f"w:{g}"), quality_model.code(f"w:{r.randrange(50)}")}) for g in (0, 2) for _ in range(80)]
+    model = quality_model.fit([np.array(sorted(c)) for _, c in rows], np.array([g for g, _ in rows]))
+    grade = lambda g: model.grade({quality_model.code(f"w:{g}")})[0]
+    assert grade(2) > 1.9 and grade(0) < 0.1
+    shifted = quality_model.fit([np.array(sorted(c)) for _, c in rows], np.array([g + 3 for g, _ in rows]))
+    assert shifted.grade({quality_model.code("w:2")})[0] > 4.9 and shifted.grade({quality_model.code("w:0")})[0] < 3.1
+
+
+def test_rows_that_repeat_an_identifier_are_fitted_once(spark):
+    rows = [(i, ("good words here " if i % 2 else "bad junk text ") * 5, "s") for i in range(40)]
+    docs = frame(spark, rows * 3)
+    graded = spark.createDataFrame([(i, 2 * (i % 2)) for i in range(40)], "doc_id long, grade int")
+    one, three = quality_model.train(frame(spark, rows), graded), quality_model.train(docs, graded)
+    assert one.weights == three.weights and one.thresholds == three.thresholds
