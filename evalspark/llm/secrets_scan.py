@@ -6,9 +6,11 @@ import bisect
 import math
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_texts, joined_spans, texts
+from .common import joined_spans, map_texts, table, texts
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -30,8 +32,11 @@ CUE = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = {"hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "base32": UPPER + "234567", "base36": DIGITS + LOWER, "base62": DIGITS + UPPER + LOWER, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_"}
 PLACES = {name: {c: i for i, c in enumerate(letters)} for name, letters in ALPHABETS.items()}
-#: Level below which one test calls a run uneven, and the false-discovery rate over a text's runs.
+#: Level below which one test calls a run of a single text uneven, and the rate of false discoveries, over the corpus'
+#: runs or, for a text by itself, over its own.
 LEVEL, RATE = 0.001, 0.01
+#: Bars of a histogram of p for each halving of it, and a bar beyond all.
+GRADES, NONE = 32, 1 << 30
 #: By how much, a character, chi-squared of ordinary text over an alphabet exceeds that of random text: the square sum
 #: of relative excess frequencies. Letters of prose alone give about 0.7; digits counted up, paths and names give more.
 EXCESS = 0.7
@@ -154,8 +159,12 @@ def apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(text: str) -> tuple[list, list]:
-    """(base spans, all spans), each a list of (kind, start, end) by start and then kind as listed."""
+def order(span) -> tuple:
+    return span[1], KINDS.index(span[0])
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the fixed patterns, by start and then kind as listed."""
     base = []
     if CUE.search(text):
         base += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -163,28 +172,85 @@ def scan(text: str) -> tuple[list, list]:
         base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     if LONG_HEX.search(text):
         base += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 32]
-    order = lambda s: (s[1], KINDS.index(s[0]))
-    base.sort(key=order)
-    runs = candidates(text)
+    return sorted(base, key=order)
+
+
+def outside(spans: list[tuple[int, int]], base: list) -> list[tuple[int, int]]:
+    """Spans that overlap no base span."""
+    return [s for s in spans if not any(b[1] < s[1] and s[0] < b[2] for b in base)] if base else spans
+
+
+def scan(text: str) -> tuple[list, list]:
+    """(base spans, all spans) of a text by itself, each a list of (kind, start, end) by start and then kind as listed."""
+    base, runs = base_spans(text), candidates(text)
     found = [s for s, yes in zip(runs, random_runs([text[a:b] for a, b in runs])) if yes] if runs else []
-    found = [s for s in found if not any(b[1] < s[1] and s[0] < b[2] for b in base)] if base else found
-    more = [("random", *s) for s in apart(found)]
-    return base, sorted(base + more, key=order)
+    return base, sorted(base + [("random", *s) for s in apart(outside(found, base))], key=order)
+
+
+def step(p: float) -> int:
+    """Bar of a histogram of p: GRADES for each halving, so that bars from one on hold what is at most its edge."""
+    return math.floor(-math.log2(max(p, 1e-300)) * GRADES)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measured(text: str, base: list) -> list[tuple[int, int, int, int]]:
+    """(start, end, bar of the battery, bar of evenness) of a text's candidates outside base spans.
+
+    The battery's p is three times the least of its tests'; that of evenness tells a run from ordinary text.
+    """
+    out = []
+    for a, b in outside(candidates(text), base):
+        run = text[a:b]
+        if is_mixed(run) and (p := battery(run)):
+            out.append((a, b, step(min(1.0, 3 * min(p[1:4]))), step(p[4])))
+    return out
+
+
+def first_bar(bars: list[tuple[int, int]], rate: float) -> int | None:
+    """The bar from which on all runs are discoveries, by Benjamini and Hochberg over (bar, runs): the lowest one whose
+    edge is at most the rate's share of the runs in it and beyond. None if there is none."""
+    total, beyond, best = sum(n for _, n in bars), 0, None
+    for bar, n in sorted(bars, reverse=True):
+        beyond += n
+        if 2 ** (-bar / GRADES) <= rate * beyond / total:
+            best = bar
+    return best
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, n_random, n_spans, base, spans.
 
     base and spans are kind:start:end, comma-joined, in code points with the end exclusive. The method adds runs that
-    overlap no base span. Null and empty texts have none. Row by row, so ties, repeats and other columns don't matter.
+    overlap no base span. False discoveries are controlled over the whole corpus, twice, by histograms of p: runs that the
+    battery calls uneven by its own p are none, and of the others those are random that are too even for ordinary text of
+    their length. So a run's verdict depends on how many others there are.
+
+    Null and empty texts have none, an empty table gives no rows; ties, repeated rows and other columns don't matter.
     """
 
     def make():
         def one(text):
-            base, spans = scan(text)
-            n = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
-            return (*n, len(spans), joined_spans(base), joined_spans(spans))
+            base = base_spans(text)
+            n = [sum(k == kind for k, _, _ in base) for kind in KINDS[:3]]
+            runs = [dict(zip(("a", "b", "uneven", "even"), r)) for r in measured(text, base)]
+            return (*n, joined_spans(base), runs)
 
         return one
 
-    return map_texts(texts(docs, id_col, text_col), make, "n_assign bigint, n_access bigint, n_hex bigint, n_random bigint, n_spans bigint, base string, spans string")
+    found = table(map_texts(texts(docs, id_col, text_col), make, "n_assign bigint, n_access bigint, n_hex bigint, base string, runs array<struct<a:int,b:int,uneven:int,even:int>>"), "secrets")
+    bars = found.select(F.explode("runs").alias("r")).select(F.explode(F.array(*[F.struct(F.lit(k).alias("test"), F.col(f"r.{k}").alias("bar")) for k in ("uneven", "even")])).alias("x"))
+    counts = bars.groupBy("x.test", "x.bar").agg(F.count(F.lit(1)).alias("n")).collect()  # bars are some 32,000 a test at most
+    uneven, even = (first_bar([(c.bar, c.n) for c in counts if c.test == test], rate) for test in ("uneven", "even"))
+    lone = F.filter("runs", lambda r: (r["even"] >= (NONE if even is None else even)) & (r["uneven"] < (NONE if uneven is None else uneven)))
+
+    @F.pandas_udf("struct<spans:string,n_random:bigint>")
+    def whole(base: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, found in zip(base, runs):
+            old = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in text.split(",") if x)]
+            new = [("random", *x) for x in apart([(r["a"], r["b"]) for r in found])]
+            rows.append((joined_spans(sorted(old + new, key=order)), len(new)))
+        return pd.DataFrame(rows, columns=["spans", "n_random"])
+
+    out = found.withColumn("w", whole(F.col("base"), lone))
+    n = F.col("n_assign") + F.col("n_access") + F.col("n_hex") + F.col("w.n_random")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.col("w.n_random").alias("n_random"), n.alias("n_spans"), "base", F.col("w.spans").alias("spans"))

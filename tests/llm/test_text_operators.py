@@ -357,3 +357,29 @@ def test_rows_that_repeat_an_identifier_are_fitted_once(spark):
     graded = spark.createDataFrame([(i, 2 * (i % 2)) for i in range(40)], "doc_id long, grade int")
     one, three = quality_model.train(frame(spark, rows), graded), quality_model.train(docs, graded)
     assert one.weights == three.weights and one.thresholds == three.thresholds
+
+
+def test_false_discoveries_are_controlled_over_the_corpus(spark):
+    """Thousands of texts of one run each: few ordinary ones are called random, most keys are found, and the bars decide as
+    Benjamini and Hochberg over the sorted values would, but for the width of a bar."""
+    r = random.Random(21)
+    letters = secrets_scan.ALPHABETS["base62"]
+    vocabulary = "get set user name file path item list count index total value error state table column row time date config server".split()
+    plain = ["_".join(r.choice(vocabulary) for _ in range(r.randrange(4, 9))) + str(r.randrange(10**6)) for _ in range(3000)]
+    keys = ["".join(r.choice(letters) for _ in range(48)) for _ in range(150)]
+    rows = [(i, f"run {x} ends", "s") for i, x in enumerate(plain + keys)]
+    got = {x.doc_id: x for x in secrets_scan.scan_secrets(frame(spark, rows)).collect()}
+    named = {i for i, x in got.items() if x.n_random}
+    true, false = len([i for i in named if i >= 3000]), len([i for i in named if i < 3000])
+    assert true > 120 and false <= max(2, 0.03 * (true + false))
+    assert all(got[i].spans == f"random:4:{4 + 48}" and got[i].n_spans == 1 for i in named if i >= 3000)
+
+    p = [secrets_scan.battery(x) for x in plain + keys if secrets_scan.is_mixed(x)]
+    values = sorted(b[4] for b in p if b)
+    exact = max((v for k, v in enumerate(values, 1) if v <= secrets_scan.RATE * k / len(values)), default=0)
+    bars = {}
+    for v in values:
+        bars[secrets_scan.step(v)] = bars.get(secrets_scan.step(v), 0) + 1
+    edge = 2 ** (-secrets_scan.first_bar(list(bars.items()), secrets_scan.RATE) / secrets_scan.GRADES)
+    assert exact / 2**0.1 <= edge <= secrets_scan.RATE
+    assert secrets_scan.first_bar([], 0.01) is None and secrets_scan.first_bar([(0, 5)], 0.01) is None
