@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,16 +146,101 @@ def bootstrap_ratings(battles: DataFrame, bags: int = 100, baseline: str | None
     return ratings(battles, baseline).join(percentiles(by_bag, ("model",), level=level), "model", "left").select("model", F.round("rating").alias("rating"), F.round("std").alias("std"), F.round("ci_lower").alias("ci_lower"), F.round("ci_upper").alias("ci_upper"))
 
 
+#: Poisson(1) by a uniform number: the chances of at most 0, 1, 2, ...
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
+def bag_weights(keys: np.ndarray, bag: int) -> np.ndarray:
+    """How often rows with these 64-bit hashes are in a bag; bag 0 has each of them once."""
+    if not bag:
+        return np.ones(len(keys))
+    x = keys.astype(np.uint64) + np.uint64(bag * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return np.searchsorted(POISSON, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, "right").astype(float)
+
+
+def slopes(theta: np.ndarray, n: int, i: np.ndarray, j: np.ndarray, won: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian, as one array, of battles' log-likelihood at ratings and weights of features."""
+    r, beta = theta[:n], theta[n:]
+    p = 1 / (1 + np.exp(-(ALPHA * (r[i] - r[j]) + x @ beta)))
+    e, h = w * (won - p), w * p * (1 - p)
+    g = np.concatenate([ALPHA * (np.bincount(i, e, n) - np.bincount(j, e, n)), x.T @ e])
+    hess, hx = np.zeros((len(theta), len(theta))), ALPHA * h[:, None] * x
+    for a, b, sign in ((i, i, 1), (j, j, 1), (i, j, -1), (j, i, -1)):
+        hess[:n, :n] += sign * ALPHA**2 * np.bincount(a * n + b, h, n * n).reshape(n, n)
+    for k in range(len(beta)):
+        hess[:n, n + k] = np.bincount(i, hx[:, k], n) - np.bincount(j, hx[:, k], n)
+    hess[n:, :n] = hess[:n, n:].T
+    hess[n:, n:] = x.T @ (h[:, None] * x)
+    return np.concatenate([g, hess.ravel()])
+
+
+def fit_style(battles: DataFrame, features: list[str], names: list[str], reg: float = 0.5, bags: int = 0, keys: tuple = ("id", "model", "reference"), steps: int = 30) -> np.ndarray:
+    """Parameters (bags + 1, models + features) of ratings with style features, by Newton's method over all battles.
+
+    Each step is one scan: tasks add up gradients and Hessians of their battles, for all bags at once, and these sums, whose
+    size is that of the models, meet in a tree. Ties take no part. Battles are written once, as numbers.
+    """
+    from ..sources.shared import written
+
+    n, d, spark = len(names), len(names) + len(features), battles.sparkSession
+    place = F.create_map(*[F.lit(x) for i, m in enumerate(names) for x in (m, i)])
+    key = F.xxhash64(*keys) if bags else F.lit(0).cast("bigint")
+    rows = battles.filter("winner < 2 and model is not null and reference is not null").select(place[F.col("model")].alias("i"), place[F.col("reference")].alias("j"), (1 - F.col("winner")).cast("double").alias("won"), key.alias("key"), F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]).cast("array<double>").alias("x"))
+    rows = written(rows, "battles")
+    theta = np.zeros((bags + 1, d))
+    for _ in range(steps):
+        sent = spark.sparkContext.broadcast(theta)
+
+        def part(batches, sent=sent):
+            at, total = sent.value, np.zeros((bags + 1, d + d * d))
+            for batch in batches:
+                i, j, won, key = (batch.column(k).to_numpy() for k in range(4))
+                x = batch.column(4).flatten().to_numpy().reshape(len(i), len(features))
+                for bag in range(bags + 1):
+                    total[bag] += slopes(at[bag], n, i, j, won, x, bag_weights(key.view(np.uint64), bag))
+            yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+
+        sums = rows.mapInArrow(part, "sums binary").rdd.map(lambda r: np.frombuffer(r.sums)).treeReduce(np.add).reshape(bags + 1, d + d * d)
+        step = np.stack([np.linalg.solve(s[d:].reshape(d, d) + reg * np.eye(d), s[:d] - reg * t) for s, t in zip(sums, theta)])
+        theta = theta + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return theta
+
+
+def model_names(battles: DataFrame, most: int = 2000) -> list[str]:
+    """The models of all battles, in order; their number bounds what a fit holds, so more than ``most`` are an error."""
+    rows = battles.select(F.explode(F.array("model", "reference")).alias("m")).filter("m is not null").distinct().orderBy("m").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} models")
+    return [r.m for r in rows]
+
+
 def ratings_with_style(battles: DataFrame, features: list[str], names: list[str], baseline: str | None = None, reg: float = 0.5) -> dict[str, float]:
-    """Ratings with style features beside the models, by distributed logistic regression over decisive battles."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    """Ratings with style features beside the models."""
+    return dict(zip(names, elo(fit_style(battles, features, names, reg)[0, : len(names)], names, baseline).tolist()))
+
 
-    one = [(F.when(F.col("model") == m, ALPHA).otherwise(0.0) - F.when(F.col("reference") == m, ALPHA).otherwise(0.0)) for m in names]
-    rows = battles.filter("winner < 2").select(array_to_vector(F.array(*one, *[F.col(f).cast("double") for f in features])).alias("features"), (1 - F.col("winner")).cast("double").alias("label"))
-    n = rows.count()
-    model = LogisticRegression(fitIntercept=False, standardization=False, elasticNetParam=0.0, regParam=reg / max(n, 1), maxIter=200, tol=1e-10).fit(rows)
-    return dict(zip(names, elo(model.coefficients.toArray()[: len(names)], names, baseline).tolist()))
+def style_ratings(battles: DataFrame, features: list[str], baseline: str | None = None, bags: int = 0, level: float = 0.95, reg: float = 0.5) -> DataFrame:
+    """(kind, name, value, std, ci_lower, ci_upper, tie): a model's rating, or a feature's weight, with its spread over bags.
+
+    The chance of a tie doesn't depend on ratings or style, so ties take part in ``tie`` alone, one number for all. Bags
+    are Poisson weights from a hash of the battle; without any there is no spread. No battles give no rows.
+    """
+    spark, names = battles.sparkSession, model_names(battles)
+    schema = "kind string, name string, value double, std double, ci_lower double, ci_upper double, tie double"
+    if not names:
+        return spark.createDataFrame([], schema)
+    theta = fit_style(battles, features, names, reg, bags)
+    n = battles.agg(F.count_if(F.col("winner") == 2).alias("ties"), F.count_if(F.col("winner") < 2).alias("decisive")).first()
+    values = np.stack([np.concatenate([elo(t[: len(names)], names, baseline), t[len(names) :]]) for t in theta])
+    spread = (values[1:].std(0), *np.quantile(values[1:], [(1 - level) / 2, (1 + level) / 2], axis=0)) if bags else (None,) * 3
+    of = lambda k: [None if s is None else float(s[k]) for s in spread]
+    tie = float(tie_share(n["ties"], n["decisive"], reg))
+    kinds = [("model", m) for m in names] + [("feature", f) for f in features]
+    return spark.createDataFrame([(kind, name, float(values[0, k]), *of(k), tie) for k, (kind, name) in enumerate(kinds)], schema)
 
 
 def median_lengths(answers: DataFrame, model: str = "model", text: str = "text") -> DataFrame:
@@ -163,4 +249,4 @@ def median_lengths(answers: DataFrame, model: str = "model", text: str = "text")
     return kept.groupBy(model).agg(F.median(F.length(text)).cast("int").alias("median_length"))
 
 
-__all__ = ["arena_scale", "bootstrap_ratings", "consolidate", "elo", "fit", "median_lengths", "pair_counts", "ratings", "ratings_with_style", "style_features", "tie_share"]
+__all__ = ["arena_scale", "bootstrap_ratings", "consolidate", "elo", "fit", "median_lengths", "pair_counts", "ratings", "ratings_with_style", "style_features", "style_ratings", "tie_share"]

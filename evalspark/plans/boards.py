@@ -237,6 +237,25 @@ SELECT k + 1, m, r + (SELECT eta FROM l) * (g - 0.5 * r) FROM (SELECT i.k, i.m,
 z AS (SELECT m, r FROM it WHERE k = 400) SELECT CAST(m AS VARCHAR) AS model, round(400 * (r - (SELECT r FROM z WHERE m = 0)) + 1000, 6) AS rating FROM z"""
 
 
+#: The same with a feature beside the models: parameters 0 to 11 are the models', 12 is the feature's.
+STYLE_SQL = BATTLES.replace("WITH s AS", "WITH RECURSIVE s AS", 1) + """, f AS (SELECT *, floor(10 * (qa - qb) / (qa + qb)) / 10 AS z FROM b WHERE winner < 2),
+c AS MATERIALIZED (SELECT row_number() OVER () AS c, model, reference, z, CAST(count(*) FILTER (winner = 0) AS DOUBLE) AS w, CAST(count(*) AS DOUBLE) AS n FROM f GROUP BY model, reference, z UNION ALL SELECT -1 - range, range, range, 0, 0, 0 FROM range(12)),
+e AS MATERIALIZED (SELECT c, w, n, model AS p, ln(10) AS x FROM c UNION ALL SELECT c, w, n, reference, -ln(10) FROM c UNION ALL SELECT c, w, n, 12, z FROM c),
+size AS (SELECT c, sum(abs(x)) AS s FROM e GROUP BY c),
+l AS MATERIALIZED (SELECT p, 1 / (0.5 + sum(n * abs(x) * s) / 4) AS eta FROM e JOIN size USING (c) GROUP BY p),
+it AS (SELECT 0 AS k, list(0::DOUBLE) AS th FROM range(13) UNION ALL
+SELECT k + 1, list(t ORDER BY p) FROM (SELECT i.k, l.p, i.th[l.p + 1] + any_value(l.eta) * (sum(e.x * (e.w - e.n / (1 + exp(-(ln(10) * (i.th[c.model + 1] - i.th[c.reference + 1]) + i.th[13] * c.z))))) - 0.5 * i.th[l.p + 1]) AS t FROM it i CROSS JOIN e JOIN c ON c.c = e.c JOIN l ON l.p = e.p WHERE i.k < 1500 GROUP BY i.k, i.th, l.p) GROUP BY k),
+z AS (SELECT th FROM it WHERE k = 1500), o AS (SELECT unnest(range(13)) AS p)
+SELECT CASE WHEN p < 12 THEN 'model' ELSE 'feature' END AS kind, CASE WHEN p < 12 THEN CAST(p AS VARCHAR) ELSE 'z' END AS name, round(CASE WHEN p < 12 THEN 400 * (th[p + 1] - th[1]) + 1000 ELSE th[13] END, 3) AS value FROM z, o WHERE p = 12 OR p IN (SELECT unnest([model, reference]) FROM f)"""
+
+
+@query(STYLE_SQL)
+def style_ratings(t):
+    """Ratings with a style feature, which is the share by which one side's quantities exceed the other's, in tenths."""
+    rows = battles(t).withColumn("z", F.floor(10 * (F.col("qa") - F.col("qb")) / (F.col("qa") + F.col("qb"))) / 10)
+    return rating.style_ratings(rows, ["z"], "0").select("kind", "name", F.round("value", 3).alias("value"))
+
+
 @query(ELO_SQL)
 def elo_ratings(t):
     return rating.ratings(battles(t), "0").select("model", six("rating").alias("rating"))

@@ -313,3 +313,38 @@ def test_categories_with_times(spark):
     names = spark.createDataFrame([("a", "one")], "task string, category string")
     got = [tuple(r) for r in leaderboard.category_table(scores, names, ["one", "Other"], with_times=True).collect()]
     assert got == [("n", "0.900 ± 0.100", "—", "0.900 ± 0.100", "—"), ("m", "0.600 ± 0.071", "0.700 ± 0.100", "0.500 ± 0.100", "7")]
+
+
+def test_style_ratings_are_the_penalised_optimum(spark):
+    """The gradient of the whole likelihood, worked out row by row, is zero at what Newton's steps end in; bags spread
+    about as Poisson weights should, and a hash's bags are those of another run."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    strength, names = {"a": 0.3, "b": 0.0, "c": -0.2}, ["a", "b", "c"]
+    rows = []
+    for i in range(900):
+        x, y = r.sample(names, 2)
+        z, u = r.uniform(-1, 1), r.uniform(-1, 1)
+        p = 1 / (1 + math.exp(-(math.log(10) * (strength[x] - strength[y]) + 0.8 * z)))
+        rows.append((i, x, y, 2 if r.random() < 0.1 else int(r.random() > p), z, u))
+    df = spark.createDataFrame(rows, "id int, model string, reference string, winner int, z double, u double").repartition(3)
+    theta = rating.fit_style(df, ["z", "u"], names)[0]
+    grad = -0.5 * theta
+    for _, x, y, won, *f in rows:
+        if won < 2:
+            i, j = names.index(x), names.index(y)
+            e = (1 - won) - 1 / (1 + math.exp(-(math.log(10) * (theta[i] - theta[j]) + np.dot(f, theta[3:]))))
+            grad[i] += math.log(10) * e
+            grad[j] -= math.log(10) * e
+            grad[3:] += np.array(f) * e
+    assert np.abs(grad).max() < 1e-6 and abs(theta[3] - 0.8) < 0.4 and abs(theta[4]) < 0.4
+    got = {x["name"]: x for x in rating.style_ratings(df, ["z", "u"], "b", bags=40).collect()}
+    again = {x["name"]: x for x in rating.style_ratings(df.repartition(2), ["z", "u"], "b", bags=40).collect()}
+    assert got["b"].value == 1000 and got["b"].std == 0 and got["a"].ci_lower < got["a"].value < got["a"].ci_upper
+    assert all(abs(got[k].std - again[k].std) < 1e-6 for k in got) and 0 < 1 / (1 + math.exp(-got["a"].tie)) < 0.2
+    weights = rating.bag_weights(np.arange(200000, dtype=np.uint64), 5)
+    assert abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02
+    assert rating.style_ratings(df.limit(0), ["z"]).count() == 0
