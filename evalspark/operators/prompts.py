@@ -164,6 +164,26 @@ def chat_text(messages: Column, roles: dict[str, tuple[str, str]], system: str =
     return F.concat(F.lit(system), F.array_join(F.transform(messages, wrap), ""), F.when(last == "user", generate).otherwise(""))
 
 
+def chat_by_config(messages: Column, config: dict, go_on: bool = True) -> Column:
+    """A conversation by its configuration: what goes around the contents of each role, a line before all of them, and
+    one after a user's turn, from which the model speaks. Roles without a text are left out. With ``go_on`` an answer at
+    the end stays open: nothing follows its content."""
+    around = {}
+    for kind, role in (("system", "system"), ("user", "user"), ("bot", "assistant")):
+        role, text = config.get(f"{kind}_role", role), config.get(f"{kind}_message_template", "")
+        before, _, after = text.replace("{role}", role).partition("{content}")
+        around[role] = (before, after, bool(text))
+    bot = config.get("bot_role", "assistant")
+
+    def turn(m, i):
+        ends = (i == F.size(messages) - 1) & F.lit(go_on) & (m["role"] == bot)
+        return F.coalesce(*[F.when(m["role"] == r, F.concat(F.lit(b), m["content"], F.when(ends, "").otherwise(a))) for r, (b, a, said) in around.items() if said], F.lit(""))
+
+    line = lambda name: F.lit(config[name] + "\n" if config.get(name) else "")
+    last = F.try_element_at(messages, F.lit(-1))["role"]
+    return F.concat(line("global_prefix"), F.array_join(F.transform(messages, turn), ""), F.when(last == config.get("user_role", "user"), line("suffix")).otherwise(""))
+
+
 def split_trailing(messages: Column) -> Column:
     """(prompt, answers): the assistant turns at the end apart from what precedes them."""
     last = F.aggregate(F.transform(messages, lambda m, i: F.when(m["role"] != "assistant", i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))

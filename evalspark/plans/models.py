@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import sequence
+from ..functions import sequence, templates
 from ..operators import languages, lemmas, optimizer, prompts, sampling, sentences
 from .boards import LINES
 from .registry import query
@@ -158,3 +158,25 @@ SELECT p_partkey, p_size, CAST(row_number() OVER (ORDER BY time, p_partkey) - 1
 def weighted_draws(t):
     """A hundred parts, drawn by size without replacement."""
     return optimizer.draws(t("part").select("p_partkey", "p_size"), "p_size", "p_partkey", 100, seed=7)
+
+
+TEMPLATE = """{{ bos_token }}{% for message in messages %}
+{% if loop.first and message.role != 'system' %}[none]
+{% endif %}
+{% if message['role'] == 'user' %}<u>{{ message['content'] | trim }}</u>
+{% elif message['role'] in ['assistant', 'bot'] %}<a>{{ message['content'] }}{{ eos_token }}</a>
+{% else %}{# others have no mark #}{{ message['content'] + '.' }}
+{%- endif %}
+{% endfor %}
+{% if add_generation_prompt %}<a>{% endif %}"""
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, role, CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) AND role <> 'system' THEN '[none]' || chr(10) ELSE '' END
+|| CASE WHEN role = 'user' THEN '<u>' || regexp_replace(text, '^[\s\x0B]+|[\s\x0B]+$', '', 'g') || '</u>' || chr(10) WHEN role = 'assistant' THEN '<a>' || text || '#</a>' || chr(10) ELSE text || '.' END AS s FROM conversations)
+SELECT conv_id, md5('^' || string_agg(s, '' ORDER BY turn) || CASE WHEN arg_max(role, turn) = 'user' THEN '<a>' ELSE '' END) AS prompt FROM t GROUP BY conv_id""".replace("\\\\", "\\"))
+def chat_by_template(t):
+    """Conversations by a template with a loop, conditions and filters."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    m = t("conversations").groupBy("conv_id").agg(turns.alias("m"))
+    ends = F.element_at("m", -1)["role"] == "user"
+    return m.select("conv_id", F.md5(templates.chat(F.col("m"), TEMPLATE, ends, bos_token="^", eos_token="#")).alias("prompt"))

@@ -155,3 +155,27 @@ def test_draws_follow_their_weights(spark):
     got = optimizer.draws(df, "w", "id", 10, 5).orderBy("turn").collect()
     assert sorted(x.id for x in got) == [1, 2, 3] and [x.turn for x in got] == [0, 1, 2]
     assert optimizer.power_law_draws(df.dropna(), "w", "id", 2, seed=3).count() == 2
+
+
+def test_chat_templates(spark):
+    from pyspark.sql import functions as F
+
+    from evalspark.functions import templates
+    from evalspark.operators import prompts
+
+    turns = "array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([([("system", "be kind"), ("user", " hi ")],), ([("user", "a"), ("assistant", "b")],), ([],)], f"m {turns}")
+    say = lambda t, gen=True, **names: [r[0] for r in df.select(templates.chat(F.col("m"), t, gen, **names)).collect()]
+    assert say("{{ bos_token }}{% for message in messages %}<{{ message['role'] }}>{{ message.content | trim }}{% endfor %}", bos_token="^") == ["^<system>be kind<user>hi", "^<user>a<assistant>b", "^"]
+    assert say("{%- for m in messages -%}\n  {%- if m.role == 'user' -%} U {%- elif not loop.last -%} S {%- else -%} A {%- endif -%}\n{%- endfor -%}\n{% if add_generation_prompt %}>{% endif %}") == ["SU>", "UA>", ">"]
+    assert say("{% if messages[0]['role'] == 'system' %}\nS:{{ messages[0].content }}\n{% endif %}\n{% for m in messages %}\n{{ loop.index0 }}\n{% endfor %}", False) == ["S:be kind\n0\n1\n", "0\n1\n", ""]
+    for wrong in ("{% for m in messages %}", "{% set x = 1 %}", "{{ nothing }}", "{{ f(messages) }}", "{% else %}", "{% endif %}", "{{ messages | length }}"):
+        with pytest.raises(templates.Unknown):
+            templates.chat(F.col("m"), wrong)
+
+    config = {"system_message_template": "{content}\n", "user_message_template": "[{role}] {content} [/]", "bot_message_template": "{content}</s>", "global_prefix": "<s>", "suffix": "go:"}
+    by = lambda c, **more: [r[0] for r in df.select(prompts.chat_by_config(F.col("m"), c, **more)).collect()]
+    assert by(config) == ["<s>\nbe kind\n[user]  hi  [/]go:\n", "<s>\n[user] a [/]b", "<s>\n"]
+    assert by(config, go_on=False)[1] == "<s>\n[user] a [/]b</s>"
+    bare = {"system_message_template": "", "user_message_template": "{content}", "bot_message_template": "{content}", "bot_role": "bot"}
+    assert by(bare) == [" hi ", "a", ""]
