@@ -6,7 +6,7 @@ import hashlib
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, table
@@ -19,6 +19,8 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 #: A line is boilerplate of its host if more distinct documents have it than this number; or, in hosts too small for that,
 #: than this share of the host's and than a handful.
 MOST_DOCS, MOST_SHARE, HANDFUL = 100, 0.05, 10
+#: Bits that tell each task which texts may lose lines, at most: 64 MB.
+MOST_BITS = 1 << 29
 #: A document of which boilerplate leaves less than this share of its words is depleted.
 LEAST_LEFT = 0.2
 
@@ -70,7 +72,30 @@ def without(text: str, gone: list[int]) -> str:
     return b"\n".join(x for x in text.encode().split(b"\n") if not x or x.isspace() or line_key(x) not in keys).decode()
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = MOST_DOCS, most_share: float = MOST_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+def bit_of(keys: list[str], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(bits))
+
+
+def members(rows: DataFrame, keys: list[str], most_bits: int) -> tuple[DataFrame, int]:
+    """((__bucket, bits), how many bits): a bit for the hash of each row's keys, 32,768 to a bucket.
+
+    There are sixteen bits a row, but ``most_bits`` at most, so that the buckets can go to each task: what isn't set is no
+    member, and what is set may be none, the more often the more rows there are to a bit.
+    """
+    n = 1 << 15
+    while n < min(16 * rows.count(), most_bits):
+        n *= 2
+    bit = rows.select(bit_of(keys, n).alias("b"))
+    return bit.groupBy(F.bitmap_bucket_number("b").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")), n
+
+
+def is_set(bits: Column, position: Column) -> Column:
+    """Whether a position is set in a bucket; not where there is no bucket."""
+    byte = F.conv(F.hex(F.substr(bits, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.floor(byte / F.pow(F.lit(2), position % 8)) % 2 == 1, F.lit(False))
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = MOST_DOCS, most_share: float = MOST_SHARE, least_left: float = LEAST_LEFT, most_bits: int = MOST_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_boiler_words,
     base_failed, kept, cleaned.
 
@@ -81,7 +106,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null text has no words, so it fails; null hosts are one host. Rows with the same identifier are rows of their own.
     An empty table gives no rows. Line counts are combined before the shuffle; a hot host is spread over its lines.
-    Texts are read twice, for lines and to clean them, rather than written with the lines.
+    Texts are read for their lines and again to clean them, rather than written with the lines; texts that surely lose
+    none, by a bit for the hash of those that do, aren't shuffled.
     """
     host = F.coalesce(F.concat(F.lit("s"), F.col(host_col).cast("string")), F.lit("n"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -110,8 +136,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return one
 
     schema = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_boiler_words bigint, cleaned string"
-    # The documents with boilerplate grow as the input does, so they are never broadcast.
-    both = every.join(gone.hint("merge"), ["host", "text_key"], "left").select(F.col("id").alias("doc_id"), F.struct("text", "gone").alias("text"))
+    # The documents with boilerplate grow as the input does, so they are never broadcast; only texts that may lose lines are
+    # shuffled to them.
+    known = members(gone, ["host", "text_key"], most_bits)
+    told = every.withColumn("__bit", bit_of(["host", "text_key"], known[1])).withColumn("__bucket", F.bitmap_bucket_number("__bit"))
+    told = told.join(F.broadcast(known[0]), "__bucket", "left").withColumn("maybe", is_set(F.col("bits"), F.bitmap_bit_position("__bit"))).drop("__bucket", "__bit", "bits")
+    none = F.lit(None).cast("array<bigint>").alias("gone")
+    with_lines = told.filter("maybe").drop("maybe").join(gone.hint("merge"), ["host", "text_key"], "left").select("id", "text", "gone")
+    both = told.filter(~F.col("maybe")).select("id", "text", none).unionByName(with_lines).select(F.col("id").alias("doc_id"), F.struct("text", "gone").alias("text"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     depleted = F.col("n_words") - F.col("n_boiler_words") < least_left * F.col("n_words")
     out = map_texts(both, make, schema)

@@ -383,3 +383,32 @@ def test_false_discoveries_are_controlled_over_the_corpus(spark):
     edge = 2 ** (-secrets_scan.first_bar(list(bars.items()), secrets_scan.RATE) / secrets_scan.GRADES)
     assert exact / 2**0.1 <= edge <= secrets_scan.RATE
     assert secrets_scan.first_bar([], 0.01) is None and secrets_scan.first_bar([(0, 5)], 0.01) is None
+
+
+def test_members_by_bits(spark):
+    """Each member is told, whatever the number of bits; with bits to spare few others are."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4000).select(F.concat(F.lit("h"), (F.col("id") % 7).cast("string")).alias("host"), F.col("id").alias("text_key"))
+    inside = rows.filter("text_key % 10 = 0")
+    for most, share in ((1 << 29, 0.05), (1 << 15, 0.05), (64, 0.05)):
+        bits, n = line_rules.members(inside, ["host", "text_key"], most)
+        told = rows.withColumn("b", line_rules.bit_of(["host", "text_key"], n)).withColumn("__bucket", F.bitmap_bucket_number("b")).join(F.broadcast(bits), "__bucket", "left")
+        got = {r.text_key for r in told.filter(line_rules.is_set(F.col("bits"), F.bitmap_bit_position("b"))).collect()}
+        assert {i for i in range(0, 4000, 10)} <= got and len(got) < 400 + share * 3600
+    assert n == 1 << 15
+
+
+def test_texts_that_lose_lines_are_the_same_by_few_bits(spark):
+    r = random.Random(31)
+    rows = []
+    for i in range(400):
+        lines = ["".join(r.choice("abcdefgh") for _ in range(30)).translate(LETTERS) for _ in range(3)]
+        if i % 4 == 0:
+            lines.insert(1, "a line that very many of these have")
+        rows.append((i, "\n".join(lines), "s"))
+    df = frame(spark, rows)
+    got = {x.doc_id: (x.n_boiler_words, x.cleaned, x.kept) for x in line_rules.quality_rules(df, most_docs=50).collect()}
+    few = {x.doc_id: (x.n_boiler_words, x.cleaned, x.kept) for x in line_rules.quality_rules(df, most_docs=50, most_bits=1).collect()}
+    assert got == few and len(got) == 400 and sum(n > 0 for n, _, _ in got.values()) == 100
+    assert all("very many" not in text for _, text, _ in got.values())
