@@ -47,6 +47,20 @@ def over_golds(metric):
     return best
 
 
+@F.pandas_udf(T.DoubleType())
+def best_f1(predicted: pd.Series, golds: pd.Series) -> pd.Series:
+    """The best token F1 of a prediction's words over arrays of gold words, in linear time; 0 without any, and where either
+    has no words, 1 if neither has."""
+
+    def one(p, g):
+        if not p or not g:
+            return float(not p and not g)
+        return 2.0 * shared(p, g) / (len(p) + len(g))
+
+    lists = lambda gs: [list(g) for g in (() if gs is None else gs)]
+    return pd.Series([max((one([] if p is None else list(p), g) for g in lists(gs)), default=0.0) for p, gs in zip(predicted, golds)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def rouge_l(predicted: pd.Series, gold: pd.Series) -> pd.Series:
     """F-measure of the longest common subsequence of two token arrays."""

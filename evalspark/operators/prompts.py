@@ -7,6 +7,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MESSAGE = "struct<role:string,content:string>"
+#: Examples that go with every query, at most.
+MOST_EXAMPLES = 10_000
+
+
+def few(examples: DataFrame) -> DataFrame:
+    """Examples go to each task as one array, so they are counted first."""
+    if examples.limit(MOST_EXAMPLES + 1).count() > MOST_EXAMPLES:
+        raise ValueError(f"more than {MOST_EXAMPLES} examples")
+    return examples
 
 
 def message(role: str, content: Column) -> Column:
@@ -32,7 +41,7 @@ def pack_instructed(df: DataFrame, examples: DataFrame, budget: int, query: str,
     """
     size = size or word_tokens
     put = lambda template, text: F.replace(F.lit(template), F.lit("{text}"), text)
-    shots = examples.agg(F.array_sort(F.collect_list(F.struct("pos", "text", "answer"))).alias("__s"))
+    shots = few(examples).agg(F.array_sort(F.collect_list(F.struct("pos", "text", "answer"))).alias("__s"))
     rows = df.crossJoin(F.broadcast(shots))
     turns = F.transform("__s", lambda x, i: F.array(F.struct(F.lit("user").alias("role"), F.when(i == 0, put(full, x["text"])).otherwise(put(short, x["text"])).alias("content")), F.struct(F.lit("assistant").alias("role"), x["answer"].alias("content"))))
     length = lambda pair: size(pair[0]["content"]) + size(pair[1]["content"])
@@ -81,7 +90,7 @@ def pack(df: DataFrame, examples: DataFrame, budget: int, query_len: str, newest
     ``examples`` (pos, text, len) is the few-shot part of a prompt split, so a handful of rows that go to every query as one
     array with running lengths. The default packing renders from the last example to the first.
     """
-    shots = examples.agg(F.array_sort(F.collect_list(F.struct("pos", "text", "len"))).alias("s"))
+    shots = few(examples).agg(F.array_sort(F.collect_list(F.struct("pos", "text", "len"))).alias("s"))
     running = F.aggregate("s", F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<struct<pos:bigint,text:string,upto:bigint>>").alias("out")), lambda a, x: F.struct((a["n"] + x["len"]).alias("n"), F.array_append(a["out"], F.struct(x["pos"].cast("bigint").alias("pos"), x["text"].alias("text"), (a["n"] + x["len"]).alias("upto"))).alias("out")))["out"]
     joined = df.crossJoin(F.broadcast(shots.select(running.alias("s"))))
     fits = F.filter("s", lambda x: x["upto"] + F.col(query_len) < budget)

@@ -34,10 +34,14 @@ def mark(token: Column) -> Column:
     )
 
 
+def tokens(text: Column) -> Column:
+    return F.filter(F.split(text, SPACES), lambda w: w != "")
+
+
 def steps(text: Column) -> Column:
-    """Array of (m, next) of a text's tokens; the last has no next."""
-    marks = F.transform(F.filter(F.split(text, SPACES), lambda w: w != ""), mark)
-    return F.arrays_zip(marks.alias("m"), F.slice(marks, 2, F.greatest(F.size(marks), F.lit(1))).alias("next"))
+    """Array of (m, next) of a text's tokens as they stand; the last has no next."""
+    each = tokens(text)
+    return F.arrays_zip(each.alias("m"), F.slice(each, 2, F.greatest(F.size(each), F.lit(1))).alias("next"))
 
 
 def log_part(k: Column, p: Column) -> Column:
@@ -67,12 +71,14 @@ def together(one: Column, two: Column, both: Column, total: Column) -> Column:
 def counted(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """(types: base, n, n_stop) and (after: base, next, n of a type with a stop before another), over all texts.
 
-    Tokens are combined before the shuffle; what is shuffled are types and pairs, not tokens.
+    Tokens are combined as they stand before the shuffle, and read for what they are but once each.
     """
-    rows = df.select(F.explode(steps(F.col(text))).alias("s"))
-    types = rows.filter("s.m.base <> ''").groupBy(F.col("s.m.base").alias("base")).agg(F.count(F.lit(1)).alias("n"), F.count_if("s.m.stop").alias("n_stop"))
-    after = rows.filter("s.m.stop and s.m.base <> '' and s.next.base <> ''").groupBy(F.col("s.m.base").alias("base"), F.col("s.next.base").alias("next")).agg(F.count(F.lit(1)).alias("n"))
-    return types, after
+    rows = df.select(F.explode(steps(F.col(text))).alias("s")).select("s.m", "s.next")
+    whole = rows.groupBy("m").agg(F.count(F.lit(1)).alias("n")).select(mark(F.col("m")).alias("m"), "n")
+    types = whole.filter("m.base <> ''").groupBy(F.col("m.base").alias("base")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("m.stop"), F.col("n")).otherwise(0)).alias("n_stop"))
+    pairs = rows.filter(F.contains("m", F.lit(".")) & F.col("next").isNotNull()).groupBy("m", "next").agg(F.count(F.lit(1)).alias("n"))
+    marked = pairs.select(mark(F.col("m")).alias("m"), mark(F.col("next")).alias("next"), "n").filter("m.stop and m.base <> '' and next.base <> ''")
+    return types, marked.groupBy(F.col("m.base").alias("base"), F.col("next.base").alias("next")).agg(F.sum("n").alias("n"))
 
 
 def scored(types: DataFrame) -> DataFrame:
@@ -128,8 +134,9 @@ class SentenceModel:
 
     def count(self, text: Column) -> Column:
         """Sentences of a text; the last needs no mark. 0 without a token, null for null."""
-        each = steps(text)
-        return F.size(F.filter(each, lambda s: s["next"].isNotNull() & self.ends(s["m"], s["next"]))) + (F.size(each) > 0).cast("int")
+        near = F.filter(steps(text), lambda s: s["m"].rlike("[.!?]") & s["next"].isNotNull())
+        read = F.transform(near, lambda s: F.struct(mark(s["m"]).alias("m"), mark(s["next"]).alias("next")))
+        return F.size(F.filter(read, lambda s: self.ends(s["m"], s["next"]))) + (F.size(tokens(text)) > 0).cast("int")
 
 
 def learn(df: DataFrame, text: str, most: int = 100_000) -> SentenceModel:

@@ -10,7 +10,8 @@ from .registry import query
 
 #: Gold and predicted return flags: a letter by line number and quantity.
 FLAGS = "SELECT l_orderkey, l_suppkey, l_returnflag AS gold, CASE CAST(l_linenumber + l_quantity AS BIGINT) % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS pred FROM lineitem"
-PAIRS = "SELECT d.doc_id, d.text AS pred, b.text AS gold FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id"
+#: The item of a document is worked out before the join, so that columns alone are compared in it.
+PAIRS = "SELECT d.doc_id, d.text AS pred, b.text AS gold FROM (SELECT doc_id, text, doc_id % (SELECT count(*) FROM benchmark) AS item FROM documents) d JOIN benchmark b ON d.item = b.item_id"
 
 
 def flags(t):

@@ -165,8 +165,9 @@ for lang in ("ru", "en"):
 
 def answered(df: DataFrame) -> DataFrame:
     """F1 and exactness, the best over the accepted answers."""
-    best = lambda f: text.best_over(F.col("golds"), lambda g: f(F.col("pred"), g))
-    return df.withColumns({"f1": best(text.squad_f1), "em": best(text.squad_exact)})
+    normal = lambda c: text.words(text.squad_normal(c))
+    f1 = sequence.best_f1(normal(F.col("pred")), F.transform("golds", normal))
+    return df.withColumns({"f1": f1, "em": text.best_over(F.col("golds"), lambda g: text.squad_exact(F.col("pred"), g))})
 
 
 register(TaskSpec("multiq", "generate", answered, {"f1": mean_of("f1"), "em": mean_of("em")}, data="multiq", gold=lambda: F.col("golds")[0], prepare=lambda df: asked(df).withColumn("golds", F.col("outputs.segment")), user=ASK))
