@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boards, models, parts, scores  # noqa: F401  registers the queries
+from . import boards, models, parts, prepared, scores  # noqa: F401  registers the queries
 from .registry import QUERIES, SQL
 
 
