@@ -80,3 +80,9 @@ def report(metrics: DataFrame, model: str) -> str:
     values = [s for _, s in rows]
     mean = sum(values) / len(values) if values else 0.0
     return "\t".join(["mean", *[t for t, _ in rows]]) + "\n" + "\t".join(f"{v:.3f}" for v in [mean, *values])
+
+
+def with_ratings(table: DataFrame, ratings: DataFrame, name: str = "arena", digits: int = 0) -> DataFrame:
+    """A table by model with a judge's ratings (model, rating, std) as a column of its own; a dash for models without."""
+    column = ratings.select("model", shown(F.col("rating"), F.col("std"), digits).alias(name))
+    return table.join(column, "model", "left").withColumn(name, F.coalesce(F.col(name), F.lit("—")))

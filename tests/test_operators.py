@@ -348,3 +348,34 @@ def test_style_ratings_are_the_penalised_optimum(spark):
     weights = rating.bag_weights(np.arange(200000, dtype=np.uint64), 5)
     assert abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02
     assert rating.style_ratings(df.limit(0), ["z"]).count() == 0
+
+
+def test_an_arena_from_answers_to_ratings(spark):
+    """A judge that likes answers with good in them, and the first place a little."""
+    from evalspark.operators import arena
+
+    class Judge:
+        def probabilities(self, prompts, choices):
+            out = []
+            for p in prompts:
+                said = json.loads(p)[-1]["content"]
+                first, second = (x.count("good") for x in said.split("# Answer m\n")[1].split("# Answer M\n"))
+                out.append({"m": 0.0, "M": 0.0, "T": 0.0} if "mute" in said else {"m": 0.3 + (first > second), "M": 0.2 + (second > first), "T": 0.25})
+            return out
+
+    goods = {"top": 3, "mid": 2, "low": 1}
+    rows = [(i, m, f"do {i}", "good " * (n if i % 5 else 3 - n) + f"**{m}**") for i in range(30) for m, n in goods.items()]
+    rows += [(30, m, "mute", "x") for m in goods] + [(31, "low", "alone", "x"), (32, "mid", "null", None), (32, "top", "null", "good")]
+    answers = spark.createDataFrame(rows, "id int, model string, instruction string, output string")
+    pairs = arena.pairings(answers, "mid")
+    assert pairs.count() == 2 * (2 * 31 + 1)
+    seen = arena.judged(pairs, Judge)
+    assert {r.outcome for r in seen.filter("id = 30").collect()} == {"invalid"}
+    got = {r.model: r for r in arena.arena(answers, "mid", Judge, "mid", bags=20).collect()}
+    assert got["top"].rating > got["mid"].rating == 1000 > got["low"].rating and got["mid"].votes == 61
+    more = {r.model: r.votes for r in arena.arena(answers, "top", Judge, bags=0, previous=seen).collect()}
+    assert more["top"] > got["top"].votes
+    ratings = arena.arena(answers, "mid", Judge, "mid", bags=20)
+    table = spark.createDataFrame([("top", "0.5"), ("new", "0.1")], "model string, mean string")
+    shown = {r.model: r.arena for r in leaderboard.with_ratings(table, ratings).collect()}
+    assert shown["new"] == "—" and " ± " in shown["top"]
