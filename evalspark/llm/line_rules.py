@@ -19,6 +19,8 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 #: A line is boilerplate of its host if more distinct documents have it than this number; or, in hosts too small for that,
 #: than this share of the host's and than a handful.
 MOST_DOCS, MOST_SHARE, HANDFUL = 100, 0.05, 10
+#: Boilerplate lines up to which all of them go to each task; beyond, texts are joined with the lines that they lose.
+MOST_LINES = 500_000
 #: Bits that tell each task which texts may lose lines, at most: 64 MB.
 MOST_BITS = 1 << 29
 #: A document of which boilerplate leaves less than this share of its words is depleted.
@@ -66,10 +68,11 @@ def measure(text: str, hashes: WordHashes) -> tuple:
     return n, word_chars, n_symbols, dup, repeat
 
 
-def without(text: str, gone: list[int]) -> str:
-    """The text without the lines that have these keys."""
-    keys = set(gone)
-    return b"\n".join(x for x in text.encode().split(b"\n") if not x or x.isspace() or line_key(x) not in keys).decode()
+def without(text: str, gone) -> str | None:
+    """The text without the lines that have these keys; None if it has none of them."""
+    keys, lines = set(gone) if isinstance(gone, list) else gone, text.encode().split(b"\n")
+    kept = [x for x in lines if not x or x.isspace() or line_key(x) not in keys]
+    return b"\n".join(kept).decode() if len(kept) < len(lines) else None
 
 
 def bit_of(keys: list[str], bits: int) -> Column:
@@ -95,7 +98,56 @@ def is_set(bits: Column, position: Column) -> Column:
     return F.coalesce(F.floor(byte / F.pow(F.lit(2), position % 8)) % 2 == 1, F.lit(False))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = MOST_DOCS, most_share: float = MOST_SHARE, least_left: float = LEAST_LEFT, most_bits: int = MOST_BITS) -> DataFrame:
+def measured(text: str, cleaned: str | None, hashes: WordHashes) -> tuple:
+    n, *rest = measure(text, hashes)
+    return n, *rest, 0 if cleaned is None else n - len(cleaned.encode().split()), text if cleaned is None else cleaned
+
+
+def by_lines(every: DataFrame, boiler: DataFrame):
+    """(rows, what is made of a task's rows) where boilerplate lines are few: all of them go to each task."""
+    hosts: dict[str, set[int]] = {}
+    for host, line in boiler.collect():
+        hosts.setdefault(host, set()).add(line)
+    shared = every.sparkSession.sparkContext.broadcast(hosts)
+
+    def make():
+        hashes, known = WordHashes(), shared.value
+
+        def one(row):
+            text, gone = row["text"], known.get(row["host"])
+            return measured(text, without(text, gone) if gone else None, hashes)
+
+        return one
+
+    return every.select(F.col("id").alias("doc_id"), F.struct("text", "host").alias("text")), make
+
+
+def by_texts(every: DataFrame, lines: DataFrame, boiler: DataFrame, most_bits: int):
+    """The same where they are many: each text that may lose lines is joined with those it loses.
+
+    These texts grow as the input does, so they are never broadcast; the others, told by bits, aren't shuffled.
+    """
+    gone = table(lines.join(boiler, ["host", "line"]).groupBy("host", "text_key").agg(F.collect_list("line").alias("gone")), "lines-gone")
+    known = members(gone, ["host", "text_key"], most_bits)
+    told = every.withColumn("__bit", bit_of(["host", "text_key"], known[1])).withColumn("__bucket", F.bitmap_bucket_number("__bit"))
+    told = told.join(F.broadcast(known[0]), "__bucket", "left").withColumn("maybe", is_set(F.col("bits"), F.bitmap_bit_position("__bit"))).drop("__bucket", "__bit", "bits")
+    none = F.lit(None).cast("array<bigint>").alias("gone")
+    with_lines = told.filter("maybe").drop("maybe").join(gone.hint("merge"), ["host", "text_key"], "left").select("id", "text", "gone")
+    both = told.filter(~F.col("maybe")).select("id", "text", none).unionByName(with_lines).select(F.col("id").alias("doc_id"), F.struct("text", "gone").alias("text"))
+
+    def make():
+        hashes = WordHashes()
+
+        def one(row):
+            text, gone = row["text"], row["gone"]
+            return measured(text, without(text, gone) if gone else None, hashes)
+
+        return one
+
+    return both, make
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = MOST_DOCS, most_share: float = MOST_SHARE, least_left: float = LEAST_LEFT, most_bits: int = MOST_BITS, most_lines: int = MOST_LINES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_boiler_words,
     base_failed, kept, cleaned.
 
@@ -106,8 +158,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null text has no words, so it fails; null hosts are one host. Rows with the same identifier are rows of their own.
     An empty table gives no rows. Line counts are combined before the shuffle; a hot host is spread over its lines.
-    Texts are read for their lines and again to clean them, rather than written with the lines; texts that surely lose
-    none, by a bit for the hash of those that do, aren't shuffled.
+    Texts are read for their lines and again to clean them, rather than written with the lines. Where boilerplate lines
+    are ``most_lines`` at most they go to each task, and no text is shuffled; beyond, texts that surely lose none, by a bit
+    for the hash of those that do, aren't.
     """
     host = F.coalesce(F.concat(F.lit("s"), F.col(host_col).cast("string")), F.lit("n"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -122,28 +175,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     many = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min(most_docs, HANDFUL))
     common = (F.col("n") > most_docs) | ((F.col("n") > HANDFUL) & (F.col("n") > F.col("docs") * most_share))
     boiler = table(many.join(of_host, "host").filter(common).select("host", "line"), "lines-boiler")
-    gone = table(lines.join(boiler, ["host", "line"]).groupBy("host", "text_key").agg(F.collect_list("line").alias("gone")), "lines-gone")
-
-    def make():
-        hashes = WordHashes()
-
-        def one(row):
-            text, gone = row["text"], row["gone"]
-            n, *rest = measure(text, hashes)[:5]
-            cleaned = without(text, gone) if gone else text
-            return n, *rest, n - len(cleaned.encode().split()) if gone else 0, cleaned
-
-        return one
+    if boiler.count() <= most_lines:
+        both, make = by_lines(every, boiler)
+    else:
+        both, make = by_texts(every, lines, boiler, most_bits)
 
     schema = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_boiler_words bigint, cleaned string"
-    # The documents with boilerplate grow as the input does, so they are never broadcast; only texts that may lose lines are
-    # shuffled to them.
-    known = members(gone, ["host", "text_key"], most_bits)
-    told = every.withColumn("__bit", bit_of(["host", "text_key"], known[1])).withColumn("__bucket", F.bitmap_bucket_number("__bit"))
-    told = told.join(F.broadcast(known[0]), "__bucket", "left").withColumn("maybe", is_set(F.col("bits"), F.bitmap_bit_position("__bit"))).drop("__bucket", "__bit", "bits")
-    none = F.lit(None).cast("array<bigint>").alias("gone")
-    with_lines = told.filter("maybe").drop("maybe").join(gone.hint("merge"), ["host", "text_key"], "left").select("id", "text", "gone")
-    both = told.filter(~F.col("maybe")).select("id", "text", none).unionByName(with_lines).select(F.col("id").alias("doc_id"), F.struct("text", "gone").alias("text"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     depleted = F.col("n_words") - F.col("n_boiler_words") < least_left * F.col("n_words")
     out = map_texts(both, make, schema)

@@ -409,6 +409,6 @@ def test_texts_that_lose_lines_are_the_same_by_few_bits(spark):
         rows.append((i, "\n".join(lines), "s"))
     df = frame(spark, rows)
     got = {x.doc_id: (x.n_boiler_words, x.cleaned, x.kept) for x in line_rules.quality_rules(df, most_docs=50).collect()}
-    few = {x.doc_id: (x.n_boiler_words, x.cleaned, x.kept) for x in line_rules.quality_rules(df, most_docs=50, most_bits=1).collect()}
-    assert got == few and len(got) == 400 and sum(n > 0 for n, _, _ in got.values()) == 100
+    joined, few = ({x.doc_id: (x.n_boiler_words, x.cleaned, x.kept) for x in line_rules.quality_rules(df, most_docs=50, most_lines=0, **more).collect()} for more in ({}, {"most_bits": 1}))
+    assert got == joined == few and len(got) == 400 and sum(n > 0 for n, _, _ in got.values()) == 100
     assert all("very many" not in text for _, text, _ in got.values())
