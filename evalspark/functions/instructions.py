@@ -33,26 +33,26 @@ def parts(text: Column, pattern: str) -> Column:
     return F.split(text, pattern, -1)
 
 
+def listed(keywords) -> Column:
+    return keywords if isinstance(keywords, Column) else F.array(*map(F.lit, keywords))
+
+
 def existence(r, keywords, lemma=None):
-    """With a lemmatiser, a keyword's lemmas are looked for among those of the response."""
-    r, said = lemmatised(r, keywords, lemma)
-    return F.forall(said, lambda k: F.regexp_like(r, F.concat(F.lit("(?iu)"), k)))
+    """With a :class:`lemmas.Lemmatiser`, a keyword's lemmas are looked for among those of the response."""
+    if lemma:
+        return F.forall(lemma.counts(r, listed(keywords)), lambda n: n > 0)
+    return F.forall(listed(keywords), lambda k: F.regexp_like(r, F.concat(F.lit("(?iu)"), k)))
 
 
 def frequency(r, keyword, how, value, lemma=None):
-    r, said = lemmatised(r, F.array(col(keyword)), lemma)
-    return relation(F.regexp_count(r, F.concat(F.lit("(?iu)"), said[0])), how, value)
+    n = lemma.counts(r, F.array(col(keyword)))[0] if lemma else F.regexp_count(r, F.concat(F.lit("(?iu)"), col(keyword)))
+    return relation(n, how, value)
 
 
 def forbidden(r, words, lemma=None):
-    r, said = lemmatised(r, words, lemma)
-    return ~F.exists(said, lambda w: F.regexp_like(r, F.concat(F.lit(r"(?iuU)\b"), w, F.lit(r"\b"))))
-
-
-def lemmatised(r, keywords, lemma):
-    """The response and an array of keywords; as lemmas with a :class:`lemmas.Lemmatiser`."""
-    said = keywords if isinstance(keywords, Column) else F.array(*map(F.lit, keywords))
-    return (lemma.text(r), lemma.phrases(said)) if lemma else (r, said)
+    if lemma:
+        return ~F.exists(lemma.counts(r, listed(words), whole=True), lambda n: n > 0)
+    return ~F.exists(listed(words), lambda w: F.regexp_like(r, F.concat(F.lit(r"(?iuU)\b"), w, F.lit(r"\b"))))
 
 
 def letter_frequency(r, letter, how, value):

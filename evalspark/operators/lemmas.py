@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,12 +79,16 @@ class Lemmatiser:
         """A text's words, without ASCII's marks, digits and Latin letters, as lemmas with a space between."""
         return " ".join(map(self, PLAIN.sub(" ", text.lower()).split()))
 
-    def phrases(self, of: Column) -> Column:
-        """Lemmas of each text of an array."""
-        return lemmas(lambda: self.phrase)(of)
+    def counts(self, of: Column, keywords: Column, whole: bool = False) -> Column:
+        """How often each keyword's lemmas occur among a text's, in any case; as whole words where asked."""
 
-    def text(self, of: Column) -> Column:
-        return self.phrases(F.array(F.coalesce(of, F.lit(""))))[0]
+        @F.pandas_udf("array<int>")
+        def count(texts: pd.Series, lists: pd.Series) -> pd.Series:
+            edge = r"\b" if whole else ""
+            one = lambda t, ks: [len(re.findall(edge + self.phrase(k) + edge, t, re.I)) for k in ks]
+            return pd.Series([one(self.phrase(t or ""), () if ks is None else ks) for t, ks in zip(texts, lists)])
+
+        return count(of, keywords)
 
 
 def learn(pairs: DataFrame, form: str = "form", lemma: str = "lemma", context: int = CONTEXT, most: int = 1_000_000) -> Lemmatiser:
