@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let
+from .text import capitals, let
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -106,7 +106,7 @@ def kinopoisk_gold(label: Column) -> Column:
 
 def gold_letter(answer: Column) -> Column:
     """Letter of an answer, Cyrillic look-alikes as Latin ones (fixed values)."""
-    return F.translate(F.upper(F.trim(answer)), "АВСЕ", "ABCE")
+    return F.translate(capitals(F.trim(answer)), "АВСЕ", "ABCE")
 
 
 def starts_gold(gold: Column, predicted: Column) -> Column:
