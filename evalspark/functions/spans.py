@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import small
+
 
 def unfenced(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), "^```(json)?", ""), "```$", ""))
@@ -54,7 +56,7 @@ def tokens_in(offsets: Column, start: Column, end: Column) -> Column:
 
 def locate_span(text: Column, phrase: Column) -> Column:
     """(start, end) of a phrase: as it stands, or else in any case; AUTHOR and NULL have none."""
-    at = F.when(F.instr(text, phrase) > 0, F.instr(text, phrase)).otherwise(F.instr(F.lower(text), F.lower(phrase)))
+    at = F.when(F.instr(text, phrase) > 0, F.instr(text, phrase)).otherwise(F.instr(small(text), small(phrase)))
     none = phrase.isin("AUTHOR", "NULL") | (at == 0)
     return F.when(~none, F.struct((at - 1).alias("start"), (at - 1 + F.length(phrase)).alias("end")))
 
@@ -98,7 +100,7 @@ def opinions_from_json(text: Column) -> Column:
 
 def valid_opinions(text: Column, opinions: Column) -> Column:
     """Opinions whose phrases occur in the text, in any case."""
-    within = lambda p: p.isin("AUTHOR", "NULL") | F.lower(text).contains(F.lower(p))
+    within = lambda p: p.isin("AUTHOR", "NULL") | small(text).contains(small(p))
     return F.filter(opinions, lambda o: within(o["Source"]) & within(o["Target"]) & within(o["Expression"]))
 
 

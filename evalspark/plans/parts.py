@@ -161,7 +161,7 @@ SELECT id, CAST(CASE WHEN a = '' THEN NULL WHEN instr(text, a) > 0 THEN instr(te
 def located_opinions(t):
     """Phrases found in a text, and the opinions of a model's JSON whose phrases the text has."""
     w = F.split("text", " ", -1)
-    x = t("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text", w[0].alias("a"), F.upper(F.element_at(w, -1)).alias("b")).filter((F.col("a") != "") & (F.col("b") != "") & ~F.col("text").rlike(r'["\\\p{Cntrl}]'))
+    x = t("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text", w[0].alias("a"), text.capitals(F.element_at(w, -1)).alias("b")).filter((F.col("a") != "") & (F.col("b") != "") & ~F.col("text").rlike(r'["\\\p{Cntrl}]'))
     one = lambda source, target, polarity, said: F.concat(F.lit(f'{{"Source": "{source}", "Target": "'), target, F.lit(f'", "Polarity": "{polarity}", "Expression": "'), said, F.lit('"}'))
     json = F.concat(F.lit("```json\n["), F.concat_ws(", ", one("NULL", F.col("a"), "POS", F.col("b")), one("AUTHOR", F.col("b"), "NEG", F.col("a")), one("NULL", F.col("a"), "WELL", F.col("b")), one("no such phrase here", F.col("a"), "POS", F.col("b"))), F.lit("]\n```"))
     kept = spans.valid_opinions(F.col("text"), spans.opinions_from_json(json))

@@ -423,7 +423,7 @@ def said_opinions(text_: Column, offsets: Column, pred: Column) -> Column:
     """A model's opinions as token indexes; those that name something that the text lacks go."""
     at = lambda p: F.when(p == "AUTHOR", "NULL").when(p == "NULL", "0:0").otherwise(F.concat_ws(":", spans.locate_span(text_, p)["start"].cast("string"), spans.locate_span(text_, p)["end"].cast("string")))
     whole = lambda x: F.when(x.startswith("["), F.from_json(x, "array<string>")).otherwise(F.array(x))
-    known = F.filter(spans.opinions_from_json(pred), lambda o: F.forall(F.concat(F.array(o["Source"], o["Target"]), whole(o["Expression"])), lambda p: F.coalesce(p.isin("AUTHOR", "NULL") | F.contains(F.lower(text_), F.lower(p)), F.lit(False))))
+    known = F.filter(spans.opinions_from_json(pred), lambda o: F.forall(F.concat(F.array(o["Source"], o["Target"]), whole(o["Expression"])), lambda p: F.coalesce(p.isin("AUTHOR", "NULL") | F.contains(text.small(text_), text.small(p)), F.lit(False))))
     none = F.lit(None).cast("array<string>")
     parts = F.transform(known, lambda o: F.struct(F.array(none, F.array(at(o["Source"]))).alias("Source"), F.array(none, F.array(at(o["Target"]))).alias("Target"), F.array(none, F.transform(whole(o["Expression"]), at)).alias("Polar_expression"), o["Polarity"].alias("Polarity")))
     return placed_opinions(offsets, parts)

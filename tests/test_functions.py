@@ -197,3 +197,19 @@ def test_opinions(spark):
     df = spark.sql("select array(named_struct('holder', array(1), 'target', array(2), 'expr', array(3, 4), 'polarity', 'POS'), named_struct('holder', array(1), 'target', array(2), 'expr', array(4), 'polarity', 'POS')) o")
     r = df.select(spans.distinct_opinions(F.col("o")).alias("d"), spans.opinion_match(F.col("o")[0], F.col("o")[1]).alias("m"), spans.opinion_weight(F.col("o")[0], F.col("o")[1]).alias("w")).first()
     assert len(r.d) == 1 and r.m and r.w == pytest.approx((1 + 1 + 0.5) / 3)
+
+
+def test_cases_letter_by_letter(spark):
+    assert one(spark, choice.gold_letter(F.lit(" ßА")), text.capitals(F.lit("aŉᾳé")), text.small(F.lit("İΟΔΟΣ")))[0:3] == ("ẞA", "AŉᾼÉ", "iοδοσ")
+    found = one(spark, spans.locate_span(F.lit("İn der Straße"), F.lit("STRAẞE")), spans.locate_span(F.lit("ΟΔΟΣΑ"), F.lit("οδοσ")))
+    assert tuple(found[0]) == (7, 13) and tuple(found[1]) == (0, 4)
+
+
+def test_queries_of_cases_follow_their_sql(spark, tmp_path):
+    rows = [(0, 0, "user", "öß und straß"), (0, 1, "user", "eins ß"), (0, 2, "user", "ﬁn ŉ")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    run = lambda name: sorted(map(tuple, catalogue.queries()[name](spark, str(tmp_path)).collect()))
+    duckdb = pytest.importorskip("duckdb").connect()
+    duckdb.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("answer_forms", "located_opinions"):
+        assert run(name) == sorted(duckdb.execute(catalogue.oracle_sql()[name]).fetchall()) and len(run(name)) == 3
