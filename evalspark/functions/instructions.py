@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WORD, count_of, overlap
+from .text import WORD, count_of, let, overlap
 
 
 def col(x) -> Column:
@@ -21,12 +22,12 @@ def relation(n: Column, how, value) -> Column:
 
 
 def blank(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " ")) == ""
+    return ~text.rlike(r"\S")
 
 
 def bare(text: Column) -> Column:
     """Without white space at the ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_extract(text, r"(?s)\A\s*+(.*\S)", 1)
 
 
 def parts(text: Column, pattern: str) -> Column:
@@ -37,11 +38,17 @@ def listed(keywords) -> Column:
     return keywords if isinstance(keywords, Column) else F.array(*map(F.lit, keywords))
 
 
+def every(conditions) -> Column:
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
 def existence(r, keywords, lemma=None):
     """With a :class:`lemmas.Lemmatiser`, a keyword's lemmas are looked for among those of the response."""
     if lemma:
         return F.forall(lemma.counts(r, listed(keywords)), lambda n: n > 0)
-    return F.forall(listed(keywords), lambda k: F.regexp_like(r, F.concat(F.lit("(?iu)"), k)))
+    if not isinstance(keywords, Column):  # a pattern that is known is compiled once
+        return every(r.rlike(f"(?iu){k}") for k in keywords)
+    return F.forall(keywords, lambda k: F.regexp_like(r, F.concat(F.lit("(?iu)"), k)))
 
 
 def frequency(r, keyword, how, value, lemma=None):
@@ -52,10 +59,16 @@ def frequency(r, keyword, how, value, lemma=None):
 def forbidden(r, words, lemma=None):
     if lemma:
         return ~F.exists(lemma.counts(r, listed(words), whole=True), lambda n: n > 0)
-    return ~F.exists(listed(words), lambda w: F.regexp_like(r, F.concat(F.lit(r"(?iuU)\b"), w, F.lit(r"\b"))))
+    if not isinstance(words, Column):
+        return every(~r.rlike(rf"(?iuU)\b{w}\b") for w in words)
+    return ~F.exists(words, lambda w: F.regexp_like(r, F.concat(F.lit(r"(?iuU)\b"), w, F.lit(r"\b"))))
 
 
 def letter_frequency(r, letter, how, value):
+    if isinstance(letter, str) and len(letter) == 1 and letter.isascii() and letter.isalnum():
+        # All letters of which the lower case has this one, in one pass.
+        forms = "".join(c for c in map(chr, range(0x10000)) if letter.lower() in c.lower())
+        return relation(F.length(F.regexp_replace(r, f"[^{forms}]++", "")), how, value)
     low = F.lower(r)
     return relation(F.length(low) - F.length(F.replace(low, F.lower(col(letter)), F.lit(""))), how, value)
 
@@ -68,9 +81,21 @@ FREQUENT = {"en": "the and of to is that for with was this are you", "fr": "le l
 SCRIPTS = {"ru": "Cyrillic", "uk": "Cyrillic", "bg": "Cyrillic", "ar": "Arabic", "fa": "Arabic", "ur": "Arabic", "hi": "Devanagari", "mr": "Devanagari", "ne": "Devanagari", "bn": "Bengali", "th": "Thai", "ta": "Tamil", "te": "Telugu", "kn": "Kannada", "gu": "Gujarati", "pa": "Gurmukhi", "ml": "Malayalam", "he": "Hebrew", "ko": "Hangul", "ja": "Hiragana"}
 
 
-def frequent(r, lang):
-    """How many frequent words of a language a text has."""
-    return count_of(rf"(?iU)\b(?:{FREQUENT[lang].replace(' ', '|')})\b", r)
+#: Frequent words of all languages between characters that no word has, by first letter.
+FIRST = sorted({w[0] for v in FREQUENT.values() for w in v.split()})
+WORDS_OF = "|".join(f"{a}(?:{'|'.join(sorted({w[1:] for v in FREQUENT.values() for w in v.split() if w[0] == a}, key=len, reverse=True))})" for a in FIRST)
+FOUND = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])(?:{WORDS_OF})(?![\p{{L}}\p{{M}}\p{{N}}_])"
+
+
+def most_frequent(r, lang):
+    """Whether no language has more frequent words in a text than this one; they are looked for once."""
+    found = F.regexp_extract_all(F.lower(r), F.lit(FOUND), F.lit(0))
+    of = lambda ws, x: F.size(F.filter(ws, lambda w: w.isin(*FREQUENT[x].split())))
+    return let(found, lambda ws: of(ws, lang) >= F.greatest(*[of(ws, x) for x in FREQUENT if x != lang]))
+
+
+def script_letters(r, script):
+    return F.length(F.regexp_replace(r, rf"\P{{Is{script}}}++", ""))
 
 
 def language(r, lang, model=None):
@@ -80,14 +105,13 @@ def language(r, lang, model=None):
         return F.coalesce(*[F.when(lang == x, language(r, x, model)) for x in (*FREQUENT, *SCRIPTS, "pt", "pl", "vi", "sw", "fi")], F.lit(True))
     if model is not None and lang in model.langs:
         return F.coalesce(model.guess(r) == lang, F.lit(True))
-    latin = count_of(r"\p{IsLatin}", r)
     if lang in SCRIPTS:
-        own = count_of(rf"\p{{Is{SCRIPTS[lang]}}}", r)
+        own, latin = script_letters(r, SCRIPTS[lang]), script_letters(r, "Latin")
         return F.when(own + latin == 0, ~r.rlike(r"\p{L}")).otherwise(own > latin)
-    cyrillic = count_of(r"\p{IsCyrillic}", r)
-    others = [frequent(r, x) for x in FREQUENT if x != lang]
-    own = frequent(r, lang) >= F.greatest(*others) if lang in FREQUENT else F.lit(True)
-    return F.when(cyrillic + latin == 0, True).otherwise((latin >= cyrillic) & own)
+    # Letters are counted only where a text has those of both scripts.
+    latin, cyrillic = r.rlike(r"\p{IsLatin}"), r.rlike(r"[\x{400}-\x{10FFFF}]") & r.rlike(r"\p{IsCyrillic}")
+    own = most_frequent(r, lang) if lang in FREQUENT else F.lit(True)
+    return F.when(cyrillic, (script_letters(r, "Latin") >= script_letters(r, "Cyrillic")) & own).when(latin, own).otherwise(True)
 
 
 def sentences(r, how, value, model=None):
@@ -150,8 +174,13 @@ def sections_ru(r, splitter, value):
 
 
 def json_format(r):
+    """Whether a response, its fences removed, is one JSON value from end to end. Readers stop after the first value, so it
+    is put between brackets and between braces: what closes the one too soon is an error in the other."""
     body = bare(F.regexp_replace(F.regexp_replace(bare(r), "^```(json|Json|JSON)?", ""), "```$", ""))
-    return F.try_parse_json(body).isNotNull() | (body == "null")
+    strict = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "bad"}
+    listed_ = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>", strict)
+    held = F.from_json(F.concat(F.lit('{"a":'), body, F.lit("}")), "a string, bad string", strict)
+    return F.when(r.rlike(r'\A\s*+(?:```|[\[{"0-9tfnNI-])'), (F.size(listed_) == 1) & held["bad"].isNull()).otherwise(False)
 
 
 def title(r):
@@ -175,8 +204,7 @@ def end_checker(r, phrase):
 
 
 def quotation(r):
-    t = bare(r)
-    return (F.length(t) > 1) & t.startswith('"') & t.endswith('"')
+    return r.rlike(r'(?s)\A\s*+".*"\s*\z')
 
 
 def capital_words(r, how, value):

@@ -213,3 +213,10 @@ def test_queries_of_cases_follow_their_sql(spark, tmp_path):
     duckdb.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     for name in ("answer_forms", "located_opinions"):
         assert run(name) == sorted(duckdb.execute(catalogue.oracle_sql()[name]).fetchall()) and len(run(name)) == 3
+
+
+def test_json_is_one_value(spark):
+    right = ['{"a": [1, {"b": null}], "a": 2}', "```json\n[1, 2]\n```", " -1.5e3 ", "null", '"x"']
+    wrong = ["4703443633947811 and words", "1 2", "1]", "1}", '1, "b": 2', "1] x", '{"a": 1} x', "[1] [2]", "{'a': 1}", "01", "[1,]", "words", ""]
+    rows = spark.createDataFrame([(x,) for x in right + wrong], "r string").select("r", F.coalesce(instructions.follows("detectable_format:json_format", F.col("r")), F.lit(False))).collect()
+    assert {r for r, ok in rows if ok} == set(right)
