@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .plain import in_slices
 from .text import small
 
 
@@ -41,11 +42,14 @@ def same_text(marked: Column, text: Column) -> Column:
     return plain(marked) == F.regexp_replace(text, r"\s+", "")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def token_offsets(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def token_offsets(text: pa.Array) -> pa.Array:
     """(token, start, end) between white space, in one pass over a text."""
     found = lambda t: [{"token": m[0], "start": m.start(), "end": m.end()} for m in re.finditer(r"[^\t-\r ]+", t)]
-    return pd.Series([None if t is None else found(t) for t in text])
+    return in_slices(lambda t: None if t is None else found(t), OFFSETS, text)
+
+
+OFFSETS = pa.list_(pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def tokens_in(offsets: Column, start: Column, end: Column) -> Column:
