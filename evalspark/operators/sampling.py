@@ -43,6 +43,11 @@ def head(df: DataFrame, n: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def spread(df: DataFrame, *key) -> DataFrame:
+    """The rows by their key over as many tasks as a shuffle has, for work that is long beside their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def exclude(df: DataFrame, prompts: DataFrame, key: str) -> DataFrame:
     return df.join(prompts.select(key), key, "left_anti")
 
