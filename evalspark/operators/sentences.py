@@ -73,7 +73,8 @@ def counted(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
 
     Tokens are combined as they stand before the shuffle, and read for what they are but once each.
     """
-    rows = df.select(F.explode(steps(F.col(text))).alias("s")).select("s.m", "s.next")
+    # A plain explode would split each text twice, to leave out those without a token first.
+    rows = df.select(F.explode_outer(steps(F.col(text))).alias("s")).select("s.m", "s.next").filter("m is not null")
     whole = rows.groupBy("m").agg(F.count(F.lit(1)).alias("n")).select(mark(F.col("m")).alias("m"), "n")
     types = whole.filter("m.base <> ''").groupBy(F.col("m.base").alias("base")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("m.stop"), F.col("n")).otherwise(0)).alias("n_stop"))
     pairs = rows.filter(F.contains("m", F.lit(".")) & F.col("next").isNotNull()).groupBy("m", "next").agg(F.count(F.lit(1)).alias("n"))
@@ -90,6 +91,12 @@ def scored(types: DataFrame) -> DataFrame:
     return rows.select("base", "n", "n_stop", "score", F.coalesce(F.col("score") >= ABBREVIATION, F.lit(False)).alias("abbreviation"))
 
 
+def counts(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """(scored types, after) of all texts, written, as each is read several times: the texts are read once for either."""
+    types, after = counted(df, text)
+    return written(scored(written(types, "sentence-counts")), "sentence-types"), written(after, "sentence-pairs")
+
+
 def special(base: Column) -> Column:
     """Numbers and single letters, whose stops are judged by what follows."""
     return (base == NUMBER) | base.rlike(r"^\p{L}$")
@@ -145,7 +152,6 @@ def learn(df: DataFrame, text: str, most: int = 100_000) -> SentenceModel:
 
     Null and empty texts have no tokens; an empty table gives an empty model, to which each stop ends a sentence.
     """
-    types, after = counted(df, text)
-    types, after = written(scored(types), "sentence-types"), written(after, "sentence-pairs")
+    types, after = counts(df, text)
     best = lambda rows, *of: tuple(r[0] for r in rows.orderBy(F.col("score").desc(), *of).limit(most).select(F.concat_ws(" ", *of)).collect())
     return SentenceModel(best(types.filter("abbreviation"), "base"), best(starters(types, after), "next"), best(collocations(types, after), "base", "next"))

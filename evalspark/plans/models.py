@@ -42,8 +42,7 @@ def sentence_types(t):
 @query(f"WITH {PAIRED} SELECT 'starter' AS kind, '' AS base, nb AS next, n, score FROM st UNION ALL SELECT 'collocation', base, nb, n, score FROM co")
 def sentence_pairs(t):
     """Words that start sentences, and pairs that a stop doesn't part."""
-    types, after = sentences.counted(t("documents"), "text")
-    types = sentences.scored(types)
+    types, after = sentences.counts(t("documents"), "text")
     one = sentences.starters(types, after).select(F.lit("starter").alias("kind"), F.lit("").alias("base"), "next", "n", "score")
     return one.unionByName(sentences.collocations(types, after).select(F.lit("collocation").alias("kind"), "base", "next", "n", "score"))
 
