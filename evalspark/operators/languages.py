@@ -29,7 +29,7 @@ def grams(word: Column) -> Column:
 
 def gram_counts(df: DataFrame, lang: str, text: str) -> DataFrame:
     """(lang, gram, n). Words are counted first, so that n-grams are made of distinct words, not of running text."""
-    each = df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(words(F.col(text))).alias("word"))
+    each = df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode_outer(words(F.col(text))).alias("word")).filter("word is not null")
     counts = each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     return counts.select("lang", "n", F.explode(grams(F.col("word"))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
