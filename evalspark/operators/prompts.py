@@ -134,10 +134,16 @@ def pack_by(df: DataFrame, examples: DataFrame, budget: int, query_len: str, by:
     """As :func:`pack`, in natural order, with the examples of the row's own group."""
     from pyspark.sql.window import Window
 
+    from ..sources.shared import written
+
+    # Groups are few and rows of one many, so that a shuffle by group would have a group's rows in one task. Examples that
+    # are few go to each task; they are written, as they are counted first.
+    examples = written(examples, "examples")
+    near = F.broadcast if examples.limit(MOST_EXAMPLES + 1).count() <= MOST_EXAMPLES else lambda df: df
     w = Window.partitionBy(by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     run = examples.withColumn("upto", F.sum("len").over(w)).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "text", "upto"))).alias("s"))
     fits = F.filter(F.coalesce("s", F.array().cast("array<struct<pos:bigint,text:string,upto:bigint>>")), lambda x: x["upto"] + F.col(query_len) < budget)
-    return df.join(run, by, "left").withColumn("shots", F.transform(fits, lambda x: x["text"])).drop("s")
+    return df.join(near(run), by, "left").withColumn("shots", F.transform(fits, lambda x: x["text"])).drop("s")
 
 
 def history(df: DataFrame, dialogue: str, turn: str, text: str, budget: int) -> DataFrame:

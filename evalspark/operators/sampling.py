@@ -130,7 +130,9 @@ def strided(df: DataFrame, n: int, key: str) -> DataFrame:
 
 
 def per_group(df: DataFrame, n: int, group: str, *order) -> DataFrame:
-    return numbered(df, *order, by=(group,)).filter(F.col("pos") < n).drop("pos")
+    # The number itself is compared, so that each task leaves out what can't be among the first before the shuffle.
+    placed = df.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return placed.filter(F.col("__n") <= n).drop("__n")
 
 
 def cap_for(n: int, groups: int) -> int:
