@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Base of the scale, its width and the anchor's rating.
@@ -15,13 +15,24 @@ ALPHA, WIDTH, ANCHOR = math.log(10.0), 400.0, 1000.0
 CODES = {"model_wins": 0, "reference_wins": 1, "tie": 2}
 
 
+def coded(outcome: Column) -> Column:
+    """The code of an outcome; null for an invalid one."""
+    return F.coalesce(*[F.when(outcome == k, v) for k, v in CODES.items()])
+
+
+def agreed(*codes: Column) -> Column:
+    """:func:`consolidate` of a battle whose judgements' codes, two at least, are columns of one row: no task holds other
+    battles beside it. Null where none is valid."""
+    low, high = F.least(*codes), F.greatest(*codes)
+    return F.when(low == high, low).when(low.isNotNull(), 2)
+
+
 def consolidate(battles: DataFrame) -> DataFrame:
     """One row for (id, model, reference): the outcome that all judgements share, or else a tie.
 
     ``battles`` has id, model, reference, outcome, seq; invalid outcomes go. The first judgement by seq gives the rest.
     """
-    code = F.coalesce(*[F.when(F.col("outcome") == k, v) for k, v in CODES.items()])
-    rows = battles.withColumn("code", code).filter("code is not null")
+    rows = battles.withColumn("code", coded(F.col("outcome"))).filter("code is not null")
     return rows.groupBy("id", "model", "reference").agg(F.when(F.min("code") == F.max("code"), F.min("code")).otherwise(2).alias("winner"), F.min("seq").alias("seq"))
 
 
@@ -249,4 +260,4 @@ def median_lengths(answers: DataFrame, model: str = "model", text: str = "text")
     return kept.groupBy(model).agg(F.median(F.length(text)).cast("int").alias("median_length"))
 
 
-__all__ = ["arena_scale", "bootstrap_ratings", "consolidate", "elo", "fit", "median_lengths", "pair_counts", "ratings", "ratings_with_style", "style_features", "style_ratings", "tie_share"]
+__all__ = ["agreed", "arena_scale", "bootstrap_ratings", "consolidate", "elo", "fit", "median_lengths", "pair_counts", "ratings", "ratings_with_style", "style_features", "style_ratings", "tie_share"]

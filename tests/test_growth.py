@@ -1,10 +1,13 @@
+import itertools
 import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from evalspark.functions import algebra
 from evalspark.functions.plain import SLICE, in_slices
+from evalspark.operators import rating
 from evalspark.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -55,6 +58,16 @@ def test_answers_are_spread(spark):
     assert catalogue.queries()["math_answers"](spark, DATA).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
 
 
+def test_battles_are_consolidated_row_by_row(spark):
+    assert "keys=[id" not in plan(catalogue.queries()["battle_consolidation"](spark, DATA)).split("== Physical Plan ==")[1].split("SortMergeJoin")[0].split("BroadcastHashJoin")[0]
+    names = [*rating.CODES, "invalid", None]
+    rows = [(k, "a", "b", list(pair)) for k, pair in enumerate(itertools.product(names, names))]
+    df = spark.createDataFrame(rows, "id int, model string, reference string, outcomes array<string>")
+    apart = rating.consolidate(df.select("id", "model", "reference", F.posexplode("outcomes").alias("seq", "outcome")))
+    got = df.select("id", rating.agreed(*[rating.coded(F.col("outcomes")[k]) for k in (0, 1)]).alias("winner")).filter("winner is not null")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, apart.select("id", "winner").collect())) and got.count() == 21
+
+
 def test_numbers_apart_are_no_answers():
     r = random.Random(5)
     forms = ["{}", "\\frac{{{0}}}{{2}}", "{}^2", "({}+1)*2", "\\sqrt{{{}}}", "-{}"]
