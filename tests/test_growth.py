@@ -5,7 +5,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evalspark.functions import algebra
+from evalspark.functions import algebra, sequence
+from evalspark.functions import plain as plain_functions
 from evalspark.functions.plain import SLICE, in_slices
 from evalspark.operators import rating
 from evalspark.plans import catalogue
@@ -68,6 +69,29 @@ def test_battles_are_consolidated_row_by_row(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, apart.select("id", "winner").collect())) and got.count() == 21
 
 
+def test_answers_of_a_batch_are_each_read_once(spark, monkeypatch):
+    r = random.Random(7)
+    forms = ["{}", "{}.50", "0{}", "-{}", "\\frac{{{0}}}{{2}}", "{}/3", "{}e3", "{},5", "[{0};7]", "({0},7)", "x+{}", "{}+x", "\\{{{0},1\\}}", "\\text{{{}}}", "{}0000000001", "0.{}0000000001", "1/0", ""]
+    texts = [r.choice(forms).format(r.randrange(6)) for _ in range(60)] + ["10000000000", "10000000001", "1e400", "9" * 400, "1.0000001", "1.00001"]
+    gold = [*texts, *(f"so \\boxed{{{x}}}" for x in texts[:5]), None]
+    rows = [(p, g) for p in [*(f"\\boxed{{{x}}}" for x in texts), "none", "\\boxed{3", None] for g in gold]
+    inner = lambda g: g if plain_functions.boxed(g) is None else plain_functions.boxed(g)
+    want = [float((own := plain_functions.boxed(p or "")) is not None and algebra.same_answer(own, inner(g or ""))) for p, g in rows]
+    calls = []
+    monkeypatch.setattr(sequence, "same_answer", lambda a, b: calls.append((a, b)) or algebra.same_answer(a, b))
+    columns = [pa.array([row[k] for row in rows], pa.string()) for k in (0, 1)]
+    assert sequence.math_equal.func(*columns).to_pylist() == want and 0 < sum(want) < len(want)
+    calls.clear()
+    assert sequence.math_equal.func(pa.array(["\\boxed{\\frac{8}{2}}"] * 500), pa.array([str(k % 250) for k in range(500)])).to_pylist() == [float(k % 250 == 4) for k in range(500)]
+    assert not calls and len(sequence.math_equal.func(*(pa.array([], pa.string()),) * 2)) == 0
+    assert sequence.math_equal.func(pa.array(["\\boxed{x+1}"] * 50), pa.array(["1+x"] * 50)).to_pylist() == [1.0] * 50 and len(calls) == 1
+
+
+@pytest.mark.parametrize("text", ["0", "-0", "7", "-12.50", "123456789012345678", "0.123456789512345", "99999999.0000000005"])
+def test_plain_numbers_have_the_value_of_their_tree(text):
+    assert plain_functions.DECIMAL.fullmatch(text) and plain_functions.math_value(text) == round(plain_functions.arithmetic(text), 9)
+
+
 def test_numbers_apart_are_no_answers():
     r = random.Random(5)
     forms = ["{}", "\\frac{{{0}}}{{2}}", "{}^2", "({}+1)*2", "\\sqrt{{{}}}", "-{}"]
