@@ -8,23 +8,27 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sequence
 from ..sources.shared import written
 
 #: The levels of the published method, and its chance that an abbreviation has its stop.
 ABBREVIATION, COLLOCATION, STARTER, WITH_STOP = 0.3, 7.88, 30.0, 0.99
-SPACES = r"[\x20\x09-\x0D]+"
 #: Openers and closers around a token; its own stop stays.
 AROUND = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.!?]+$"
 #: All numbers are one type.
 NUMBER, DIGITS = "##", r"^[0-9]+([.,:/-][0-9]+)*$"
-MARK = "struct<base:string,stop:boolean,dots:boolean,hard:boolean,upper:boolean>"
 
 
-def mark(token: Column) -> Column:
-    """(base, stop, dots, hard, upper) of a token: its type without a stop, whether one full stop ends it, or several, or a
-    mark that always ends a sentence, and whether it starts with a capital."""
-    core = F.regexp_replace(token, AROUND, "")
-    bare = F.lower(F.regexp_replace(core, "[.!?]+$", ""))
+def cored(token: Column) -> Column:
+    return F.regexp_replace(token, AROUND, "")
+
+
+def bared(core: Column) -> Column:
+    return F.lower(F.regexp_replace(core, "[.!?]+$", ""))
+
+
+def marked(token: Column, core: Column, bare: Column) -> Column:
+    """:func:`mark` of a token whose core and bare form are known."""
     return F.struct(
         F.when(bare.rlike(DIGITS), NUMBER).otherwise(bare).alias("base"),
         core.rlike(r"[^.!?]\.$").alias("stop"),
@@ -34,14 +38,10 @@ def mark(token: Column) -> Column:
     )
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
-
-
-def steps(text: Column) -> Column:
-    """Array of (m, next) of a text's tokens as they stand; the last has no next."""
-    each = tokens(text)
-    return F.arrays_zip(each.alias("m"), F.slice(each, 2, F.greatest(F.size(each), F.lit(1))).alias("next"))
+def mark(token: Column) -> Column:
+    """(base, stop, dots, hard, upper) of a token: its type without a stop, whether one full stop ends it, or several, or a
+    mark that always ends a sentence, and whether it starts with a capital."""
+    return marked(token, cored(token), bared(cored(token)))
 
 
 def log_part(k: Column, p: Column) -> Column:
@@ -71,15 +71,16 @@ def together(one: Column, two: Column, both: Column, total: Column) -> Column:
 def counted(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """(types: base, n, n_stop) and (after: base, next, n of a type with a stop before another), over all texts.
 
-    Tokens are combined as they stand before the shuffle, and read for what they are but once each.
+    Texts are read once for both. Tokens are combined as they stand before the shuffle, and read for what they are but once
+    each.
     """
-    # A plain explode would split each text twice, to leave out those without a token first.
-    rows = df.select(F.explode_outer(steps(F.col(text))).alias("s")).select("s.m", "s.next").filter("m is not null")
-    whole = rows.groupBy("m").agg(F.count(F.lit(1)).alias("n")).select(mark(F.col("m")).alias("m"), "n")
-    types = whole.filter("m.base <> ''").groupBy(F.col("m.base").alias("base")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("m.stop"), F.col("n")).otherwise(0)).alias("n_stop"))
-    pairs = rows.filter(F.contains("m", F.lit(".")) & F.col("next").isNotNull()).groupBy("m", "next").agg(F.count(F.lit(1)).alias("n"))
-    marked = pairs.select(mark(F.col("m")).alias("m"), mark(F.col("next")).alias("next"), "n").filter("m.stop and m.base <> '' and next.base <> ''")
-    return types, marked.groupBy(F.col("m.base").alias("base"), F.col("next.base").alias("next")).agg(F.sum("n").alias("n"))
+    rows = df.select(F.col(text).cast("binary").alias("text")).mapInArrow(sequence.counted_tokens, "m string, next string, n bigint")
+    whole = rows.groupBy("m", "next").agg(F.sum("n").alias("n"))
+    read = whole.select(mark(F.col("m")).alias("m"), F.col("next").isNull().alias("alone"), mark(F.col("next"))["base"].alias("next"), "n")
+    # Filters come after the table is written: before it, each would read the tokens once more.
+    read = written(read.select("m.base", "m.stop", "alone", "next", "n"), "sentence-tokens")
+    types = read.filter("alone and base <> ''").groupBy("base").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("stop"), F.col("n")).otherwise(0)).alias("n_stop"))
+    return types, read.filter("not alone and stop and base <> '' and next <> ''").groupBy("base", "next").agg(F.sum("n").alias("n"))
 
 
 def scored(types: DataFrame) -> DataFrame:
@@ -141,9 +142,12 @@ class SentenceModel:
 
     def count(self, text: Column) -> Column:
         """Sentences of a text; the last needs no mark. 0 without a token, null for null."""
-        near = F.filter(steps(text), lambda s: s["m"].rlike("[.!?]") & s["next"].isNotNull())
-        read = F.transform(near, lambda s: F.struct(mark(s["m"]).alias("m"), mark(s["next"]).alias("next")))
-        return F.size(F.filter(read, lambda s: self.ends(s["m"], s["next"]))) + (F.size(tokens(text)) > 0).cast("int")
+        found = sequence.near_stops(text.cast("binary"))
+        # Arrays of what is known, one after another: inside one lambda each use would work it out anew.
+        core = F.transform(found["near"], lambda s: F.struct(s["m"].alias("m"), cored(s["m"]).alias("mc"), s["next"].alias("next"), cored(s["next"]).alias("nc")))
+        bare = F.transform(core, lambda s: F.struct(*[s[c].alias(c) for c in ("m", "mc", "next", "nc")], bared(s["mc"]).alias("mb"), bared(s["nc"]).alias("nb")))
+        read = F.transform(bare, lambda s: F.struct(marked(s["m"], s["mc"], s["mb"]).alias("m"), marked(s["next"], s["nc"], s["nb"]).alias("next")))
+        return F.size(F.filter(read, lambda s: self.ends(s["m"], s["next"]))) + found["some"].cast("int")
 
 
 def learn(df: DataFrame, text: str, most: int = 100_000) -> SentenceModel:

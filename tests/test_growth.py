@@ -1,5 +1,7 @@
 import itertools
 import random
+import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from evalspark.functions import algebra, sequence
 from evalspark.functions import plain as plain_functions
 from evalspark.functions.plain import SLICE, in_slices
-from evalspark.operators import rating
+from evalspark.operators import rating, sentences
 from evalspark.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -51,6 +53,28 @@ def test_sentence_pairs_read_their_counts(spark):
     assert not any("documents" in f for f in catalogue.queries()["sentence_pairs"](spark, DATA).inputFiles())
 
 
+def test_sentences_are_split_once_and_outside_expressions(spark):
+    counts = plan(catalogue.queries()["sentence_counts"](spark, DATA)).split("== Physical Plan ==")[1]
+    assert "near_stops" in counts and "split(" not in counts
+
+
+def test_tokens_are_counted_in_bounded_tables(spark):
+    texts = ["Dr. A. B\tc\vd. e?", None, "", " \n", "one", "a\u00a0b c.\u2003d x\x1cy. z", "Dr. A. ... Ж. ж!"]
+    encoded = [t if t is None else t.encode() for t in texts]
+    whole, parts = (Counter(), Counter())
+    for total, most in ((whole, 1 << 18), (parts, 2)):
+        for one, two, n in plain_functions.token_counts(encoded, most):
+            total.update({k: v for k, v in zip(zip(one, two), n)})
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    want = Counter((w.encode(), None) for ws in words for w in ws) + Counter((a.encode(), b.encode()) for ws in words for a, b in zip(ws, ws[1:]) if "." in a)
+    assert whole == parts == want and list(plain_functions.token_counts([])) == []
+    sizes = [len(one) for one, _, _ in plain_functions.token_counts([b"a b"] * 100, 4)]
+    assert sizes == [2] and [len(x[0]) for x in plain_functions.token_counts((f"w{k}".encode() for k in range(100)), 10)] == [10] * 10
+    assert plain_functions.stops(None) is None and plain_functions.stops(b" ") == {"some": False, "near": []}
+    types, after = sentences.counted(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    assert {tuple(r) for r in types.collect()} >= {("dr", 2, 2), ("a", 2, 2), ("ж", 2, 1), ("one", 1, 0)} and ("dr", "a", 2) in {tuple(r) for r in after.collect()}
+
+
 def test_examples_of_groups_go_to_the_rows(spark):
     assert "SortMergeJoin" not in plan(catalogue.queries()["fewshot_pack_mmlu"](spark, DATA)).split("== Physical Plan ==")[1]
 
