@@ -124,6 +124,34 @@ def collocations(types: DataFrame, after: DataFrame) -> DataFrame:
     return kept.select("base", "next", "n", "score")
 
 
+def unsure(types: DataFrame) -> DataFrame:
+    """(base) of types whose stop may not end a sentence: abbreviations, numbers and single letters."""
+    return types.filter(F.col("abbreviation") | special(F.col("base"))).select("base")
+
+
+def judged(types: DataFrame, after: DataFrame) -> DataFrame:
+    """(base, next, capital) of all pairs across a stop that may not end a sentence: it does before a capital, or never."""
+    first, joined = starters(types, after).select("next", F.lit(True).alias("first")), collocations(types, after).select("base", "next", F.lit(True).alias("joined"))
+    rows = after.select("base", "next").join(unsure(types), "base").join(first, "next", "left").join(joined, ["base", "next"], "left")
+    capital = F.col("joined").isNull() & ((F.col("base") == NUMBER) | F.col("first").isNotNull())
+    # What follows may be without a type, so neither a capital nor a starter.
+    return rows.select("base", "next", capital.alias("capital")).unionByName(unsure(types).select("base", F.lit("").alias("next"), F.lit(False).alias("capital")))
+
+
+def near(text: Column) -> tuple[Column, Column]:
+    """(whether a text has a token, array of (m, next) of its tokens that may end a sentence, each with the next, marked)."""
+    found = sequence.near_stops(text.cast("binary"))
+    # Arrays of what is known, one after another: inside one lambda each use would work it out anew.
+    core = F.transform(found["near"], lambda s: F.struct(s["m"].alias("m"), cored(s["m"]).alias("mc"), s["next"].alias("next"), cored(s["next"]).alias("nc")))
+    bare = F.transform(core, lambda s: F.struct(*[s[c].alias(c) for c in ("m", "mc", "next", "nc")], bared(s["mc"]).alias("mb"), bared(s["nc"]).alias("nb")))
+    return found["some"], F.transform(bare, lambda s: F.struct(marked(s["m"], s["mc"], s["mb"]).alias("m"), marked(s["next"], s["nc"], s["nb"]).alias("next")))
+
+
+def ending(m: Column, after: Column, by_stop: Column) -> Column:
+    """Whether a sentence ends between a token and the next, where ``by_stop`` says it of one full stop."""
+    return F.when(m["hard"], True).when(m["dots"], after["upper"]).when(m["stop"], by_stop).otherwise(False)
+
+
 @dataclass(frozen=True)
 class SentenceModel:
     """What a corpus has taught; sets that go to each task as literals."""
@@ -137,25 +165,53 @@ class SentenceModel:
         weak = m["base"].isin(*self.abbreviations) | m["base"].rlike(r"^\p{L}$")
         joined = F.concat_ws(" ", m["base"], after["base"]).isin(*self.collocations)
         capital = after["upper"]
-        by_stop = F.when(joined, False).when(m["base"] == NUMBER, capital).when(weak, capital & after["base"].isin(*self.starters)).otherwise(True)
-        return F.when(m["hard"], True).when(m["dots"], capital).when(m["stop"], by_stop).otherwise(False)
+        return ending(m, after, F.when(joined, False).when(m["base"] == NUMBER, capital).when(weak, capital & after["base"].isin(*self.starters)).otherwise(True))
 
     def count(self, text: Column) -> Column:
         """Sentences of a text; the last needs no mark. 0 without a token, null for null."""
-        found = sequence.near_stops(text.cast("binary"))
-        # Arrays of what is known, one after another: inside one lambda each use would work it out anew.
-        core = F.transform(found["near"], lambda s: F.struct(s["m"].alias("m"), cored(s["m"]).alias("mc"), s["next"].alias("next"), cored(s["next"]).alias("nc")))
-        bare = F.transform(core, lambda s: F.struct(*[s[c].alias(c) for c in ("m", "mc", "next", "nc")], bared(s["mc"]).alias("mb"), bared(s["nc"]).alias("nb")))
-        read = F.transform(bare, lambda s: F.struct(marked(s["m"], s["mc"], s["mb"]).alias("m"), marked(s["next"], s["nc"], s["nb"]).alias("next")))
-        return F.size(F.filter(read, lambda s: self.ends(s["m"], s["next"]))) + found["some"].cast("int")
+        some, read = near(text)
+        return F.size(F.filter(read, lambda s: self.ends(s["m"], s["next"]))) + some.cast("int")
+
+
+def sets(types: DataFrame, after: DataFrame) -> list[DataFrame]:
+    """The members of a model's sets, each a table of one column."""
+    return [types.filter("abbreviation").select("base"), starters(types, after).select("next"), collocations(types, after).select(F.concat_ws(" ", "base", "next"))]
 
 
-def learn(df: DataFrame, text: str, most: int = 100_000) -> SentenceModel:
-    """The model of all texts of a column. Each of its sets has ``most`` members at most, those of the highest score:
-    they grow with the vocabulary, and beyond that only types that are barely told apart are left out.
+def learn(df: DataFrame, text: str) -> SentenceModel:
+    """The model of all texts of a column, with all members of its sets. They grow with the vocabulary, and come to the
+    driver: :func:`per_text` counts by tables where they are many.
 
     Null and empty texts have no tokens; an empty table gives an empty model, to which each stop ends a sentence.
     """
+    return SentenceModel(*(tuple(sorted(r[0] for r in rows.collect())) for rows in sets(*counts(df, text))))
+
+
+def by_join(df: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
+    """(key, n) of each row, as :meth:`SentenceModel.count` has n, by a table of all judged pairs of its column."""
+    some, read = near(F.col(text))
+    open_ = lambda s: s["m"]["stop"] & ~s["m"]["hard"] & ~s["m"]["dots"]
+    # A lambda's argument is worked out once for both of its uses.
+    parts = F.transform(F.array(read), lambda r: F.struct(
+        F.size(F.filter(r, lambda s: ending(s["m"], s["next"], F.lit(False)))).alias("sure"),
+        F.transform(F.filter(r, open_), lambda s: F.struct(s["m"]["base"].alias("base"), s["next"]["base"].alias("next"), s["next"]["upper"].alias("upper"))).alias("open"),
+    ))[0]
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), some.cast("int").alias("some"), parts.alias("p"))
+    # The array is a column of its own, so that no row of its members carries it.
+    rows = rows.select("row", "key", (F.col("p.sure") + F.col("some")).alias("sure"), F.col("p.open").alias("open")).select("row", "key", "sure", F.explode_outer("open").alias("o"))
+    # Rows without a pair to judge meet none: their number spreads them.
+    none = F.col("o").isNull()
+    pairs = rows.select("row", "key", "sure", F.when(none, "").otherwise(F.col("o.base")).alias("base"), F.when(none, F.col("row").cast("string")).otherwise(F.col("o.next")).alias("next"), F.col("o.upper").alias("upper"))
+    ends = F.when(F.col("upper").isNull(), 0).when(F.col("capital").isNull() | (F.col("capital") & F.col("upper")), 1).otherwise(0)
+    whole = pairs.join(known, ["base", "next"], "left").groupBy("row").agg(F.first("key").alias(key), F.first("sure").alias("sure"), F.sum(ends).alias("ends"))
+    return whole.select(key, (F.col("sure") + F.col("ends")).cast("int").alias("n"))
+
+
+def per_text(df: DataFrame, key: str, text: str, most: int = 100_000) -> DataFrame:
+    """(key, n) of each row: the sentences of its text by the model of all. Sets of ``most`` members at most go to each task
+    as literals; where one has more, pairs across a stop are joined with those that all sets judge."""
     types, after = counts(df, text)
-    best = lambda rows, *of: tuple(r[0] for r in rows.orderBy(F.col("score").desc(), *of).limit(most).select(F.concat_ws(" ", *of)).collect())
-    return SentenceModel(best(types.filter("abbreviation"), "base"), best(starters(types, after), "next"), best(collocations(types, after), "base", "next"))
+    found = [[r[0] for r in rows.limit(most + 1).collect()] for rows in sets(types, after)]
+    if all(len(s) <= most for s in found):
+        return df.select(key, SentenceModel(*(tuple(sorted(s)) for s in found)).count(F.col(text)).alias("n"))
+    return by_join(df, key, text, written(judged(types, after), "sentence-judged"))

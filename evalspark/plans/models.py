@@ -55,8 +55,7 @@ SELECT doc_id, CAST(count(e.doc_id) FILTER (ends) + CASE WHEN count(e.doc_id) >
 )
 def sentence_counts(t):
     """Sentences of each document by the model of all."""
-    d = t("documents")
-    return d.select("doc_id", F.coalesce(sentences.learn(d, "text").count(F.col("text")), F.lit(0)).alias("n_sentences"))
+    return sentences.per_text(t("documents"), "doc_id", "text").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_sentences"))
 
 
 GRAMS = r"""w AS MATERIALIZED (SELECT doc_id, lang, '_' || unnest(regexp_extract_all(lower(text), '(\p{L}+)')) || '_' AS word FROM documents),

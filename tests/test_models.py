@@ -51,6 +51,35 @@ def test_sentences_of_abbreviations_and_initials(spark):
     assert empty == sentences.SentenceModel() and spark.range(1).select(empty.count(F.lit("Dr. A. B"))).first()[0] == 2
 
 
+def test_sentences_by_a_model_of_any_size(spark, tmp_path):
+    """No abbreviation is left out where there are more than go to tasks as literals."""
+    from evalspark.plans import catalogue
+
+    n = 100_500
+    names = (chr(0x4E00 + k // 400) + chr(0x4E00 + k % 400) for k in range(n))
+    rows = [(k, f"{name}. word {name}. word") for k, name in enumerate(names)] + [(n, "The end. The end."), (n + 1, None), (n + 2, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.queries()["sentence_counts"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.groupBy("n_sentences").count().collect()} == {(1, n), (2, 1), (0, 2)}
+
+
+def test_sentences_by_literals_and_by_tables(spark):
+    """Both count the same in each row, also where keys repeat."""
+    from evalspark.operators import sentences
+
+    r = random.Random(11)
+    words = ["The", "but", "But", "Smith", "house", "came", "Ж.", "j.", "7.", "3.50.", "12", "Dr.", "dr.", "No.", "no.", "--", "...", "Wait...", "so?", "Yes!", "end.", "end.)", "(The", "\u201cBut", "No.,", "e.g.", ".", "X"]
+    line = lambda: " ".join(r.choice(words) for _ in range(r.randrange(1, 25)))
+    taught = [f"The house came. But Dr. Smith came. {r.choice(['The', 'But'])} No. 7 came home e.g. so." for _ in range(200)]
+    rows = [(k // 2, x) for k, x in enumerate([*taught, *(line() for _ in range(300)), None, "", " \n", "one", "Dr.", "Dr. --"])] + [(None, "A b. C"), (None, "A b. C d. E")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    model = sentences.learn(df, "text")
+    assert all((model.abbreviations, model.starters, model.collocations))
+    want, some = (sorted(map(str, sentences.per_text(df, "id", "text", most).collect())) for most in (100_000, 0))
+    assert want == some == sorted(map(str, df.select("id", model.count(df.text).alias("n")).collect()))
+    assert sentences.per_text(df.limit(0), "id", "text", -1).collect() == []
+
+
 def test_languages_of_held_out_documents(spark):
     """Fitted to half of the documents by hash, over 99 % of the other half are told."""
     from pyspark.sql import functions as F
